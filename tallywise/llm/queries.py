@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywise.llm import exact_dedup, mixing
-from tallywise.llm.common import documents
+from tallywise.llm import exact_dedup, mixing, ngram_join, order_minhash, warc
+from tallywise.llm.common import documents, pages
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_exact_dedup)}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(documents(spark, sf_dir), ngram=3, percent=90)
 
-ORACLES = {"op5_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(documents(spark, sf_dir))
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(pages(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_exact_dedup, op8_order_minhash, op9_ngram_join, op10_warc_zip)}
+
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_warc_zip": warc.ORACLE}
