@@ -109,14 +109,73 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, from prefix sums of a polynomial modulo 2^64."""
-    n = len(data)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1, at least, of the base and of its inverse."""
     if len(_POWERS[0]) <= n:
         for i, base in enumerate((_BASE, _UNBASE)):
             p = np.full(n + 1, base, np.uint64)
             p[0] = 1
             _POWERS[i] = np.multiply.accumulate(p)
+    return _POWERS[0], _POWERS[1]
+
+
+def prefix_sums(rows: np.ndarray) -> np.ndarray:
+    """Of each row of bytes, the polynomial sums up to each position."""
+    sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * _powers(rows.shape[1])[0][: rows.shape[1]], axis=1, out=sums[:, 1:])
+    return sums
+
+
+def hashes_between(low: np.ndarray, high: np.ndarray, start: int, length: int) -> np.ndarray:
+    """As ``span_hashes``, of spans with one start and length, from the prefix sums at their ends."""
+    return mix((high - low) * _powers(start)[1][start] + np.uint64(length))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans, from prefix sums of a polynomial modulo 2^64."""
+    n = len(data)
+    up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+class SpanCache:
+    """Values of spans by hash, kept over the slices of a task; emptied when it grows past ``most``."""
+
+    def __init__(self, width: int, most: int = 300_000) -> None:
+        self.keys, self.values, self.most = np.zeros(0, np.uint64), np.zeros((0, width), np.float32), most
+
+    def get(self, hashes: np.ndarray, compute) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the distinct hashes, and for each hash the index of its value.
+
+        ``compute`` gets the index (in ``hashes``) of one span of each kind that isn't known yet.
+        """
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if not known.all():
+            fresh = compute(first[~known]).astype(np.float32)
+            self.values = np.insert(self.values, at[~known], fresh, axis=0)
+            self.keys = np.insert(self.keys, at[~known], distinct[~known])
+            at = np.searchsorted(self.keys, distinct)
+        out = self.values[at]
+        if len(self.keys) > self.most:
+            self.keys, self.values = self.keys[:0], self.values[:0]
+        return out, back
+
+
+def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` that belong to each text; ``first`` as from ``words``."""
+    sums = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=sums[1:])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+def held_out(doc_id):
+    """The rows that no model may learn from: crc32 of doc_id as text leaves 0 when divided by 5."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
