@@ -4,30 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywise.llm import exact_dedup, mixing, ngram_join, order_minhash, warc
+from tallywise.llm import exact_dedup, html_extract, language_id, mixing, ngram_join, order_minhash, quality, sentencepiece, toxicity, warc
 from tallywise.llm.common import documents, pages
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it."""
+    return sentencepiece.encode(documents(spark, sf_dir), check=True)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(documents(spark, sf_dir))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(pages(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
-def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(documents(spark, sf_dir))
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), quality.usefulness(labels(spark, sf_dir)))
 
 
-def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_groups(documents(spark, sf_dir), ngram=3, percent=90)
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(documents(spark, sf_dir), ngram=3, percent=90)
+
+
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(pages(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_exact_dedup, op8_order_minhash, op9_ngram_join, op10_warc_zip)}
+_ALL = (op1_sentencepiece, op2_toxicity, op3_language_id, op4_html_text, op5_mix_sources, op6_quality, op7_exact_dedup, op8_order_minhash, op9_ngram_join, op10_warc_zip)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {"op5_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_warc_zip": warc.ORACLE}
