@@ -99,19 +99,54 @@ def _summaries(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hist binary, prefix array<long>")
 
 
-def _adapted(docs: DataFrame, ngram: int, percent: int, tokens: np.ndarray, costs: np.ndarray, costly: int) -> DataFrame:
-    """The lengthened prefixes, of documents whose prefix holds a shingle of the cost table."""
-    table = docs.sparkSession.sparkContext.broadcast((tokens, costs))
+def _costs(table: tuple[np.ndarray, np.ndarray], part: np.ndarray) -> np.ndarray:
+    keys, cost = table
+    at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+    return np.where(keys[at] == part, cost[at], 0)
+
+
+def _sorted_table(*parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles with the largest count that any part has."""
+    tokens = np.concatenate([p.column("token").to_numpy().view(np.uint64) for p in parts])
+    counts = np.concatenate([p.column("count").to_numpy() for p in parts])
+    order = np.lexsort((-counts, tokens))
+    tokens, first = np.unique(tokens[order], return_index=True)
+    return tokens, counts[order][first]
+
+
+def _costly_sets(docs: DataFrame, ngram: int, percent: int, table: tuple[np.ndarray, np.ndarray], costly: int) -> DataFrame:
+    """(id, tokens): whole sets of the documents of whose prefix a fifth or more is costly."""
+    known = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, kept = [], []
+                for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), ngram), strict=True):
+                    p = prefix_length(len(s), percent)
+                    if p and 5 * (_costs(known.value, s[:p]) > costly).sum() >= p:
+                        ids.append(doc_id)
+                        kept.append(s)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(kept)], ["id", "tokens"])
+
+    return docs.mapInArrow(run, "id long, tokens array<long>")
+
+
+def _adapted(docs: DataFrame, ngram: int, percent: int, costs: tuple[np.ndarray, np.ndarray], costly: int) -> DataFrame:
+    """The lengthened prefixes, of documents whose prefix holds a shingle of the cost table.
+
+    ``h`` counts the costly shingles of those that have too few others.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(costs)
 
     def lookup(part: np.ndarray) -> np.ndarray:
-        keys, cost = table.value
-        at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-        return np.where(keys[at] == part, cost[at], 0)
+        return _costs(table.value, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, cheap, dear, need = [], [], [], []
+                ids, cheap, dear, need, h = [], [], [], [], []
                 for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), ngram), strict=True):
                     p = prefix_length(len(s), percent)
                     head = s[: 2 * p + 64]
@@ -128,10 +163,11 @@ def _adapted(docs: DataFrame, ngram: int, percent: int, tokens: np.ndarray, cost
                     cheap.append(light[: p + two])
                     dear.append(head[hot][: max(0, p - len(light))])
                     need.append(1 + two)
+                    h.append(len(s) - len(light) if len(light) < p else 0)
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(cheap), _lists(dear), pa.array(np.array(need, np.int32))], ["id", "cheap", "dear", "need"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(cheap), _lists(dear), pa.array(np.array(need, np.int32)), pa.array(h, pa.int64())], ["id", "cheap", "dear", "need", "h"])
 
-    return docs.mapInArrow(run, "id long, cheap array<long>, dear array<long>, need int")
+    return docs.mapInArrow(run, "id long, cheap array<long>, dear array<long>, need int, h long")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -207,14 +243,18 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: s
     costly = max(costly, total // COSTLY_MOST + 1)
     lists = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= max(min(WARM, costly), total // COSTLY_MOST + 1))
     table = lists.toArrow()
-    tokens = table.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    index = sets.select("id", "n", F.col("prefix").alias("cheap"), F.lit(None).cast("array<long>").alias("dear"), F.lit(1).alias("need"))
-    if len(tokens):
-        longer = _adapted(docs, ngram, percent, tokens[order], table.column("count").to_numpy()[order], costly)
-        longer = longer.join(sets.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", F.col("cheap").alias("c2"), "dear", F.col("need").alias("n2"))
+    index = sets.select("id", "n", F.col("prefix").alias("cheap"), F.lit(None).cast("array<long>").alias("dear"), F.lit(1).alias("need"), F.lit(0).cast("long").alias("h"))
+    if table.num_rows:
+        costs = _sorted_table(table)
+        own = sets.select("id").hint("merge")
+        whole = _costly_sets(docs, ngram, percent, costs, costly).join(own, "id", "left_semi").dropDuplicates(["id"])
+        often = staged(whole.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") > costly))
+        costly = max(costly, often.count() // COSTLY_MOST * costly)
+        costs = _sorted_table(table, often.filter(F.col("count") > costly).toArrow())
+        longer = _adapted(docs, ngram, percent, costs, costly).join(own, "id", "left_semi").dropDuplicates(["id"])
+        longer = longer.select("id", F.col("cheap").alias("c2"), "dear", F.col("need").alias("n2"), "h")
         index = sets.select("id", "n", "prefix").join(longer.hint("shuffle_merge"), "id", "left")
-        index = staged(index.select("id", "n", F.coalesce("c2", "prefix").alias("cheap"), "dear", F.coalesce("n2", F.lit(1)).alias("need")))
+        index = staged(index.select("id", "n", F.coalesce("c2", "prefix").alias("cheap"), "dear", F.coalesce("n2", F.lit(1)).alias("need"), F.coalesce("h", F.lit(0)).alias("h")))
 
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     side = lambda rows, x: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"))
@@ -225,7 +265,11 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: s
     shaped = met.join(h.select(F.col("id").alias("a"), F.col("hist").alias("ha")).hint("shuffle_merge"), "a").join(h.select(F.col("id").alias("b"), F.col("hist").alias("hb")).hint("shuffle_merge"), "b")
     pairs = staged(_bounded(shaped.select("a", "b", "na", "nb", "ha", "hb"), percent))
 
-    dear = index.filter("size(dear) > 0").select(F.explode("dear").alias("token"), "id", "n", "need")
+    dear = index.filter("size(dear) > 0").select(F.explode("dear").alias("token"), "id", "n", "h")
+    # of a pair that shares no cheap shingle, the intersection has costly ones alone
+    room = F.least("ha", "hb")
+    fits = (room * 100 >= (F.col("na") + F.col("nb") - room) * percent) & (F.col("a") != F.col("b"))
+    member = lambda rows, x, *more: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"), *more)
     costly_lists = not dear.isEmpty()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     if costly_lists:
@@ -234,20 +278,23 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: s
     full = staged(_sets_of(docs, ids.distinct(), ngram))
     tries = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     if costly_lists:
-        pivots = staged(dear.groupBy("token").agg(F.min("id").alias("a")))
-        tries = tries.union(dear.join(pivots.hint("shuffle_merge"), "token").filter("a < id").select("a", F.col("id").alias("b"))).distinct()
+        # the pivot of a list is the member with the fewest shingles of its own
+        pivots = staged(member(dear.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("h"), "id", "n", "h")).alias("m")).select("token", "m.id", "m.n", "m.h"), "a"))
+        stars = pivots.hint("shuffle_merge").join(member(dear, "b").hint("shuffle_merge"), "token").filter(fits)
+        tries = tries.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     links = staged(_linked(tries, full, percent))
     found = components(links)
     left = _apart(pairs, found).join(tries.hint("merge"), ["a", "b"], "left_anti")
     links = links.union(staged(_linked(left, full, percent)))
     found = components(links)
     if costly_lists:
-        with_pivot = dear.join(pivots.hint("shuffle_merge"), "token").select("token", "a", F.col("id").alias("b"), "n", "need").filter("a <> b")
-        astray = staged(_apart(with_pivot.select("a", "b").distinct(), found).select(F.col("b").alias("id")).distinct())
-        loose = side(dear.join(astray.hint("shuffle_merge"), "id", "left_semi").select("token", "id", "n", "need"), "a")
-        again = loose.hint("shuffle_merge").join(side(dear, "b").hint("shuffle_merge"), "token").filter("a <> b").filter(near)
-        again = staged(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = links.union(staged(_linked(_apart(again, found), full, percent)))
+        place = found.select(F.col("node").alias("id"), "component").hint("shuffle_merge")
+        placed = staged(dear.join(place, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        centre = placed.join(pivots.select("token", F.col("a").alias("id")).hint("shuffle_merge"), ["token", "id"], "left_semi").select("token", F.col("component").alias("centre"))
+        astray = placed.join(centre.hint("shuffle_merge"), "token").filter("component <> centre").drop("centre")
+        again = member(astray, "a", F.col("component").alias("ca")).hint("shuffle_merge").join(member(placed, "b", F.col("component").alias("cb")).hint("shuffle_merge"), "token")
+        again = staged(again.filter(fits & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = links.union(staged(_linked(again, full, percent)))
         found = components(links)
 
     label = classes.join(found.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
