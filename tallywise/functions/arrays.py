@@ -124,7 +124,7 @@ def label_marginal(p: Column, rows: Column) -> Column:
 def expected_gain(p: Column, rows: Column, score: str = "entropy", log_base: float = 2.0) -> Column:
     """u(P) - E over labels of u(P given the label); not below 0 except for the margin, which may lose."""
     joint = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda j: F.zip_with(p, rows, lambda pk, row: pk * F.get(row, j)))
-    after = total(F.transform(joint, lambda col: total(col) * F.when(total(col) > TINY, uncertainty(col, score, log_base)).otherwise(0.0)))
+    after = total(F.transform(joint, lambda col: total(col) * F.when(total(col) > TINY, uncertainty(normalised(col), score, log_base)).otherwise(0.0)))
     gain = uncertainty(p, score, log_base) - after
     return gain if score == "margin" else F.greatest(gain, F.lit(0.0))
 
