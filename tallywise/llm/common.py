@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_FOLDERS: dict[str, str] = {}
-
 #: Texts are handled in slices of about so many bytes, so that memory follows the slice, not the batch.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        _FOLDERS[app] = tempfile.mkdtemp(prefix="tallywise-")
-    return _FOLDERS[app]
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    This cuts the lineage in a way that survives lost executors, and gives the planner true sizes.
-    """
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import staged
+from tallywise.llm.common import spare_name
+from tallywise.sources.staging import staged
+
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +54,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger id also has."""
-    digest = "__text_sha256"
+    digest = spare_name(docs, "text_sha256")
     groups = staged(exact_groups(docs, id_col, text_col, support).filter("kept").select("doc_id", F.col("text_sha256").alias(digest)))
     marked = docs.withColumn(digest, text_digest(F.col(text_col)))
     kept = groups.hint("shuffle_hash")

@@ -22,7 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import staged
+from tallywise.llm.common import spare_name
+from tallywise.sources.staging import staged
+
 
 #: A word, as the contract states it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,9 +95,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFr
 
     Rows that repeat a doc_id share the larger number of copies.
     """
-    copies = staged(mix_sources(docs, id_col=id_col, **params).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id"))
-    times = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
-    return docs.join(copies.hint("shuffle_hash"), docs[id_col].eqNullSafe(copies["__id"])).select(*[docs[c] for c in docs.columns], times.alias("__time")).drop("__time")
+    times, one = spare_name(docs, "copies"), spare_name(docs, "copy")
+    copies = staged(mix_sources(docs, id_col=id_col, **params).groupBy("doc_id").agg(F.max("copies").alias(times)).filter(F.col(times) > 0))
+    joined = docs.join(copies.hint("shuffle_hash"), docs[id_col].eqNullSafe(copies["doc_id"]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies[times].cast("int"))).alias(one)).drop(one)
 
 
 ORACLE = r"""

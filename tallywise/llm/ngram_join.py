@@ -33,8 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import lower_ascii, mix, slices, span_hashes, staged, utf8, words
+from tallywise.llm.common import lower_ascii, mix, slices, span_hashes, utf8, words
 from tallywise.llm.components import components
+from tallywise.sources.staging import staged
 
 #: Prefix lists longer than this are costly; raised where more than COSTLY_MOST could be.
 COSTLY = 50

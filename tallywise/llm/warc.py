@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import slices, staged
+from tallywise.llm.common import slices
+from tallywise.sources.staging import staged
 
 #: A package is closed once its records have this many bytes.
 PACKAGE_BYTES = 8 << 20
