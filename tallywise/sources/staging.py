@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,4 +29,24 @@ def staged(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps.
+
+    It does so when the driver's garbage collector finds their plans unused; a long chain of steps would otherwise keep all
+    of them on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        collect_garbage(t.sparkSession)
