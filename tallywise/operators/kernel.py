@@ -87,7 +87,7 @@ def bandwidth(points: DataFrame, stat: str | float = "median", by: str | None =
     pairs = points.select(*keys, "item_id", "x").join(b, keys) if by else points.select("item_id", "x").crossJoin(b)
     d = pairs.filter("item_id < other_id").select(*keys, F.sqrt(distance2(F.col("x"), F.col("x2"))).alias("d"))
     s = {"median": F.percentile("d", F.lit(0.5)), "mean": F.avg("d"), "minimum": F.min("d")}[stat]
-    out = d.groupBy(*keys).agg(F.coalesce(F.pow(F.greatest(s, F.lit(BANDWIDTH_FLOOR)), F.lit(-2.0)), F.lit(lone)).alias("gamma"))
+    out = d.groupBy(*keys).agg(F.when(s.isNull(), lone).otherwise(F.pow(F.greatest(s, F.lit(BANDWIDTH_FLOOR)), F.lit(-2.0))).alias("gamma"))
     return points.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("gamma", F.lit(lone)).alias("gamma")) if by else out
 
 

@@ -17,7 +17,7 @@ def annotator_report(annotations: DataFrame, items: DataFrame, annotators: DataF
     every = (annotators if annotators is not None else annotations).select("annotator_id").distinct()
     scored = annotations.join(items.select("item_id", "y"), "item_id").groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("y")).cast("double")).alias("acc"))
     out = every.join(scored, "annotator_id", "left").crossJoin(F.broadcast(n_items))
-    return out.select("annotator_id", F.coalesce("n", F.lit(0)).alias("n_labels"), F.coalesce("acc", F.lit(0.0)).alias("accuracy"), (F.coalesce("n", F.lit(0)) / F.col("n_items")).alias("coverage"))
+    return out.select("annotator_id", F.coalesce("n", F.lit(0)).alias("n_labels"), F.coalesce("acc", F.lit(0.0)).alias("accuracy"), F.coalesce(F.coalesce("n", F.lit(0)) / F.nullif(F.col("n_items"), F.lit(0)), F.lit(0.0)).alias("coverage"))
 
 
 def pool_report(report: DataFrame, annotations: DataFrame, items: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def pool_report(report: DataFrame, annotations: DataFrame, items: DataFrame) ->
     joined = annotations.join(items.select("item_id", "y"), "item_id").agg(F.count(F.lit(1)).alias("n_labels"), F.avg((F.col("label") == F.col("y")).cast("double")).alias("accuracy"))
     each = report.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.count(F.lit(1)).alias("n_annotators"))
     n = items.agg(F.count(F.lit(1)).alias("n_items"))
-    return joined.crossJoin(each).crossJoin(n).select("n_labels", "accuracy", (F.col("n_labels") / (F.col("n_items") * F.col("n_annotators"))).alias("coverage"), "mean_accuracy", "std_accuracy")
+    return joined.crossJoin(each).crossJoin(n).select("n_labels", "accuracy", F.coalesce(F.col("n_labels") / F.nullif(F.col("n_items") * F.col("n_annotators"), F.lit(0)), F.lit(0.0)).alias("coverage"), "mean_accuracy", "std_accuracy")
 
 
 def coverage_metrics(annotations: DataFrame, items: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def coverage_metrics(annotations: DataFrame, items: DataFrame) -> DataFrame:
         zero(F.avg((F.col("c") >= 2).cast("double"))).alias("label_frac_covered_ge2"),
         zero(F.avg((F.col("c") >= 3).cast("double"))).alias("label_frac_covered_ge3"),
     )
-    return one.crossJoin(F.broadcast(n)).withColumn("label_frac_covered", zero(F.col("label_unique_samples") / F.col("n"))).drop("n")
+    return one.crossJoin(F.broadcast(n)).withColumn("label_frac_covered", zero(F.col("label_unique_samples") / F.nullif(F.col("n"), F.lit(0)))).drop("n")
 
 
 def pair_accuracy(annotations: DataFrame, items: DataFrame) -> DataFrame:
@@ -76,12 +76,12 @@ def allocation_metrics(annotations: DataFrame, annotators: DataFrame) -> DataFra
     every = annotators.select("annotator_id").distinct().join(used, "annotator_id", "left").select("annotator_id", F.coalesce("c", F.lit(0)).alias("c"))
     all_, rising = Window.partitionBy(), Window.orderBy("c", "annotator_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = every.withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("t", F.sum("c").over(all_)).withColumn("cum", F.sum("c").over(rising))
-    p = F.col("c") / F.col("t")
+    p = F.col("c") / F.nullif(F.col("t"), F.lit(0))
     one = rows.agg(
         F.sum(F.when(F.col("c") > 0, -p * F.ln(p)).otherwise(0.0)).alias("h"),
         F.max("n").alias("n"),
         F.max("t").alias("t"),
-        F.sum(F.col("cum") / F.col("t")).alias("s"),
+        F.sum(F.col("cum") / F.nullif(F.col("t"), F.lit(0))).alias("s"),
     )
     some = F.coalesce(F.col("t") > 0, F.lit(False))
     return one.select(

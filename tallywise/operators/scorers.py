@@ -170,7 +170,7 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
     long = posteriors.select("item_id", F.posexplode("p").alias("class", "p"))
     evidence = kernel.model_correctness(acquired, long)
     if accuracy_mean == "observed":
-        prior = evidence.agg(F.least(F.greatest(F.avg("score"), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("acc")).filter("acc IS NOT NULL")
+        prior = evidence.agg(F.avg("score").alias("acc")).filter("acc IS NOT NULL").select(F.least(F.greatest("acc", F.lit(1e-6)), F.lit(1 - 1e-6)).alias("acc"))
     else:
         prior = evidence.select(F.lit(float(accuracy_mean)).alias("acc")).limit(1)
     rows = candidates.select(*_PAIR).crossJoin(F.broadcast(prior)).join(posteriors, "item_id")
