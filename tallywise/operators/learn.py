@@ -87,29 +87,29 @@ def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, reg
     rows = staged(annotations.join(F.broadcast(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
     rng = np.random.default_rng(seed)
     theta = np.concatenate([rng.normal(0, 0.01, (d + 1) * k), np.tile(np.eye(k) * 3, (a, 1, 1)).ravel()])
-    cut = (d + 1) * k
+    cut, size = (d + 1) * k, len(theta)
 
     def grad(part: pd.DataFrame, t: np.ndarray) -> np.ndarray:
-        w, c = t[:cut].reshape(d + 1, k), _softmax(t[cut:].reshape(a, k, k))
+        w, c = t[:cut].reshape(d + 1, k), _softmax(t[cut:size].reshape(a, k, k))
         x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
         ai, y = part["a"].to_numpy(), part["label"].to_numpy()
         f = _softmax(x @ w)
         picked = c[ai, :, y]
         p = np.maximum((f * picked).sum(1), 1e-12)
         r = f * picked / p[:, None]  # P(class | label)
-        gw = x.T @ (f - r)
+        toward = f @ t[size:].reshape(k, k)  # of the regulariser by f
+        gw = x.T @ (f - r + f * (toward - (toward * f).sum(1, keepdims=True)))
         gc = np.zeros((a, k, k))
         np.add.at(gc, ai, r[:, :, None] * c[ai])
         np.add.at(gc, (ai, slice(None), y), -r)
         return np.concatenate([gw.ravel(), gc.ravel(), (f.T @ f).ravel(), [-np.log(p).sum(), len(part)]])
 
-    losses = []
+    losses, none = [], np.zeros(k * k)
     for _ in range(steps):
-        g = _summed(rows, grad, theta)
+        g = _summed(rows, grad, np.concatenate([theta, none]))
         if not len(g):
             break
         n = g[-1]
-        step = g[: len(theta)] / n
         c = _softmax(theta[cut:].reshape(a, k, k))
         reg, rg = 0.0, np.zeros_like(c)
         if regularization == "trace-reg":
@@ -120,11 +120,18 @@ def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, reg
             reg = -np.linalg.slogdet(gram)[1]
             rg = (-2 * np.linalg.pinv(gram) @ flat).reshape(k, a, k).transpose(1, 0, 2)
         else:
-            reg = -np.linalg.slogdet(g[len(theta) : len(theta) + k * k].reshape(k, k) / n + 1e-9 * np.eye(k))[1]
-        if np.isfinite(reg) and abs(reg) <= 100 and regularization != "geo-reg-f":
+            gram = g[size : size + k * k].reshape(k, k) / n + 1e-9 * np.eye(k)
+            reg = -np.linalg.slogdet(gram)[1]
+        usable = np.isfinite(reg) and abs(reg) <= 100
+        loss = g[-2] / n + (lmbda * reg if usable else 0.0)
+        if regularization == "geo-reg-f" and usable:
+            # a second pass, with the direction that the first one's sums give; a ridge keeps it bounded while all items look alike
+            g = _summed(rows, grad, np.concatenate([theta, (-2 * lmbda * np.linalg.inv(gram + 0.01 * np.eye(k))).ravel()]))
+        step = g[:size] / n
+        if usable and regularization != "geo-reg-f":
             step[cut:] += lmbda * (c * (rg - (rg * c).sum(2, keepdims=True))).ravel()
-        losses.append(g[-2] / n + (lmbda * reg if np.isfinite(reg) and abs(reg) <= 100 else 0.0))
-        theta = theta - rate * step * np.concatenate([np.ones(cut), np.full(len(theta) - cut, a)])
+        losses.append(loss)
+        theta = theta - rate * step * np.concatenate([np.ones(cut), np.full(size - cut, a)])
     return {"weights": theta[:cut].reshape(d + 1, k), "confusions": _softmax(theta[cut:].reshape(a, k, k)), "annotators": names, "loss": losses}
 
 
