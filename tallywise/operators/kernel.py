@@ -6,6 +6,10 @@ labels go by observed item before they go by label.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +22,34 @@ def unit_vectors(features: DataFrame) -> DataFrame:
     return features.select("item_id", l2_normalised(F.col("x")).alias("x"))
 
 
+#: Points in a block of the distance join; a task holds one block of either side and their differences.
+BLOCK = 128
+
+
+def _blocks(points: DataFrame, id_name: str, x_name: str) -> DataFrame:
+    """The points in hash blocks of about BLOCK rows: arrays of ids and of vectors."""
+    n = max(1, -(-points.count() // BLOCK))
+    rows = points.select(F.col("item_id"), F.col("x").cast("array<double>").alias("x"), F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("block"))
+    packed = rows.groupBy("block").agg(F.collect_list(F.struct("item_id", "x")).alias("rows"))
+    return packed.select(F.col("rows.item_id").alias(id_name), F.col("rows.x").alias(x_name))
+
+
 def distances2(points: DataFrame, others: DataFrame) -> DataFrame:
-    """(item_id, other_id, d2) of all combinations."""
-    b = others.select(F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
-    return points.select("item_id", "x").crossJoin(b).select("item_id", "other_id", distance2(F.col("x"), F.col("x2")).alias("d2"))
+    """(item_id, other_id, d2) of all combinations, block by block."""
+    id_type = points.schema["item_id"].dataType.simpleString()
+    other_type = others.schema["item_id"].dataType.simpleString()
+    pairs = _blocks(points, "ia", "xa").crossJoin(_blocks(others, "ib", "xb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ia, ib = (batch.column(c)[i].values for c in ("ia", "ib"))
+                a, b = (np.asarray(batch.column(c)[i].values.flatten()).reshape(len(ids), -1) for c, ids in (("xa", ia), ("xb", ib)))
+                d2 = np.square(a[:, None, :] - b[None, :, :]).sum(2)
+                at, to = np.divmod(np.arange(d2.size), len(ib))
+                yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(to)), pa.array(d2.ravel())], ["item_id", "other_id", "d2"])
+
+    return pairs.mapInArrow(run, f"item_id {id_type}, other_id {other_type}, d2 double")
 
 
 def nearest(features: DataFrame, k: int) -> DataFrame:
@@ -83,9 +111,12 @@ def bandwidth(points: DataFrame, stat: str | float = "median", by: str | None =
     keys = [by] if by else []
     if not isinstance(stat, str):
         return points.select(*keys).distinct().withColumn("gamma", F.lit(float(stat))) if by else points.sparkSession.range(1).select(F.lit(float(stat)).alias("gamma"))
-    b = points.select(*keys, F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
-    pairs = points.select(*keys, "item_id", "x").join(b, keys) if by else points.select("item_id", "x").crossJoin(b)
-    d = pairs.filter("item_id < other_id").select(*keys, F.sqrt(distance2(F.col("x"), F.col("x2"))).alias("d"))
+    if by:
+        b = points.select(by, F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
+        pairs = points.select(by, "item_id", "x").join(b, by).filter("item_id < other_id").withColumn("d2", distance2(F.col("x"), F.col("x2")))
+    else:
+        pairs = distances2(points, points).filter("item_id < other_id")
+    d = pairs.select(*keys, F.sqrt("d2").alias("d"))
     s = {"median": F.percentile("d", F.lit(0.5)), "mean": F.avg("d"), "minimum": F.min("d")}[stat]
     out = d.groupBy(*keys).agg(F.when(s.isNull(), lone).otherwise(F.pow(F.greatest(s, F.lit(BANDWIDTH_FLOOR)), F.lit(-2.0))).alias("gamma"))
     return points.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("gamma", F.lit(lone)).alias("gamma")) if by else out
