@@ -30,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywise.llm.common import lower_ascii, mix, slices, span_hashes, utf8, words
 from tallywise.llm.components import components
-from tallywise.sources.staging import staged
+from tallywise.sources.staging import collect_garbage, release, staged
 
 #: Prefix lists longer than this are costly; raised where more than COSTLY_MOST could be.
 COSTLY = 50
@@ -45,6 +45,8 @@ COSTLY_MOST = 1 << 20
 WARM, DEAR = 17, 200
 #: Candidate ids are broadcast up to this number (8 bytes each); beyond it they are joined.
 IDS_MOST = 2_000_000
+#: Parts in which pairs are tested, to bound the shuffled sets that are on disk at once.
+SLICES = 3
 
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -81,8 +83,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _summaries(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """doc_id, n, two digests of the set, histogram, prefix."""
+def _summaries(docs: DataFrame, ngram: int) -> DataFrame:
+    """doc_id, n, two digests of the set, histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,15 +95,30 @@ def _summaries(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
                 d2 = np.array([mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 hist = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(hist, pa.binary()), _lists([s[: prefix_length(len(s), percent)] for s in sets])],
-                    ["doc_id", "n", "d1", "d2", "hist", "prefix"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(hist, pa.binary())],
+                    ["doc_id", "n", "d1", "d2", "hist"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hist binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hist binary")
+
+
+def _prefixes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(token): the plain prefixes of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                heads = [s[: prefix_length(len(s), percent)] for s in shingle_sets(part.column("text"), ngram)]
+                tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
+
+    return docs.mapInArrow(run, "token long")
 
 
 def _costs(table: tuple[np.ndarray, np.ndarray], part: np.ndarray) -> np.ndarray:
     keys, cost = table
+    if not len(keys):
+        return np.zeros(len(part), np.int64)
     at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
     return np.where(keys[at] == part, cost[at], 0)
 
@@ -116,26 +133,24 @@ def _sorted_table(*parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _costly_sets(docs: DataFrame, ngram: int, percent: int, table: tuple[np.ndarray, np.ndarray], costly: int) -> DataFrame:
-    """(id, tokens): whole sets of the documents of whose prefix a fifth or more is costly."""
+    """(token): whole sets of the documents of whose prefix a fifth or more is costly."""
     known = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, kept = [], []
-                for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), ngram), strict=True):
+                kept = [np.zeros(0, np.uint64)]
+                for s in shingle_sets(part.column("text"), ngram):
                     p = prefix_length(len(s), percent)
                     if p and 5 * (_costs(known.value, s[:p]) > costly).sum() >= p:
-                        ids.append(doc_id)
                         kept.append(s)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(kept)], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64))], ["token"])
 
-    return docs.mapInArrow(run, "id long, tokens array<long>")
+    return docs.mapInArrow(run, "token long")
 
 
 def _adapted(docs: DataFrame, ngram: int, percent: int, costs: tuple[np.ndarray, np.ndarray], costly: int) -> DataFrame:
-    """The lengthened prefixes, of documents whose prefix holds a shingle of the cost table.
+    """The prefixes, lengthened by the cost table: cheap and costly shingles, and the matches that are needed.
 
     ``h`` counts the costly shingles of those that have too few others.
     """
@@ -147,12 +162,12 @@ def _adapted(docs: DataFrame, ngram: int, percent: int, costs: tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, cheap, dear, need, h = [], [], [], [], []
+                ids, sizes, cheap, dear, need, h = [], [], [], [], [], []
                 for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), ngram), strict=True):
                     p = prefix_length(len(s), percent)
                     head = s[: 2 * p + 64]
                     cost = lookup(head)
-                    if not cost[:p].any():
+                    if not p:
                         continue
                     hot = cost > costly
                     if (~hot).sum() <= p and len(head) < len(s):
@@ -161,14 +176,15 @@ def _adapted(docs: DataFrame, ngram: int, percent: int, costs: tuple[np.ndarray,
                     light = head[~hot]
                     two = cost[~hot][:p].sum() > DEAR and len(light) > p
                     ids.append(doc_id)
+                    sizes.append(len(s))
                     cheap.append(light[: p + two])
                     dear.append(head[hot][: max(0, p - len(light))])
                     need.append(1 + two)
                     h.append(len(s) - len(light) if len(light) < p else 0)
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(cheap), _lists(dear), pa.array(np.array(need, np.int32)), pa.array(h, pa.int64())], ["id", "cheap", "dear", "need", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(cheap), _lists(dear), pa.array(np.array(need, np.int32)), pa.array(h, pa.int64())], ["id", "n", "cheap", "dear", "need", "h"])
 
-    return docs.mapInArrow(run, "id long, cheap array<long>, dear array<long>, need int, h long")
+    return docs.mapInArrow(run, "id long, n long, cheap array<long>, dear array<long>, need int, h long")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -187,6 +203,17 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash: among the shingles of one pair of documents these tell all apart as well."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     """(id, shingles) of the documents in ``ids``, as bytes."""
     few = ids.limit(IDS_MOST + 1).count() <= IDS_MOST
@@ -201,10 +228,10 @@ def _sets_of(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
             if wanted is not None:
                 batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(), wanted.value)))
             for part in slices(batch, "text"):
-                sets = [s.tobytes() for s in shingle_sets(part.column("text"), ngram)]
+                sets = [_packed(s) for s in shingle_sets(part.column("text"), ngram)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    return docs.mapInArrow(run, "id long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,12 +243,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    # a slice at a time, since each pair carries a set through the shuffle
+    pairs, out = staged(pairs), None
+    for i in range(SLICES):
+        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == i)
+        part = staged(some.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+        out = part if out is None else out.unionByName(part)
+        collect_garbage(pairs.sparkSession)
+    release(pairs)
+    return out
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -235,36 +270,33 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", costly: int = COSTLY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it reaches by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = staged(_summaries(docs, ngram, percent))
+    every = staged(_summaries(docs, ngram))
     classes = staged(every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")))
-    first = every.select("doc_id", "n", "d1", "d2", "hist", "prefix").join(classes.withColumnRenamed("id", "doc_id").hint("shuffle_merge"), ["doc_id", "n", "d1", "d2"], "left_semi")
-    sets = staged(first.select(F.col("doc_id").alias("id"), "n", "hist", "prefix").dropDuplicates(["id"]))
+    repeats = not every.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    once = (lambda rows: rows.dropDuplicates(["id"])) if repeats else (lambda rows: rows)
+    own = classes.select("id").distinct().hint("shuffle_merge")
 
-    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    # counted over all documents: copies only make their shingles costly, which is exact as well
+    total = every.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     costly = max(costly, total // COSTLY_MOST + 1)
-    lists = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= max(min(WARM, costly), total // COSTLY_MOST + 1))
-    table = lists.toArrow()
-    index = sets.select("id", "n", F.col("prefix").alias("cheap"), F.lit(None).cast("array<long>").alias("dear"), F.lit(1).alias("need"), F.lit(0).cast("long").alias("h"))
+    least = max(min(WARM, costly), total // COSTLY_MOST + 1)
+    table = _prefixes(docs, ngram, percent).groupBy("token").count().filter(F.col("count") >= least).toArrow()
+    costs = _sorted_table(table)
     if table.num_rows:
-        costs = _sorted_table(table)
-        own = sets.select("id").hint("merge")
-        whole = _costly_sets(docs, ngram, percent, costs, costly).join(own, "id", "left_semi").dropDuplicates(["id"])
-        often = staged(whole.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") > costly))
+        often = staged(_costly_sets(docs, ngram, percent, costs, costly).groupBy("token").count().filter(F.col("count") > costly))
         costly = max(costly, often.count() // COSTLY_MOST * costly)
         costs = _sorted_table(table, often.filter(F.col("count") > costly).toArrow())
-        longer = _adapted(docs, ngram, percent, costs, costly).join(own, "id", "left_semi").dropDuplicates(["id"])
-        longer = longer.select("id", F.col("cheap").alias("c2"), "dear", F.col("need").alias("n2"), "h")
-        index = sets.select("id", "n", "prefix").join(longer.hint("shuffle_merge"), "id", "left")
-        index = staged(index.select("id", "n", F.coalesce("c2", "prefix").alias("cheap"), "dear", F.coalesce("n2", F.lit(1)).alias("need"), F.coalesce("h", F.lit(0)).alias("h")))
-
+        release(often)
+    index = staged(once(_adapted(docs, ngram, percent, costs, costly).join(own, "id", "left_semi")))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     side = lambda rows, x: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"))
     cheap = index.select(F.explode("cheap").alias("token"), "id", "n", "need")
     met = side(cheap, "a").hint("shuffle_merge").join(side(cheap, "b").hint("shuffle_merge"), "token").filter("a < b").filter(near)
     met = met.groupBy("a", "b", "na", "nb", "need_a", "need_b").count().filter(F.col("count") >= F.least("need_a", "need_b"))
-    h = sets.select("id", "hist")
+    h = once(every.select(F.col("doc_id").alias("id"), "hist"))
     shaped = met.join(h.select(F.col("id").alias("a"), F.col("hist").alias("ha")).hint("shuffle_merge"), "a").join(h.select(F.col("id").alias("b"), F.col("hist").alias("hb")).hint("shuffle_merge"), "b")
     pairs = staged(_bounded(shaped.select("a", "b", "na", "nb", "ha", "hb"), percent))
+    del cheap, met, shaped, h
 
     dear = index.filter("size(dear) > 0").select(F.explode("dear").alias("token"), "id", "n", "h")
     # of a pair that shares no cheap shingle, the intersection has costly ones alone
@@ -276,17 +308,18 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: s
     if costly_lists:
         dear = staged(dear)
         ids = ids.union(dear.select("id"))
-    full = staged(_sets_of(docs, ids.distinct(), ngram))
+    release(index)
+    full = staged(once(_sets_of(docs, staged(ids.distinct()), ngram)))
     tries = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     if costly_lists:
         # the pivot of a list is the member with the fewest shingles of its own
         pivots = staged(member(dear.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("h"), "id", "n", "h")).alias("m")).select("token", "m.id", "m.n", "m.h"), "a"))
         stars = pivots.hint("shuffle_merge").join(member(dear, "b").hint("shuffle_merge"), "token").filter(fits)
         tries = tries.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    links = staged(_linked(tries, full, percent))
+    links = _linked(tries, full, percent)
     found = components(links)
     left = _apart(pairs, found).join(tries.hint("merge"), ["a", "b"], "left_anti")
-    links = links.union(staged(_linked(left, full, percent)))
+    links = links.union(_linked(left, full, percent))
     found = components(links)
     if costly_lists:
         place = found.select(F.col("node").alias("id"), "component").hint("shuffle_merge")
@@ -295,8 +328,9 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: s
         astray = placed.join(centre.hint("shuffle_merge"), "token").filter("component <> centre").drop("centre")
         again = member(astray, "a", F.col("component").alias("ca")).hint("shuffle_merge").join(member(placed, "b", F.col("component").alias("cb")).hint("shuffle_merge"), "token")
         again = staged(again.filter(fits & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = links.union(staged(_linked(again, full, percent)))
+        links = links.union(_linked(again, full, percent))
         found = components(links)
+    release(full)
 
     label = classes.join(found.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
     rows = every.select("doc_id", "n", "d1", "d2").join(label.hint("shuffle_merge"), ["n", "d1", "d2"], "left")
@@ -305,8 +339,10 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: s
 
 def drop_near_copies(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id (all rows of that id)."""
-    keep = staged(jaccard_groups(docs, ngram, percent, id_col, text_col).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(keep["__id"]), "left_semi")
+    groups = jaccard_groups(docs, ngram, percent, id_col, text_col)
+    gone = staged(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= IDS_MOST else gone.hint("shuffle_hash")
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
 
 
 ORACLE = r"""
