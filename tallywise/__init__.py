@@ -1,0 +1 @@
+"""Crowd-label analytics on Spark."""

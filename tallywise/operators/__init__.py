@@ -1,0 +1 @@
+"""Operators on annotation tables."""

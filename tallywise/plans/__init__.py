@@ -1,0 +1 @@
+"""Studies and labelling rounds."""

@@ -268,7 +268,7 @@ def s7_g12_kernel_evidence_gain(spark, sf_dir):
     return _r(out, "u")
 
 
-_KS = f"""SELECT a.item_id, a.annotator_id, x6.class AS k, j, x6.p, CASE WHEN x6.class = j THEN th ELSE (1 - th) * g / (SELECT 1) / (tot - own) END AS c FROM (
+_KS = f"""SELECT a.item_id, a.annotator_id, x6.class AS k, j, x6.p, CASE WHEN x6.class = j THEN th ELSE (1 - th) * g / (tot - own) END AS c FROM (
  SELECT a.item_id, a.annotator_id, k0, j, coalesce(l.c, 0) + 0.25 AS g, sum(coalesce(l.c, 0) + 0.25) OVER (PARTITION BY a.item_id, a.annotator_id, k0) AS tot, sum(CASE WHEN j = k0 THEN coalesce(l.c, 0) + 0.25 END) OVER (PARTITION BY a.item_id, a.annotator_id, k0) AS own,
   (10 * ac + coalesce(b.s, 0)) / (10 + coalesce(b.m, 0)) AS th
  FROM ({_CAND}) a CROSS JOIN (SELECT avg(score) AS ac FROM ev) CROSS JOIN range({K}) r(k0) CROSS JOIN range({K}) q(j)

@@ -1,0 +1 @@
+"""Datasets, run stores and staged tables."""

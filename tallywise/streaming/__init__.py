@@ -1,0 +1 @@
+"""Empty: nothing in the inventory streams."""
