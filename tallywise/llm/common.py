@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in slices of about so many bytes, so that memory follows the slice, not the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def spare_name(df: DataFrame, name: str) -> str:

@@ -60,6 +60,27 @@ class Vocabulary:
         self.sizes = np.array([len(t) for t in self.text])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(self.text), np.uint8)
+        chars = [t for t in self.by_text if len(t.decode()) == 1]
+        self.ascii = np.zeros(256, bool)
+        self.ascii[[t[0] for t in chars if len(t) == 1]] = True
+        self.wide = np.sort(np.array([int.from_bytes(t, "little") for t in chars if len(t) > 1], np.int64))
+
+    def known(self, data: np.ndarray) -> np.ndarray:
+        """Of each byte, whether its character is in the vocabulary."""
+        out = self.ascii[data]
+        head = np.flatnonzero(data >= 0xC0)
+        lead = data[head]
+        size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+        code = lead.astype(np.int64)
+        for k in (1, 2, 3):
+            some = size > k
+            code[some] |= data[head[some] + k].astype(np.int64) << (8 * k)
+        at = np.minimum(np.searchsorted(self.wide, code), len(self.wide) - 1)
+        fine = self.wide[at] == code
+        for k in (0, 1, 2, 3):
+            some = fine & (size > k)
+            out[head[some] + k] = True
+        return out
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 for none."""
@@ -191,7 +212,7 @@ def viterbi(v: Vocabulary, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes slices of texts, with the ids of the chunks met so far."""
 
-    def __init__(self, v: Vocabulary, most: int = 800_000) -> None:
+    def __init__(self, v: Vocabulary, most: int = 400_000) -> None:
         self.v, self.most = v, most
         self._forget()
 
@@ -247,14 +268,12 @@ class Encoder:
         bounds = bounds + np.concatenate([[0], np.cumsum(np.diff(bounds) > 0)])
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
-        head = np.flatnonzero((data & 0xC0) != 0x80)
-        tail = np.append(head[1:], len(data))
-        fine = self.v.find(span_hashes(data, head, tail)) >= 0
-        known = np.repeat(fine, tail - head)
-        space = data[head] == 32
-        opens = ~fine | (space & ~np.append(False, space[:-1])) | np.append(False, ~fine[:-1])
-        opens[np.searchsorted(head, bounds[:-1][bounds[:-1] < len(data)])] = True
-        starts = head[opens]
+        known = self.v.known(data)
+        space = data == 32
+        opens = ~known
+        opens[1:] |= ~known[:-1] | (space[1:] & ~space[:-1])
+        opens[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(opens & ((data & 0xC0) != 0x80))
         ends = np.append(starts[1:], len(data))
         distinct, first, index = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         where = np.searchsorted(self.keys, distinct)
@@ -293,7 +312,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
         for batch in batches:
-            for part in slices(batch, "text", 3 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 ids, bounds = encoder.encode(part.column("text"))
                 columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(bounds)), "tokens": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))}
                 if check:
