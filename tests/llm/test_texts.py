@@ -69,6 +69,26 @@ def test_repeats_go_where_markup_is_silent(spark):
     assert {r["text"] for r in html_extract.extract(page_rows(spark, declared)).collect()} == {top}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_repeats_count_over_the_whole_host(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "HOSTS_MOST", most)
+    monkeypatch.setattr(html_extract, "RUNS_MOST", most)
+    few, half = "A notice that stands on only twenty pages of this host", "Another menu that is found on twelve of a hundred pages"
+    rare = "Six pages of the host tell this in just these words"
+    rows = []
+    for i in range(1000):
+        # declared pages count too
+        notes = [few] * (i % 50 == 0) + [half] * (i % 25 in (1, 2, 3)) + [rare] * (i % 160 == 5 and i < 960)
+        body = f"<div>{i} people know story {i * 7}</div>"
+        rows.append((i, f"http://h.example/{i}", "".join(f"<div>{n}</div>" for n in notes) + (f"<article>{body}</article>" if i % 100 == 0 else body)))
+    rows += [(2000 + i, f"http://g.example/{i}", f"<div>{few}</div>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(page_rows(spark, rows).repartition(7)).collect()}
+    assert sum(rare in t for t in got.values()) == 6
+    for i in range(1000):
+        assert few not in got[i] and half not in got[i] and f"{i} people know story {i * 7}" in got[i]
+    assert got[2000] == got[2001] == few
+
+
 def test_covered_tokens_against_brute_force():
     import numpy as np
 
