@@ -69,6 +69,25 @@ def test_repeats_go_where_markup_is_silent(spark):
     assert {r["text"] for r in html_extract.extract(page_rows(spark, declared)).collect()} == {top}
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        *[(f"<body><nav>menu</nav><div {w}><article><p>the text</p></article></div></body>", "the text") for w in ("class='layout has-sidebar'", "class=no-sidebar", "class='post with-comments'", "id='page-widget'", "class='widget sidebar'", "id=content-menu")],
+        ("<div class='sidebar'><main><div class=widget><article>the text</article></div></main></div>", "the text"),
+        ("<article><h2 id='related-work'>Related work</h2><h3 class=share id=search>Search</h3><section id='search'><p>how to</p></section><div class='social-science'>x</div></article>", "Related work\nSearch\nhow to\nx"),
+        ("<article><p>so <math><mi>a</mi><mo>+</mo><mi>b</mi></math> <button>press</button> <object data=x>fall back</object></p></article>", "so a+b press fall back"),
+        ("<article><p>a</p><div class='ad'>Buy</div><section class='comments'><article>first!</article></section><div class=sidebar><article>teaser</article></div><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p></article><div class='related'><article>other</article></div><section id=comments><article>first!</article></section>", "a"),
+        ("<div>the story</div><div class=comments><article>first!</article></div><div class='site-footer'>us</div>", "the story"),
+        ("<div class=sidebar hidden><article>gone</article></div><p>here</p>", "here"),
+    ],
+)
+def test_names_are_whole_and_end_at_an_article(html, want):
+    blocks = html_extract.page_blocks(html)
+    kinds = {kind for kind, *_ in blocks}
+    assert "\n".join(t for kind, _, t in blocks if kind == (html_extract.MAIN if html_extract.MAIN in kinds else html_extract.OPEN)) == want
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_repeats_count_over_the_whole_host(spark, monkeypatch, most):
     monkeypatch.setattr(html_extract, "HOSTS_MOST", most)
