@@ -1,13 +1,21 @@
 """WARC records in ZIP packages: a writer, and a reader that fetches byte ranges.
 
-A package is a ZIP whose members are stored, not deflated: ``archive/data.warc.gz`` (each record
-a gzip member of its own) and ``indexes/index.cdxj`` (one JSON line per record: id, offset,
-length).  The reader is given only a function ``read(offset, length)`` and the size.  It finds the
-end-of-directory record, the ZIP64 one where there is one, the central directory, the members, and
-then fetches each record by its range; nothing is extracted.
-
-Packages travel as rows of a table in the shared folder (or through ``binaryFile``), so any store
-that Spark reads will do, and a lost task only repeats its own packages.
+The writer's packages are ZIPs with stored members: ``archive/data.warc.gz`` (each record a gzip
+member of its own) and ``indexes/index.cdxj`` (one JSON line per record: id, offset, length).  The
+reader is given only a function ``read(offset, length)`` and the size.  It finds the end-of-directory
+record, the ZIP64 one where there is one, the central directory and the members, and then fetches
+each record by its range; nothing is extracted.  It takes any number of ``archive/*.warc`` and
+``*.warc.gz`` members, which must be stored, and any ``indexes/*`` of CDXJ lines (key, timestamp and JSON, or
+JSON alone; also gzipped or deflated).  Of an archive member that no index names, all records are
+found by reading through it; other members are passed over.
+
+Packages travel as rows of a table in the shared folder, so any store that Spark reads will do, and
+a lost task only repeats its own packages.  Of package files, tasks get (path, offset, length) rows
+and read just these ranges, so files may be of any size; where Arrow cannot open the store, files
+come whole through ``binaryFile``, which takes up to 2 GiB each.
+
+Records of other writers have a null page_id; their payload is what follows the HTTP head (the whole
+block of records that are not HTTP), and their digest is taken as it is, or computed where absent.
 
 Payloads are the html in UTF-8; null is empty.  Of equal payloads of at least ``min_bytes`` bytes,
 that of the smallest page_id is the response (of all rows that repeat this page_id too), the others
@@ -27,14 +35,15 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywise.llm.common import slices
 from tallywise.sources.staging import staged
 
-#: A package is closed once its records have this many bytes.
-PACKAGE_BYTES = 8 << 20
+#: A package is closed once its records have this many bytes; members are read through, and ranges dealt to tasks, by so many.
+PACKAGE_BYTES, CHUNK, DEALT_BYTES = 8 << 20, 1 << 20, 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 # Fixed values of the ZIP format: signatures, and the layout of the records that follow them.
@@ -70,8 +79,8 @@ def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     return bytes(out)
 
 
-def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int]]:
-    """Where the bytes of each stored member are: name to (offset, length)."""
+def zip_directory(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int, int]]:
+    """The members: name to (compression method, offset of the local header, packed length)."""
     tail_at = max(0, size - 22 - FULL16)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(END)
@@ -92,7 +101,7 @@ def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple
         if f[0] != CENTRAL:
             raise ValueError("damaged central directory")
         method, packed, plain, n_name, n_extra, n_note, offset = f[4], f[8], f[9], f[10], f[11], f[12], f[16]
-        name = directory[at + 46 : at + 46 + n_name].decode()
+        name = directory[at + 46 : at + 46 + n_name].decode("utf-8" if f[3] & 0x800 else "cp437")
         extra = directory[at + 46 + n_name : at + 46 + n_name + n_extra]
         while len(extra) >= 4:
             kind, n = struct.unpack_from("<2H", extra)
@@ -102,14 +111,116 @@ def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple
                 packed = next(wide) if packed == FULL32 else packed
                 offset = next(wide) if offset == FULL32 else offset
             extra = extra[4 + n :]
-        if method:
-            raise ValueError(f"member {name} is not stored")
-        n_name_local, n_extra_local = struct.unpack("<2H", read(offset + 26, 4))
-        found[name] = (offset + 30 + n_name_local + n_extra_local, packed)
+        found[name] = (method, offset, packed)
         at += 46 + n_name + n_extra + n_note
     return found
 
 
+def member_bytes(read: Callable[[int, int], bytes], offset: int) -> int:
+    """Where the bytes of the member with this local header begin."""
+    n_name, n_extra = struct.unpack("<2H", read(offset + 26, 4))
+    return offset + 30 + n_name + n_extra
+
+
+def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int]]:
+    """Where the bytes of each stored member are: name to (offset, length)."""
+    return {name: (member_bytes(read, offset), packed) for name, (method, offset, packed) in zip_directory(read, size).items() if not method}
+
+
+def _chunks(read: Callable[[int, int], bytes], at: int, n: int) -> Iterator[bytes]:
+    for i in range(0, n, CHUNK):
+        yield read(at + i, min(CHUNK, n - i))
+
+
+def _unpacked(chunks: Iterator[bytes], form: int) -> Iterator[bytes]:
+    """What is in a deflated stream, or in gzip members one behind another (form as ``wbits`` of zlib)."""
+    z = zlib.decompressobj(form)
+    for data in chunks:
+        while data:
+            yield z.decompress(data)
+            data = z.unused_data
+            if z.eof:
+                if form < 0:
+                    return
+                z = zlib.decompressobj(form)
+
+
+def _lines(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    rest = b""
+    for data in chunks:
+        *whole, rest = (rest + data).split(b"\n")
+        yield from whole
+    yield rest
+
+
+def gzip_ranges(read: Callable[[int, int], bytes], at: int, n: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each gzip member of a range."""
+    z, start, done = zlib.decompressobj(31), at, at
+    for data in _chunks(read, at, n):
+        done += len(data)
+        while data:
+            z.decompress(data)
+            data = z.unused_data
+            if z.eof:
+                yield start, done - len(data) - start
+                z, start = zlib.decompressobj(31), done - len(data)
+    if start < at + n:
+        raise ValueError("a gzip member is cut off")
+
+
+def warc_ranges(read: Callable[[int, int], bytes], at: int, n: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each record of an uncompressed WARC member."""
+    end = at + n
+    while at < end:
+        head = b""
+        while (cut := head.find(b"\r\n\r\n")) < 0:
+            if at + len(head) >= end:
+                raise ValueError("a WARC record is cut off")
+            head += read(at + len(head), min(4096, end - at - len(head)))
+        length = cut + 4 + int(re.search(rb"\ncontent-length:\s*(\d+)", head[:cut], re.I)[1])
+        length = min(length + 4, end - at)
+        yield at, length
+        at += length
+
+
+def record_ranges(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length in the package of each record."""
+    found = zip_directory(read, size)
+    archives = {}
+    for name, (method, offset, n) in found.items():
+        if re.fullmatch(r"archive/.*\.warc(\.gz)?", name, re.I):
+            if method:
+                raise ValueError(f"member {name} is not stored")
+            archives[name] = (member_bytes(read, offset), n)
+    named = set()
+    for name, (method, offset, n) in found.items():
+        if not re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", name, re.I):
+            continue
+        if method not in (0, 8):
+            raise ValueError(f"member {name} is neither stored nor deflated")
+        chunks = _chunks(read, member_bytes(read, offset), n)
+        chunks = _unpacked(chunks, -15) if method else chunks
+        for line in _lines(_unpacked(chunks, 31) if name.lower().endswith(".gz") else chunks):
+            said = line.strip() if line[:1] == b"{" else line.strip().partition(b" ")[2].partition(b" ")[2]
+            if line[:1] in (b"!", b"@", b"#") or said[:1] != b"{":
+                continue
+            entry = json.loads(said)
+            file = entry.get("filename")
+            if file is None and len(archives) != 1:
+                raise ValueError(f"{name} does not say which of the archive members it means")
+            member = next(iter(archives)) if file is None else file if file in archives else f"archive/{file}"
+            if member not in archives:
+                raise ValueError(f"{name} names {file}, which is not in the package")
+            at, length = archives[member]
+            if int(entry["offset"]) + int(entry["length"]) > length:
+                raise ValueError(f"{name} goes beyond the end of {member}")
+            named.add(member)
+            yield at + int(entry["offset"]), int(entry["length"])
+    for member, (at, n) in archives.items():
+        if member not in named:
+            yield from (gzip_ranges if member.lower().endswith(".gz") else warc_ranges)(read, at, n)
+
+
 def _line(value: object) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
@@ -138,12 +249,13 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload (empty for a revisit)."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode(errors="replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    block = rest[: int(headers["Content-Length"])]
-    return headers, block.partition(b"\r\n\r\n")[2]
+    headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    plain = {k.lower(): v for k, v in headers.items()}
+    block = rest[: int(plain["content-length"])]
+    return headers, block.partition(b"\r\n\r\n")[2] if plain.get("content-type", "").lower().startswith("application/http") else block
 
 
 def package(records: list[tuple[int | None, bytes]]) -> bytes:
@@ -157,11 +269,12 @@ def package(records: list[tuple[int | None, bytes]]) -> bytes:
 
 def read_package(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and payload of each record of a package, fetched by range."""
-    members = zip_members(read, size)
-    at, _ = members[DATA]
-    for line in read(*members[INDEX]).splitlines():
-        entry = json.loads(line)
-        yield parse_record(gzip.decompress(read(at + entry["offset"], entry["length"])))
+    for at, n in record_ranges(read, size):
+        yield read_record(read(at, n))
+
+
+def read_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    return parse_record(gzip.decompress(record) if record[:2] == b"\x1f\x8b" else record)
 
 
 def write_packages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -192,38 +305,98 @@ def write_packages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return marked.select("page_id", "url", "html", "refers_to").mapInArrow(run, "package binary")
 
 
+_NAMES = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+_KINDS = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _row(headers: dict[str, str], payload: bytes) -> tuple:
+    """A record's row; records of our writer are checked."""
+    head = {k.lower(): v for k, v in headers.items()}
+    number = lambda name: int(head[name]) if head.get(name) else None
+    digest, n = head.get("warc-payload-digest"), number("x-payload-length")
+    whole = head["warc-type"] != "revisit"
+    digest = digest.removeprefix("sha1:") if digest is not None else payload_digest(payload) if whole else None
+    if n is not None and head["warc-type"] == "response" and (len(payload) != n or payload_digest(payload) != digest):
+        raise ValueError(f"the payload of page {head['x-page-id']} is damaged")
+    return number("x-page-id"), head.get("warc-target-uri"), payload, len(payload) if n is None and whole else n, digest, head["warc-type"], number("x-refers-to-page-id")
+
+
+def _batches(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+    rows, weight = [], 0
+    for head, payload in records:
+        rows.append(_row(head, payload))
+        weight += len(payload)
+        if weight >= PACKAGE_BYTES // 4:
+            yield made(rows)
+            rows, weight = [], 0
+    if rows:
+        yield made(rows)
+
+
 def read_packages(packages: DataFrame, column: str = "package") -> DataFrame:
     """One row per record: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    ``payload_bytes`` and ``payload_digest`` are of the full payload, and are checked where the record holds it.
+    ``payload_bytes`` and ``payload_digest`` are of the full payload, and are checked where the record holds it and is
+    of our writer.
     """
-    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    number = lambda text: int(text) if text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item in batch.column(column):
                 view = memoryview(item.as_buffer())
-                rows, weight = [], 0
-                for head, payload in read_package(lambda at, n, view=view: bytes(view[at : at + n]), len(view)):
-                    digest, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
-                    if head["WARC-Type"] == "response" and (len(payload) != n or payload_digest(payload) != digest):
-                        raise ValueError(f"the payload of page {head['X-Page-Id']} is damaged")
-                    rows.append((number(head["X-Page-Id"]), head["WARC-Target-URI"], payload, n, digest, head["WARC-Type"], number(head.get("X-Refers-To-Page-Id"))))
-                    weight += len(payload)
-                    if weight >= PACKAGE_BYTES // 4:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows, weight = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return packages.select(column).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                yield from _batches(read_package(lambda at, n, view=view: bytes(view[at : at + n]), len(view)))
+
+    return packages.select(column).mapInArrow(run, _SCHEMA)
+
+
+def open_ranges(path: str) -> Callable[[int, int], bytes]:
+    """``read(offset, length)`` of a file in a store that Arrow opens."""
+    local = re.fullmatch(r"(?:file:/*(?=/))?(/.*)", path)
+    system, inside = (pa.fs.LocalFileSystem(), local[1]) if local else pa.fs.FileSystem.from_uri(path)
+    file = system.open_input_file(inside)
+    return lambda at, n: file.read_at(n, at)
 
 
 def read_package_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of package files in any store that Spark reads."""
-    return read_packages(spark.read.format("binaryFile").load(path), "content")
+    """The records of package files, read by range, or whole where Arrow cannot open the store."""
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    try:
+        if first:
+            open_ranges(first["path"])
+    except (OSError, ValueError, NotImplementedError):
+        return read_packages(files, "content")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                held = []
+                for r in record_ranges(open_ranges(name), size):
+                    held.append((name, *r))
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["path", "offset", "length"])
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["path", "offset", "length"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, read = None, None
+        for batch in batches:
+
+            def records(batch: pa.RecordBatch = batch) -> Iterator[tuple[dict[str, str], bytes]]:
+                nonlocal last, read
+                for name, at, n in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
+                    if name != last:
+                        last, read = name, open_ranges(name)
+                    yield read_record(read(at, n))
+
+            yield from _batches(records())
+
+    ranges = staged(files.select("path", "length").mapInArrow(find, "path string, offset long, length long"))
+    parts = 1 + (ranges.agg(F.sum("length")).first()[0] or 0) // DEALT_BYTES
+    return ranges.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(fetch, _SCHEMA)
 
 
 def archived_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -1,5 +1,6 @@
 import io
 import random
+import struct
 import zipfile
 
 import pyarrow as pa
@@ -158,3 +159,64 @@ def test_archived_pages(spark, tmp_path):
     (tmp_path / "p.wacz").write_bytes(package)
     payloads = {r["payload"].decode() for r in warc.read_package_files(spark, str(tmp_path)).collect()}
     assert "<p>é</p>" in payloads or "alone" in payloads
+
+
+def foreign(url, body):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    return f"WARC/1.0\r\nwarc-type:response\r\nWARC-Target-URI: {url}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    import gzip
+    import json
+
+    bodies = {c: c.encode() * 5000 + b"\r\n\r\n" for c in "abcdefg"}
+    records = {c: foreign(f"http://h/{c}", b) for c, b in bodies.items()}
+    packed = {c: gzip.compress(r) for c, r in records.items()}
+    at = lambda parts: [sum(map(len, parts[:i])) for i in range(len(parts))]
+    one, two = [packed["a"], packed["b"]], [packed["c"], packed["d"]]
+    line = lambda c, o, n, f: f"h)/{c} 20200101000000 " + json.dumps({"url": f"http://h/{c}", "offset": str(o), "length": str(n), "filename": f, "note": "{"})
+    index = ["!meta 0 {\"format\": \"x\"}", *(line(c, o, len(packed[c]), "one.warc.gz") for c, o in zip("ab", at(one), strict=True)), ""]
+    other = [line(c, o, len(packed[c]), "archive/two.warc.gz") for c, o in zip("cd", at(two), strict=True)]
+    members = [("archive/one.warc.gz", b"".join(one), 0), ("archive/two.warc.gz", b"".join(two), 0), ("archive/three.warc", records["e"] + records["f"], 0), ("archive/four.warc.gz", packed["g"] * 2, 0)]
+    members += [("indexes/index.cdxj", "\n".join(index).encode(), zipfile.ZIP_DEFLATED), ("indexes/more.cdx.gz", gzip.compress("\n".join(other).encode()), 0), ("pages/pages.jsonl", b"{}" * 900, zipfile.ZIP_DEFLATED), ("datapackage.json", b"{}", zipfile.ZIP_DEFLATED)]
+    with zipfile.ZipFile(tmp_path / "a b.wacz", "w") as z:
+        for name, content, method in members:
+            z.writestr(name, content, method)
+    want = sorted([*bodies.values(), bodies["g"]])
+    got = warc.read_package_files(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r["payload"]) for r in got) == want
+    assert all(r["page_id"] is None and r["record_type"] == "response" and r["payload_digest"] == warc.payload_digest(bytes(r["payload"])) for r in got)
+    data = (tmp_path / "a b.wacz").read_bytes()
+    assert sorted(p for _, p in warc.read_package(lambda a, n: data[a : a + n], len(data))) == want
+    wide = warc.zip_stored([(n, c) for n, c, m in members if n.startswith("archive")], zip64=True)
+    assert sorted(p for _, p in warc.read_package(lambda a, n: wide[a : a + n], len(wide))) == want
+    with zipfile.ZipFile(tmp_path / "bad.wacz", "w") as z:
+        z.writestr("archive/x.warc.gz", b"".join(one), zipfile.ZIP_DEFLATED)
+    data = (tmp_path / "bad.wacz").read_bytes()
+    with pytest.raises(ValueError, match="x.warc.gz is not stored"):
+        list(warc.read_package(lambda a, n: data[a : a + n], len(data)))
+
+
+def test_package_files_beyond_2_gib(spark, tmp_path):
+    import gzip
+
+    record = gzip.compress(foreign("http://h/z", b"far away"))
+    gap = (4 << 30) + 5
+    whole = warc.zip_stored([("archive/data.warc.gz", record)], zip64=True)
+    # a sparse file: the member and the directory stand beyond 4 GiB, and all offsets move there
+    local = whole[: whole.index(warc.CENTRAL)]
+    with open(tmp_path / "large.wacz", "wb") as f:
+        f.seek(gap)
+        f.write(local)
+        name = b"archive/data.warc.gz"
+        extra = struct.pack("<2H3Q", 1, 24, len(record), len(record), gap)
+        directory = struct.pack(warc.CENTRAL_FORM, warc.CENTRAL, 45, 45, 0x800, 0, 0, 33, 0, warc.FULL32, warc.FULL32, len(name), len(extra), 0, 0, 0, 0, warc.FULL32) + name + extra
+        start = f.tell()
+        f.write(directory)
+        end64 = f.tell()
+        f.write(struct.pack(warc.END64_FORM, warc.END64, 44, 45, 45, 0, 0, 1, 1, len(directory), start))
+        f.write(struct.pack(warc.LOCATOR64_FORM, warc.LOCATOR64, 0, end64, 1))
+        f.write(struct.pack(warc.END_FORM, warc.END, 0, 0, warc.FULL16, warc.FULL16, warc.FULL32, warc.FULL32, 0))
+    got = warc.read_package_files(spark, str(tmp_path)).collect()
+    assert [bytes(r["payload"]) for r in got] == [b"far away"] and got[0]["url"] == "http://h/z"
