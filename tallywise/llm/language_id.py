@@ -3,8 +3,10 @@
 The network reads the bytes of each run of letters (ASCII letters lower-cased; long runs in windows
 of ``WINDOW`` bytes) in both directions and labels every position; the probabilities of a
 document's positions are pooled.  It is trained in numpy by backpropagation through time, on the
-driver, from a bounded sample of labelled documents: ``per_language`` documents of at most
-``longest`` characters for each of at most ``most_languages`` languages, in hash order.  State
+driver, from a bounded sample of labelled documents: ``per_language`` documents for each language, in
+hash order, of longer ones ``PIECES`` even pieces of ``longest`` characters together.  Beyond
+``most_languages`` languages each has fewer documents, so that all are learned from as many documents.
+At most ``most_windows`` windows are read, as evenly over the languages as these have them.  State
 starts anew at each run, so equal runs give equal labels: a task labels each distinct run once.
 
 A null text, or one without a letter, is ``und`` with score 0, as is everything if nothing could be
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from tallywise.llm.common import SpanCache, held_out, lower_ascii, per_text, runs, slices, span_hashes, utf8
 from tallywise.sources.staging import staged
 
-WINDOW, HIDDEN = 24, 16
+WINDOW, HIDDEN, PIECES = 24, 16, 8
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = _LETTER[128:] = True
 
@@ -124,16 +126,29 @@ def train(windows: list[np.ndarray], labels: np.ndarray, kinds: int, steps: int
     return net
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 150, longest: int = 20_000, most_languages: int = 256, **params) -> tuple[ByteGru | None, list[str]]:
+def evenly(labels: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
+    """Positions of at most ``most`` entries, drawn at random and as evenly over the labels as these have entries."""
+    drawn = np.random.default_rng(seed).permutation(len(labels))
+    by = np.argsort(labels[drawn], kind="stable")
+    sizes = np.bincount(labels)
+    turn = np.empty(len(labels), np.int64)
+    turn[by] = np.arange(len(labels)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.sort(drawn[np.argsort(turn, kind="stable")[:most]])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 150, longest: int = 20_000, most_languages: int = 256, most_windows: int = 200_000, **params) -> tuple[ByteGru | None, list[str]]:
     """The network and its languages, from the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, longest))
+    known = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") >= 1))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("language")), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    ids = ids.limit(per_language * most_languages).toArrow()
+    ids = ids.orderBy("r", "lang", "doc_id").limit(per_language * most_languages).toArrow()
     if not ids.num_rows:
         return None, []
     chosen = docs.sparkSession.createDataFrame(ids.select(["doc_id"])).distinct()
+    size, length = max(1, longest // PIECES), F.length("text")
+    pieces = [F.col("text").substr(F.floor((length - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
+    known = known.withColumn("text", F.when(length <= longest, F.col("text")).otherwise(F.concat_ws(" ", *pieces)))
     sample = known.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     langs = sorted(set(sample.column("lang").to_pylist()))
     where = {x: i for i, x in enumerate(langs)}
@@ -144,7 +159,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not len(a):
         return None, []
     owner = np.repeat(np.arange(len(y)), np.diff(first))
-    pick = np.sort(np.random.default_rng(7).permutation(len(a))[:200_000])
+    pick = evenly(y[owner], most_windows)
     windows = [data[a[i] : b[i]] for i in pick]
     return train(windows, y[owner[pick]], len(langs), **params), langs
 

@@ -48,6 +48,23 @@ def test_languages_of_odd_documents(odd_docs, docs):
     assert kept.columns == odd_docs.columns and not {3, 4, 5, 6, 8} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_no_language_is_left_out_of_the_sample(docs):
+    words = {"aa": "kato mika tako", "bb": "dwerg strupf klonz", "cc": "ñeó éüá öåß"}
+    rows = [(i, f"{words[x]} " * (2000 if x == "cc" else 20), x) for i in range(60) for x in [("aa", "bb", "cc")[i % 3]]]
+    net, langs = language_id.fit(docs(rows))
+    assert langs == ["aa", "bb", "cc"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs(rows), net, langs).collect()}
+    assert got == {i: x for i, _, x in rows}
+    assert language_id.fit(docs(rows), per_language=3, most_languages=1, steps=5)[1] == langs
+
+
+def test_windows_are_drawn_evenly():
+    labels = np.repeat([0, 1, 2], [1000, 10, 300])
+    pick = language_id.evenly(labels, 210)
+    assert len(set(pick)) == 210 and np.bincount(labels[pick]).tolist() == [100, 10, 100]
+    assert (language_id.evenly(labels, 5000) == np.arange(1310)).all()
+
+
 def best_segments(scores):
     """The best subsequence, then the same to its left and right."""
     if not len(scores):
