@@ -102,16 +102,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def prefix_sums(rows: np.ndarray) -> np.ndarray:
-    """Of each row of bytes, the polynomial sums up to each position."""
-    sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
-    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * _powers(rows.shape[1])[0][: rows.shape[1]], axis=1, out=sums[:, 1:])
-    return sums
-
-
-def hashes_between(low: np.ndarray, high: np.ndarray, start: int, length: int) -> np.ndarray:
-    """As ``span_hashes``, of spans with one start and length, from the prefix sums at their ends."""
-    return mix((high - low) * _powers(start)[1][start] + np.uint64(length))
+def prefix_hashes(data: np.ndarray):
+    """A function of (starts, length) that gives the hashes of ``span_hashes`` of spans of one length."""
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return lambda starts, length: mix((sums[starts + length] - sums[starts]) * down[starts] + np.uint64(length))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

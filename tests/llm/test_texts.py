@@ -29,6 +29,41 @@ def test_ids_are_those_of_the_library(spark, sf_dir, vocabulary):
     assert all(b == t for b, t in zip(back, texts, strict=True) if sentencepiece.MARK not in t)
 
 
+@pytest.mark.parametrize("unit", ["a", "é", "=", "ab", "hello", "漢", "字典", "\u0001x", "Zz9+", "the"])
+def test_unbroken_texts(vocabulary, monkeypatch, unit):
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    lib = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    monkeypatch.setattr(sentencepiece.Vocabulary, "merged", None)
+    text = "x" + unit * (100_000 // len(unit.encode()))
+    began = time.time()
+    ids, _ = sentencepiece.Encoder(vocabulary).encode(pa.array([text]))
+    assert time.time() - began < 5
+    assert ids.tolist() == lib.encode(text)
+
+
+def test_long_chunks_of_mixed_signs(vocabulary):
+    from sentencepiece import SentencePieceProcessor
+
+    lib, r = SentencePieceProcessor(model_file=sentencepiece.MODEL), random.Random(8)
+    texts = ["".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(20_000)), "".join(r.choice("的一是了我不人在他有這") for _ in range(7_000))]
+    texts += ["".join(r.choice(["a" * r.randint(1, 700), "-" * r.randint(1, 900), "tion", "é漢", "ing"]) for _ in range(60)) for _ in range(12)]
+    ids, bounds = sentencepiece.Encoder(vocabulary).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == lib.encode(texts)
+
+
+def test_what_does_not_decode_to_the_text_is_told(vocabulary):
+    import hashlib
+
+    texts = ["one ▁ two", "same", None, " lead", "▁"]
+    ids, bounds = sentencepiece.Encoder(vocabulary).encode(pa.array(texts, pa.string()))
+    digests, exact = sentencepiece.verified(vocabulary, ids, bounds, pa.array(texts, pa.string()))
+    assert exact.tolist() == [False, True, True, True, False]
+    assert digests == [hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest() for t in texts]
+
+
 def test_tokens_of_odd_documents(spark, odd_docs, docs):
     got = sentencepiece.encode(odd_docs, check=True).collect()
     assert len(got) == odd_docs.count() and all(r["exact"] for r in got)
