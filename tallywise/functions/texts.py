@@ -1,14 +1,51 @@
-"""Column functions on keys, numbers as text, and overrides ``lhs=rhs``."""
+"""Column functions on keys, numbers as text, and overrides ``lhs=rhs``.
+
+Decimals are rounded from the exact binary value, as C does.  Spark's ``format_string`` rounds the shortest decimal form
+instead, so these few go through Arrow batches.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def format_number(v: Column) -> Column:
-    """An integer if integral, else 3 significant digits, ``?`` if null."""
-    return F.when(v.isNull(), "?").when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.format_string("%.3g", v))
+def _shown(v: Column, show: Callable[[str | None], str]) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(show, na_action=None).astype(object)
+
+    return run(v.cast("string"))
+
+
+def format_number(v: Column, digits: int = 3) -> Column:
+    """An integer if integral, else so many significant digits; ``?`` for null and NaN, other text unchanged."""
+
+    def show(text: str | None) -> str:
+        try:
+            number = float("nan" if text is None else text)
+        except ValueError:
+            return text
+        return "?" if number != number else str(int(number)) if number.is_integer() else f"{number:.{digits}g}"
+
+    return _shown(v, show)
+
+
+def _fixed(v: Column, digits: int, factor: float, end: str) -> Column:
+    return _shown(v, lambda text: f"{factor * float('nan' if text is None else text):.{digits}f}{end}")
+
+
+def format_decimal(v: Column, digits: int = 3) -> Column:
+    """So many decimals; ``nan`` for null."""
+    return _fixed(v, digits, 1.0, "")
+
+
+def format_integer(v: Column) -> Column:
+    """Rounded, halves to even, with ``_`` between thousands: 150_000."""
+    return F.replace(F.format_number(F.rint(v), 0), F.lit(","), F.lit("_"))
 
 
 def significant(v: Column, digits: int = 3) -> Column:
@@ -64,11 +101,20 @@ def is_logged(lhs: Column, roots: list[str]) -> Column:
     return F.arrays_overlap(F.transform(F.split(lhs, "@"), root_of), F.array(*[F.lit(r) for r in roots]))
 
 
-def percent(v: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", v * 100)
+def percent(v: Column, digits: int = 2) -> Column:
+    """A share as ``12.34%``; ``nan%`` for null."""
+    return _fixed(v, digits, 100.0, "%")
+
+
+def bar(v: Column, width: int = 14) -> Column:
+    """A bar of full and light blocks for a share, clipped to 0 to 1; blanks if it isn't finite."""
+    n = F.rint(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * width).cast("int")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.when(finite, F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))).otherwise(" " * width)
 
 
-def bar(v: Column, width: int = 20) -> Column:
-    """A bar of ``#`` and ``.`` for a share between 0 and 1."""
-    n = F.round(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * width).cast("int")
-    return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("."), F.lit(width) - n))
+def listed(items: Column, most: int = 12) -> Column:
+    """The entries of an array in a row, those beyond ``most`` as a count."""
+    more = F.size(items) - most
+    head = F.array_join(F.slice(items.cast("array<string>"), 1, most), ", ")
+    return F.when(more > 0, F.concat(head, F.lit(", … (+"), more.cast("string"), F.lit(" more)"))).otherwise(head)

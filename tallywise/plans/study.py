@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.functions.texts import is_logged, normalised_number, override_parts, slug
+from tallywise.functions.texts import close, format_number, is_logged, normalised_number, override_parts, slug
 
 _STRINGS, _MAP, _WHEN = "array<string>", "map<string,string>", "map<string,array<string>>"
 
@@ -71,21 +71,25 @@ def matched_rows(expected: DataFrame, params: DataFrame, roots: list[str] | None
     """(row_id, run_id): runs that meet all predicates of an expected row (row_id, overrides).
 
     ``lhs=rhs`` asks for one of its keys with that value (as numbers where both are), ``~lhs`` for a run without any of its
-    keys.  A division: the predicates of a row that a run meets are counted, over equi joins.  Overrides whose root is
-    not in ``roots`` are no predicates.
+    keys.  A division: the predicates of a row that a run meets are counted, over equi joins, and runs that have a forbidden
+    key are taken off; only rows that ask for no value at all are paired with every run, which is their result.
+    Overrides whose root is not in ``roots`` are no predicates.
     """
     p = expected.select("row_id", F.posexplode("overrides").alias("i", "o")).select("row_id", "i", override_parts(F.col("o")).alias("p")).select("row_id", "i", "p.*")
     if roots is not None:
         p = p.filter(is_logged(F.col("lhs"), roots))
-    need = p.groupBy("row_id").agg(F.count(F.lit(1)).alias("need"))
+    need = p.groupBy("row_id").agg(F.count_if(~F.col("negated")).alias("need"))
     known = params.select("run_id", "key", normalised_number(F.col("value")).alias("value"))
-    keys = p.select("row_id", "i", "negated", normalised_number(F.col("rhs")).alias("rhs"), F.explode("keys").alias("key"))
+    keys = p.select("row_id", "i", "negated", normalised_number(F.col("rhs")).alias("rhs"), F.explode("keys").alias("key")).hint("merge")
     met = keys.filter("NOT negated").join(known, (keys["key"] == known["key"]) & (keys["rhs"] == known["value"])).select("row_id", "i", "run_id").distinct()
-    runs = params.select("run_id").distinct()
-    present = keys.filter("negated").join(known, "key").select("row_id", "i", "run_id").distinct()
-    absent = p.filter("negated").select("row_id", "i").crossJoin(runs).join(present, ["row_id", "i", "run_id"], "left_anti")
-    count = met.unionByName(absent).groupBy("row_id", "run_id").agg(F.count(F.lit(1)).alias("met"))
-    return count.join(need, "row_id").filter("met = need").select("row_id", "run_id")
+    broken = keys.filter("negated").join(known, "key").select("row_id", "run_id").distinct()
+    count = met.groupBy("row_id", "run_id").agg(F.count(F.lit(1)).alias("met"))
+    found = count.join(need.filter("need > 0").hint("merge"), "row_id").filter("met = need").select("row_id", "run_id")
+    # rows that only forbid keys are met by every run that has none of these
+    open_ = need.filter("need = 0").select("row_id")
+    if not open_.isEmpty():
+        found = found.unionByName(open_.crossJoin(params.select("run_id").distinct()))
+    return found.join(broken.hint("merge"), ["row_id", "run_id"], "left_anti")
 
 
 def missing_rows(expected: DataFrame, params: DataFrame, roots: list[str] | None = None) -> DataFrame:
@@ -200,9 +204,16 @@ def observed_against_expected(expected: DataFrame, observed: DataFrame, keys: li
     return e.join(o, keys, "full").select(*keys, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("observed", F.lit(0)).alias("observed"))
 
 
-def strategy_label(scorer: Column, assigner: Column, epsilon_max: Column, epsilon_min: Column) -> Column:
-    """``scorer + assigner``, with the epsilon schedule spelled out where the assigner explores."""
-    from tallywise.functions.texts import close, format_number
+def assigner_variant(assigner: Column, epsilon_max: Column, epsilon_min: Column, period: Column, schedule: Column) -> Column:
+    """The assigner; ``epsilon_greedy_sample`` with its schedule spelled out, so that settings stay apart."""
+    low, high = epsilon_min.try_cast("double"), epsilon_max.try_cast("double")
+    moving = F.concat(F.coalesce(schedule, F.lit("cosine")), F.lit(":"), format_number(epsilon_max), F.lit("->"), format_number(epsilon_min), F.lit(",T="), format_number(period))
+    inside = F.when(F.coalesce(close(high, low), F.lit(False)), F.concat(F.lit("eps="), format_number(low))).otherwise(moving)
+    spelled = F.concat(F.lit("epsilon_greedy_sample["), inside, F.lit("]"))
+    return F.when(assigner == "epsilon_greedy_sample", spelled).otherwise(F.coalesce(assigner, F.lit("unknown")))
 
-    schedule = F.when(close(epsilon_max, epsilon_min), F.concat(F.lit(" (eps="), format_number(epsilon_max), F.lit(")"))).otherwise(F.concat(F.lit(" (eps="), format_number(epsilon_max), F.lit("->"), format_number(epsilon_min), F.lit(")")))
-    return F.concat(F.concat_ws(" + ", scorer, assigner), F.when(assigner.startswith("epsilon"), F.coalesce(schedule, F.lit(""))).otherwise(""))
+
+def strategy_label(classifier: Column, scorer: Column, assigner: Column, epsilon_max: Column, epsilon_min: Column, period: Column, schedule: Column) -> Column:
+    """``classifier | scorer + assigner``; what a run didn't log is ``unknown``."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    return F.concat(known(classifier), F.lit(" | "), known(scorer), F.lit(" + "), assigner_variant(assigner, epsilon_max, epsilon_min, period, schedule))

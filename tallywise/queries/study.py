@@ -75,19 +75,28 @@ def b14_first_present(spark, sf_dir):
     return view(spark, sf_dir, "x5").select("run_id", F.coalesce("end_time", "start_time").alias("at"))
 
 
-@query(_STORE + ", v AS (SELECT run_id, step, CASE WHEN step = 512 THEN NULL WHEN step = 768 THEN CAST(step AS DOUBLE) ELSE value END AS v FROM x4) SELECT run_id, step, CASE WHEN v IS NULL THEN '?' WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE printf('%.3f', v) END AS text FROM v")
+#: null, NaN, an integer, a large integer, and the value itself, by step.
+_ODD = "CASE step WHEN 512 THEN NULL WHEN 768 THEN CAST(step AS DOUBLE) WHEN 1024 THEN CAST('NaN' AS DOUBLE) WHEN 1280 THEN CAST(1e20 AS DOUBLE) WHEN 1536 THEN CAST(0.25 AS DOUBLE) ELSE value END"
+
+
+@query(_STORE + f", v AS (SELECT run_id, step, {_ODD} AS v FROM x4) SELECT run_id, step, CASE WHEN v IS NULL OR isnan(v) THEN '?' WHEN v = floor(v) THEN CAST(CAST(v AS DECIMAL(38, 0)) AS VARCHAR) ELSE printf('%.3g', v) END AS text FROM v")
 def b15_format_number(spark, sf_dir):
-    v = F.when(F.col("step") == 512, None).when(F.col("step") == 768, F.col("step").cast("double")).otherwise(F.col("value"))
-    shown = texts.format_number(v)
-    # values below 1 have 3 decimals in both forms
-    return view(spark, sf_dir, "x4").select("run_id", "step", F.when(F.regexp_like(shown, F.lit(r"^[?\d]+$")), shown).otherwise(F.format_string("%.3f", v)).alias("text"))
+    return view(spark, sf_dir, "x4").select("run_id", "step", texts.format_number(F.expr(_ODD)).alias("text"))
 
 
-@query(_STORE + """, s AS (SELECT run_id, strategy AS scorer, CASE seed % 3 WHEN 0 THEN 'greedy' ELSE 'epsilon_greedy' END AS assigner, 0.25 AS hi, CASE WHEN seed % 2 = 0 THEN 0.25 ELSE 0.5 END AS lo FROM x5)
-SELECT run_id, scorer || ' + ' || assigner || CASE WHEN assigner = 'greedy' THEN '' WHEN hi = lo THEN ' (eps=0.250)' ELSE ' (eps=0.250->0.500)' END AS strategy FROM s""")
+@query(_STORE + """, s AS (SELECT run_id, CASE WHEN seed = 4 THEN NULL ELSE dataset END AS classifier, strategy AS scorer, CASE seed % 3 WHEN 0 THEN 'greedy_sample' ELSE 'epsilon_greedy_sample' END AS assigner, CASE WHEN seed % 2 = 0 THEN '0.250' ELSE '0.5' END AS lo, CASE strategy WHEN 's0' THEN NULL WHEN 's1' THEN 'step' ELSE 'linear' END AS schedule FROM x5)
+SELECT run_id, coalesce(classifier, 'unknown') || ' | ' || scorer || ' + ' || CASE WHEN assigner = 'greedy_sample' THEN assigner WHEN lo = '0.250' THEN 'epsilon_greedy_sample[eps=0.25]' ELSE 'epsilon_greedy_sample[' || coalesce(schedule, 'cosine') || ':0.25->0.5,T=10]' END AS strategy FROM s""")
 def b16_strategy_label(spark, sf_dir):
-    s = view(spark, sf_dir, "x5").select("run_id", F.col("strategy").alias("scorer"), F.when(F.col("seed") % 3 == 0, "greedy").otherwise("epsilon_greedy").alias("assigner"), F.lit(0.25).alias("hi"), F.when(F.col("seed") % 2 == 0, 0.25).otherwise(0.5).alias("lo"))
-    return s.select("run_id", study.strategy_label(F.col("scorer"), F.col("assigner"), F.col("hi"), F.col("lo")).alias("strategy"))
+    s = view(spark, sf_dir, "x5").select(
+        "run_id",
+        F.when(F.col("seed") != 4, F.col("dataset")).alias("classifier"),
+        F.col("strategy").alias("scorer"),
+        F.when(F.col("seed") % 3 == 0, "greedy_sample").otherwise("epsilon_greedy_sample").alias("assigner"),
+        F.when(F.col("seed") % 2 == 0, "0.250").otherwise("0.5").alias("lo"),
+        F.when(F.col("strategy") == "s1", "step").when(F.col("strategy") == "s2", "linear").alias("schedule"),
+    )
+    label = study.strategy_label(F.col("classifier"), F.col("scorer"), F.col("assigner"), F.lit("0.25"), F.col("lo"), F.lit("10"), F.col("schedule"))
+    return s.select("run_id", label.alias("strategy"))
 
 
 @query(_STORE + f", {_PARAMS} SELECT * FROM pm")
@@ -155,12 +164,16 @@ def c1_c2_expanded_grid(spark, sf_dir):
     return _grid(spark, sf_dir).select("run_id", F.array_join("overrides", "|").alias("overrides"), F.col("tags")["method"].alias("method"))
 
 
+#: Runs that failed without an end.
+_BROKEN_OFF = "status = 'FAILED' AND end_time IS NULL"
+
+
 def _late_params(spark, sf_dir):
-    runs = view(spark, sf_dir, "x5").filter("status = 'RUNNING' AND end_time IS NOT NULL AND start_time >= TIMESTAMP_NTZ '2001-07-20 00:00:00'")
+    runs = view(spark, sf_dir, "x5").filter(_BROKEN_OFF)
     return _params(spark, sf_dir).join(runs.select("run_id"), "run_id", "left_semi")
 
 
-_LATE = "late AS (SELECT * FROM x5 WHERE status = 'RUNNING' AND end_time IS NOT NULL AND start_time >= TIMESTAMP '2001-07-20')"
+_LATE = f"late AS (SELECT * FROM x5 WHERE {_BROKEN_OFF})"
 
 
 @query(_STORE + f", {_GRID}, {_LATE} SELECT DISTINCT g.run_id AS row_id, late.run_id FROM g JOIN late ON late.dataset = g.dataset AND late.strategy = g.strategy AND late.seed = g.seed")
@@ -260,6 +273,15 @@ def d33_observed_against_expected(spark, sf_dir):
     return study.observed_against_expected(planned, view(spark, sf_dir, "x5").filter("status = 'FINISHED'"), ["dataset"])
 
 
-@query(_STORE + " SELECT run_id, step, printf('%.1f%%', value * 100) AS pct, repeat('#', CAST(round(least(value, 1) * 20) AS INT)) || repeat('.', 20 - CAST(round(least(value, 1) * 20) AS INT)) AS bar FROM x4")
+@query(_STORE + """ SELECT run_id, step, printf('%.2f%%', 100.0 * value) AS pct, printf('%.3f', value) AS decimal, replace(format('{:,}', CAST(round_even(value * step * 1000, 0) AS BIGINT)), ',', '_') AS whole,
+ repeat('█', CAST(round_even(least(value, 1) * 14, 0) AS INT)) || repeat('░', 14 - CAST(round_even(least(value, 1) * 14, 0) AS INT)) AS bar FROM x4""")
 def g20_percent_and_bar(spark, sf_dir):
-    return view(spark, sf_dir, "x4").select("run_id", "step", texts.percent(F.col("value")).alias("pct"), texts.bar(F.col("value")).alias("bar"))
+    v = F.col("value")
+    return view(spark, sf_dir, "x4").select("run_id", "step", texts.percent(v).alias("pct"), texts.format_decimal(v).alias("decimal"), texts.format_integer(v * F.col("step") * 1000).alias("whole"), texts.bar(v).alias("bar"))
+
+
+@query(_STORE + """, s AS (SELECT dataset, seed, list(run_id ORDER BY run_id) AS ids FROM x5 GROUP BY 1, 2)
+SELECT dataset, seed, array_to_string(ids[1:12], ', ') || CASE WHEN len(ids) > 12 THEN ', … (+' || (len(ids) - 12) || ' more)' ELSE '' END AS runs FROM s""")
+def g20_abbreviated_lists(spark, sf_dir):
+    ids = view(spark, sf_dir, "x5").groupBy("dataset", "seed").agg(F.sort_array(F.collect_list("run_id")).alias("ids"))
+    return ids.select("dataset", "seed", texts.listed(F.col("ids")).alias("runs"))

@@ -157,3 +157,28 @@ def test_image_source(spark, tmp_path):
     png(tmp_path / "c.png", 4, 2, False)
     with pytest.raises(ValueError, match="shapes"):
         store.images(spark, str(tmp_path))
+
+
+def test_numbers_as_the_reference_prints_them(spark):
+    rows = [(0.25, "0.25"), (float("nan"), "?"), (None, "?"), (1e20, "100000000000000000000"), (0.5125, f"{0.5125:.3g}"), (2.5, "2.5"), (1234567.5, "1.23e+06"), (-3.0, "-3"), (float("inf"), "inf")]
+    df = spark.createDataFrame(rows, "v double, want string").select("want", texts.format_number(F.col("v")).alias("got"))
+    assert all(r["got"] == r["want"] for r in df.collect())
+    assert one(spark, texts.format_number(F.lit("x"))) == "x" and one(spark, texts.format_number(F.lit("0.250"))) == "0.25"
+    # halves that the binary value decides, not the shortest decimal
+    halves = [i / 16 + 0.5 / 1000 for i in range(16)] + [0.5175, 0.54245]
+    df = spark.createDataFrame([(v,) for v in halves], "v double").select("v", texts.percent(F.col("v"), 1).alias("p"), texts.format_decimal(F.col("v")).alias("d"))
+    assert all(r["p"] == f"{100.0 * r['v']:.1f}%" and r["d"] == f"{r['v']:.3f}" for r in df.collect())
+    assert [one(spark, texts.format_integer(F.lit(v))) for v in (150000.0, 2.5, 3.5, -1234.0)] == ["150_000", "2", "4", "-1_234"]
+    assert one(spark, texts.percent(F.lit(None).cast("double"))) == "nan%"
+    assert one(spark, texts.bar(F.lit(0.5))) == "█" * 7 + "░" * 7 and one(spark, texts.bar(F.lit(2.0))) == "█" * 14
+    assert one(spark, texts.bar(F.lit(float("nan")))) == one(spark, texts.bar(F.lit(None).cast("double"))) == " " * 14
+    assert one(spark, texts.listed(F.array(*[F.lit(i) for i in range(14)]))) == ", ".join(map(str, range(12))) + ", … (+2 more)"
+
+
+def test_strategy_labels_keep_settings_apart(spark):
+    label = lambda *a: one(spark, study.strategy_label(*[F.lit(x).cast("string") for x in a]))
+    assert label("em", "kg", "greedy_sample", None, None, None, None) == "em | kg + greedy_sample"
+    assert label(None, None, None, None, None, None, None) == "unknown | unknown + unknown"
+    assert label("em", "kg", "epsilon_greedy_sample", "0.2", "0.20", "5", None) == "em | kg + epsilon_greedy_sample[eps=0.2]"
+    assert label("em", "kg", "epsilon_greedy_sample", "0.2", "0.01", "5", "step") == "em | kg + epsilon_greedy_sample[step:0.2->0.01,T=5]"
+    assert label("em", "kg", "epsilon_greedy_sample", "0.2", None, None, None) == "em | kg + epsilon_greedy_sample[cosine:0.2->?,T=?]"
