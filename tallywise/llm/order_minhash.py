@@ -1,18 +1,21 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 Each k-mer of words is numbered among its equals, so that repeats count.  Every (k-mer, number)
-pair has one 64-bit hash; its top bits deal it to one of ``bins`` (one permutation serves all
-bins).  In a bin the ``length`` smallest are selected, put back in text order, and that tuple
-is hashed.  Two texts agree in a bin only if they select the same k-mers in the same order,
-so the share of agreeing bins falls with the edit distance, not only with the word overlap.
-
-A fingerprint is the sorted list of (bin, tuple hash), as text 10 hex digits each.  Likeness is the
-number of equal entries over the number of bins that either uses; texts without words have
-empty fingerprints and are alike.  Null counts as empty.  Fewer words than k are one k-mer.
-The work per text is a few sorts of its k-mers; positions take 26 bits, hashes 38.
-
-Documents are taken in descending order of doc_id, of repeated ids by text hash; a row that
-repeats doc_id and text is the same document and gives one row.
+pair has one 64-bit hash, a point on a circle.  ``2 ** bin_bits`` evenly spaced starts each select
+the next ``length`` points; these are put back in text order, and that tuple is hashed.  For
+each start this is the selection by a random order of its own, also in texts with fewer k-mers
+than starts: two texts agree at a start only if they select the same k-mers in the same order, so
+the share of agreeing starts falls with the edit distance, not only with the word overlap.
+
+A fingerprint is the list of tuple hashes by start, as text 8 hex digits each.  Likeness is the share
+of equal entries; texts without words have empty fingerprints, which are alike, and unlike any
+other.  Null counts as empty.  Fewer words than k are one k-mer; fewer k-mers than ``length`` are
+selected all.  A text is sorted once; hashes take 38 bits, positions 26 (beyond 67 million words
+they start again from 0, which can only blur the order of k-mers so far apart).
+
+Documents are taken in descending order of doc_id (null last), of repeated ids by text hash.  Every
+row gives a row: after a row that repeats doc_id and text comes its repetition.  Very long texts are one
+array each; an empty table gives an empty one; other columns stay behind.
 """
 
 from __future__ import annotations
@@ -22,61 +25,82 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywise.llm.common import spare_name
 from tallywise.sources.staging import staged
 
 
-#: 2 ** BIN_BITS bins.
+#: 2 ** BIN_BITS starts.
 BIN_BITS, LENGTH, K = 5, 2, 3
 _POSITION_BITS = 26
+_POSITION = (1 << _POSITION_BITS) - 1
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once a row, also where lambdas refer to it."""
-    return F.transform(F.array(value), use)[0]
+def _high(x: Column) -> Column:
+    return F.shiftright(x, _POSITION_BITS)
+
+
+def _packed(h: Column, position: Column) -> Column:
+    return F.shiftleft(_high(h), _POSITION_BITS).bitwiseOR(F.lit(_POSITION).bitwiseAND(position))
 
 
 def _runs(array: Column, same: Callable[[Column, Column], Column], make: Callable[[Column], Column]) -> Column:
-    """``make`` of each maximal run of equal neighbours of ``array``."""
-    starts = F.filter(F.transform(array, lambda x, i: F.when((i == 0) | ~same(x, F.get(array, i - 1)), i).otherwise(-1)), lambda i: i >= 0)
-    return _let(starts, lambda at: F.transform(at, lambda s, q: make(F.slice(array, s + 1, F.coalesce(F.get(at, q + 1), F.size(array)) - s))))
+    """``make`` of each maximal run of neighbours of ``array`` that are the same."""
+    starts = F.filter(F.transform(array, lambda x, i: F.when((i == 0) | ~same(F.get(array, i - 1), x), i).otherwise(-1)), lambda i: i >= 0)
+    following = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(array)))
+    return F.transform(F.arrays_zip(starts.alias("s"), following.alias("e")), lambda z: make(F.slice(array, z["s"] + 1, z["e"] - z["s"])))
+
 
+def with_fingerprint(rows: DataFrame, text: Column, name: str, k: int = K, length: int = LENGTH, bin_bits: int = BIN_BITS) -> DataFrame:
+    """``rows`` with the fingerprint of ``text`` as an array of longs, start << 32 | tuple hash.
 
-def fingerprint(text: Column, k: int = K, length: int = LENGTH, bin_bits: int = BIN_BITS) -> Column:
-    """The fingerprint of a text as a sorted array of longs: bin << 32 | tuple hash."""
-    position = (1 << _POSITION_BITS) - 1
-    high = lambda x: F.shiftright(x, _POSITION_BITS)
-    pack = lambda h, i: F.shiftleft(high(h), _POSITION_BITS).bitwiseOR(F.lit(position).bitwiseAND(i))
+    One column a step, since arrays between columns stay primitive where those within a lambda would be boxed.
+    """
+    starts = 1 << bin_bits
+    step = spare_name(rows, "fp_step")
+    s = F.col(step)
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    kmers = lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])), 1, F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1))))
-    by_kmer = lambda h: F.sort_array(F.transform(kmers(h), lambda x, i: pack(x, i.cast("long"))))
-    numbered = lambda s: F.sort_array(
-        F.flatten(_runs(s, lambda x, y: high(x) == high(y), lambda run: F.transform(run, lambda x, o: pack(F.xxhash64(high(x), o), x.bitwiseAND(F.lit(position))))))
-    )
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - bin_bits)
-    chosen = lambda e: F.filter(e, lambda x, j: (j < length) | (bin_of(x) != bin_of(F.get(e, j - length))))
-    turned = lambda x: F.shiftleft(x.bitwiseAND(F.lit(position)), 37).bitwiseOR(F.shiftrightunsigned(x, 27))
-    in_order = lambda run: F.transform(F.sort_array(F.transform(run, turned)), lambda y: y.bitwiseAND(F.lit((1 << 37) - 1)))
-    entry = lambda run: F.shiftleft(bin_of(run[0]), 32).bitwiseOR(F.xxhash64(in_order(run)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    signature = lambda c: _runs(c, lambda x, y: bin_of(x) == bin_of(y), entry)
-    return F.sort_array(_let(hashes, lambda h: _let(by_kmer(h), lambda s: _let(numbered(s), lambda e: _let(chosen(e), signature)))))
+    rows = rows.withColumn(step, F.transform(words, lambda w: F.xxhash64(w)))
+    kmers = F.transform(s, lambda x, i: _packed(F.xxhash64(x, *[F.get(s, i + j) for j in range(1, k)]), i.cast("long")))
+    rows = rows.withColumn(step, F.sort_array(F.slice(kmers, 1, F.greatest(F.size(s) - (k - 1), F.least(F.size(s), F.lit(1))))))
+    # positions in the sorted list of k-mers that equal the one before
+    again, a = spare_name(rows, "fp_again"), F.col(spare_name(rows, "fp_again"))
+    rows = rows.withColumn(again, F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (_high(x) == _high(F.get(s, i - 1))), i).otherwise(-1)), lambda i: i >= 0))
+    first = F.filter(s, lambda x, i: (i == 0) | (_high(x) != _high(F.get(s, i - 1))))
+    later = F.flatten(_runs(a, lambda x, y: y == x + 1, lambda run: F.transform(run, lambda at, o: _packed(F.xxhash64(_high(F.get(s, at)), o + 1), F.get(s, at)))))
+    rows = rows.withColumn(step, F.when(F.size(a) == 0, s).otherwise(F.sort_array(F.concat(first, later)))).drop(again)
+    # the first points from each start; the arcs between starts are numbered in the order of signed hashes
+    arc = lambda x: F.shiftright(x, 64 - bin_bits) + (starts >> 1)
+    rows = rows.withColumn(step, F.filter(s, lambda x, j: (j < length) | (arc(x) != arc(F.get(s, j - length)))))
+    circle, c = spare_name(rows, "fp_circle"), F.col(spare_name(rows, "fp_circle"))
+    rows = rows.withColumn(circle, F.concat(s, F.slice(s, 1, length)))
+    turned = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POSITION)), 37).bitwiseOR(F.shiftrightunsigned(x, 27))
+    chosen = lambda i: F.slice(c, i + 1, F.least(F.lit(length), F.size(s)))
+    in_order = lambda i: F.transform(F.sort_array(F.transform(chosen(i), turned)), lambda y: y.bitwiseAND(F.lit((1 << 37) - 1)))
+    tuple_hash = lambda i: F.xxhash64(in_order(i)).bitwiseAND(F.lit(0xFFFFFFFF))
+    # the arcs from which the points of each filled arc are the next: those after the filled arc before
+    entry = lambda x, i: F.when(i == 0, F.struct(F.lit(-1).cast("long").alias("before"), arc(x).alias("arc"), tuple_hash(i).alias("h"))).when(arc(x) != arc(F.get(s, i - 1)), F.struct(arc(F.get(s, i - 1)).alias("before"), arc(x).alias("arc"), tuple_hash(i).alias("h")))
+    rows = rows.withColumn(circle, F.filter(F.transform(s, entry), lambda e: e.isNotNull()))
+    each = F.flatten(F.transform(c, lambda e: F.array_repeat(e["h"], (e["arc"] - e["before"]).cast("int"))))
+    rest = F.array_repeat(F.get(c, F.lit(0))["h"], (F.lit(starts - 1) - F.get(c, F.size(c) - 1)["arc"]).cast("int"))
+    rows = rows.withColumn(circle, F.concat(each, F.coalesce(rest, F.array().cast("array<bigint>"))))
+    return rows.withColumn(name, F.transform(c, lambda h, b: F.shiftleft(b.cast("long"), 32).bitwiseOR(h))).drop(step, circle)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins in use that agree; 1 for two empty fingerprints."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
-    used = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
+    """Share of the starts that agree; 1 for two empty fingerprints."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def as_text(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
+    return F.array_join(F.transform(a, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """doc_id, n_chars, fingerprint (array of longs) for each row; other columns stay behind."""
+    """doc_id, text_hash, n_chars, fp (array of longs) for each row; other columns stay behind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.length(text).cast("long").alias("n_chars"), fingerprint(text, **params).alias("fp"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
+    return with_fingerprint(rows, F.col("text"), "fp", **params).drop("text")
 
 
 def with_next(rows: DataFrame, parts: int) -> DataFrame:
@@ -105,20 +129,30 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     rows = staged(fingerprints(docs, **params))
-    single = rows.dropDuplicates(["doc_id", "text_hash"])
+    key, next_key = ["doc_id", "text_hash"], ["next_doc_id", "next_text_hash"]
+    repeated = staged(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    repeats = not repeated.isEmpty()
+    single = rows.dropDuplicates(key) if repeats else rows
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ring = staged(with_next(single, parts))
-    key, next_key = ["doc_id", "text_hash"], ["next_doc_id", "next_text_hash"]
     # what each document gives to the one before it: so many of its first code points
     gives = ring.select(*[F.col(n).alias(k) for k, n in zip(key, next_key, strict=True)], F.floor(F.col("n_chars") / 3).alias("n_given"), *[F.col(k).alias(f"to_{k}") for k in key])
     texts = docs.select(*key, "text")
-    if rows.count() > ring.count():
+    if repeats:
         texts = texts.dropDuplicates(key)
     same = lambda a, b, left, right: [a[x].eqNullSafe(b[y]) for x, y in zip(left, right, strict=True)]
-    met = texts.join(gives.hint("shuffle_hash"), same(texts, gives, key, key))
+    met = texts.join(gives.hint("merge"), same(texts, gives, key, key))
     given = met.select("to_doc_id", "to_text_hash", F.expr("substring(text, 1, int(n_given))").alias("given"))
-    own = texts.join(ring.hint("shuffle_hash"), same(texts, ring, key, key)).select(*[ring[c] for c in ring.columns], "text")
-    joined = own.join(given.hint("shuffle_merge"), same(own, given, key, ["to_doc_id", "to_text_hash"]))
-    edited = joined.select("doc_id", "n_chars", "fp", "next_fp", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 3)))"), "given").alias("edited"))
-    out = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited"), **params).alias("efp"))
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    own = texts.join(ring.hint("merge"), same(texts, ring, key, key)).select(*[ring[c] for c in ring.columns], "text")
+    joined = own.join(given.hint("merge"), same(own, given, key, ["to_doc_id", "to_text_hash"]))
+    head = F.expr("substring(text, 1, int(n_chars - floor(n_chars / 3)))")
+    edited = joined.select("doc_id", "n_chars", "fp", "next_fp", F.concat(head, "given").alias("edited"))
+    if repeats:
+        # the next of a repeated row is the same text
+        own = own.join(repeated.hint("merge"), same(own, repeated, key, key)).select(*[own[c] for c in own.columns], "times")
+        copy = F.explode(F.sequence(F.lit(2).cast("long"), "times")).alias("copy")
+        twice = own.select("doc_id", "n_chars", "fp", F.col("fp").alias("next_fp"), F.concat(head, F.expr("substring(text, 1, int(floor(n_chars / 3)))")).alias("edited"), copy)
+        edited = edited.unionByName(twice.drop("copy"))
+    out = with_fingerprint(edited, F.col("edited"), "efp", **params)
+    digest = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", digest, as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

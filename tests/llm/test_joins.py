@@ -99,31 +99,57 @@ def chain(values, form="<q"):
     return seed
 
 
-def signature(text, k=3, length=2, bits=5):
+def points(text, k=3):
+    """(hash, position) of every numbered k-mer; the upper 38 bits of the hash count."""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     h = [chain([w.encode()]) for w in words]
     kmers = [chain(h[i : i + k]) for i in range(max(len(h) - k + 1, min(len(h), 1)))]
-    seen, pairs = {}, []
+    seen, found = {}, []
     for i, x in enumerate(kmers):
         key = x >> 26
         o = seen[key] = seen.get(key, -1) + 1
-        v = xx(struct.pack("<i", o), chain([key]) & (2**64 - 1))
-        pairs.append(((v >> 26) << 26, i))
-    bins = {}
-    for v, i in sorted(pairs):
-        bins.setdefault((v & (2**64 - 1)) >> (64 - bits), []).append((v, i))
-    return sorted(
-        (b << 32) | (chain([((v & (2**64 - 1)) >> 27) & (2**37 - 1) for v, _ in sorted(some[:length], key=lambda e: e[1])]) & 0xFFFFFFFF) for b, some in bins.items()
-    )
+        v = xx(struct.pack("<i", o), chain([key]) & (2**64 - 1)) if o else x
+        found.append(((v >> 26) << 26, i))
+    return sorted(found)
+
+
+def signature(text, k=3, length=2, bits=5):
+    found, out = points(text, k), []
+    for b in range(1 << bits) if found else ():
+        start = (b << (64 - bits)) - (1 << 63)
+        circle = sorted(found, key=lambda e: ((e[0] - start) % (1 << 64), e[1]))
+        some = sorted(circle[:length], key=lambda e: e[1])
+        out.append((b << 32) | (chain([((v & (2**64 - 1)) >> 27) & (2**37 - 1) for v, _ in some]) & 0xFFFFFFFF))
+    return out
 
 
 def test_fingerprints_against_brute_force(spark, sf_dir, docs):
     from pyspark.sql import functions as F
 
-    rows = [(i, t) for i, t in enumerate(["", "a", "a b", "a b c", "b a c", "x " * 50, None, "the cat sat on the mat " * 9])]
+    rows = [(i, t) for i, t in enumerate(["", "a", "a b", "a b c", "b a c", "a b c d", "x " * 50, "x y " * 40, None, "the cat sat on the mat " * 9])]
     rows += [(100 + r["doc_id"], r["text"]) for r in documents(spark, sf_dir).limit(60).collect()]
-    got = {r["doc_id"]: list(r["fp"]) for r in docs(rows).select("doc_id", order_minhash.fingerprint(F.col("text")).alias("fp")).collect()}
+    got = {r["doc_id"]: list(r["fp"]) for r in order_minhash.with_fingerprint(docs(rows), F.col("text"), "fp").collect()}
     assert got == {i: signature(t) for i, t in rows}
+    other = {r["doc_id"]: list(r["fp"]) for r in order_minhash.with_fingerprint(docs(rows), F.col("text"), "fp", k=2, length=3, bin_bits=3).collect()}
+    assert other == {i: signature(t, 2, 3, 3) for i, t in rows}
+
+
+@pytest.mark.parametrize("n", [12, 20, 52, 250])
+def test_swapped_halves_are_as_unlike_as_by_separate_orders(docs, n):
+    import random
+
+    r = random.Random(n)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(n)] for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(100 + i, " ".join(w[n // 2 :] + w[: n // 2])) for i, w in enumerate(texts)]
+    got = {x["doc_id"]: set(x["fp"]) for x in order_minhash.fingerprints(docs(rows)).collect()}
+    dealt = sum(len(got[i] & got[100 + i]) for i in range(60)) / 60 / 32
+
+    def separate(words, seed):
+        kmers = [(xx(" ".join(words[i : i + 3]).encode(), seed), i) for i in range(n - 2)]
+        return [v for v, _ in sorted(sorted(kmers)[:2], key=lambda e: e[1])]
+
+    want = sum(separate(w, s) == separate(w[n // 2 :] + w[: n // 2], s) for w in texts for s in range(32)) / 60 / 32
+    assert abs(dealt - want) < 0.06
 
 
 def test_edited_texts_and_next_documents(docs):
@@ -132,7 +158,7 @@ def test_edited_texts_and_next_documents(docs):
     rows = [(i * 3 % 17, " ".join(f"{'é' if j % 5 == 0 else 'w'}{(i * j) % 23}" for j in range(5 + i * 4))) for i in range(17)] + [(40, None), (41, ""), (42, "é")]
     got = {r["doc_id"]: r for r in order_minhash.edited_likeness(docs(rows)).collect()}
     text, order = {i: t or "" for i, t in rows}, sorted((i for i, _ in rows), reverse=True)
-    as_text = lambda f: "".join(f"{v:010x}" for v in f)
+    as_text = lambda f: "".join(f"{v & 0xFFFFFFFF:08x}" for v in f)
     assert len(got) == len(rows)
     for at, i in enumerate(order):
         nxt = order[(at + 1) % len(order)]
@@ -143,14 +169,16 @@ def test_edited_texts_and_next_documents(docs):
         assert r["fingerprint"] == as_text(signature(text[i])) and r["edited_fingerprint"] == as_text(signature(edited))
         for name, other in (("near_edited", signature(edited)), ("near_next", signature(text[nxt]))):
             own = signature(text[i])
-            bins = {v >> 32 for v in own} | {v >> 32 for v in other}
-            assert r[name] == pytest.approx(len(set(own) & set(other)) / len(bins) if bins else 1.0)
+            assert r[name] == pytest.approx(len(set(own) & set(other)) / 32 if own or other else 1.0)
 
 
 def test_odd_documents_have_fingerprints(odd_docs, docs):
     got = order_minhash.edited_likeness(odd_docs).collect()
-    assert len(got) == odd_docs.count() - 1  # a repeated row is one document
+    assert len(got) == odd_docs.count()
+    assert sorted(r["near_next"] for r in got if r["doc_id"] == 2)[1] == 1.0  # after a repeated row comes the same text
     assert all(0 <= r["near_edited"] <= 1 for r in got)
     assert order_minhash.edited_likeness(docs([])).count() == 0
+    again = order_minhash.edited_likeness(docs([(1, "abcdef"), (1, "abcdef"), (1, "abcdef"), (None, None), (None, None)])).collect()
+    assert len(again) == 5 and sum(r["near_next"] == 1.0 for r in again) == 3
     alone = order_minhash.edited_likeness(docs([(1, "only one text here")])).collect()
     assert alone[0]["near_next"] == 1.0
