@@ -21,6 +21,23 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], times: str, total: int, left: bool = False) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in ``times`` how many of the ``total`` rows have it.
+
+    Keys with more rows than a fraction of a task's share are at most 4 a shuffle partition, so these few are broadcast and
+    their rows stay where they are; the others meet by a shuffle.  ``table`` should be a written one.
+    """
+    from pyspark.sql import functions as F
+
+    how = "left" if left else "inner"
+    limit = total // (4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    heavy, light = table.filter(F.col(times) > limit), table.filter(F.col(times) <= limit)
+    if heavy.isEmpty():
+        return rows.join(table.hint("merge"), keys, how)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,6 +1,7 @@
 """Connected components of a link table by alternating large and small stars.
 
-Every step is a grouped minimum and a join, so no component is ever gathered in one task; the
+Every step is a grouped minimum and a join, so no component is ever gathered in one task; where a node has so
+many neighbours that their join would be a large part of the work, these few nodes are broadcast.  The
 links after each step are written to the shared folder.
 """
 
@@ -9,30 +10,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.sources.staging import staged
+from tallywise.sources.staging import release, staged
 
 
+def _large(links: DataFrame, heavy: int | None) -> DataFrame:
+    """Points the larger neighbours of each node at the smallest of them and the node itself.
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Points the neighbours of each node at the smallest of them and the node itself."""
-    both = links if not large else links.union(links.select("v", "u")).distinct()
-    if not large:
-        both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    spread = both.join(least.hint("merge"), "u")
-    if large:
-        return spread.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    Nodes with more than ``heavy`` neighbours, if given, are broadcast.
+    """
+    both = links.union(links.select("v", "u"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    if heavy is None:
+        spread = both.filter("v > u").join(least.hint("merge"), "u")
+    else:
+        few = least.filter(F.col("n") > heavy).select("u", "m")
+        light = least.filter(F.col("n") <= heavy).select("u", "m")
+        up = both.filter("v > u")
+        spread = up.join(F.broadcast(few), "u").unionByName(up.join(F.broadcast(few.select("u")), "u", "left_anti").join(light.hint("merge"), "u"))
+    return spread.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def _small(links: DataFrame) -> DataFrame:
+    """Points each node and its smaller neighbours at the smallest of these."""
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    spread = down.join(least.hint("merge"), "u")
     return spread.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of ``links`` (a, b); component is the smallest node that it reaches."""
+    """(node, component) for each node of ``links`` (a, b); component is the smallest node that it reaches.
+
+    Repeated links, links of a node with itself and the order of ends do not matter; no links give no rows.
+    """
     now = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    parts = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     mark = None
     while True:
-        now = staged(_star(_star(now, True), False))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        ends = now.select(F.explode(F.array("u", "v")).alias("x"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
+        row = ends.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if row[0] is None or row[:2] == mark:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        mark = row[:2]
+        # at most 8 a shuffle partition have more neighbours than this
+        heavy = row[0] // (8 * parts) + 1
+        before, now = now, staged(_small(_large(now, heavy if row[2] > heavy else None)))
+        release(before)

@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and the groups it links.
 
 A document is the set of its distinct n-word shingles (64-bit hashes of the lower-cased words).
-Documents with the same set are one class.  Two sets link when
-``100 * intersection >= percent * union``.
+Documents with the same set are one class, and classes are what is joined; they go back to the
+rows at the end.  Two sets link when ``100 * intersection >= percent * union``.
 
 * Prefix: of n shingles at most ``n - ceil(percent/100 * n)`` are missing from a partner, so one
   more than that many, in any common order (here by hash), must hold a shared one.
@@ -13,14 +13,20 @@ Documents with the same set are one class.  Two sets link when
   still add up to a high cost, the prefix grows by one more and two matches are needed.
 * Where a document has fewer cheap shingles than the prefix needs, all links of it are with
   documents of the same sort, through costly shingles.  Those lists are searched from a pivot,
-  then from every member that is not yet in the pivot's component.
+  then, while members are outside the pivot's component, from more of these as pivots, four times
+  as many in each round, until all were.
 * Candidates go through an upper bound from 64-bin histograms of the sets, then the exact test.
   Copies in a group need no pair each: each document is first tested with its smallest
   partner, and then only pairs that are still in different components.
 
-Every step is exact; thresholds steer cost alone.  Null text counts as empty; a document without
-words has the empty set and links with nothing.  Rows that repeat a doc_id get the component
-of their own text.  Other columns are not touched.
+Every step is exact on 64-bit hashes of the shingles; thresholds steer cost alone.  The costs are
+broadcast while they are few, and joined beyond ``COSTLY_MOST``; costly lists are dealt over
+several tasks.
+
+Null text counts as empty; a document without words has the empty set and links with nothing.  Rows that
+repeat a doc_id are documents each, with the component of their own text; a null doc_id is never
+the smallest, and alone gives a null component.  Very long texts are one set each.  An empty
+table gives an empty one.  Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -29,24 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import lower_ascii, mix, slices, span_hashes, utf8, words
+from tallywise.llm.common import lower_ascii, mix, slices, span_hashes, spare_name, split_join, utf8, words
 from tallywise.llm.components import components
-from tallywise.sources.staging import collect_garbage, release, staged
+from tallywise.sources.staging import release, staged
 
-#: Prefix lists longer than this are costly; raised where more than COSTLY_MOST could be.
+#: Prefix lists longer than this are costly.
 COSTLY = 50
-#: Bound of the table of costly shingles that is broadcast (16 bytes each).
+#: The costs of shingles are broadcast up to this number (16 bytes each); beyond it they are joined.
 COSTLY_MOST = 1 << 20
 #: Lists from this length on count in the cost of a document; a cost above DEAR asks for two matches.
 WARM, DEAR = 17, 200
-#: Candidate ids are broadcast up to this number (8 bytes each); beyond it they are joined.
+#: Row ids of classes are broadcast up to this number (8 bytes each); beyond it they are joined.
 IDS_MOST = 2_000_000
-#: Parts in which pairs are tested, to bound the shuffled sets that are on disk at once.
-SLICES = 3
+#: Pairs are tested in parts by either end, so many squared, to bound the shuffled sets that are on disk at once.
+SIDES = 2
+#: Tasks over which a costly list is dealt.
+SALTS = 16
 
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -84,7 +91,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _summaries(docs: DataFrame, ngram: int) -> DataFrame:
-    """doc_id, n, two digests of the set, histogram."""
+    """doc_id, text_hash, n, two digests of the set, histogram, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,15 +102,15 @@ def _summaries(docs: DataFrame, ngram: int) -> DataFrame:
                 d2 = np.array([mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 hist = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(hist, pa.binary())],
-                    ["doc_id", "n", "d1", "d2", "hist"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(hist, pa.binary()), part.column("text")],
+                    ["doc_id", "text_hash", "n", "d1", "d2", "hist", "text"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hist binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, hist binary, text string")
 
 
 def _prefixes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """(token): the plain prefixes of all documents."""
+    """(token): the plain prefixes of all classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +156,23 @@ def _costly_sets(docs: DataFrame, ngram: int, percent: int, table: tuple[np.ndar
     return docs.mapInArrow(run, "token long")
 
 
+_INDEX = "id long, n long, cheap array<long>, dear array<long>, need int, h long"
+
+
+def _chosen(ids: list[int], sizes: list[int], heads: list[np.ndarray], costs: list[np.ndarray], percent: int, costly: int) -> pa.RecordBatch:
+    """The lengthened prefixes: cheap and costly shingles, and the matches that are needed; see ``_adapted``."""
+    cheap, dear, need, h = [], [], [], []
+    for n, head, cost in zip(sizes, heads, costs, strict=True):
+        p, hot = prefix_length(n, percent), cost > costly
+        light = head[~hot]
+        two = cost[~hot][:p].sum() > DEAR and len(light) > p
+        cheap.append(light[: p + two])
+        dear.append(head[hot][: max(0, p - len(light))])
+        need.append(1 + two)
+        h.append(n - len(light) if len(light) < p else 0)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(cheap), _lists(dear), pa.array(np.array(need, np.int32)), pa.array(h, pa.int64())], ["id", "n", "cheap", "dear", "need", "h"])
+
+
 def _adapted(docs: DataFrame, ngram: int, percent: int, costs: tuple[np.ndarray, np.ndarray], costly: int) -> DataFrame:
     """The prefixes, lengthened by the cost table: cheap and costly shingles, and the matches that are needed.
 
@@ -156,35 +180,62 @@ def _adapted(docs: DataFrame, ngram: int, percent: int, costs: tuple[np.ndarray,
     """
     table = docs.sparkSession.sparkContext.broadcast(costs)
 
-    def lookup(part: np.ndarray) -> np.ndarray:
-        return _costs(table.value, part)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, sizes, cheap, dear, need, h = [], [], [], [], [], []
-                for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), ngram), strict=True):
+                sets, heads, found = shingle_sets(part.column("text"), ngram), [], []
+                for s in sets:
                     p = prefix_length(len(s), percent)
                     head = s[: 2 * p + 64]
-                    cost = lookup(head)
-                    if not p:
-                        continue
-                    hot = cost > costly
-                    if (~hot).sum() <= p and len(head) < len(s):
-                        head, cost = s, lookup(s)
-                        hot = cost > costly
-                    light = head[~hot]
-                    two = cost[~hot][:p].sum() > DEAR and len(light) > p
-                    ids.append(doc_id)
-                    sizes.append(len(s))
-                    cheap.append(light[: p + two])
-                    dear.append(head[hot][: max(0, p - len(light))])
-                    need.append(1 + two)
-                    h.append(len(s) - len(light) if len(light) < p else 0)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(cheap), _lists(dear), pa.array(np.array(need, np.int32)), pa.array(h, pa.int64())], ["id", "n", "cheap", "dear", "need", "h"])
-
-    return docs.mapInArrow(run, "id long, n long, cheap array<long>, dear array<long>, need int, h long")
+                    cost = _costs(table.value, head)
+                    if (cost <= costly).sum() <= p and len(head) < len(s):
+                        head, cost = s, _costs(table.value, s)
+                    heads.append(head)
+                    found.append(cost)
+                yield _chosen(part.column("id").to_pylist(), [len(s) for s in sets], heads, found, percent, costly)
+
+    return docs.mapInArrow(run, _INDEX)
+
+
+def _adapted_by_join(docs: DataFrame, ngram: int, percent: int, costly: int) -> DataFrame:
+    """As ``_adapted``, where too many shingles have a cost for a broadcast: their counts over whole sets are joined.
+
+    Heads of the sets first, then whole sets of those that hold too few cheap ones.
+    """
+
+    def tokens(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    sets = shingle_sets(part.column("text"), ngram)
+                    heads = sets if whole else [s[: 2 * prefix_length(len(s), percent) + 64] for s in sets]
+                    size = [len(x) for x in heads]
+                    columns = [np.repeat(part.column("id").to_numpy(), size), np.repeat([len(s) for s in sets], size), np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "token"])
+
+        return run
+
+    schema = "id long, n long, token long"
+    every = docs.mapInArrow(tokens(True), schema)
+    counts = staged(every.groupBy("token").agg(F.count(F.lit(1)).alias("cost")).filter(F.col("cost") >= min(WARM, costly)))
+    most = docs.count()
+    signed = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))  # sorts as unsigned
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        costs = split_join(rows, counts, ["token"], "cost", most, left=True).select("id", "n", F.struct(signed.alias("order"), F.coalesce("cost", F.lit(0)).alias("cost")).alias("t"))
+        lists = costs.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("t")).alias("t"))
+        return lists.select("id", "n", F.transform("t", lambda t: t["order"].bitwiseXOR(F.lit(-(1 << 63)))).alias("head"), F.transform("t", lambda t: t["cost"]).alias("cost"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[np.array(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("head", "cost")]
+            yield _chosen(batch.column("id").to_pylist(), batch.column("n").to_pylist(), [x.view(np.uint64) for x in lists[0]], lists[1], percent, costly)
+
+    heads = staged(weighed(docs.mapInArrow(tokens(False), schema)))
+    p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    short = (F.size(F.filter("cost", lambda c: c <= costly)) <= p) & (F.size("head") < F.col("n"))
+    again = docs.join(heads.filter(short).select("id").hint("merge"), "id", "left_semi").mapInArrow(tokens(True), schema)
+    return heads.filter(~short).mapInArrow(choose, _INDEX).unionByName(weighed(again).mapInArrow(choose, _INDEX))
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -203,58 +254,42 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash: among the shingles of one pair of documents these tell all apart as well."""
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``, as bytes."""
+    """(id, shingles) of the classes in ``ids``, as bytes."""
     few = ids.limit(IDS_MOST + 1).count() <= IDS_MOST
-    if few:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy()))
-    else:
-        docs, wanted = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi"), None
+    docs = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
-            if wanted is not None:
-                batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(), wanted.value)))
             for part in slices(batch, "text"):
-                sets = [_packed(s) for s in shingle_sets(part.column("text"), ngram)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(part.column("text"), ngram)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the exact test."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("shuffle_merge")
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("shuffle_merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # a slice at a time, since each pair carries a set through the shuffle
+    # a part at a time, since each pair carries a set through the shuffle
     pairs, out = staged(pairs), None
-    for i in range(SLICES):
-        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == i)
-        part = staged(some.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
-        out = part if out is None else out.unionByName(part)
-        collect_garbage(pairs.sparkSession)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SIDES))
+    for i in range(SIDES):
+        a = sets.filter(part("id") == i).select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("shuffle_merge")
+        for j in range(SIDES):
+            b = sets.filter(part("id") == j).select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("shuffle_merge")
+            some = pairs.filter((part("a") == i) & (part("b") == j))
+            found = staged(some.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+            out = found if out is None else out.unionByName(found)
     release(pairs)
     return out
 
@@ -267,82 +302,135 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", costly: int = COSTLY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it reaches by links)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = staged(_summaries(docs, ngram))
-    classes = staged(every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")))
-    repeats = not every.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    once = (lambda rows: rows.dropDuplicates(["id"])) if repeats else (lambda rows: rows)
-    own = classes.select("id").distinct().hint("shuffle_merge")
-
-    # counted over all documents: copies only make their shingles costly, which is exact as well
-    total = every.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    costly = max(costly, total // COSTLY_MOST + 1)
-    least = max(min(WARM, costly), total // COSTLY_MOST + 1)
-    table = _prefixes(docs, ngram, percent).groupBy("token").count().filter(F.col("count") >= least).toArrow()
-    costs = _sorted_table(table)
-    if table.num_rows:
-        often = staged(_costly_sets(docs, ngram, percent, costs, costly).groupBy("token").count().filter(F.col("count") > costly))
-        costly = max(costly, often.count() // COSTLY_MOST * costly)
-        costs = _sorted_table(table, often.filter(F.col("count") > costly).toArrow())
-        release(often)
-    index = staged(once(_adapted(docs, ngram, percent, costs, costly).join(own, "id", "left_semi")))
+def _met_in_lists(pivots: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of a pivot and a member of its list, by token; lists are dealt over SALTS tasks, pivots go to all of them."""
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = pivots.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return copies.hint("shuffle_merge").join(dealt.hint("shuffle_merge"), ["token", "salt"])
+
+
+def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """More links and components, from pairs that share costly shingles alone.
+
+    The first pivot of a list is compared with all members.  Every member that is not in its component when its turn comes
+    is compared with all members of other components, four times as many in each round as before; so of two members one
+    has met the other, or both are in the first pivot's component.
+    """
+    room = F.least("ha", "hb")
+    fits = (room * 100 >= (F.col("na") + F.col("nb") - room) * percent) & (F.col("ca") != F.col("cb"))
+    side = lambda rows, x: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"), F.col("component").alias(f"c{x}"))
+    total = dear.count()
+    # the member with the fewest shingles of its own begins
+    lead = staged(dear.groupBy("token").agg(F.min_by("id", F.struct(F.col("n") - F.col("h"), "id")).alias("lead"), F.count(F.lit(1)).alias("size")))
+    share = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + 1) / float(1 << 40)
+    done, until = -1.0, 0.0
+    while True:
+        place = staged(found.select(F.col("node").alias("id"), "component"))
+        centre = staged(lead.join(place.withColumnRenamed("id", "lead").hint("merge"), "lead", "left").select("token", "lead", "size", F.coalesce("component", "lead").alias("centre")))
+        turn = F.when(F.col("id") == F.col("lead"), 0.0).otherwise(share * F.col("size"))
+        members = split_join(dear, centre, ["token"], "size", total).withColumn("turn", turn)
+        placed = staged(members.join(place.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        open_ = placed.filter((F.col("turn") > done) & ((F.col("component") != F.col("centre")) | (F.col("turn") == 0)))
+        if open_.isEmpty():
+            break
+        pivots = open_.filter(F.col("turn") <= until)
+        pairs = staged(_met_in_lists(side(pivots, "a"), side(placed, "b")).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not pairs.isEmpty():
+            links = links.unionByName(_linked(pairs, full, percent))
+            found = components(links)
+        release(pairs, placed, centre, place)
+        done, until = until, max(4.0, 4 * until)
+    release(placed, centre, place, lead)
+    return links, found
+
+
+def grouped(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", costly: int = COSTLY) -> DataFrame:
+    """One row per document: doc_id, text_hash, n, group (null without words), component_id."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    every = staged(_summaries(docs, ngram).withColumn("row", F.monotonically_increasing_id()), "zstd")
+    classes = staged(every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times")))
+    total, most = every.count(), classes.count()
+    own = classes.select(F.col("id").alias("row"))
+    own = F.broadcast(own) if most <= IDS_MOST else own.hint("merge")
+    one = every.join(own, "row", "left_semi")
+    reps = one.select(F.col("row").alias("id"), "text")
+    if most > IDS_MOST:
+        reps = staged(reps)
+
+    least = min(WARM, costly)
+    table = staged(_prefixes(reps, ngram, percent).groupBy("token").count().filter(F.col("count") >= least))
+    few = table.count() <= COSTLY_MOST
+    if few:
+        counts = table.toArrow()
+        costs = _sorted_table(counts)
+        if counts.num_rows:
+            often = staged(_costly_sets(reps, ngram, percent, costs, costly).groupBy("token").count().filter(F.col("count") > costly))
+            few = often.count() <= COSTLY_MOST
+            if few:
+                costs = _sorted_table(counts, often.toArrow())
+            release(often)
+    release(table)
+    index = staged(_adapted(reps, ngram, percent, costs, costly) if few else _adapted_by_join(reps, ngram, percent, costly))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     side = lambda rows, x: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"))
     cheap = index.select(F.explode("cheap").alias("token"), "id", "n", "need")
     met = side(cheap, "a").hint("shuffle_merge").join(side(cheap, "b").hint("shuffle_merge"), "token").filter("a < b").filter(near)
     met = met.groupBy("a", "b", "na", "nb", "need_a", "need_b").count().filter(F.col("count") >= F.least("need_a", "need_b"))
-    h = once(every.select(F.col("doc_id").alias("id"), "hist"))
+    h = one.select(F.col("row").alias("id"), "hist")
     shaped = met.join(h.select(F.col("id").alias("a"), F.col("hist").alias("ha")).hint("shuffle_merge"), "a").join(h.select(F.col("id").alias("b"), F.col("hist").alias("hb")).hint("shuffle_merge"), "b")
     pairs = staged(_bounded(shaped.select("a", "b", "na", "nb", "ha", "hb"), percent))
-    del cheap, met, shaped, h
 
-    dear = index.filter("size(dear) > 0").select(F.explode("dear").alias("token"), "id", "n", "h")
-    # of a pair that shares no cheap shingle, the intersection has costly ones alone
-    room = F.least("ha", "hb")
-    fits = (room * 100 >= (F.col("na") + F.col("nb") - room) * percent) & (F.col("a") != F.col("b"))
-    member = lambda rows, x, *more: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"), *more)
-    costly_lists = not dear.isEmpty()
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    if costly_lists:
-        dear = staged(dear)
-        ids = ids.union(dear.select("id"))
+    dear = staged(index.filter("size(dear) > 0").select(F.explode("dear").alias("token"), "id", "n", "h"))
     release(index)
-    full = staged(once(_sets_of(docs, staged(ids.distinct()), ngram)))
-    tries = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    if costly_lists:
-        # the pivot of a list is the member with the fewest shingles of its own
-        pivots = staged(member(dear.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("h"), "id", "n", "h")).alias("m")).select("token", "m.id", "m.n", "m.h"), "a"))
-        stars = pivots.hint("shuffle_merge").join(member(dear, "b").hint("shuffle_merge"), "token").filter(fits)
-        tries = tries.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dear.select("id")).distinct())
+    full = staged(_sets_of(reps, ids, ngram))
+    tries = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = _linked(tries, full, percent)
     found = components(links)
     left = _apart(pairs, found).join(tries.hint("merge"), ["a", "b"], "left_anti")
-    links = links.union(_linked(left, full, percent))
+    links = links.unionByName(_linked(left, full, percent))
     found = components(links)
-    if costly_lists:
-        place = found.select(F.col("node").alias("id"), "component").hint("shuffle_merge")
-        placed = staged(dear.join(place, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        centre = placed.join(pivots.select("token", F.col("a").alias("id")).hint("shuffle_merge"), ["token", "id"], "left_semi").select("token", F.col("component").alias("centre"))
-        astray = placed.join(centre.hint("shuffle_merge"), "token").filter("component <> centre").drop("centre")
-        again = member(astray, "a", F.col("component").alias("ca")).hint("shuffle_merge").join(member(placed, "b", F.col("component").alias("cb")).hint("shuffle_merge"), "token")
-        again = staged(again.filter(fits & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = links.union(_linked(again, full, percent))
-        found = components(links)
-    release(full)
-
-    label = classes.join(found.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    rows = every.select("doc_id", "n", "d1", "d2").join(label.hint("shuffle_merge"), ["n", "d1", "d2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not dear.isEmpty():
+        links, found = _costly_links(dear, found, links, full, percent)
+    release(full, dear, pairs, tries, ids)
+
+    node = classes.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    node = staged(node)
+    smallest = staged(node.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    label = split_join(node.select("n", "d1", "d2", "times", "group"), smallest, ["group"], "classes", most)
+    label = staged(label.select("n", "d1", "d2", "times", "group", "component_id"))
+    rows = every.select("doc_id", "text_hash", "n", "d1", "d2")
+    with_words = split_join(rows.filter("n > 0"), label, ["n", "d1", "d2"], "times", total)
+    out = ["doc_id", "text_hash", "n", "group", "component_id"]
+    without = rows.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return with_words.select(*out).unionByName(without)
+
+
+def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", costly: int = COSTLY) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it reaches by links)."""
+    return grouped(docs, ngram, percent, id_col, text_col, costly).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id (all rows of that id)."""
-    groups = jaccard_groups(docs, ngram, percent, id_col, text_col)
-    gone = staged(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= IDS_MOST else gone.hint("shuffle_hash")
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """``docs`` with one document of each group: that with the smallest id (null last), of repeated ids by text hash.
+
+    Documents without words are in no group and stay.
+    """
+    rows = staged(grouped(docs, ngram, percent, id_col, text_col).filter("group IS NOT NULL"))
+    best = staged(rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    members = split_join(rows, best, ["group"], "times", rows.count())
+    gone = staged(members.filter(other).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    side = F.broadcast(gone) if gone.count() <= IDS_MOST else gone.hint("merge")
+    left = docs.join(side, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (mark == gone["__hash"]), "left_anti")
+    # of rows that repeat id and text one stays
+    twice = rows.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if twice.isEmpty():
+        return left
+    hashed, worded = spare_name(docs, "text_hash"), F.regexp_like(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    return left.filter(worded).withColumn(hashed, F.xxhash64(text_col)).dropDuplicates([id_col, hashed]).drop(hashed).unionByName(left.filter(~worded))
 
 
 ORACLE = r"""

@@ -66,6 +66,50 @@ def test_components_against_brute_force(docs, monkeypatch, n, percent, costly, w
     assert found(ngram_join.jaccard_groups(docs(rows), n, percent, costly=costly)) == brute(rows, n, percent)
 
 
+def test_repeated_ids_with_other_texts(docs):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b, "x"])), (8, " ".join([*a, "x"])), (9, " ".join(b)), (None, " ".join([*a, "y"])), (3, "alone"), (3, " ".join([*b, "x"])), (None, "nobody else")]
+    got = sorted(map(tuple, ngram_join.jaccard_groups(docs(rows), 3, 90).collect()), key=str)
+    want = [(5, 58, 5), (5, 58, 3), (7, 59, 3), (8, 59, 5), (9, 58, 3), (None, 59, 5), (3, 1, 3), (3, 59, 3), (None, 1, None)]
+    assert got == sorted(want, key=str)
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in ngram_join.drop_near_copies(docs([*rows, rows[6], (4, None), (4, None)]), 3, 90).collect())
+    assert kept == sorted([(5, rows[0][1]), (3, rows[7][1]), (3, "alone"), (-1, "nobody else"), (4, None), (4, None)], key=lambda r: (r[0], r[1] or ""))
+
+
+def test_random_repeated_ids_against_brute_force(docs):
+    import random
+
+    r = random.Random(11)
+    rows = [(r.randrange(40), t) for _, t in corpus(8, 9)]
+    texts = sorted({t for _, t in rows})
+    group = brute(list(enumerate(texts)), 3, 90)
+    least = {}
+    for i, t in rows:
+        g = group[texts.index(t)][1]
+        least[g] = min(least.get(g, 99), i)
+    want = sorted((i, group[texts.index(t)][0], least[group[texts.index(t)][1]]) for i, t in rows)
+    assert sorted(map(tuple, ngram_join.jaccard_groups(docs(rows), 3, 90).collect())) == want
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_large_groups_of_near_copies(docs, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(ngram_join, "COSTLY_MOST", most)
+    r = random.Random(2)
+    rows = []
+    for g in range(3):
+        base, other = ([f"{x}{g}_{i}" for i in range(80)] for x in "no")
+        for c in range(40):
+            w = list(base)
+            w[r.randrange(80)] = f"c{g}_{c % 25}"
+            if c % 3 == 0:
+                w[r.randrange(80)] = f"d{g}_{c % 11}"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base[:40] + other[:40])))
+    assert found(ngram_join.jaccard_groups(docs(rows), 3, 90, costly=4)) == brute(rows, 3, 90)
+
+
 def test_joined_ids_beyond_the_bound(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "IDS_MOST", 3)
     rows = corpus(4, 5)
