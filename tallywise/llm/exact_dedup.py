@@ -3,7 +3,8 @@
 A Misra-Gries summary (``freqItems``) names every digest that may fill more than ``support`` of
 the rows.  Their true counts and winners are then computed exactly; at most ``1 / support`` of
 them exist, so they are broadcast and their rows are settled where they are read.  Only the
-rows of the other digests are shuffled, and none of those groups is large.
+rows of the other digests are shuffled: winners and counts come from an aggregation that
+combines before it shuffles, and go back to the rows by a join.
 
 Null text counts as empty; texts are equal when identical after lower-casing A-Z only.  Of equal
 texts the row with the largest doc_id stays (a null doc_id is the smallest); of rows that repeat
@@ -12,10 +13,10 @@ that doc_id too, one stays.  Empty tables give empty results.  Other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import spare_name
+from tallywise.llm.common import spare_name, split_join
 from tallywise.sources.staging import staged
 
 
@@ -41,25 +42,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
         .filter(F.col("group_size") >= total * support)
     )
-    split = rows.join(F.broadcast(winners), "text_sha256", "left")
-    heavy = split.filter("best IS NOT NULL")
-    same = Window.partitionBy("text_sha256")
-    rest = split.filter("best IS NULL").select(
-        "text_sha256", "doc_id", "row", F.max(F.struct("doc_id", "row")).over(same).alias("best"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
-    return heavy.unionByName(rest).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
-    )
+    heavy = rows.join(F.broadcast(winners), "text_sha256")
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    others = staged(rest.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")))
+    light = split_join(rest, others, ["text_sha256"], "group_size", total)
+    return heavy.unionByName(light).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id also has."""
+    """``docs`` without the rows whose text another row with a larger id also has; of rows that repeat id and text one stays."""
     digest = spare_name(docs, "text_sha256")
-    groups = staged(exact_groups(docs, id_col, text_col, support).filter("kept").select("doc_id", F.col("text_sha256").alias(digest)))
+    groups = staged(exact_groups(docs, id_col, text_col, support).filter("doc_id <=> keep_id").select("doc_id", "kept", F.col("text_sha256").alias(digest)))
+    kept = groups.filter("kept").hint("merge")
     marked = docs.withColumn(digest, text_digest(F.col(text_col)))
-    kept = groups.hint("shuffle_hash")
     out = marked.join(kept, marked[id_col].eqNullSafe(kept["doc_id"]) & (marked[digest] == kept[digest]), "left_semi")
-    if out.select(id_col, digest).count() > groups.count():
+    if not groups.filter("NOT kept").isEmpty():
         out = out.dropDuplicates([id_col, digest])
     return out.drop(digest)
 

@@ -87,6 +87,29 @@ def test_odd_documents_mix(odd_docs):
     assert all(r["size"] == 0 and r["taken"] == 0 for r in got if r["doc_id"] in (3, 4, 5))
 
 
+def test_documents_without_words_have_no_more_copies_than_epochs(docs):
+    rows = [(i, None if i % 2 else "", None, "a") for i in range(8)] + [(10 + i, "w " * 9, None, "a") for i in range(2)] + [(20 + i, "w " * 900, None, "b") for i in range(40)]
+    assert max(r["copies"] for r in mixing.mix_sources(docs(rows)).collect()) <= 3
+
+
+def test_repeated_ids_are_mixed_each(docs):
+    rows = [(i % 5 if i % 7 else None, " ".join(["w"] * (1 + i * 7 % 50)) if i % 4 else "same text", None, "ab"[i % 3 > 0]) for i in range(300)]
+    df = docs(rows)
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    copies = sum(r["copies"] for r in got)
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.count() == copies
+    words = sum(len(r["text"].split()) for r in out.collect())
+    assert words == sum(r["taken"] for r in got) and abs(words - sum(len(t.split()) for _, t, *_ in rows)) <= 4
+
+
+def test_sources_come_near_their_targets(spark):
+    d = documents(spark, "/root/testdata/sf0.01")
+    rows = mixing.mix_sources(d).join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max", "size": "min"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= max(20, 0.01 * r["max(target)"]) for r in rows)
+
+
 def test_nothing_to_take(docs):
     assert [r["taken"] for r in mixing.mix_sources(docs([(1, None), (2, "")])).collect()] == [0, 0]
 
