@@ -39,7 +39,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import slices
+from tallywise.llm.common import slices, split_join
 from tallywise.sources.staging import staged
 
 #: A package is closed once its records have this many bytes; members are read through, and ranges dealt to tasks, by so many.
@@ -281,10 +281,11 @@ def write_packages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Packages (one per row, column ``package``) with a record for each row of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     keys = staged(pages.select("page_id", "sha", F.octet_length("html").alias("n")))
-    groups = keys.filter(F.col("n") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("winner"), F.count(F.lit(1)).alias("times")).filter("times > 1 AND winner IS NOT NULL")
-    decided = keys.filter(F.col("n") >= min_bytes).join(groups.hint("merge"), "sha").filter("NOT page_id <=> winner")
+    large = keys.filter(F.col("n") >= min_bytes)
+    groups = staged(large.groupBy("sha").agg(F.min("page_id").alias("winner"), F.count(F.lit(1)).alias("times")).filter("times > 1 AND winner IS NOT NULL"))
+    decided = split_join(large, groups, ["sha"], "times", keys.count()).filter("NOT page_id <=> winner")
     decided = staged(decided.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("winner").alias("refers_to")).distinct())
-    marked = pages.join(decided.hint("shuffle_hash"), pages["page_id"].eqNullSafe(decided["p"]) & (pages["sha"] == decided["s"]), "left")
+    marked = pages.join(decided.hint("merge"), pages["page_id"].eqNullSafe(decided["p"]) & (pages["sha"] == decided["s"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, bytes]] = []
