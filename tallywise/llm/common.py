@@ -38,6 +38,22 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], times: str, t
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
+def sampled(rows: DataFrame, key: str, per: int, salt: str, id_col: str = "doc_id") -> DataFrame:
+    """Of each value of ``key`` the rows whose hash of id and salt is under a threshold: all, or about ``per + 4 * sqrt(per)``.
+
+    The threshold comes from the counts of the values, so no task ranks the rows of one value.
+    """
+    from pyspark.sql import functions as F
+
+    from tallywise.sources.staging import staged
+
+    size = spare_name(rows, "n_rows")
+    counts = staged(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(size)))
+    total = counts.agg(F.sum(size)).first()[0] or 0
+    drawn = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(salt)), 11) / float(1 << 53)
+    return split_join(rows, counts, [key], size, total).filter(drawn * F.col(size) < per + 4 * per**0.5 + 4).drop(size)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

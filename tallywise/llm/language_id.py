@@ -3,8 +3,8 @@
 The network reads the bytes of each run of letters (ASCII letters lower-cased; long runs in windows
 of ``WINDOW`` bytes) in both directions and labels every position; the probabilities of a
 document's positions are pooled.  It is trained in numpy by backpropagation through time, on the
-driver, from a bounded sample of labelled documents: ``per_language`` documents for each language, in
-hash order, of longer ones ``PIECES`` even pieces of ``longest`` characters together.  Beyond
+driver, from a bounded sample of labelled documents: about ``per_language`` documents for each language (all,
+or those whose hash is under a threshold), of longer ones ``PIECES`` even pieces of ``longest`` characters together.  Beyond
 ``most_languages`` languages each has fewer documents, so that all are learned from as many documents.
 At most ``most_windows`` windows are read, as evenly over the languages as these have them.  State
 starts anew at each run, so equal runs give equal labels: a task labels each distinct run once.
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import SpanCache, held_out, lower_ascii, per_text, runs, slices, span_hashes, utf8
+from tallywise.llm.common import SpanCache, held_out, lower_ascii, per_text, runs, sampled, slices, spare_name, span_hashes, utf8
 from tallywise.sources.staging import staged
 
 WINDOW, HIDDEN, PIECES = 24, 16, 8
@@ -140,12 +140,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The network and its languages, from the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") >= 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("language")), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    ids = ids.orderBy("r", "lang", "doc_id").limit(per_language * most_languages).toArrow()
-    if not ids.num_rows:
+    per = max(1, int(per_language * min(1.0, most_languages / max(1, known.select("lang").distinct().count()))))
+    chosen = staged(sampled(known.select("doc_id", "lang"), "lang", per, "language").select("doc_id").distinct())
+    if chosen.isEmpty():
         return None, []
-    chosen = docs.sparkSession.createDataFrame(ids.select(["doc_id"])).distinct()
     size, length = max(1, longest // PIECES), F.length("text")
     pieces = [F.col("text").substr(F.floor((length - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
     known = known.withColumn("text", F.when(length <= longest, F.col("text")).otherwise(F.concat_ws(" ", *pieces)))
@@ -220,10 +218,14 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", **params) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **params) -> DataFrame:
     """``docs`` without the documents whose language is ``und`` or has a pooled probability under ``least``.
 
-    Rows that repeat a doc_id stay if any of them does.
+    A row is judged by its own text, also where rows repeat a doc_id.
     """
-    good = staged(languages(docs, id_col, **params).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(good.hint("shuffle_hash"), docs[id_col].eqNullSafe(good["__id"]), "left_semi")
+    net, langs = fit(docs, id_col, text_col, lang_col, **params)
+    key = spare_name(docs, "row_hash")
+    marked = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    found = predict(marked, net, langs, key, text_col)
+    good = staged(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias(key)).distinct())
+    return marked.join(good.hint("merge"), key, "left_semi").select(*docs.columns)

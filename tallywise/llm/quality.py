@@ -6,8 +6,8 @@ the word and its shape (runs of upper case, lower case, digits; other signs as t
 share of words that repeat the one before, and two bins: share of distinct words, and word count.
 A mean of per-word features needs only per-word weights, so a task weighs each distinct word once.
 
-Fitted in numpy on the driver on at most ``per_grade`` rated documents of each grade, in hash order,
-none of them held out.  Null and empty texts have the bins alone.  Without ratings every
+Fitted in numpy on the driver on about ``per_grade`` rated documents of each grade (all, or those whose
+hash is under a threshold), none of them held out.  Null and empty texts have the bins alone.  Without ratings every
 probability is 0.  Rows that repeat a doc_id are graded each; of repeated ratings the lowest counts.
 """
 
@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import SpanCache, held_out, lower_ascii, per_text, slices, span_hashes, utf8, words
+from tallywise.llm.common import SpanCache, held_out, lower_ascii, per_text, sampled, slices, span_hashes, utf8, words
+from tallywise.sources.staging import staged
 
 #: Buckets of hashed features; behind them the repeat share, 10 bins of distinct share, 16 of length.
 BITS = 15
@@ -86,8 +87,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = 2000, rounds: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> Grades | None:
     """``docs`` (doc_id, text), ``ratings`` (doc_id, grade from 0)."""
     once = ratings.filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id")
-    few = once.filter(~held_out(F.col("doc_id"))).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_grade).select("doc_id", "grade")
+    few = staged(sampled(once.filter(~held_out(F.col("doc_id"))), "grade", per_grade, "quality").select("doc_id", "grade"))
     table = _rows(docs.join(F.broadcast(few), "doc_id").select("grade", "text")).toArrow()
     if not table.num_rows:
         return None
@@ -103,22 +103,7 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = 2000, rounds: int
     w, first, steps = np.zeros(SIZE), np.zeros(1), np.zeros(kinds - 1)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, first, steps)]
     for t in range(1, rounds + 1):
-        f = np.bincount(owner, vals * w[cols], len(y))
-        cuts = np.concatenate([first, first + np.cumsum(np.exp(steps))])
-        # log-likelihood of grade k is that of log(s_k - s_{k+1}) with s_j = sigmoid(f - cut_j)
-        s = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -30, 30)))
-        bound = np.concatenate([np.ones((len(y), 1)), s, np.zeros((len(y), 1))], axis=1)
-        rows = np.arange(len(y))
-        p = np.maximum(bound[rows, y] - bound[rows, y + 1], 1e-9)
-        slope = s * (1 - s)
-        d = np.zeros_like(s)  # of the log-likelihood by each s
-        low = y > 0
-        d[rows[low], y[low] - 1] += 1 / p[low]
-        high = y < kinds
-        d[rows[high], y[high]] -= 1 / p[high]
-        by = -(weight[:, None] * d * slope)
-        cut_grad = -by.sum(0)
-        grads = (np.bincount(cols, vals * by.sum(1)[owner], SIZE) + ridge * w, cut_grad.sum(keepdims=True), np.array([cut_grad[j + 1 :].sum() for j in range(kinds - 1)]) * np.exp(steps))
+        _, grads = loss_and_gradients(w, first, steps, owner, cols, vals, y, weight, ridge)
         for param, g, (m, v) in zip((w, first, steps), grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -126,6 +111,29 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = 2000, rounds: int
     return Grades(w, np.concatenate([first, first + np.cumsum(np.exp(steps))]))
 
 
+def loss_and_gradients(w: np.ndarray, first: np.ndarray, steps: np.ndarray, owner: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, tuple[np.ndarray, ...]]:
+    """Weighted negative log-likelihood of the grades, with a ridge, and its gradients by weights, first threshold and log-steps.
+
+    Entry i of ``cols`` and ``vals`` is a feature of row ``owner[i]``.  The likelihood of grade k is s_k - s_{k+1} with
+    s_j = sigmoid(f - cut_j).
+    """
+    f = np.bincount(owner, vals * w[cols], len(y))
+    cuts = np.concatenate([first, first + np.cumsum(np.exp(steps))])
+    kinds = len(cuts)
+    s = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -30, 30)))
+    bound = np.concatenate([np.ones((len(y), 1)), s, np.zeros((len(y), 1))], axis=1)
+    rows = np.arange(len(y))
+    p = np.maximum(bound[rows, y] - bound[rows, y + 1], 1e-9)
+    d = np.zeros_like(s)  # of the log-likelihood by each s
+    low, high = y > 0, y < kinds
+    d[rows[low], y[low] - 1] += 1 / p[low]
+    d[rows[high], y[high]] -= 1 / p[high]
+    by = -(weight[:, None] * d * s * (1 - s))
+    cut_grad = -by.sum(0)
+    loss = -(weight * np.log(p)).sum() + ridge / 2 * (w**2).sum()
+    return loss, (np.bincount(cols, vals * by.sum(1)[owner], len(w)) + ridge * w, cut_grad.sum(keepdims=True), np.array([cut_grad[j + 1 :].sum() for j in range(kinds - 1)]) * np.exp(steps))
+
+
 def grade(docs: DataFrame, model: Grades | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_grade, and tails: the probabilities of each grade from 1 on or a higher one."""
     kept = docs.sparkSession.sparkContext.broadcast(model)

@@ -14,8 +14,8 @@ segments are to be expected in a clean document of that length.  The passages of
 aggregated by the sum statistic of r segments; its log p-value goes through a logistic at the
 threshold that parts the calibration documents best.
 
-Learned from at most ``per_label`` labelled documents of each label, in hash order, whole texts,
-none of them held out; one fifth of all rows by the same remainder (4) calibrates.  Null or empty
+Learned from about ``per_label`` labelled documents of each label (all, or those whose hash is under a
+threshold), whole texts, none of them held out; one fifth of all rows by the same remainder (4) calibrates.  Null or empty
 texts score as clean.  Without labelled rows every score is 0.  Rows that repeat a doc_id are
 scored each; repeated labels count as toxic if any is.
 """
@@ -28,10 +28,11 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import SpanCache, held_out, lower_ascii, runs, slices, span_hashes, utf8
+from tallywise.llm.common import SpanCache, held_out, lower_ascii, runs, sampled, slices, span_hashes, utf8
+from tallywise.sources.staging import staged
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
@@ -88,19 +89,21 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     Only positive entries can begin or end one, so the scan visits these and reads the sums between them.
     """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    kept: list[tuple[int, int, float, float]] = []
+    # start, end, sums before and after, and the nearest kept one before with a lower sum before it
+    kept: list[tuple[int, int, float, float, int]] = []
     for i in np.flatnonzero(scores > 0).tolist():
         start, low, high = i, total[i], total[i + 1]
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= low:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= high:
                 break
-            start, low = kept[j][0], kept[j][2]
+            start, _, low, _, before = kept[j]
             del kept[j:]
-        kept.append((start, i + 1, low, high))
-    return [(a, b, float(high - low)) for a, b, low, high in kept]
+            j = before
+        kept.append((start, i + 1, low, high, j))
+    return [(a, b, float(high - low)) for a, b, low, high, _ in kept]
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -128,9 +131,9 @@ def _counts(docs: DataFrame) -> DataFrame:
 def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
     """(text, toxic, fold) of the bounded sample of labelled rows that are not held out."""
     once = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id")
-    few = once.filter(~held_out(F.col("doc_id"))).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
-    few = few.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"))
+    open_ = once.filter(~held_out(F.col("doc_id"))).select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    few = staged(sampled(open_, "toxic", per_label, "toxic"))
+    few = few.select("doc_id", "toxic", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"))
     return docs.join(F.broadcast(few), "doc_id").select("text", "toxic", "fold")
 
 

@@ -84,6 +84,121 @@ def test_segments_against_brute_force():
         assert got == [(a, b, round(s, 6)) for a, b, s in best_segments(list(scores))]
 
 
+def test_segments_of_falling_sums_take_linear_time():
+    import time
+
+    scores = np.tile([1.0, -1.5], 100_000)
+    began = time.time()
+    assert len(toxicity.maximal_segments(scores)) == 100_000 and time.time() - began < 3
+    began = time.time()
+    assert len(toxicity.maximal_segments(np.tile([1.0, -0.5], 100_000))) == 1 and time.time() - began < 3
+
+
+def test_scores_against_brute_force(spark, docs):
+    import math
+    import re
+
+    rows = [(i, "the day was fine and we went " * (i % 5) + ("Vile vile scum! " if i % 2 else "") + f"home by train{i % 7}") for i in range(300)] + [(900, None), (901, ""), (902, "vile " * 3000), (903, "vile")]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    texts = docs(rows).select("doc_id", "text")
+    model = toxicity.fit(texts, lab)
+    learned = [(t.lower(), i % 2) for i, t in rows[:300] if binascii_crc(i) % 5 not in (0, 4)]
+    token = re.compile(r"[a-z0-9_\x80-\U0010ffff]+")
+    seen = {n: {} for n in (4, 5, 99)}
+    for t, y in learned:
+        for n, table in seen.items():
+            for w in {x[:n] for x in token.findall(t)}:
+                c = table.setdefault(w, [0, 0])
+                c[0] += y
+                c[1] += 1
+    base = math.log(sum(y for _, y in learned) / sum(1 - y for _, y in learned))
+
+    def odds(w):
+        share = 1 / (1 + math.exp(-base))
+        for n in (4, 5, 99):
+            t, k = seen[n].get(w[:n], (0, 0)) if seen[n].get(w[:n], (0, 0))[1] >= 2 else (0, 0)
+            share = (t + 4 * share) / (k + 4)
+        return math.log(share / (1 - share)) - base
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxic_passages(texts, model).collect()}
+    for i, t in rows:
+        ws = token.findall((t or "").lower())
+        scores = [(0.0 if k and w == ws[k - 1] else odds(w)) - 1.0 for k, w in enumerate(ws)]
+        parts = [s for *_, s in toxicity.maximal_segments(np.array(scores))] if scores else []
+        x = sorted(((s - model.place) / model.scale - math.log(max(len(ws), 1)) for s in parts), reverse=True)
+        best, total = 0.0, 0.0
+        for r, v in enumerate([v for v in x if v > 0], 1):
+            total += v
+            best = min(best, -total + (r - 1) * math.log(max(total, 1)) - math.lgamma(r + 1) - math.lgamma(r) + r * math.log(2))
+        assert abs(got[i] - 1 / (1 + math.exp(best - model.cut))) < 1e-5, i
+
+
+def binascii_crc(i):
+    import binascii
+
+    return binascii.crc32(str(i).encode())
+
+
+def test_language_pooling_against_brute_force(docs):
+    net = language_id.ByteGru(3, seed=5)
+    text = "Hello wörld, this isaverylongrunofletterswithoutanyspaceinit ok x\nñandú 12 z"
+    got = language_id.predict(docs([(1, text)]), net, ["a", "b", "c"]).first()
+    data = text.encode()
+    data = bytes(c + 32 if 65 <= c <= 90 else c for c in data)
+    letter = [97 <= c <= 122 or c >= 128 for c in data]
+    runs, at = [], 0
+    while at < len(data):
+        if letter[at]:
+            end = at
+            while end < len(data) and letter[end] and end - at < language_id.WINDOW:
+                end += 1
+            runs.append(data[at:end])
+            at = end
+        else:
+            at += 1
+    p = np.concatenate([net.label(np.frombuffer(w, np.uint8)[None])[:, 0] for w in runs]).mean(0)
+    assert got["lang_pred"] == "abc"[p.argmax()] and abs(got["score"] - p.max()) < 1e-5
+
+
+def test_rows_of_one_id_are_kept_by_their_own_text(docs):
+    rows = [(i, f"{'kato mika tako ' if i % 2 else 'dwerg strupf klonz '}" * 20, "ab"[i % 2]) for i in range(60)] + [(1, "1234"), (1, None), (2, "!!")]
+    kept = language_id.keep_identified(docs(rows), steps=60).collect()
+    assert len(kept) == 60 and all(r["text"] and r["text"][0] in "kd" for r in kept)
+
+
+def test_samples_follow_a_threshold(spark):
+    from tallywise.llm.common import sampled
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, 1).otherwise(0).alias("grade"))
+    got = {r["grade"]: r["count"] for r in sampled(rows, "grade", 400, "x").groupBy("grade").count().collect()}
+    assert got[1] == 20 and 400 <= got[0] <= 400 + 160
+    assert sorted(map(tuple, sampled(rows, "grade", 50, "x").collect())) == sorted(map(tuple, sampled(rows.repartition(9), "grade", 50, "x").collect()))
+
+
+def test_quality_gradients():
+    r = np.random.default_rng(3)
+    owner = np.repeat(np.arange(12), 4)
+    cols, vals, y = r.integers(0, 9, 48), r.normal(0, 1, 48), r.integers(0, 4, 12)
+    weight = r.random(12)
+    params = [r.normal(0, 1, 9), r.normal(0, 1, 1), r.normal(0, 0.3, 2)]
+    loss = lambda: quality.loss_and_gradients(*params, owner, cols, vals, y, weight, 0.1)
+    # the likelihood itself, by the definition of cumulative links
+    cuts = np.concatenate([params[1], params[1] + np.cumsum(np.exp(params[2]))])
+    f = np.array([(vals * params[0][cols])[owner == i].sum() for i in range(12)])
+    above = lambda i, k: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + np.exp(cuts[k - 1] - f[i]))
+    want = -sum(weight[i] * np.log(above(i, y[i]) - above(i, y[i] + 1)) for i in range(12)) + 0.05 * (params[0] ** 2).sum()
+    assert abs(loss()[0] - want) < 1e-9
+    for p, g in zip(params, loss()[1], strict=True):
+        for k in range(len(p)):
+            keep = p[k]
+            p[k] = keep + 1e-5
+            up = loss()[0]
+            p[k] = keep - 1e-5
+            down = loss()[0]
+            p[k] = keep
+            assert abs((up - down) / 2e-5 - g[k]) < 1e-5
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, lab = documents(spark, sf).filter("doc_id IS NOT NULL"), labels(spark, sf)
