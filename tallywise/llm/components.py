@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tallywise.sources.staging import release, staged
 
 
+#: A node with no more neighbours than this is joined like any other.
+HEAVY = 20_000
+
+
 def _large(links: DataFrame, heavy: int | None) -> DataFrame:
     """Points the larger neighbours of each node at the smallest of them and the node itself.
 
@@ -53,6 +57,6 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = row[:2]
         # at most 8 a shuffle partition have more neighbours than this
-        heavy = row[0] // (8 * parts) + 1
+        heavy = max(HEAVY, row[0] // (8 * parts))
         before, now = now, staged(_small(_large(now, heavy if row[2] > heavy else None)))
         release(before)

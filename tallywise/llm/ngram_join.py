@@ -13,8 +13,8 @@ rows at the end.  Two sets link when ``100 * intersection >= percent * union``.
   still add up to a high cost, the prefix grows by one more and two matches are needed.
 * Where a document has fewer cheap shingles than the prefix needs, all links of it are with
   documents of the same sort, through costly shingles.  Those lists are searched from a pivot,
-  then, while members are outside the pivot's component, from more of these as pivots, four times
-  as many in each round, until all were.
+  then, while members are outside the pivot's component, from more of these as pivots, ``MORE``
+  times as many in each round, until all were.
 * Candidates go through an upper bound from 64-bin histograms of the sets, then the exact test.
   Copies in a group need no pair each: each document is first tested with its smallest
   partner, and then only pairs that are still in different components.
@@ -50,8 +50,10 @@ COSTLY_MOST = 1 << 20
 WARM, DEAR = 17, 200
 #: Row ids of classes are broadcast up to this number (8 bytes each); beyond it they are joined.
 IDS_MOST = 2_000_000
-#: Pairs are tested in parts by either end, so many squared, to bound the shuffled sets that are on disk at once.
-SIDES = 2
+#: More pairs than PAIRS are tested in parts by either end, SIDES squared, to bound the shuffled sets that are on disk at once.
+SIDES, PAIRS = 2, 50_000
+#: Pivots of a costly list in a round by those of the round before.
+MORE = 16
 #: Tasks over which a costly list is dealt.
 SALTS = 16
 
@@ -282,15 +284,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # a part at a time, since each pair carries a set through the shuffle
     pairs, out = staged(pairs), None
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SIDES))
-    for i in range(SIDES):
+    sides = SIDES if pairs.count() > PAIRS else 1
+    # only the sets that these pairs ask for are shuffled
+    ends = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = sets.join(F.broadcast(ends) if ends.count() <= IDS_MOST else ends.hint("merge"), "id", "left_semi")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    for i in range(sides):
         a = sets.filter(part("id") == i).select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("shuffle_merge")
-        for j in range(SIDES):
+        for j in range(sides):
             b = sets.filter(part("id") == j).select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("shuffle_merge")
             some = pairs.filter((part("a") == i) & (part("b") == j))
             found = staged(some.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
             out = found if out is None else out.unionByName(found)
-    release(pairs)
+    release(pairs, ends)
     return out
 
 
@@ -313,7 +319,7 @@ def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, full: Dat
     """More links and components, from pairs that share costly shingles alone.
 
     The first pivot of a list is compared with all members.  Every member that is not in its component when its turn comes
-    is compared with all members of other components, four times as many in each round as before; so of two members one
+    is compared with all members of other components, MORE times as many in each round as before; so of two members one
     has met the other, or both are in the first pivot's component.
     """
     room = F.least("ha", "hb")
@@ -335,11 +341,12 @@ def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, full: Dat
             break
         pivots = open_.filter(F.col("turn") <= until)
         pairs = staged(_met_in_lists(side(pivots, "a"), side(placed, "b")).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if not pairs.isEmpty():
-            links = links.unionByName(_linked(pairs, full, percent))
+        new = _linked(pairs, full, percent)
+        if not new.isEmpty():
+            links = links.unionByName(new)
             found = components(links)
         release(pairs, placed, centre, place)
-        done, until = until, max(4.0, 4 * until)
+        done, until = until, max(1.0, until) * MORE
     release(placed, centre, place, lead)
     return links, found
 
