@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def greedy(utilities: DataFrame, budget: int, coverage: str = "none", soft_lambd
         ranked = ranked.filter(F.col("r") <= max_per_item)
     if coverage == "soft":
         if caps is not None:
-            raise ValueError("soft coverage takes no annotator caps")
+            return _soft_capped(pairs, budget, soft_lambda, max_per_item, caps)
         return _slots(ranked.withColumn("u", F.col("u") - soft_lambda * (F.col("r") - 1)), budget)
     if coverage != "hard":
         raise ValueError(f"coverage: {coverage}")
@@ -109,6 +110,36 @@ def greedy(utilities: DataFrame, budget: int, coverage: str = "none", soft_lambd
     return _slots(out if out is not None else pairs.withColumn("r", F.lit(0)).limit(0), budget, *_best(F.col("r")))
 
 
+def _soft_capped(pairs: DataFrame, budget: int, soft_lambda: float, per_item: int | None, caps: DataFrame) -> DataFrame:
+    """Soft coverage under annotator caps, in rounds.
+
+    A score only falls as its item gets labels.  So an item's best pair is taken with its present score if, among the
+    annotator's open pairs by their present scores, it ranks within what is left to the annotator.  Pairs below the scores
+    that fill the budget are dropped.
+    """
+    open_ = pairs.join(caps.select("annotator_id", F.col("cap").cast("long").alias("cap")).hint("merge"), "annotator_id").filter("cap > 0")
+    open_ = staged(open_.select(*_KEY, "u", F.col("u").alias("score"), "cap", F.lit(0).cast("long").alias("n")))
+    out, count = None, 0
+    by_score = [F.col("score").desc(), F.col("item_id"), F.col("annotator_id")]
+    while True:
+        ranked = open_.withColumn("ri", _rank("item_id", order=by_score)).withColumn("ra", _rank("annotator_id", order=by_score))
+        won = staged(ranked.filter("ri = 1 AND ra <= cap").select(*_KEY, F.col("score").alias("u")))
+        new = won.count()
+        if not new:
+            return _slots(out if out is not None else pairs.limit(0), budget)
+        out, count = won if out is None else staged(out.unionByName(won).orderBy(*_best()).limit(budget)), min(count + new, budget)
+        used_i = won.select("item_id", F.lit(1).alias("ti"))
+        used_a = won.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("ta"))
+        rest = open_.join(won.select(*_KEY), list(_KEY), "left_anti").join(used_i.hint("merge"), "item_id", "left").join(used_a.hint("merge"), "annotator_id", "left")
+        n, cap = F.col("n") + F.coalesce("ti", F.lit(0)), F.col("cap") - F.coalesce("ta", F.lit(0))
+        rest = rest.select(*_KEY, "u", (F.col("u") - soft_lambda * n).alias("score"), cap.alias("cap"), n.alias("n")).filter("cap > 0")
+        if per_item is not None:
+            rest = rest.filter(F.col("n") < per_item)
+        if count == budget:
+            rest = rest.filter(F.col("score") >= out.agg(F.min("u")).first()[0])
+        open_ = staged(rest)
+
+
 def cosine_value(high: float, low: float | None, cycle: int, period: int) -> float:
     """From ``high`` at cycle 0 to ``low`` from ``period`` on; constant without ``low``."""
     if low is None:
@@ -117,36 +148,64 @@ def cosine_value(high: float, low: float | None, cycle: int, period: int) -> flo
 
 
 def epsilon_greedy(utilities: DataFrame, budget: int, epsilon: float, cycle: int = 0, seed: int = 0, coverage: str = "none", top_m: int | None = None) -> DataFrame:
-    """Each slot takes the best pair left, or with chance ``epsilon`` a random one (of the ``top_m`` best, if given).
+    """Each slot takes the best pair left, or with chance ``epsilon`` a random one of those left (of the ``top_m`` best left, if given).
 
-    Only the first ``budget`` pairs of either order can be needed, so two lists of that length are merged.  With hard coverage the
-    merge goes level by level: an item's k-th choice waits for the levels before it.
+    With hard coverage items get their first labels before any its second, level by level; a level is over when every item with an
+    open pair has one more label.  Only so many pairs from the top of the order by utility, and of a random order, can be needed
+    as the budget (and ``top_m``) allow; these are dealt out in one task, and a level after a level with hard coverage.
     """
     pairs = utilities.select(*_KEY, "u").filter("u IS NOT NULL AND NOT isnan(u)")
-    rows = pairs.withColumn("x", uniform(seed, F.lit(cycle), "item_id", "annotator_id"))
-    level = F.lit(1) if coverage == "none" else _rank("item_id")
-    rows = rows.withColumn("r", level)
-    if coverage == "none" and top_m is not None:
-        near = rows.orderBy(*_best()).limit(top_m)
-    else:
-        near = rows
-    best = rows.orderBy(*_best(F.col("r"))).limit(budget).select(*_KEY, "r").collect()
-    random = near.orderBy("r", "x", *_KEY).limit(budget).select(*_KEY, "r").collect()
-    spark = utilities.sparkSession
-    flips = [r[0] for r in spark.range(max(budget, 0)).orderBy("id").select(uniform(seed, F.lit(cycle), F.lit("slot"), F.col("id"))).collect()]
-    taken: list[tuple[int, int, int]] = []
-    seen: set[tuple[int, int]] = set()
-    for slot, flip in enumerate(flips):
-        level_now = min((p["r"] for p in best if (p[0], p[1]) not in seen), default=None)
-        if level_now is None:
+    pairs = pairs.withColumn("x", uniform(seed, F.lit(cycle), "item_id", "annotator_id"))
+    spark, hard = utilities.sparkSession, coverage == "hard"
+    out, count = spark.createDataFrame([], "slot int, item_id long, annotator_id long"), 0
+    widest = (pairs.groupBy("item_id").count().agg(F.max("count")).first()[0] or 0) if hard and top_m is not None else 1
+    open_ = staged(pairs) if hard else pairs
+    while count < budget:
+        left = budget - count
+        if top_m is not None:
+            lists = open_.orderBy(*_best()).limit(top_m + left * widest).withColumn("random", F.lit(False))
+        else:
+            one = lambda order: open_.withColumn("r", _rank("item_id", order=order)).filter("r = 1").drop("r") if hard else open_
+            by_x = [F.col("x"), *[F.col(k) for k in _KEY]]
+            best = one(_best()).orderBy(*_best()).limit(left).withColumn("random", F.lit(False))
+            lists = best.unionByName(one(by_x).orderBy(*by_x).limit(left).withColumn("random", F.lit(True)))
+        draws = spark.range(count, budget).select("id", *[uniform(seed, F.lit(cycle), F.lit(name), F.col("id")).alias(name) for name in ("slot", "pick")])
+        rows = lists.select(*_KEY, "u", "x", "random", F.lit(None).cast("double").alias("slot"), F.lit(None).cast("double").alias("pick"))
+        slots = draws.select(F.col("id").alias("item_id"), F.lit(None).cast("long").alias("annotator_id"), F.lit(0.0).alias("u"), F.lit(0.0).alias("x"), F.lit(None).cast("boolean").alias("random"), "slot", "pick")
+        rows = rows.select(F.col("item_id").cast("long").alias("item_id"), F.col("annotator_id").cast("long").alias("annotator_id"), F.col("u").cast("double").alias("u"), "x", "random", "slot", "pick")
+
+        def deal(part: pd.DataFrame) -> pd.DataFrame:
+            flips, part = part[part["random"].isna()].sort_values("item_id"), part[part["random"].notna()]
+            key = lambda rows, order, up: list(zip(*(rows.sort_values([order, *_KEY], ascending=[up, True, True])[k] for k in _KEY), strict=True))
+            best, drawn = key(part[part["random"] == False], "u", False), key(part[part["random"] == True], "x", True)  # noqa: E712
+            gone, at, taken = set(), {False: 0, True: 0}, []
+            mark = (lambda p: p[0]) if hard else (lambda p: p)
+            for slot, flip, pick in zip(flips["item_id"], flips["slot"], flips["pick"], strict=True):
+                explores = flip < epsilon
+                if top_m is not None:
+                    here = best[int(pick * min(top_m, len(best))) if explores else 0] if best else None
+                    best = [p for p in best if mark(p) != mark(here)] if here else best
+                else:
+                    some = drawn if explores else best
+                    while at[explores] < len(some) and mark(some[at[explores]]) in gone:
+                        at[explores] += 1
+                    here = some[at[explores]] if at[explores] < len(some) else None
+                if here is None:
+                    break
+                gone.add(mark(here))
+                taken.append((int(slot), *here))
+            return pd.DataFrame(taken, columns=["slot", *_KEY])
+
+        won = staged(rows.unionByName(slots).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(deal, "slot int, item_id long, annotator_id long"))
+        n = won.count()
+        if not n:
             break
-        lists = (random, best) if flip < epsilon else (best, random)
-        pick = next(((p[0], p[1]) for some in lists for p in some if p["r"] == level_now and (p[0], p[1]) not in seen), None)
-        if pick is None:
+        out, count = out.unionByName(won), count + n
+        if not hard:
             break
-        seen.add(pick)
-        taken.append((slot, *pick))
-    return spark.createDataFrame(taken, "slot int, item_id long, annotator_id long")
+        # items without an open pair drop out by themselves; all others have their label of this level
+        open_ = staged(open_.join(won.select(*_KEY).hint("merge"), list(_KEY), "left_anti"))
+    return out
 
 
 def softmax_sample(utilities: DataFrame, budget: int, temperature: float, cycle: int = 0, seed: int = 0, coverage: str = "none") -> DataFrame:

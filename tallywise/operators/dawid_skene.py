@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywise.operators.aggregate import class_prior, classes, confusions, confusions_with_prior, dense, majority_vote, soft_votes
-from tallywise.sources.staging import staged
+from tallywise.sources.staging import release, staged
 
 TINY = 1e-12
 
@@ -22,6 +22,10 @@ def _normalised(scores: DataFrame) -> DataFrame:
     return top.select("item_id", "class", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
+#: Machine precision, which keeps logarithms finite.
+EPS = 2.0**-52
+
+
 def expectation(annotations: DataFrame, confusion: DataFrame, prior: DataFrame, n_classes: int) -> DataFrame:
     """Posteriors from priors (class, p) or (item_id, class, p) and the confusion of every label given."""
     given = annotations.join(confusion, ["annotator_id", "label"]).groupBy("item_id", F.col("truth").alias("class")).agg(F.sum(F.ln(F.greatest("p", F.lit(TINY)))).alias("l"))
@@ -55,8 +59,10 @@ def dawid_skene(annotations: DataFrame, n_classes: int, max_iter: int = 100, tol
             prior = staged(class_prior(post))
             c = staged(confusions(labels, post, n_classes, smoothing))
             new = staged(expectation(labels, c, prior, n_classes))
+            release(prior, c)
             old = post.select("item_id", "class", F.col("p").alias("o"))
             change = new.join(old, ["item_id", "class"]).agg(F.max(F.abs(F.col("p") - F.col("o")))).first()[0]
+            release(post)
             post, info = new, {"iterations": info["iterations"] + 1, "change": change, "converged": change <= tol}
             if change <= tol:
                 break
@@ -78,24 +84,40 @@ def log_likelihood(annotations: DataFrame, confusion: DataFrame, prior: DataFram
 
 
 def crowd_em(annotations: DataFrame, n_classes: int, features: DataFrame | None = None, max_iter: int = 10, tol: float = 1e-3, prior_full: float = 1.0, prior_diag: float = 0.0, reg: float = 1e-3) -> tuple[DataFrame, DataFrame, dict]:
-    """Posteriors, confusions, {iterations, objective}: EM with a classifier of the features (item_id, x) as class model.
+    """Posteriors, confusions, {iterations, objective, history}: EM with a classifier of the features (item_id, x) as class model.
 
-    The classifier is refitted on the posteriors as weights at each step; without features the class prior takes its place.  Stops
-    when the mean objective changes by ``tol`` or less.
+    Each step takes the confusions from the posteriors, refits the classifier on these as weights (without features the class
+    prior takes its place), and takes new posteriors.  The objective is their expected log-likelihood and the log-density
+    of the confusions' Dirichlet prior; it stops when that changes by less than ``tol``.
     """
     labels = annotations.select("item_id", "annotator_id", "label")
-    post, info, before = staged(dense(soft_votes(labels), n_classes)), {"iterations": 0, "objective": None}, None
-    c = staged(confusions_with_prior(labels, post, n_classes, prior_full, prior_diag))
-    while info["iterations"] < max_iter:
-        model = class_prior(post) if features is None else staged(class_model(features, post, n_classes, reg))
-        new = staged(expectation(labels, c, model, n_classes))
-        objective = new.join(post.select("item_id", "class", F.col("p").alias("o")), ["item_id", "class"]).agg(F.avg(F.abs(F.col("p") - F.col("o")))).first()[0]
-        post, info = new, {"iterations": info["iterations"] + 1, "objective": objective}
+    post, history = staged(dense(soft_votes(labels), n_classes)), []
+    c = None
+    while len(history) < max_iter:
+        old = c
         c = staged(confusions_with_prior(labels, post, n_classes, prior_full, prior_diag))
-        if before is not None and abs(before - objective) <= tol:
+        model = class_prior(post) if features is None else class_model(features, post, n_classes, reg)
+        model = staged(model)
+        new = staged(expectation(labels, c, model, n_classes))
+        history.append(em_objective(labels, c, model, new, prior_full, prior_diag))
+        release(post, model, *([old] if old is not None else []))
+        post = new
+        if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
             break
-        before = objective
-    return post, c, info
+    return post, c, {"iterations": len(history), "objective": history[-1] if history else None, "history": history}
+
+
+def em_objective(annotations: DataFrame, confusion: DataFrame, model: DataFrame, post: DataFrame, prior_full: float = 1.0, prior_diag: float = 0.0) -> float:
+    """Sum of posterior * log(class probability * product of label probabilities), and of (prior - 1) * log(confusion).
+
+    ``model`` is (class, p) or (item_id, class, p); the prior of a cell is ``prior_full``, on the diagonal with ``prior_diag`` more.
+    """
+    given = annotations.join(confusion, ["annotator_id", "label"]).groupBy("item_id", F.col("truth").alias("class")).agg(F.product("p").alias("l"))
+    by = ["item_id", "class"] if "item_id" in model.columns else ["class"]
+    rows = post.select("item_id", "class", F.col("p").alias("q")).join(model.hint("merge"), by).join(given.hint("merge"), ["item_id", "class"], "left")
+    likelihood = rows.agg(F.sum(F.col("q") * F.ln(F.col("p") * F.coalesce("l", F.lit(1.0)) + EPS))).first()[0] or 0.0
+    excess = F.lit(prior_full - 1.0) + F.when(F.col("truth") == F.col("label"), prior_diag).otherwise(0.0)
+    return likelihood + (confusion.agg(F.sum(excess * F.ln(F.col("p") + EPS))).first()[0] or 0.0)
 
 
 def class_model(features: DataFrame, targets: DataFrame, n_classes: int, reg: float = 1e-3) -> DataFrame:

@@ -34,28 +34,53 @@ def _blocks(points: DataFrame, id_name: str, x_name: str) -> DataFrame:
     return packed.select(F.col("rows.item_id").alias(id_name), F.col("rows.x").alias(x_name))
 
 
+def _block_pairs(points: DataFrame, others: DataFrame) -> DataFrame:
+    """(ia, xa, ib, xb): every block of points with every block of others."""
+    return _blocks(points, "ia", "xa").crossJoin(_blocks(others, "ib", "xb"))
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Ids of either block and the squared distances between them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ia, ib = (batch.column(c)[i].values for c in ("ia", "ib"))
+            a, b = (np.asarray(batch.column(c)[i].values.flatten()).reshape(len(ids), -1) for c, ids in (("xa", ia), ("xb", ib)))
+            yield ia, ib, np.square(a[:, None, :] - b[None, :, :]).sum(2)
+
+
 def distances2(points: DataFrame, others: DataFrame) -> DataFrame:
     """(item_id, other_id, d2) of all combinations, block by block."""
     id_type = points.schema["item_id"].dataType.simpleString()
     other_type = others.schema["item_id"].dataType.simpleString()
-    pairs = _blocks(points, "ia", "xa").crossJoin(_blocks(others, "ib", "xb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ia, ib = (batch.column(c)[i].values for c in ("ia", "ib"))
-                a, b = (np.asarray(batch.column(c)[i].values.flatten()).reshape(len(ids), -1) for c, ids in (("xa", ia), ("xb", ib)))
-                d2 = np.square(a[:, None, :] - b[None, :, :]).sum(2)
-                at, to = np.divmod(np.arange(d2.size), len(ib))
-                yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(to)), pa.array(d2.ravel())], ["item_id", "other_id", "d2"])
+        for ia, ib, d2 in _distances(batches):
+            at, to = np.divmod(np.arange(d2.size), len(ib))
+            yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(to)), pa.array(d2.ravel())], ["item_id", "other_id", "d2"])
 
-    return pairs.mapInArrow(run, f"item_id {id_type}, other_id {other_type}, d2 double")
+    return _block_pairs(points, others).mapInArrow(run, f"item_id {id_type}, other_id {other_type}, d2 double")
 
 
 def nearest(features: DataFrame, k: int) -> DataFrame:
-    """(item_id, other_id, d2, rank): the k nearest others, fewer where there are fewer; ties by id."""
+    """(item_id, other_id, d2, rank): the k nearest others, fewer where there are fewer; ties by id.
+
+    Only the k nearest of each block leave the task that compares it.
+    """
+    id_type = features.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ia, ib, d2 in _distances(batches):
+            mine, theirs = ia.to_numpy(zero_copy_only=False), ib.to_numpy(zero_copy_only=False)
+            by_id = np.argsort(theirs, kind="stable")
+            d2 = np.where(mine[:, None] == theirs[None, by_id], np.inf, d2[:, by_id])
+            order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d2, order, 1)
+            at, to = np.nonzero(np.isfinite(near))
+            yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(by_id[order[at, to]])), pa.array(near[at, to])], ["item_id", "other_id", "d2"])
+
     w = Window.partitionBy("item_id").orderBy("d2", "other_id")
-    return distances2(features, features).filter("item_id <> other_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = _block_pairs(features, features).mapInArrow(run, f"item_id {id_type}, other_id {id_type}, d2 double")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def nearest_by_hashing(features: DataFrame, k: int, bucket_length: float, tables: int = 4, reach: float = 1.0, seed: int = 0) -> DataFrame:
@@ -76,7 +101,7 @@ def nearest_by_hashing(features: DataFrame, k: int, bucket_length: float, tables
 def neighbour_labels(features: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(item_id, class, p): labels of the k nearest neighbours; classes without one are absent."""
     y = items.select(F.col("item_id").alias("other_id"), F.col("y").alias("class"))
-    n = nearest(features, k).join(y, "other_id").groupBy("item_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    n = nearest(features, k).join(y.hint("merge"), "other_id").groupBy("item_id", "class").agg(F.count(F.lit(1)).alias("n"))
     return n.select("item_id", "class", (F.col("n") / F.sum("n").over(Window.partitionBy("item_id"))).alias("p"))
 
 
@@ -106,25 +131,98 @@ def ambiguity_templates(distribution: DataFrame, cells: DataFrame, n_classes: in
     return raw.select("cluster", "y", "class", (F.col("v") / F.sum("v").over(Window.partitionBy("cluster", "y"))).alias("p"))
 
 
-def bandwidth(points: DataFrame, stat: str | float = "median", by: str | None = None, lone: float = 1.0) -> DataFrame:
-    """One row (gamma), or one per value of ``by``: max(statistic of the distances, 1e-3) ** -2; ``lone`` for fewer than two points."""
+#: Bins of distances per power of two.
+BINS = 256
+
+
+def _statistic(points: DataFrame, stat: str, weight: str | None) -> float | None:
+    """Median, mean or minimum of the distances of all pairs of points, each as often as the product of its weights.
+
+    The distances stay in their tasks.  A histogram tells the bins in which the middle ranks are; a second pass returns
+    the distances in these bins alone, so the median is exact.  Points of weight n have n * (n - 1) / 2 distances of 0.
+    """
+    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    points = points.select(F.struct("item_id", n.alias("n")).alias("item_id"), "x")
+    own = points.agg(F.sum(F.col("item_id.n") * (F.col("item_id.n") - 1) / 2)).first()[0] or 0.0
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ia, ib, d2 in _distances(batches):
+            (mine, na), (theirs, nb) = ((c.field("item_id").to_numpy(zero_copy_only=False), c.field("n").to_numpy()) for c in (ia, ib))
+            at, to = np.nonzero(mine[:, None] < theirs[None, :])
+            yield np.sqrt(d2[at, to]), na[at] * nb[to]
+
+    bin_of = lambda d: np.where(d > 0, np.floor(np.log2(np.maximum(d, 1e-300)) * BINS), -(10**9)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, w in pairs(batches):
+            bins, back = np.unique(bin_of(d), return_inverse=True)
+            least = np.full(len(bins), np.inf)
+            np.minimum.at(least, back, d)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.bincount(back, w, len(bins)).astype(np.int64)), pa.array(np.bincount(back, w * d, len(bins))), pa.array(least)], ["bin", "n", "s", "least"])
+
+    both = _block_pairs(points, points)
+    table = both.mapInArrow(count, "bin long, n long, s double, least double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least")).toPandas().sort_values("bin")
+    total = int(table["n"].sum() + own)
+    if not total:
+        return None
+    if stat == "mean":
+        return float(table["s"].sum()) / total
+    if stat == "minimum":
+        return 0.0 if own else float(table["least"].min())
+    ranks = [(total - 1) // 2, total // 2]
+    ends = own + table["n"].cumsum().to_numpy()
+    bins = table["bin"].to_numpy()
+    wanted = {int(bins[np.searchsorted(ends, r, side="right")]) for r in ranks if r >= own}
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, w in pairs(batches):
+            some = np.isin(bin_of(d), list(wanted))
+            yield pa.RecordBatch.from_arrays([pa.array(bin_of(d[some])), pa.array(d[some]), pa.array(w[some])], ["bin", "d", "w"])
+
+    found, rows = [], both.mapInArrow(pick, "bin long, d double, w long")
+    for r in ranks:
+        if r < own:
+            found.append(0.0)
+            continue
+        i = int(np.searchsorted(ends, r, side="right"))
+        before, inside = (ends[i - 1] if i else own), int(table["n"].to_numpy()[i])
+        share = 0.0 if inside == 1 else (r - before) / (inside - 1)
+        found.append(rows.filter(F.col("bin") == int(bins[i])).agg(F.percentile("d", F.lit(float(share)), F.col("w"))).first()[0])
+        if ranks[0] == ranks[1]:
+            break
+    return float(np.mean(found))
+
+
+def bandwidth(points: DataFrame, stat: str | float = "median", by: str | None = None, lone: float = 1.0, weight: str | None = None) -> DataFrame:
+    """One row (gamma), or one per value of ``by``: max(statistic of the distances, 1e-3) ** -2; ``lone`` for fewer than two points.
+
+    ``weight`` names a column with the number of times that a point counts (without ``by``).
+    """
     keys = [by] if by else []
     if not isinstance(stat, str):
         return points.select(*keys).distinct().withColumn("gamma", F.lit(float(stat))) if by else points.sparkSession.range(1).select(F.lit(float(stat)).alias("gamma"))
-    if by:
-        b = points.select(by, F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
-        pairs = points.select(by, "item_id", "x").join(b, by).filter("item_id < other_id").withColumn("d2", distance2(F.col("x"), F.col("x2")))
-    else:
-        pairs = distances2(points, points).filter("item_id < other_id")
+    if not by:
+        value = _statistic(points, stat, weight)
+        gamma = lone if value is None else max(value, BANDWIDTH_FLOOR) ** -2.0
+        return points.sparkSession.range(1).select(F.lit(float(gamma)).alias("gamma"))
+    b = points.select(by, F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
+    pairs = points.select(by, "item_id", "x").join(b.hint("merge"), by).filter("item_id < other_id").withColumn("d2", distance2(F.col("x"), F.col("x2")))
     d = pairs.select(*keys, F.sqrt("d2").alias("d"))
     s = {"median": F.percentile("d", F.lit(0.5)), "mean": F.avg("d"), "minimum": F.min("d")}[stat]
     out = d.groupBy(*keys).agg(F.when(s.isNull(), lone).otherwise(F.pow(F.greatest(s, F.lit(BANDWIDTH_FLOOR)), F.lit(-2.0))).alias("gamma"))
-    return points.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("gamma", F.lit(lone)).alias("gamma")) if by else out
+    return points.select(*keys).distinct().join(out.hint("merge"), keys, "left").select(*keys, F.coalesce("gamma", F.lit(lone)).alias("gamma"))
 
 
 def kernel_weights(candidates: DataFrame, observed: DataFrame, gamma: DataFrame, mix: float = 0.0) -> DataFrame:
-    """(item_id, other_id, k): exp(-gamma * d2), mixed with 1 by ``mix``; gamma is one row."""
-    w = distances2(candidates, observed).crossJoin(F.broadcast(gamma))
+    """(item_id, other_id, k): exp(-gamma * d2), mixed with 1 by ``mix``; gamma is one row.
+
+    With gamma by pair (other_id, annotator_id, gamma) of an observed item and an annotator, also annotator_id: a kernel of its own for
+    each annotator.
+    """
+    d2 = distances2(candidates, observed)
+    if "annotator_id" in gamma.columns:
+        return d2.join(gamma.hint("merge"), "other_id").select("item_id", "other_id", "annotator_id", (mix + (1 - mix) * F.exp(-F.col("gamma") * F.col("d2"))).alias("k"))
+    w = d2.crossJoin(F.broadcast(gamma))
     return w.select("item_id", "other_id", (mix + (1 - mix) * F.exp(-F.col("gamma") * F.col("d2"))).alias("k"))
 
 
@@ -136,9 +234,9 @@ def kernel_sums(weights: DataFrame, evidence: DataFrame, similarity: DataFrame |
     """
     seen = evidence.select(F.col("item_id").alias("other_id"), "annotator_id", "score")
     keys = ["other_id", "annotator_id"] if "annotator_id" in weights.columns else ["other_id"]
-    rows = weights.join(seen, keys)
+    rows = weights.join(seen.hint("merge"), keys)
     if similarity is not None:
-        rows = rows.withColumnRenamed("annotator_id", "other").join(similarity, "other").withColumn("k", F.col("k") * F.col("w"))
+        rows = rows.withColumnRenamed("annotator_id", "other").join(similarity.hint("merge"), "other").withColumn("k", F.col("k") * F.col("w"))
     k = F.col("k")
     return rows.groupBy("item_id", "annotator_id").agg(F.sum(k).alias("mass"), F.sum(k * F.col("score")).alias("s"), F.sum(k * k).alias("m2"))
 
@@ -160,7 +258,7 @@ def beta_posterior(sums: DataFrame, alpha0: float = 1.0, beta0: float = 1.0, use
 def dirichlet_posterior(weights: DataFrame, labels: DataFrame, n_classes: int, gamma0: float, use_ess: bool = False, tau: float = 1.0) -> DataFrame:
     """(item_id, annotator_id, gamma array) from the labels (item_id, annotator_id, label) under the kernel weights."""
     seen = labels.select(F.col("item_id").alias("other_id"), "annotator_id", "label")
-    rows = weights.join(seen, "other_id")
+    rows = weights.join(seen.hint("merge"), ["other_id", "annotator_id"] if "annotator_id" in weights.columns else ["other_id"])
     k = F.col("k")
     sums = rows.groupBy("item_id", "annotator_id").agg(F.sum(k).alias("mass"), F.sum(k * k).alias("m2"), *[F.sum(F.when(F.col("label") == c, k).otherwise(0.0)).alias(f"c{c}") for c in range(n_classes)])
     scale = concentration(True, tau) / F.greatest("mass", F.lit(TINY)) if use_ess else F.lit(1.0)

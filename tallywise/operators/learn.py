@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywise.operators.aggregate import confusions, dense, majority_vote, pair_accuracy_model, pair_label_model, soft_votes
 from tallywise.operators.dawid_skene import class_model, dawid_skene
+from tallywise.operators.scorers import beta_quantile
 from tallywise.sources.staging import staged
 from tallywise.tables import uniform
 
@@ -194,21 +195,12 @@ def mixed_pairs(pairs: DataFrame, seed: int = 0, alpha: float = 1.0) -> DataFram
     left = rows.withColumn("r", F.row_number().over(order("own")))
     right = rows.select("b", F.row_number().over(order("other")).alias("r"), F.col("x").alias("x2"), F.col("a").alias("a2"), F.col("y").alias("y2"))
     u = uniform(seed, F.lit("lam"), "item_id", "annotator_id")
-    lam = u if alpha == 1.0 else _beta(u, F.lit(float(alpha)))
+    lam = u if alpha == 1.0 else beta_quantile(F.lit(float(alpha)), F.lit(float(alpha)), u)
     both = left.join(right, ["b", "r"]).withColumn("lam", lam)
     blend = lambda p, q: F.transform(F.arrays_zip(F.col(p).alias("v"), F.col(q).alias("w"), F.array_repeat("lam", F.size(p)).alias("l")), lambda e: e["l"] * e["v"] + (1 - e["l"]) * e["w"])
     return both.select("item_id", "annotator_id", "lam", blend("x", "x2").alias("x"), blend("a", "a2").alias("a"), blend("y", "y2").alias("y"))
 
 
-def _beta(u: Column, alpha: Column) -> Column:
-    @F.pandas_udf("double")
-    def draw(u: pd.Series, alpha: pd.Series) -> pd.Series:
-        seeds = (u.to_numpy() * 2**52).astype(np.int64)
-        return pd.Series([np.random.default_rng(s).beta(a, a) for s, a in zip(seeds, alpha, strict=True)])
-
-    return draw(u, alpha)
-
-
 def clusters(features: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(item_id, cluster) by k-means."""
     from pyspark.ml.clustering import KMeans

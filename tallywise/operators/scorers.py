@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions.arrays import TINY, as_doubles, channel_rows, dot, expected_gain, l2_normalised, normalised, total, uniform_channel
 from tallywise.operators import kernel
+from tallywise.sources.staging import staged
 from tallywise.tables import uniform
 
 #: Named settings.
@@ -120,14 +121,16 @@ def beta_model(candidates: DataFrame, features: DataFrame, evidence: DataFrame,
     weights = d2.join(own, "other_id").select("item_id", "other_id", "annotator_id", F.exp(-F.col("gamma") * F.col("d2")).alias("k"))
     post = kernel.beta_posterior(kernel.kernel_sums(weights, evidence, similarity), mean * strength, (1 - mean) * strength, use_ess, tau)
     rows = candidates.select(*_PAIR).join(post, list(_PAIR), "left").select(*_PAIR, F.coalesce("alpha", F.lit(mean * strength)).alias("alpha"), F.coalesce("beta", F.lit((1 - mean) * strength)).alias("beta"))
-    u = beta_draw(F.col("alpha"), F.col("beta"), F.xxhash64(F.lit(seed), *_PAIR)) if draw else F.col("alpha") / (F.col("alpha") + F.col("beta"))
+    u = beta_quantile(F.col("alpha"), F.col("beta"), uniform(seed, F.lit("theta"), *_PAIR)) if draw else F.col("alpha") / (F.col("alpha") + F.col("beta"))
     return rows.select(*_PAIR, u.alias("u"))
 
 
-def kernel_evidence_gain(candidates: DataFrame, features: DataFrame, acquired: DataFrame, posteriors: DataFrame, channel: DataFrame, variant: str = "uniform", gamma: str | float = "median", accuracy_mean: float = 0.95, accuracy_strength: float = 10.0, class_strength: float = 1.0, label_strength: float = 1.0, use_ess: bool = False, tau: float = 1.0, score: str = "entropy") -> DataFrame:
+def kernel_evidence_gain(candidates: DataFrame, features: DataFrame, acquired: DataFrame, posteriors: DataFrame, channel: DataFrame, variant: str = "uniform", gamma: str | float = "median", accuracy_mean: float = 0.95, accuracy_strength: float = 10.0, class_strength: float = 1.0, label_strength: float = 1.0, use_ess: bool = False, tau: float = 1.0, score: str = "entropy", draws: int = 0, draw_classes: bool = False, draw_labels: bool = False, seed: int = 0) -> DataFrame:
     """Information gain with the model's means, and the kernel mass of nearby labels as confidence in them.
 
     ``channel`` has per annotator ``theta`` (P(correct)) for ``uniform`` and also ``g`` (label distribution) for ``channel``, or ``rows`` for ``full``.
+    With ``draws`` the gain is the mean over so many draws of P(correct), or of the rows, from their posteriors; by choice also of
+    the class probabilities and of the label distribution.
     """
     unit = kernel.unit_vectors(features)
     seen = unit.join(acquired.select("item_id").distinct(), "item_id", "left_semi")
@@ -138,54 +141,103 @@ def kernel_evidence_gain(candidates: DataFrame, features: DataFrame, acquired: D
     rows = candidates.select(*_PAIR).join(posteriors, "item_id").join(channel, "annotator_id").join(by_item, "item_id", "left").join(sums, list(_PAIR), "left")
     rows = rows.withColumn("item_conc", F.coalesce("item_conc", F.lit(0.0))).withColumn("conc", F.coalesce("pair_conc", F.lit(0.0)))
     k = F.size("p")
-    p = normalised(F.transform("p", lambda v: class_strength / k + F.col("item_conc") * v))
-    theta = (accuracy_mean * accuracy_strength + F.col("conc") * F.least(F.greatest("theta", F.lit(TINY)), F.lit(1 - TINY))) / (accuracy_strength + F.col("conc")) if variant != "full" else None
-    if variant == "uniform":
-        c = uniform_channel(F.array_repeat(theta, k))
-    elif variant == "channel":
-        c = channel_rows(F.array_repeat(theta, k), F.transform("g", lambda v: label_strength / k + F.col("conc") * v))
+    rows = _repeated(rows.withColumn("p", F.transform("p", lambda v: class_strength / k + F.col("item_conc") * v)), draws)
+    rows = rows.withColumn("p", dirichlet_draw(F.col("p"), _uniforms(seed, "class", k - 1)) if draws and draw_classes else normalised(F.col("p")))
+    if variant in ("uniform", "channel"):
+        known = F.least(F.greatest("theta", F.lit(TINY)), F.lit(1 - TINY))
+        alpha, beta = accuracy_mean * accuracy_strength + F.col("conc") * known, (1 - accuracy_mean) * accuracy_strength + F.col("conc") * (1 - known)
+        rows = rows.withColumn("th", beta_quantile(alpha, beta, uniform(seed, F.lit("theta"), *_PAIR, F.col("t"))) if draws else alpha / (alpha + beta))
+        theta = F.array_repeat("th", k)
+        if variant == "uniform":
+            c = uniform_channel(theta)
+        else:
+            g = F.transform("g", lambda v: label_strength / k + F.col("conc") * v)
+            rows = rows.withColumn("label_p", dirichlet_draw(g, _uniforms(seed, "label", k - 1)) if draws and draw_labels else g)
+            c = channel_rows(theta, F.col("label_p"))
     elif variant == "full":
         off = accuracy_strength * (1 - accuracy_mean)
-        c = F.transform("rows", lambda row, i: normalised(F.transform(row, lambda v, j: F.when(i == j, accuracy_strength * accuracy_mean).otherwise(off / F.greatest(k - 1, F.lit(1))) + F.col("conc") * v)))
+        counts = F.transform("rows", lambda row, i: F.transform(row, lambda v, j: F.when(i == j, accuracy_strength * accuracy_mean).otherwise(off / F.greatest(k - 1, F.lit(1))) + F.col("conc") * v))
+        rows = rows.withColumn("c", dirichlet_rows_draw(counts, _uniforms(seed, "rows", k * (k - 1))) if draws else F.transform(counts, lambda row: normalised(row)))
+        c = F.col("c")
     else:
         raise ValueError(f"variant: {variant}")
-    return rows.select(*_PAIR, p.alias("p"), c.alias("c")).select(*_PAIR, expected_gain(F.col("p"), F.col("c"), score).alias("u"))
+    p = F.col("p")
+    return _mean_gain(rows.select(*_PAIR, p.alias("p"), c.alias("c")), score, draws)
+
+
+def _repeated(rows: DataFrame, draws: int) -> DataFrame:
+    """Each row ``draws`` times, numbered by ``t``."""
+    return rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(max(draws, 1) - 1))))
+
+
+def _uniforms(seed: int, tag: str, n: Column) -> Column:
+    """n uniform numbers that depend on the pair, its draw ``t`` and the tag alone."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: uniform(seed, F.lit(tag), *_PAIR, F.col("t"), i))
+
+
+def _mean_gain(rows: DataFrame, score: str, draws: int) -> DataFrame:
+    gains = rows.select(*_PAIR, expected_gain(F.col("p"), F.col("c"), score).alias("u"))
+    return gains.groupBy(*_PAIR).agg(F.avg("u").alias("u")) if draws > 1 else gains
 
 
-def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: DataFrame, posteriors: DataFrame, n_classes: int, variant: str = "channel", gamma: str | float = "median", accuracy_mean: str | float = "observed", accuracy_strength: float = 10.0, label_strength: float = 1.0, mix: float = 0.0, use_ess: bool = False, tau: float = 1.0, class_prior: str = "classifier", similarity: DataFrame | None = None, top_m: int | None = None, ucb: float | None = None, score: str = "entropy") -> DataFrame:
+def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: DataFrame, posteriors: DataFrame, n_classes: int, variant: str = "channel", gamma: str | float = "median", gamma_scope: str = "global", accuracy_mean: str | float = "global_observed", accuracy_strength: float = 10.0, label_strength: float = 1.0, mix: float = 0.0, use_ess: bool = False, tau: float = 1.0, class_prior: str = "classifier", similarity: DataFrame | None = None, top_m: int | None = None, ucb: float | None = None, score: str = "entropy", draws: int = 0, draw_labels: bool = False, seed: int = 0) -> DataFrame:
     """Bayesian gain whose channel is smoothed from the observed labels themselves, by a kernel over items (and annotators).
 
     ``acquired`` (item_id, annotator_id, label) without rows gives no scores.  ``uniform`` and ``channel`` estimate P(correct) from the posteriors'
     agreement with the labels, ``diagonal`` per class, ``full`` whole confusion rows; ``ucb`` takes an upper quantile of P(correct) for its mean;
-    ``top_m`` keeps the m likeliest classes and one for the rest.
+    ``top_m`` keeps the m likeliest classes and one for the rest.  The prior accuracy is a number, or the mean agreement over all labels
+    (``global_observed``), or over the annotator's own (``per_annotator_observed``, all where there are none).  ``gamma_scope``
+    ``per_annotator`` takes the bandwidth from the items that the annotator labelled.  With ``draws`` the gain is the mean over so many
+    draws from the posteriors, by choice also of the label distribution.
     """
+    if gamma_scope not in ("global", "per_annotator"):
+        raise ValueError(f"gamma_scope: {gamma_scope}")
     if variant == "full" and (ucb is not None or top_m is not None):
         raise ValueError("full confusions take neither ucb nor top_m")
     unit = kernel.unit_vectors(features)
     items = unit.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
     seen = unit.join(acquired.select("item_id").distinct(), "item_id", "left_semi")
-    pairs = acquired.select(F.concat_ws("/", *_PAIR).alias("item_id"), F.col("item_id").alias("of")).join(unit.withColumnRenamed("item_id", "of"), "of")
-    width = kernel.bandwidth(pairs.select("item_id", "x"), gamma) if isinstance(gamma, str) else kernel.bandwidth(unit, gamma)
+    seen = staged(seen.join(acquired.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_labels")).hint("merge"), "item_id"))
+    width = kernel.bandwidth(seen, gamma, weight="n_labels")
+    seen = seen.select("item_id", "x")
+    if gamma_scope == "per_annotator":
+        points = acquired.select(*_PAIR).distinct().join(unit.hint("merge"), "item_id")
+        own = kernel.bandwidth(points, gamma, by="annotator_id")
+        if similarity is not None:
+            raise ValueError("a bandwidth per annotator takes no similarity of annotators")
+        width = points.select(F.col("item_id").alias("other_id"), "annotator_id").join(own.hint("merge"), "annotator_id")
     w = kernel.kernel_weights(items, seen, width, mix)
     long = posteriors.select("item_id", F.posexplode("p").alias("class", "p"))
     evidence = kernel.model_correctness(acquired, long)
-    if accuracy_mean == "observed":
-        prior = evidence.agg(F.avg("score").alias("acc")).filter("acc IS NOT NULL").select(F.least(F.greatest("acc", F.lit(1e-6)), F.lit(1 - 1e-6)).alias("acc"))
+    clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    if accuracy_mean in ("global_observed", "per_annotator_observed"):
+        prior = evidence.agg(F.avg("score").alias("acc")).filter("acc IS NOT NULL").select(clip(F.col("acc")).alias("acc"))
+    elif isinstance(accuracy_mean, str):
+        raise ValueError(f"accuracy_mean: {accuracy_mean}")
     else:
         prior = evidence.select(F.lit(float(accuracy_mean)).alias("acc")).limit(1)
     rows = candidates.select(*_PAIR).crossJoin(F.broadcast(prior)).join(posteriors, "item_id")
+    if accuracy_mean == "per_annotator_observed":
+        own = evidence.groupBy("annotator_id").agg(clip(F.avg("score")).alias("own_acc"))
+        rows = rows.join(own.hint("merge"), "annotator_id", "left").withColumn("acc", F.coalesce("own_acc", "acc")).drop("own_acc")
     if class_prior == "uniform":
         rows = rows.withColumn("p", F.transform("p", lambda v: F.lit(1.0 / n_classes)))
     elif class_prior == "kernel":
-        near = w.join(long.withColumnRenamed("item_id", "other_id"), "other_id").groupBy("item_id", "class").agg(F.sum(F.col("k") * F.col("p")).alias("v"))
+        flat = w.select("item_id", "other_id", "k") if gamma_scope == "global" else kernel.kernel_weights(items, seen, kernel.bandwidth(unit.join(acquired, "item_id", "left_semi"), gamma), mix)
+        near = flat.join(long.withColumnRenamed("item_id", "other_id").hint("merge"), "other_id").groupBy("item_id", "class").agg(F.sum(F.col("k") * F.col("p")).alias("v"))
         near = near.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "v"))), lambda e: 1.0 / n_classes + e["v"]).alias("kp"))
         rows = rows.join(near, "item_id", "left").withColumn("p", normalised(F.coalesce("kp", F.transform("p", lambda v: F.lit(1.0)))))
     sums = kernel.kernel_sums(w, evidence, similarity)
     conc = kernel.concentration(use_ess, tau)
     mu = F.when(F.col("mass") > TINY, F.col("s") / F.greatest("mass", F.lit(TINY))).otherwise(0.5)
-    rows = rows.join(sums.select(*_PAIR, conc.alias("conc"), mu.alias("mu")), list(_PAIR), "left").withColumn("conc", F.coalesce("conc", F.lit(0.0))).withColumn("mu", F.coalesce("mu", F.lit(0.5)))
+    rows = rows.join(sums.select(*_PAIR, conc.alias("conc"), mu.alias("mu")).hint("merge"), list(_PAIR), "left").withColumn("conc", F.coalesce("conc", F.lit(0.0))).withColumn("mu", F.coalesce("mu", F.lit(0.5)))
     alpha, beta = F.col("acc") * accuracy_strength + F.col("conc") * F.col("mu"), (1 - F.col("acc")) * accuracy_strength + F.col("conc") * (1 - F.col("mu"))
-    theta = alpha / (alpha + beta) if ucb is None else beta_quantile(alpha, beta, F.lit(float(ucb)))
+    rows = _repeated(rows.withColumn("alpha", alpha).withColumn("beta", beta), draws)
+    alpha, beta = F.col("alpha"), F.col("beta")
+    if ucb is not None:
+        theta = beta_quantile(alpha, beta, F.lit(float(ucb)))
+    else:
+        theta = beta_quantile(alpha, beta, uniform(seed, F.lit("theta"), *_PAIR, F.col("t"))) if draws else alpha / (alpha + beta)
     rows = rows.withColumn("theta", theta)
     if variant == "uniform":
         c = uniform_channel(F.array_repeat("theta", F.size("p")))
@@ -198,39 +250,24 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
             rows = rows.withColumn("gamma", F.concat(top, F.array(total(F.col("gamma")) - total(top))))
             best = F.slice(F.sort_array(as_doubles(F.col("p")), asc=False), 1, top_m)
             rows = rows.withColumn("p", normalised(F.concat(best, F.array(F.greatest(1 - total(best), F.lit(0.0))))))
+        if draws and draw_labels:
+            rows = rows.withColumn("gamma", dirichlet_draw(F.col("gamma"), _uniforms(seed, "label", F.size("gamma") - 1)))
         c = channel_rows(F.array_repeat("theta", F.size("p")), F.col("gamma"))
     elif variant in ("diagonal", "full"):
         by = long.select(F.col("item_id").alias("other_id"), "class", "p")
-        obs = w.join(acquired.select(F.col("item_id").alias("other_id"), "annotator_id", "label"), "other_id").join(by, "other_id")
+        labels = acquired.select(F.col("item_id").alias("other_id"), "annotator_id", "label").join(by.hint("merge"), "other_id")
+        obs = w.join(labels.hint("merge"), ["other_id", "annotator_id"] if gamma_scope == "per_annotator" else ["other_id"])
         cells = obs.groupBy(*_PAIR, "class", "label").agg(F.sum(F.col("k") * F.col("p")).alias("n"))
         arrays = cells.groupBy(*_PAIR).agg(F.map_from_entries(F.collect_list(F.struct((F.col("class") * n_classes + F.col("label")).alias("i"), "n"))).alias("cells"))
-        rows = rows.join(arrays, list(_PAIR), "left")
+        rows = rows.join(arrays.hint("merge"), list(_PAIR), "left")
         prior_rows = kernel.confusion_prior(n_classes, F.col("acc"), accuracy_strength)
-        counted = F.transform(prior_rows, lambda row, i: normalised(F.transform(row, lambda v, j: v + F.coalesce(F.col("cells")[i * n_classes + j], F.lit(0.0)))))
+        counts = F.transform(prior_rows, lambda row, i: F.transform(row, lambda v, j: v + F.coalesce(F.col("cells")[i * n_classes + j], F.lit(0.0))))
+        rows = rows.withColumn("counted", dirichlet_rows_draw(counts, _uniforms(seed, "rows", F.lit(n_classes * (n_classes - 1)))) if draws else F.transform(counts, lambda row: normalised(row)))
+        counted = F.col("counted")
         c = counted if variant == "full" else uniform_channel(F.transform(counted, lambda row, i: F.get(row, i)))
     else:
         raise ValueError(f"variant: {variant}")
-    return rows.select(*_PAIR, as_doubles(F.col("p")).alias("p"), c.alias("c")).select(*_PAIR, expected_gain(F.col("p"), F.col("c"), score).alias("u"))
-
-
-def beta_draw(alpha: Column, beta: Column, seed: Column) -> Column:
-    """One Beta draw per row, from a generator seeded by the row."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(k) & (2**63 - 1)).beta(x, y) for x, y, k in zip(a, b, s, strict=True)])
-
-    return run(alpha, beta, seed)
-
-
-def dirichlet_draw(gamma: Column, seed: Column) -> Column:
-    """One Dirichlet draw per row."""
-
-    @F.pandas_udf("array<double>")
-    def run(g: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(k) & (2**63 - 1)).dirichlet(np.asarray(x)) for x, k in zip(g, s, strict=True)])
-
-    return run(gamma, seed)
+    return _mean_gain(rows.select(*_PAIR, as_doubles(F.col("p")).alias("p"), c.alias("c")), score, draws)
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,20 +288,60 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(below / area(low, high), 0, 1)
 
 
+def _beta_quantiles(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    low, high = np.full(len(a), -40.0), np.full(len(a), 40.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        under = beta_cdf(1 / (1 + np.exp(-mid)), a, b) < q
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return 1 / (1 + np.exp(-(low + high) / 2))
+
+
 def beta_quantile(alpha: Column, beta: Column, q: Column) -> Column:
-    """Quantile of Beta(alpha, beta), by bisection on the logit scale."""
+    """Quantile of Beta(alpha, beta), by bisection on the logit scale; of a uniform q, a draw."""
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b, p in parts:
-            a, b, p = (np.asarray(v, float) for v in (a, b, p))
-            low, high = np.full(len(a), -40.0), np.full(len(a), 40.0)
-            for _ in range(60):
-                mid = (low + high) / 2
-                under = beta_cdf(1 / (1 + np.exp(-mid)), a, b) < p
-                low, high = np.where(under, mid, low), np.where(under, high, mid)
-            yield pd.Series(1 / (1 + np.exp(-(low + high) / 2)))
+        for part in parts:
+            yield pd.Series(_beta_quantiles(*(np.asarray(v, float) for v in part)))
 
     return run(alpha, beta, q)
 
 
+def _dirichlet(conc: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A draw for each row of concentrations from its uniform numbers (one fewer): the stick is broken at Beta quantiles."""
+    n, k = conc.shape
+    conc = np.maximum(conc, TINY)
+    out, stick = np.zeros((n, k)), np.ones(n)
+    behind = np.cumsum(conc[:, ::-1], axis=1)[:, ::-1]
+    for j in range(k - 1):
+        part = _beta_quantiles(conc[:, j], behind[:, j + 1], u[:, j])
+        out[:, j], stick = stick * part, stick * (1 - part)
+    out[:, k - 1] = stick
+    return out
+
+
+def dirichlet_draw(conc: Column, u: Column) -> Column:
+    """A Dirichlet draw of each array of concentrations, from its uniform numbers (one fewer than entries)."""
+
+    @F.pandas_udf("array<double>")
+    def run(c: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(list(_dirichlet(np.stack(c.to_list()).astype(float), np.stack(u.to_list())))) if len(c) else pd.Series([], dtype=object)
+
+    # so marked, it is not moved into a lambda, where Python cannot run
+    return run.asNondeterministic()(conc, u)
+
+
+def dirichlet_rows_draw(conc: Column, u: Column) -> Column:
+    """As ``dirichlet_draw``, of every row of square arrays, which share the uniform numbers of the array."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(c: pd.Series, u: pd.Series) -> pd.Series:
+        if not len(c):
+            return pd.Series([], dtype=object)
+        flat = np.stack([np.stack(list(x)) for x in c]).astype(float)
+        n, k, _ = flat.shape
+        drawn = _dirichlet(flat.reshape(n * k, k), np.stack(u.to_list()).reshape(n * k, k - 1)).reshape(n, k, k)
+        return pd.Series([list(x) for x in drawn])
+
+    return run.asNondeterministic()(conc, u)

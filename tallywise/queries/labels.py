@@ -108,8 +108,8 @@ def b25_l2_normalised(spark, sf_dir):
     return _r(prep.normalised_features(e).select("item_id", F.posexplode("x").alias("dim", "v")), "v")
 
 
-@query(with_views("x8v", "x2") + """, l AS (SELECT item_id, i - 1 AS dim, CAST(x[i] AS DOUBLE) AS v FROM x8v, range(1, 65) r(i)),
-s AS (SELECT dim, avg(v) m, greatest(stddev_pop(v), 1e-12) s FROM l WHERE item_id IN (SELECT item_id FROM x2) GROUP BY 1)
+@query(with_views("x8v", "x2") + """, it AS MATERIALIZED (SELECT DISTINCT item_id FROM x2), l AS MATERIALIZED (SELECT item_id, unnest(range(0, len(x))) AS dim, CAST(unnest(x) AS DOUBLE) AS v FROM x8v),
+s AS (SELECT dim, avg(v) m, greatest(stddev_pop(v), 1e-12) s FROM l JOIN it USING (item_id) GROUP BY 1)
 SELECT item_id, CAST(l.dim AS INT) AS dim, round((v - m) / s, 6) AS v FROM l JOIN s ON s.dim = l.dim""")
 def b26_standardised(spark, sf_dir):
     x = view(spark, sf_dir, "x8v").select("item_id", "x")

@@ -73,6 +73,22 @@ def p6_f3_epsilon_greedy(spark, sf_dir):
     return assign.assign(_utilities(spark, sf_dir), BUDGET, cycle=3, seed=1, top_m=1024, **assign.PRESETS["epsilon_greedy_global"])
 
 
+@query()
+def p6_epsilon_greedy_hard_coverage(spark, sf_dir):
+    return assign.assign(_utilities(spark, sf_dir), BUDGET, cycle=3, seed=1, **assign.PRESETS["epsilon_greedy_sample"])
+
+
+@query()
+def p5_soft_coverage_caps(spark, sf_dir):
+    return assign.greedy(_utilities(spark, sf_dir), BUDGET, "soft", 0.25, caps=_caps(spark, sf_dir))
+
+
+@query(_V + f", {_OPEN}" + _TAKE.format(order="u DESC, item_id, annotator_id", rows="SELECT * FROM ut"))
+def p10_annealed_to_greedy(spark, sf_dir):
+    """The cycle is all the state of an annealed assigner: far beyond its period, an epsilon that anneals to 0 is greedy."""
+    return assign.assign(_utilities(spark, sf_dir), BUDGET, "epsilon", cycle=50, seed=1, epsilon_max=0.5, epsilon_min=0.0, period=10)
+
+
 @query()
 def p7_softmax(spark, sf_dir):
     return assign.assign(_utilities(spark, sf_dir), BUDGET, cycle=3, seed=1, **assign.PRESETS["softmax_greedy_global"])
@@ -139,14 +155,14 @@ def g18_e7_budget_plan(spark, sf_dir):
     return schedules.budget_plan(_cycles(spark, sf_dir), 256, schedules.step_value(F.col("cycle"), *schedules.PRESETS["ratio_2_1"]))
 
 
-def em_sql(iterations: int) -> str:
+def em_sql(iterations: int, add: str = "0.01") -> str:
     """SQL of so many steps of Dawid-Skene as one chain of CTEs; the last is ``p<iterations>``."""
     out = [_SOFT, f"p0 AS (SELECT i.item_id, k AS class, coalesce(p, 0.0) AS p FROM (SELECT DISTINCT item_id FROM x2) i CROSS JOIN range({K}) r(k) LEFT JOIN sv ON sv.item_id = i.item_id AND sv.class = k)"]
     for t in range(iterations):
         out += [
             f"pi{t} AS MATERIALIZED (SELECT class, avg(p) AS p FROM p{t} GROUP BY 1)",
             f"n{t} AS (SELECT annotator_id, class AS truth, label, sum(p) AS n FROM x2 JOIN p{t} USING (item_id) GROUP BY 1, 2, 3)",
-            f"g{t} AS (SELECT a.annotator_id, t.k AS truth, l.k AS label, coalesce(n, 0) + 0.01 AS n FROM (SELECT DISTINCT annotator_id FROM x2) a CROSS JOIN range({K}) t(k) CROSS JOIN range({K}) l(k) LEFT JOIN n{t} n ON n.annotator_id = a.annotator_id AND n.truth = t.k AND n.label = l.k)",
+            f"g{t} AS (SELECT a.annotator_id, t.k AS truth, l.k AS label, coalesce(n, 0) + {add} AS n FROM (SELECT DISTINCT annotator_id FROM x2) a CROSS JOIN range({K}) t(k) CROSS JOIN range({K}) l(k) LEFT JOIN n{t} n ON n.annotator_id = a.annotator_id AND n.truth = t.k AND n.label = l.k)",
             f"c{t} AS MATERIALIZED (SELECT annotator_id, truth, label, n / sum(n) OVER (PARTITION BY annotator_id, truth) AS p FROM g{t})",
             f"s{t} AS (SELECT item_id, truth AS class, sum(ln(greatest(c.p, 1e-12))) + max(ln(greatest(pi.p, 1e-12))) AS s FROM x2 JOIN c{t} c ON c.annotator_id = x2.annotator_id AND c.label = x2.label JOIN pi{t} pi ON pi.class = truth GROUP BY 1, 2)",
             f"e{t} AS (SELECT item_id, class, exp(s - max(s) OVER (PARTITION BY item_id)) AS e FROM s{t})",
@@ -160,9 +176,11 @@ def k1_dawid_skene_two_steps(spark, sf_dir):
     return _r(dawid_skene.dawid_skene(view(spark, sf_dir, "x2"), K, max_iter=2)[0].withColumn("class", F.col("class").cast("int")), "p")
 
 
-@query()
+@query(with_views("x2", "x8") + f""", {em_sql(10)} SELECT item_id, CAST(class AS INT) AS class, round(p, 5) AS p FROM p10
+UNION ALL SELECT item_id, CAST(class AS INT), round(p, 5) FROM x8 CROSS JOIN (SELECT class, avg(p) AS p FROM p10 GROUP BY 1) WHERE item_id NOT IN (SELECT item_id FROM x2)""")
 def k1_dawid_skene(spark, sf_dir):
-    return dawid_skene.dawid_skene(view(spark, sf_dir, "x2"), K, max_iter=10, items=view(spark, sf_dir, "x8"))[0]
+    post = dawid_skene.dawid_skene(view(spark, sf_dir, "x2"), K, max_iter=10, items=view(spark, sf_dir, "x8"))[0]
+    return post.select("item_id", F.col("class").cast("int").alias("class"), F.round("p", 5).alias("p"))
 
 
 @query()
@@ -170,9 +188,10 @@ def k3_crowd_em(spark, sf_dir):
     return dawid_skene.crowd_em(view(spark, sf_dir, "x2"), K, view(spark, sf_dir, "x8v").select("item_id", "x"), max_iter=2)[0]
 
 
-@query()
+@query(with_views("x2") + f", {em_sql(3, '0.1 + CAST(t.k = l.k AS INT)')} SELECT item_id, CAST(class AS INT) AS class, round(p, 6) AS p FROM p3")
 def k3_crowd_em_without_features(spark, sf_dir):
-    return dawid_skene.crowd_em(view(spark, sf_dir, "x2"), K, max_iter=3, prior_full=1.1, prior_diag=1.0)[0]
+    post = dawid_skene.crowd_em(view(spark, sf_dir, "x2"), K, max_iter=3, prior_full=1.1, prior_diag=1.0)[0]
+    return _r(post.withColumn("class", F.col("class").cast("int")), "p")
 
 
 @query()

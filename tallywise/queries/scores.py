@@ -283,6 +283,94 @@ def s8_kernel_smoothed_gain(spark, sf_dir):
     return _r(out, "u")
 
 
+def _smoothed(spark, sf_dir, *args, **kw):
+    return scorers.kernel_smoothed_gain(_candidates(spark, sf_dir), _features(spark, sf_dir), _observed(spark, sf_dir), posterior_arrays(spark, sf_dir), K, *args, **kw)
+
+
+#: P(correct) with the annotator's own mean agreement as prior, and uniform wrong labels.
+_KS_OWN = f"""SELECT a.item_id, a.annotator_id, x6.class AS k, j, x6.p, CASE WHEN x6.class = j THEN th ELSE (1 - th) / 3 END AS c FROM (
+ SELECT a.item_id, a.annotator_id, (10 * coalesce(oa.ac, al.ac) + coalesce(b.s, 0)) / (10 + coalesce(b.m, 0)) AS th
+ FROM ({_CAND}) a CROSS JOIN (SELECT avg(score) AS ac FROM ev) al LEFT JOIN (SELECT annotator_id, avg(score) AS ac FROM ev GROUP BY 1) oa ON oa.annotator_id = a.annotator_id
+ LEFT JOIN bs b ON b.item_id = a.item_id AND b.annotator_id = a.annotator_id) a JOIN x6 ON x6.item_id = a.item_id CROSS JOIN range({K}) q(j)"""
+
+
+@query(with_views("x2", "x6", "x8v") + f", {_UNIT}, {_KW}, {_EV}, {_KSUM}, {gain_sql(_KS_OWN)}" + _U)
+def s8_kernel_smoothed_gain_uniform(spark, sf_dir):
+    return _r(_smoothed(spark, sf_dir, "uniform", gamma=0.5, accuracy_mean="per_annotator_observed"), "u")
+
+
+#: Confusion rows from the kernel-weighted soft counts of (class, label) over a Dirichlet prior; the diagonal form keeps P(correct) alone.
+_KS_CELLS = f"""cells AS (SELECT kw.item_id, ob.annotator_id, x6.class AS k, label AS j, sum(kw.k * x6.p) AS n FROM kw JOIN ob ON ob.item_id = kw.other_id JOIN x6 ON x6.item_id = ob.item_id GROUP BY 1, 2, 3, 4),
+cn AS (SELECT a.item_id, a.annotator_id, k0 AS k, j0 AS j, CASE WHEN k0 = j0 THEN 10 * ac ELSE 10 * (1 - ac) / 3 END + coalesce(n, 0) AS n FROM ({_CAND}) a CROSS JOIN (SELECT avg(score) AS ac FROM ev) CROSS JOIN range({K}) r(k0) CROSS JOIN range({K}) q(j0)
+ LEFT JOIN cells ON cells.item_id = a.item_id AND cells.annotator_id = a.annotator_id AND cells.k = k0 AND cells.j = j0),
+cf AS (SELECT item_id, annotator_id, k, j, n / sum(n) OVER (PARTITION BY item_id, annotator_id, k) AS c FROM cn)"""
+_KS_FULL = "SELECT cf.item_id, cf.annotator_id, cf.k, cf.j, x6.p, cf.c FROM cf JOIN x6 ON x6.item_id = cf.item_id AND x6.class = cf.k"
+_KS_DIAGONAL = "SELECT cf.item_id, cf.annotator_id, cf.k, cf.j, x6.p, CASE WHEN cf.k = cf.j THEN d.c ELSE (1 - d.c) / 3 END AS c FROM cf JOIN cf d ON d.item_id = cf.item_id AND d.annotator_id = cf.annotator_id AND d.k = cf.k AND d.j = cf.k JOIN x6 ON x6.item_id = cf.item_id AND x6.class = cf.k"
+
+
+@query(with_views("x2", "x6", "x8v") + f", {_UNIT}, {_KW}, {_EV}, {_KS_CELLS}, {gain_sql(_KS_FULL)}" + _U)
+def s8_kernel_smoothed_gain_confusions(spark, sf_dir):
+    return _r(_smoothed(spark, sf_dir, "full", gamma=0.5), "u")
+
+
+@query(with_views("x2", "x6", "x8v") + f", {_UNIT}, {_KW}, {_EV}, {_KS_CELLS}, {gain_sql(_KS_DIAGONAL)}" + _U)
+def s8_kernel_smoothed_gain_diagonal(spark, sf_dir):
+    return _r(_smoothed(spark, sf_dir, "diagonal", gamma=0.5), "u")
+
+
+#: A kernel for each annotator, at the median distance of the items that it labelled.
+_KW_OWN = """gs AS (SELECT a.annotator_id, coalesce(power(greatest(median(list_distance(ua.z, ub.z)) FILTER (a.item_id < b.item_id), 1e-3), -2), 1) AS g FROM ob a JOIN ob b ON a.annotator_id = b.annotator_id JOIN ux ua ON ua.item_id = a.item_id JOIN ux ub ON ub.item_id = b.item_id GROUP BY 1),
+bs AS (SELECT c.item_id, ev.annotator_id, sum(exp(-g * power(list_distance(c.z, o.z), 2))) AS m, sum(exp(-g * power(list_distance(c.z, o.z), 2)) * score) AS s FROM ev JOIN gs ON gs.annotator_id = ev.annotator_id JOIN ux o ON o.item_id = ev.item_id CROSS JOIN ux c GROUP BY 1, 2)"""
+
+
+@query(with_views("x2", "x6", "x8v") + f", {_UNIT}, {_EV}, {_KW_OWN}, {gain_sql(_KS_OWN)}" + _U)
+def s8_bandwidth_per_annotator(spark, sf_dir):
+    return _r(_smoothed(spark, sf_dir, "uniform", gamma_scope="per_annotator", accuracy_mean="per_annotator_observed"), "u")
+
+
+@query()
+def s8_g13_mean_of_draws(spark, sf_dir):
+    """Gains averaged over 8 draws of P(correct) and of the label distribution."""
+    return _smoothed(spark, sf_dir, gamma=0.5, draws=8, draw_labels=True, seed=3)
+
+
+@query()
+def s7_g13_mean_of_draws(spark, sf_dir):
+    """Gains averaged over 8 draws of P(correct) and of the class probabilities."""
+    out = scorers.kernel_evidence_gain(_candidates(spark, sf_dir), _features(spark, sf_dir), _observed(spark, sf_dir), posterior_arrays(spark, sf_dir), _accuracy(spark, sf_dir), gamma=0.5, draws=8, draw_classes=True, seed=3)
+    return out
+
+
+@query(with_views("x2") + " SELECT DISTINCT item_id FROM x2 WHERE cycle < 15")
+def f9_labelled_items(spark, sf_dir):
+    return _observed(spark, sf_dir).select("item_id").distinct()
+
+
+@query(with_views("x2", "x8v") + " SELECT item_id, len(x) AS dims FROM x8v WHERE item_id IN (SELECT item_id FROM x2 WHERE cycle >= 15 UNION SELECT item_id FROM x2 WHERE cycle < 15)")
+def f7_candidate_and_history_items(spark, sf_dir):
+    """Features of the items that are candidates or have labels, each item once."""
+    either = _candidates(spark, sf_dir).select("item_id").union(_observed(spark, sf_dir).select("item_id")).distinct()
+    return _features(spark, sf_dir).join(either, "item_id", "left_semi").select("item_id", F.size("x").cast("long").alias("dims"))
+
+
+@query()
+def k7_clusters(spark, sf_dir):
+    return learn.clusters(_features(spark, sf_dir), 8, seed=1)
+
+
+@query(with_views("x4") + " SELECT run_id, step, 'acc' AS key, value FROM x4 WHERE step % 512 = 0 ORDER BY 1, 2")
+def a10_log_run(spark, sf_dir):
+    """The metric history through the long tables of the run log."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    x4 = view(spark, sf_dir, "x4")
+    metrics = x4.select("run_id", "step", F.lit("acc").alias("key"), "value")
+    params = x4.select("run_id", F.lit("dataset").alias("key"), F.col("dataset").alias("value")).distinct()
+    store.log_run(params, metrics, root, 512)
+    return spark.read.parquet(f"{root}/metrics").select("run_id", "step", "key", "value")
+
+
 @query()
 def s8_kernel_smoothed_gain_full(spark, sf_dir):
     return scorers.kernel_smoothed_gain(_candidates(spark, sf_dir), _features(spark, sf_dir), _observed(spark, sf_dir), posterior_arrays(spark, sf_dir), K, "full", class_prior="kernel")

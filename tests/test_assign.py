@@ -62,6 +62,42 @@ def test_greedy_with_both_caps(spark, seed):
     assert run(spark, pairs, budget, assign.greedy, caps, coverage="hard") == loop(pairs, budget, "hard", caps=caps)
 
 
+@pytest.mark.parametrize("seed", range(60, 66))
+def test_soft_coverage_with_annotator_caps(spark, seed):
+    pairs, budget, caps, _, per = random_case(seed)
+    assert run(spark, pairs, budget, assign.greedy, caps, coverage="soft", soft_lambda=0.25) == loop(pairs, budget, "soft", 0.25, caps=caps)
+    assert run(spark, pairs, budget, assign.greedy, caps, coverage="soft", soft_lambda=0.1, max_per_item=per) == loop(pairs, budget, "soft", 0.1, per, caps)
+
+
+@pytest.mark.parametrize(("coverage", "top_m"), [("none", None), ("none", 3), ("hard", None), ("hard", 3)])
+def test_epsilon_greedy_slot_by_slot(spark, coverage, top_m):
+    from tallywise.tables import uniform
+
+    pairs, _, _, _, _ = random_case(71)
+    pairs |= {(i, 7): i / 50 for i in range(9)}
+    budget, eps = 14, 0.5
+    u = spark.createDataFrame([(*k, float(v)) for k, v in pairs.items()], "item_id long, annotator_id long, u double")
+    x = {(r[0], r[1]): r[2] for r in u.select("item_id", "annotator_id", uniform(4, F.lit(2), "item_id", "annotator_id")).collect()}
+    draws = spark.range(budget).select(*[uniform(4, F.lit(2), F.lit(n), F.col("id")) for n in ("slot", "pick")]).collect()
+    left, n, want = dict(pairs), {}, []
+    for flip, pick in draws:
+        least = min((n.get(k[0], 0) for k in left), default=0)
+        ok = sorted((k for k in left if coverage == "none" or n.get(k[0], 0) == least), key=lambda k: (-left[k], *k))
+        if not ok:
+            break
+        if flip >= eps:
+            got = ok[0]
+        elif top_m is None:
+            got = min(ok, key=lambda k: (x[k], *k))
+        else:
+            got = ok[int(pick * min(top_m, len(ok)))]
+        want.append(got)
+        del left[got]
+        n[got[0]] = n.get(got[0], 0) + 1
+    out = assign.epsilon_greedy(u, budget, eps, cycle=2, seed=4, coverage=coverage, top_m=top_m).orderBy("slot").collect()
+    assert [(r["item_id"], r["annotator_id"]) for r in out] == want and [r["slot"] for r in out] == list(range(len(want)))
+
+
 @pytest.mark.parametrize("seed", range(40, 44))
 def test_quota(spark, seed):
     pairs, budget, caps, history, _ = random_case(seed)

@@ -69,7 +69,8 @@ def test_beta_quantile_and_draws(spark):
     q = [r[0] for r in rows.select(scorers.beta_quantile(F.col("a"), F.col("b"), F.lit(0.9))).collect()]
     r = np.random.default_rng(0)
     assert np.allclose(q, [np.quantile(r.beta(a, b, 200_000), 0.9) for a, b in ((2, 3), (9.5, 0.5), (50, 4))], atol=0.01)
-    d = spark.range(3000).select(scorers.beta_draw(F.lit(2.0), F.lit(3.0), F.xxhash64("id")).alias("d")).agg(F.avg("d")).first()[0]
+    u = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    d = spark.range(3000).select(scorers.beta_quantile(F.lit(2.0), F.lit(3.0), u).alias("d")).agg(F.avg("d")).first()[0]
     assert abs(d - 0.4) < 0.02
 
 
@@ -182,3 +183,66 @@ def test_strategy_labels_keep_settings_apart(spark):
     assert label("em", "kg", "epsilon_greedy_sample", "0.2", "0.20", "5", None) == "em | kg + epsilon_greedy_sample[eps=0.2]"
     assert label("em", "kg", "epsilon_greedy_sample", "0.2", "0.01", "5", "step") == "em | kg + epsilon_greedy_sample[step:0.2->0.01,T=5]"
     assert label("em", "kg", "epsilon_greedy_sample", "0.2", None, None, None) == "em | kg + epsilon_greedy_sample[cosine:0.2->?,T=?]"
+
+
+def test_draws_have_the_moments_of_their_laws(spark):
+    from tallywise.tables import uniform
+
+    u = spark.range(4000).withColumn("u", uniform(1, F.lit("a"), "id"))
+    b = np.array([r[0] for r in u.select(scorers.beta_quantile(F.lit(2.0), F.lit(5.0), F.col("u"))).collect()])
+    assert abs(b.mean() - 2 / 7) < 0.01 and abs(b.var() - 10 / (49 * 8)) < 0.003
+    us = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: uniform(2, "id", i))
+    d = np.array([r[0] for r in u.select(scorers.dirichlet_draw(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), us)).collect()])
+    assert np.allclose(d.sum(1), 1) and np.abs(d.mean(0) - [1 / 6, 1 / 3, 1 / 2]).max() < 0.015
+    want = [a / 6 * (1 - a / 6) / 7 for a in (1, 2, 3)]
+    assert np.abs(d.var(0) - want).max() < 0.003
+    two = u.limit(3).select(scorers.dirichlet_rows_draw(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(1.0))), F.array(F.col("u"), F.col("u"))).alias("c")).collect()
+    assert all(np.allclose(np.array(r["c"]).sum(1), 1) for r in two)
+
+
+@pytest.mark.parametrize("variant", ["uniform", "channel", "full"])
+def test_mean_of_draws_nears_the_gain_of_sure_posteriors(spark, variant):
+    f = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "item_id long, x array<double>")
+    post = spark.createDataFrame([(1, [0.5, 0.3, 0.2]), (2, [0.9, 0.05, 0.05])], "item_id long, p array<double>")
+    cand = spark.createDataFrame([(1, 1), (2, 1)], "item_id long, annotator_id long")
+    seen = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "item_id long, annotator_id long, label int")
+    args = (cand, f, seen, post, 3, variant)
+    mean = {r["item_id"]: r["u"] for r in scorers.kernel_smoothed_gain(*args, gamma=0.5, accuracy_strength=1e6).collect()}
+    drawn = {r["item_id"]: r["u"] for r in scorers.kernel_smoothed_gain(*args, gamma=0.5, accuracy_strength=1e6, draws=4, seed=7).collect()}
+    assert drawn.keys() == mean.keys() and all(drawn[i] == pytest.approx(mean[i], abs=5e-3) for i in mean)
+    again = {r["item_id"]: r["u"] for r in scorers.kernel_smoothed_gain(*[a.repartition(3) if hasattr(a, "repartition") else a for a in args], gamma=0.5, draws=4, seed=7).collect()}
+    assert again == {r["item_id"]: r["u"] for r in scorers.kernel_smoothed_gain(*args, gamma=0.5, draws=4, seed=7).collect()}
+
+
+@pytest.mark.parametrize("stat", ["median", "mean", "minimum"])
+def test_bandwidth_counts_points_by_weight(spark, stat):
+    r = np.random.default_rng(5)
+    for n in (2, 7, 300):
+        x, w = np.round(r.normal(0, 1, (n, 3)), 1), r.integers(1, 3, n)
+        p = spark.createDataFrame([(i, x[i].tolist(), int(w[i])) for i in range(n)], "item_id long, x array<double>, n long")
+        for weight in (None, "n"):
+            many = np.repeat(x, w, axis=0) if weight else x
+            i, j = np.triu_indices(len(many), 1)
+            d = np.sqrt(np.square(many[i] - many[j]).sum(1))
+            want = max({"median": np.median(d), "mean": d.mean(), "minimum": d.min()}[stat], 1e-3) ** -2
+            assert kernel.bandwidth(p, stat, weight=weight).first()[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_crowd_em_objective(spark):
+    from tallywise.operators import dawid_skene
+    from tallywise.operators.aggregate import class_prior, confusions_with_prior, dense, soft_votes
+
+    rows = [(i, a, (i + (a == 2) * (i % 2)) % 3) for i in range(12) for a in range(3) if (i + a) % 4]
+    labels = spark.createDataFrame(rows, "item_id long, annotator_id long, label int")
+    post = dense(soft_votes(labels), 3)
+    c = confusions_with_prior(labels, post, 3, 1.5, 0.5)
+    prior = class_prior(post)
+    q = {(r["item_id"], r["class"]): r["p"] for r in post.collect()}
+    cc = {(r["annotator_id"], r["truth"], r["label"]): r["p"] for r in c.collect()}
+    pr = {r["class"]: r["p"] for r in prior.collect()}
+    want = sum(v * np.log(pr[k] * np.prod([cc[a, k, y] for j, a, y in rows if j == i]) + 2.0**-52) for (i, k), v in q.items())
+    want += sum((0.5 + 0.5 * (t == y)) * np.log(p + 2.0**-52) for (_, t, y), p in cc.items())
+    assert dawid_skene.em_objective(labels, c, prior, post, 1.5, 0.5) == pytest.approx(want)
+    info = dawid_skene.crowd_em(labels, 3, max_iter=50, tol=1e-2)[2]
+    h = info["history"]
+    assert abs(h[-1] - h[-2]) < 1e-2 and all(abs(a - b) >= 1e-2 for a, b in zip(h[:-2], h[1:-1], strict=True)) and info["iterations"] == len(h)
