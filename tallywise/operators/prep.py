@@ -166,8 +166,7 @@ def standardised_features(fit: DataFrame, apply: DataFrame, eps: float = 1e-12)
 
 def last_rows(history: DataFrame, n: int, columns: list[str], order: str = "cycle") -> DataFrame:
     """The chosen columns of the last n rows in ``order``."""
-    ranked = history.withColumn("__r", F.row_number().over(Window.orderBy(F.col(order).desc())))
-    return ranked.filter(F.col("__r") <= n).select(*columns)
+    return history.orderBy(F.col(order).desc()).limit(n).select(*columns)
 
 
 def pooled_tokens(tokens: DataFrame, how: str = "mean") -> DataFrame:

@@ -157,7 +157,7 @@ def kernel_evidence_gain(candidates: DataFrame, features: DataFrame, acquired: D
     elif variant == "full":
         off = accuracy_strength * (1 - accuracy_mean)
         counts = F.transform("rows", lambda row, i: F.transform(row, lambda v, j: F.when(i == j, accuracy_strength * accuracy_mean).otherwise(off / F.greatest(k - 1, F.lit(1))) + F.col("conc") * v))
-        rows = rows.withColumn("c", dirichlet_rows_draw(counts, _uniforms(seed, "rows", k * (k - 1))) if draws else F.transform(counts, lambda row: normalised(row)))
+        rows = rows.withColumn("c", F.transform(counts, lambda row: normalised(row))) if not draws else _drawn_rows(rows, counts, seed, k * (k - 1), "c")
         c = F.col("c")
     else:
         raise ValueError(f"variant: {variant}")
@@ -175,7 +175,16 @@ def _uniforms(seed: int, tag: str, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: uniform(seed, F.lit(tag), *_PAIR, F.col("t"), i))
 
 
+def _drawn_rows(rows: DataFrame, counts: Column, seed: int, n: Column, name: str) -> DataFrame:
+    """Pair, t, p, and under ``name`` rows drawn from the counts; these are written first, as Python cannot take their lambdas."""
+    made = staged(rows.select(*_PAIR, "t", "p", counts.alias("counts"), _uniforms(seed, "rows", n).alias("us")))
+    return made.select(*_PAIR, "t", "p", dirichlet_rows_draw(F.col("counts"), F.col("us")).alias(name))
+
+
 def _mean_gain(rows: DataFrame, score: str, draws: int) -> DataFrame:
+    if draws:
+        # written, since Spark would move the Python draws into lambdas, where they cannot run
+        rows = staged(rows)
     gains = rows.select(*_PAIR, expected_gain(F.col("p"), F.col("c"), score).alias("u"))
     return gains.groupBy(*_PAIR).agg(F.avg("u").alias("u")) if draws > 1 else gains
 
@@ -262,7 +271,7 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
         rows = rows.join(arrays.hint("merge"), list(_PAIR), "left")
         prior_rows = kernel.confusion_prior(n_classes, F.col("acc"), accuracy_strength)
         counts = F.transform(prior_rows, lambda row, i: F.transform(row, lambda v, j: v + F.coalesce(F.col("cells")[i * n_classes + j], F.lit(0.0))))
-        rows = rows.withColumn("counted", dirichlet_rows_draw(counts, _uniforms(seed, "rows", F.lit(n_classes * (n_classes - 1)))) if draws else F.transform(counts, lambda row: normalised(row)))
+        rows = rows.withColumn("counted", F.transform(counts, lambda row: normalised(row))) if not draws else _drawn_rows(rows, counts, seed, F.lit(n_classes * (n_classes - 1)), "counted")
         counted = F.col("counted")
         c = counted if variant == "full" else uniform_channel(F.transform(counted, lambda row, i: F.get(row, i)))
     else:
@@ -328,8 +337,7 @@ def dirichlet_draw(conc: Column, u: Column) -> Column:
     def run(c: pd.Series, u: pd.Series) -> pd.Series:
         return pd.Series(list(_dirichlet(np.stack(c.to_list()).astype(float), np.stack(u.to_list())))) if len(c) else pd.Series([], dtype=object)
 
-    # so marked, it is not moved into a lambda, where Python cannot run
-    return run.asNondeterministic()(conc, u)
+    return run(conc, u)
 
 
 def dirichlet_rows_draw(conc: Column, u: Column) -> Column:
@@ -344,4 +352,4 @@ def dirichlet_rows_draw(conc: Column, u: Column) -> Column:
         drawn = _dirichlet(flat.reshape(n * k, k), np.stack(u.to_list()).reshape(n * k, k - 1)).reshape(n, k, k)
         return pd.Series([list(x) for x in drawn])
 
-    return run.asNondeterministic()(conc, u)
+    return run(conc, u)
