@@ -18,38 +18,47 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labelled rows that are not held out; null and empty texts score as clean."""
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from rows with a language that are not held out; ``und`` without a letter."""
     return language_id.languages(documents(spark, sf_dir))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html gives an empty text, repeated rows a row each."""
     return html_extract.extract(pages(spark, sf_dir))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, at most 3 times its size; a null source is the last, null texts have no words."""
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade probabilities of every whole text, from the label table; null and empty texts are graded too."""
     return quality.quality(documents(spark, sf_dir), quality.usefulness(labels(spark, sf_dir)))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every row, by the text with A-Z lower-cased; null counts as empty, of rows that repeat id and text one stays."""
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form, and how alike they and the next text are; a row for every row."""
     return order_minhash.edited_likeness(documents(spark, sf_dir))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share nine tenths of their three-word shingles; rows without words are alone."""
     return ngram_join.jaccard_groups(documents(spark, sf_dir), ngram=3, percent=90)
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to ZIP packages and read back; the smallest page_id of equal payloads is the response."""
     return warc.archived_pages(pages(spark, sf_dir))
 
 
