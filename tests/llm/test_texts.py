@@ -124,6 +124,16 @@ def test_names_are_whole_and_end_at_an_article(html, want):
     assert "\n".join(t for kind, _, t in blocks if kind == (html_extract.MAIN if html_extract.MAIN in kinds else html_extract.OPEN)) == want
 
 
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    deep = html_extract.page_blocks("<div>" * 60_000 + "the text" + "</div>" * 60_000 + "<b>" * 60_000 + "more" + "</i>" * 60_000)
+    assert [t for *_, t in deep] == ["the text", "more"]
+    long = html_extract.page_blocks("<article>" + "<p>some words here</p>" * 100_000 + "</article>")
+    assert len(long) == 100_000 and time.time() - began < 20
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_repeats_count_over_the_whole_host(spark, monkeypatch, most):
     monkeypatch.setattr(html_extract, "HOSTS_MOST", most)
