@@ -114,7 +114,8 @@ def difficulty(distribution: DataFrame, n_classes: int, metric: str = "entropy",
     else:
         raise ValueError(f"metric: {metric}")
     rows = distribution.groupBy("item_id").agg(F.pow(F.greatest(d, F.lit(0.0)), F.lit(alpha)).alias("difficulty"))
-    return rows.withColumn("centred", F.col("difficulty") - F.avg("difficulty").over(Window.partitionBy()))
+    mean = rows.agg(F.avg("difficulty").alias("mean"))
+    return rows.crossJoin(F.broadcast(mean)).select("item_id", "difficulty", (F.col("difficulty") - F.col("mean")).alias("centred"))
 
 
 def ambiguity_templates(distribution: DataFrame, cells: DataFrame, n_classes: int, least: int, smoothing: float = 1e-3) -> DataFrame:

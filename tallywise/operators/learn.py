@@ -17,7 +17,7 @@ from tallywise.operators.aggregate import confusions, dense, majority_vote, pair
 from tallywise.operators.dawid_skene import class_model, dawid_skene
 from tallywise.operators.scorers import beta_quantile
 from tallywise.sources.staging import staged
-from tallywise.tables import uniform
+from tallywise.tables import small, uniform
 
 #: Named settings of the estimators.
 PRESETS = {
@@ -85,7 +85,7 @@ def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, reg
     d = features.agg(F.max(F.size("x"))).first()[0] or 0
     a, k = len(names), n_classes
     index = annotations.sparkSession.createDataFrame(list(enumerate(names)), "a int, annotator_id long")
-    rows = staged(annotations.join(F.broadcast(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
+    rows = staged(annotations.join(small(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
     rng = np.random.default_rng(seed)
     theta = np.concatenate([rng.normal(0, 0.01, (d + 1) * k), np.tile(np.eye(k) * 3, (a, 1, 1)).ravel()])
     cut, size = (d + 1) * k, len(theta)
@@ -145,7 +145,7 @@ def low_rank_expertise(annotations: DataFrame, features: DataFrame, n_classes: i
     d = features.agg(F.max(F.size("x"))).first()[0] or 0
     a, k = len(names), n_classes
     index = annotations.sparkSession.createDataFrame(list(enumerate(names)), "a int, annotator_id long")
-    rows = staged(annotations.join(F.broadcast(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
+    rows = staged(annotations.join(small(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
     rng = np.random.default_rng(seed)
     sizes = [(d + 1) * k, d * dim, a * dim, a]
     ends = np.cumsum(sizes)
@@ -186,10 +186,10 @@ def low_rank_expertise(annotations: DataFrame, features: DataFrame, n_classes: i
 def mixed_pairs(pairs: DataFrame, seed: int = 0, alpha: float = 1.0) -> DataFrame:
     """Each pair (item_id, annotator_id, x, a, y arrays) mixed with a random other: lam * own + (1 - lam) * other.
 
-    The partner comes from a second order of the same rows, by rank within 64 hash buckets, so that neither order is sorted in one
+    The partner comes from a second order of the same rows, by rank within 64 hash buckets (more beyond 6.4 million rows), so that neither order is sorted in one
     task.  lam is Beta(alpha, alpha), which is uniform at alpha 1.
     """
-    bucket = F.pmod(F.xxhash64("item_id", "annotator_id"), F.lit(64))
+    bucket = F.pmod(F.xxhash64("item_id", "annotator_id"), F.lit(max(64, pairs.count() // 100_000)))
     order = lambda s: Window.partitionBy("b").orderBy(uniform(seed, F.lit(s), "item_id", "annotator_id"), "item_id", "annotator_id")
     rows = pairs.withColumn("b", bucket)
     left = rows.withColumn("r", F.row_number().over(order("own")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywise.functions.arrays import l2_normalised, normalised, total
-from tallywise.tables import uniform
+from tallywise.tables import small, uniform
 
 
 def merge_splits(*parts: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def label_domain(*columns: DataFrame, order: str = "text", declared: list | None
 def encode_labels(rows: DataFrame, domain: DataFrame, column: str = "y") -> DataFrame:
     """``rows`` with ``column`` as its code in the domain; values outside it become null."""
     names = domain.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-    joined = rows.join(F.broadcast(names), rows[column] == names["__value"], "left")
+    joined = rows.join(small(names), rows[column] == names["__value"], "left")
     return joined.select(*[F.col("__code").alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
@@ -119,7 +119,7 @@ def likelihood_pairs(raw: DataFrame, items: DataFrame, annotators: DataFrame, cl
 
     p has the classes in order of code; it is normalised only where every class is given and the sum is positive.
     """
-    known = raw.join(items.select("item_id").distinct(), "item_id", "left_semi").join(F.broadcast(annotators.select("annotator_id").distinct()), "annotator_id", "left_semi")
+    known = raw.join(items.select("item_id").distinct(), "item_id", "left_semi").join(small(annotators.select("annotator_id").distinct()), "annotator_id", "left_semi")
     names = classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "name"))), lambda e: e["name"]).alias("names"))
     p = F.transform("names", lambda n: F.col("likelihoods")[n])
     rows = known.crossJoin(F.broadcast(names)).select("item_id", "annotator_id", p.alias("p"))

@@ -78,6 +78,11 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(texts)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` as the side of a join: broadcast if it has at most ``most`` rows, else sorted and merged."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def uniform(seed: int | str, *keys: Column | str) -> Column:
     """A number strictly between 0 and 1 that depends on the seed and the keys alone, not on partitions."""
     return (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
