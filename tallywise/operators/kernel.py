@@ -26,17 +26,21 @@ def unit_vectors(features: DataFrame) -> DataFrame:
 BLOCK = 128
 
 
-def _blocks(points: DataFrame, id_name: str, x_name: str) -> DataFrame:
-    """The points in hash blocks of about BLOCK rows: arrays of ids and of vectors."""
-    n = max(1, -(-points.count() // BLOCK))
-    rows = points.select(F.col("item_id"), F.col("x").cast("array<double>").alias("x"), F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("block"))
-    packed = rows.groupBy("block").agg(F.collect_list(F.struct("item_id", "x")).alias("rows"))
-    return packed.select(F.col("rows.item_id").alias(id_name), F.col("rows.x").alias(x_name))
+def _blocks(points: DataFrame, id_name: str, x_name: str, by: str | None = None) -> DataFrame:
+    """The points in hash blocks of about BLOCK rows (or fewer, each in a group): arrays of ids and of vectors."""
+    keys = [by] if by else []
+    most = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-most // BLOCK))
+    rows = points.select(*keys, F.col("item_id"), F.col("x").cast("array<double>").alias("x"), F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("block"))
+    packed = rows.groupBy(*keys, "block").agg(F.collect_list(F.struct("item_id", "x")).alias("rows"))
+    return packed.select(*keys, F.col("rows.item_id").alias(id_name), F.col("rows.x").alias(x_name))
 
 
-def _block_pairs(points: DataFrame, others: DataFrame) -> DataFrame:
-    """(ia, xa, ib, xb): every block of points with every block of others."""
-    return _blocks(points, "ia", "xa").crossJoin(_blocks(others, "ib", "xb"))
+def _block_pairs(points: DataFrame, others: DataFrame, by: str | None = None) -> DataFrame:
+    """(ia, xa, ib, xb): every block of points with every block of others, or of those in the same group."""
+    if by is None:
+        return _blocks(points, "ia", "xa").crossJoin(_blocks(others, "ib", "xb"))
+    return _blocks(points, "ia", "xa", by).join(_blocks(others, "ib", "xb", by).hint("merge"), by).drop(by)
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
@@ -61,8 +65,19 @@ def distances2(points: DataFrame, others: DataFrame) -> DataFrame:
     return _block_pairs(points, others).mapInArrow(run, f"item_id {id_type}, other_id {other_type}, d2 double")
 
 
-def nearest(features: DataFrame, k: int) -> DataFrame:
-    """(item_id, other_id, d2, rank): the k nearest others, fewer where there are fewer; ties by id.
+def least_distance2(points: DataFrame, others: DataFrame) -> DataFrame:
+    """(item_id, d2): the least squared distance of each point to the others; one number a block leaves its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ia, _, d2 in _distances(batches):
+            yield pa.RecordBatch.from_arrays([ia, pa.array(d2.min(1))], ["item_id", "d2"])
+
+    id_type = points.schema["item_id"].dataType.simpleString()
+    return _block_pairs(points, others).mapInArrow(run, f"item_id {id_type}, d2 double").groupBy("item_id").agg(F.min("d2").alias("d2"))
+
+
+def nearest(features: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """(item_id, other_id, d2, rank): the k nearest others (of the same group ``by``), fewer where there are fewer; ties by id.
 
     Only the k nearest of each block leave the task that compares it.
     """
@@ -79,7 +94,7 @@ def nearest(features: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(by_id[order[at, to]])), pa.array(near[at, to])], ["item_id", "other_id", "d2"])
 
     w = Window.partitionBy("item_id").orderBy("d2", "other_id")
-    near = _block_pairs(features, features).mapInArrow(run, f"item_id {id_type}, other_id {id_type}, d2 double")
+    near = _block_pairs(features, features, by).mapInArrow(run, f"item_id {id_type}, other_id {id_type}, d2 double")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

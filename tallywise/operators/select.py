@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.functions.arrays import argmax, as_doubles, distance2, uncertainty
+from tallywise.functions.arrays import argmax, as_doubles, uncertainty
 from tallywise.operators import kernel, prep
 from tallywise.operators.learn import clusters
 from tallywise.sources.staging import staged
@@ -32,11 +32,10 @@ def typical_items(features: DataFrame, labelled: DataFrame, budget: int, neighbo
     size = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     covered = c.join(labelled.select("item_id").distinct(), "item_id", "left_semi").select("cluster").distinct()
     open_ = size.join(covered, "cluster", "left_anti")
-    inside = features.join(c, "item_id").join(open_, "cluster")
-    b = inside.select("cluster", F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
-    d = inside.select("cluster", "item_id", "n", "x").join(b, "cluster").filter("item_id <> other_id").withColumn("d", F.sqrt(distance2(F.col("x"), F.col("x2"))))
-    near = d.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("d", "other_id"))).filter(F.col("r") <= neighbours)
-    typical = inside.select("item_id", "cluster", "n").join(near.groupBy("item_id").agg((1 / F.greatest(F.avg("d"), F.lit(1e-12))).alias("t")), "item_id", "left")
+    inside = features.join(c, "item_id").join(open_.hint("merge"), "cluster")
+    near = kernel.nearest(inside.select("item_id", "x", "cluster"), neighbours, by="cluster").select("item_id", F.sqrt("d2").alias("d"))
+    mean = near.groupBy("item_id").agg((1 / F.greatest(F.avg("d"), F.lit(1e-12))).alias("t"))
+    typical = inside.select("item_id", "cluster", "n").join(mean.hint("merge"), "item_id", "left")
     best = typical.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("t").desc_nulls_last(), "item_id"))).filter("r = 1")
     return best.orderBy(F.col("n").desc(), "cluster").limit(budget).select("item_id")
 
@@ -54,7 +53,7 @@ def spread_items(points: DataFrame, budget: int, rounds: int = 5, weight: Column
     new = chosen
     per = max(1, -(-2 * budget // rounds))
     for t in range(rounds):
-        d = kernel.distances2(state.select("item_id", "x"), new.select("item_id", "x")).groupBy("item_id").agg(F.min("d2").alias("n2"))
+        d = kernel.least_distance2(state.select("item_id", "x"), new.select("item_id", "x")).withColumnRenamed("d2", "n2").hint("merge")
         state = staged(state.join(new.select("item_id"), "item_id", "left_anti").join(d, "item_id").select("item_id", "x", F.least(F.coalesce("d2", "n2"), F.col("n2")).alias("d2"), "w"))
         key = -F.ln(uniform(seed, F.lit(t), "item_id")) / F.greatest(F.col("d2") + F.col("w"), F.lit(1e-12))
         new = staged(state.orderBy(key, "item_id").limit(per).select("item_id", "x", F.lit(t).alias("round"), key.alias("key")))

@@ -246,3 +246,21 @@ def test_crowd_em_objective(spark):
     info = dawid_skene.crowd_em(labels, 3, max_iter=50, tol=1e-2)[2]
     h = info["history"]
     assert abs(h[-1] - h[-2]) < 1e-2 and all(abs(a - b) >= 1e-2 for a, b in zip(h[:-2], h[1:-1], strict=True)) and info["iterations"] == len(h)
+
+
+def test_nearest_and_least_distances_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "BLOCK", 7)
+    r = np.random.default_rng(9)
+    x, g = np.round(r.normal(0, 1, (60, 3)), 1), r.integers(0, 3, 60)
+    p = spark.createDataFrame([(i, x[i].tolist(), int(g[i])) for i in range(60)], "item_id long, x array<double>, g int")
+    d2 = np.square(x[:, None] - x[None]).sum(2)
+    for by in (None, "g"):
+        got = {(a["item_id"], a["rank"]): a["other_id"] for a in kernel.nearest(p if by else p.drop("g"), 4, by).collect()}
+        want = {}
+        for i in range(60):
+            others = sorted((j for j in range(60) if j != i and (by is None or g[j] == g[i])), key=lambda j: (d2[i, j], j))
+            want |= {(i, k + 1): j for k, j in enumerate(others[:4])}
+        assert got == want
+    few = p.filter("item_id % 9 = 0")
+    got = {a["item_id"]: a["d2"] for a in kernel.least_distance2(p.drop("g"), few.drop("g")).collect()}
+    assert all(got[i] == pytest.approx(d2[i, ::9].min()) for i in range(60))
