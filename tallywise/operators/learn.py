@@ -72,6 +72,17 @@ def _summed(rows: DataFrame, grad: Callable[[pd.DataFrame, np.ndarray], np.ndarr
     return g
 
 
+#: The parameters of all annotators are one vector on the driver, so their number is bounded.
+MOST_ANNOTATORS = 10_000
+
+
+def _annotators(annotations: DataFrame) -> list[int]:
+    names = sorted(r[0] for r in annotations.select("annotator_id").distinct().limit(MOST_ANNOTATORS + 1).collect())
+    if len(names) > MOST_ANNOTATORS:
+        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
+    return names
+
+
 def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, regularization: str = "trace-reg", lmbda: float = 0.01, steps: int = 20, rate: float = 0.5, seed: int = 0) -> dict:
     """A linear class model under a confusion layer per annotator, by the likelihood of the labels.
 
@@ -81,7 +92,7 @@ def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, reg
     """
     if regularization not in ("trace-reg", "geo-reg-f", "geo-reg-w"):
         raise ValueError(f"regularization: {regularization}")
-    names = sorted(r[0] for r in annotations.select("annotator_id").distinct().collect())
+    names = _annotators(annotations)
     d = features.agg(F.max(F.size("x"))).first()[0] or 0
     a, k = len(names), n_classes
     index = annotations.sparkSession.createDataFrame(list(enumerate(names)), "a int, annotator_id long")
@@ -141,7 +152,7 @@ def low_rank_expertise(annotations: DataFrame, features: DataFrame, n_classes: i
 
     Gives ``class_weights``, ``projection``, ``annotator_vectors`` (annotator_id, v, bias) and the ``loss`` of each step.
     """
-    names = sorted(r[0] for r in annotations.select("annotator_id").distinct().collect())
+    names = _annotators(annotations)
     d = features.agg(F.max(F.size("x"))).first()[0] or 0
     a, k = len(names), n_classes
     index = annotations.sparkSession.createDataFrame(list(enumerate(names)), "a int, annotator_id long")
