@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywise.llm import exact_dedup, html_extract, language_id, mixing, ngram_join, order_minhash, quality, sentencepiece, toxicity, warc
+from tallywise.llm import centroids, exact_dedup, html_extract, language_id, merkle, mixing, ngram_join, order_minhash, quality, repeated_phrases, sentencepiece, toxicity, warc
 from tallywise.llm.common import documents, pages
 
 
@@ -62,7 +62,22 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(pages(spark, sf_dir))
 
 
-_ALL = (op1_sentencepiece, op2_toxicity, op3_language_id, op4_html_text, op5_mix_sources, op6_quality, op7_exact_dedup, op8_order_minhash, op9_ngram_join, op10_warc_zip)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof digest of every document, and whether its tampered form still folds to the root; null langs are a group."""
+    return merkle.tampered_manifest(documents(spark, sf_dir))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector with 64 finite components, as integers, after three rounds from 16 hashed starts."""
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text, and what is left without those under windows of 35 words that occur elsewhere too; null texts have none."""
+    return repeated_phrases.repeat_report(documents(spark, sf_dir))
+
+
+_ALL = (op1_sentencepiece, op2_toxicity, op3_language_id, op4_html_text, op5_mix_sources, op6_quality, op7_exact_dedup, op8_order_minhash, op9_ngram_join, op10_warc_zip, op11_merkle_manifest, op12_centroids, op13_repeated_phrases)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES = {"op5_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_warc_zip": warc.ORACLE}
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op10_warc_zip": warc.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_centroids": centroids.ORACLE, "op13_repeated_phrases": repeated_phrases.ORACLE}
