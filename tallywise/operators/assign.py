@@ -10,13 +10,13 @@ each round is a job whose result goes to the shared folder.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywise.sources.staging import staged
-from tallywise.tables import uniform
+from tallywise.tables import small, uniform
 
 #: Named settings: coverage none is ``global``, hard is ``sample``.
 PRESETS = {
@@ -110,29 +110,35 @@ def greedy(utilities: DataFrame, budget: int, coverage: str = "none", soft_lambd
     return _slots(out if out is not None else pairs.withColumn("r", F.lit(0)).limit(0), budget, *_best(F.col("r")))
 
 
-def _soft_capped(pairs: DataFrame, budget: int, soft_lambda: float, per_item: int | None, caps: DataFrame) -> DataFrame:
-    """Soft coverage under annotator caps, in rounds.
+def _soft_capped(pairs: DataFrame, budget: int, soft_lambda: float, per_item: int | None, caps: DataFrame | None, temperature: float | None = None) -> DataFrame:
+    """Soft coverage in rounds, under annotator caps if given.
 
     A score only falls as its item gets labels.  So an item's best pair is taken with its present score if, among the
     annotator's open pairs by their present scores, it ranks within what is left to the annotator.  Pairs below the scores
-    that fill the budget are dropped.
+    that fill the budget are dropped.  With a ``temperature`` the score is not a utility but minus the logarithm of the time at
+    which the pair would be drawn, and each label of the item delays what is left of it, see ``_delayed``.
     """
-    open_ = pairs.join(caps.select("annotator_id", F.col("cap").cast("long").alias("cap")).hint("merge"), "annotator_id").filter("cap > 0")
+    if caps is None:
+        open_ = pairs.withColumn("cap", F.lit(None).cast("long"))
+    else:
+        open_ = pairs.join(caps.select("annotator_id", F.col("cap").cast("long").alias("cap")).hint("merge"), "annotator_id").filter("cap > 0")
     open_ = staged(open_.select(*_KEY, "u", F.col("u").alias("score"), "cap", F.lit(0).cast("long").alias("n")))
     out, count = None, 0
     by_score = [F.col("score").desc(), F.col("item_id"), F.col("annotator_id")]
     while True:
-        ranked = open_.withColumn("ri", _rank("item_id", order=by_score)).withColumn("ra", _rank("annotator_id", order=by_score))
-        won = staged(ranked.filter("ri = 1 AND ra <= cap").select(*_KEY, F.col("score").alias("u")))
+        best = open_.withColumn("ri", _rank("item_id", order=by_score))
+        best = best.filter("ri = 1") if caps is None else best.withColumn("ra", _rank("annotator_id", order=by_score)).filter("ri = 1 AND ra <= cap")
+        won = staged(best.select(*_KEY, F.col("score").alias("u")))
         new = won.count()
         if not new:
             return _slots(out if out is not None else pairs.limit(0), budget)
         out, count = won if out is None else staged(out.unionByName(won).orderBy(*_best()).limit(budget)), min(count + new, budget)
-        used_i = won.select("item_id", F.lit(1).alias("ti"))
+        used_i = won.select("item_id", F.col("u").alias("won"))
         used_a = won.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("ta"))
         rest = open_.join(won.select(*_KEY), list(_KEY), "left_anti").join(used_i.hint("merge"), "item_id", "left").join(used_a.hint("merge"), "annotator_id", "left")
-        n, cap = F.col("n") + F.coalesce("ti", F.lit(0)), F.col("cap") - F.coalesce("ta", F.lit(0))
-        rest = rest.select(*_KEY, "u", (F.col("u") - soft_lambda * n).alias("score"), cap.alias("cap"), n.alias("n")).filter("cap > 0")
+        n, cap = F.col("n") + F.col("won").isNotNull().cast("long"), F.col("cap") - F.coalesce("ta", F.lit(0))
+        later = F.col("u") - soft_lambda * n if temperature is None else F.when(F.col("won").isNull(), F.col("score")).otherwise(_delayed(F.col("score"), F.col("won"), soft_lambda / temperature))
+        rest = rest.select(*_KEY, "u", later.alias("score"), cap.alias("cap"), n.alias("n")).filter("cap IS NULL OR cap > 0")
         if per_item is not None:
             rest = rest.filter(F.col("n") < per_item)
         if count == budget:
@@ -140,6 +146,35 @@ def _soft_capped(pairs: DataFrame, budget: int, soft_lambda: float, per_item: in
         open_ = staged(rest)
 
 
+def _delayed(score: Column, won: Column, slower: float) -> Column:
+    """The new score of a pair whose item was drawn at the score ``won``, from where its time runs exp(slower) times slower.
+
+    Times t = exp(-score) become w + (t - w) * exp(slower), in logarithms.
+    """
+    apart = won - score
+    y = apart + slower + F.ln(1 - F.exp(-apart))
+    grown = F.greatest(y, F.lit(0.0)) + F.log1p(F.exp(-F.abs(y)))
+    return F.when(apart <= 0, won).otherwise(won - grown)
+
+
+def _by_levels(pairs: DataFrame, budget: int, per_item: int | None, caps: DataFrame | None, score: Callable[[int], Column]) -> DataFrame:
+    """Hard coverage, level by level, with a score of its own for each level."""
+    out, open_, left = None, staged(pairs), None if caps is None else staged(caps.select("annotator_id", F.col("cap").cast("long").alias("cap")))
+    level, count = 0, 0
+    while count < budget and (per_item is None or level < per_item):
+        won = staged(_capped(open_.withColumn("u", score(level)).select(*_KEY, "u"), 1, left).select(*_KEY, "u").withColumn("r", F.lit(level)))
+        n = won.count()
+        if not n:
+            break
+        out, count, level = won if out is None else out.unionByName(won), count + n, level + 1
+        if left is not None:
+            used = won.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n"))
+            left = staged(left.join(used.hint("merge"), "annotator_id", "left").select("annotator_id", (F.col("cap") - F.coalesce("n", F.lit(0))).alias("cap")))
+        # an item that got nothing at this level has no free annotator left and drops out
+        open_ = staged(open_.join(won.select(*_KEY).hint("merge"), list(_KEY), "left_anti").join(won.select("item_id").hint("merge"), "item_id", "left_semi"))
+    return _slots(out if out is not None else pairs.withColumn("r", F.lit(0)).limit(0), budget, *_best(F.col("r")))
+
+
 def cosine_value(high: float, low: float | None, cycle: int, period: int) -> float:
     """From ``high`` at cycle 0 to ``low`` from ``period`` on; constant without ``low``."""
     if low is None:
@@ -147,72 +182,142 @@ def cosine_value(high: float, low: float | None, cycle: int, period: int) -> flo
     return low + (high - low) * (1 + math.cos(math.pi * min(cycle, period) / max(period, 1))) / 2
 
 
-def epsilon_greedy(utilities: DataFrame, budget: int, epsilon: float, cycle: int = 0, seed: int = 0, coverage: str = "none", top_m: int | None = None) -> DataFrame:
+def epsilon_greedy(utilities: DataFrame, budget: int, epsilon: float, cycle: int = 0, seed: int = 0, coverage: str = "none", top_m: int | None = None, soft_lambda: float = 0.0, max_per_item: int | None = None, caps: DataFrame | None = None) -> DataFrame:
     """Each slot takes the best pair left, or with chance ``epsilon`` a random one of those left (of the ``top_m`` best left, if given).
 
-    With hard coverage items get their first labels before any its second, level by level; a level is over when every item with an
-    open pair has one more label.  Only so many pairs from the top of the order by utility, and of a random order, can be needed
-    as the budget (and ``top_m``) allow; these are dealt out in one task, and a level after a level with hard coverage.
+    Coverage and caps as in ``greedy``; random pairs count for them too.  With hard coverage a level is over when every item with
+    an open pair has one more label, and every level has random numbers of its own.
     """
+    if coverage not in ("none", "hard", "soft"):
+        raise ValueError(f"coverage: {coverage}")
     pairs = utilities.select(*_KEY, "u").filter("u IS NOT NULL AND NOT isnan(u)")
-    pairs = pairs.withColumn("x", uniform(seed, F.lit(cycle), "item_id", "annotator_id"))
-    spark, hard = utilities.sparkSession, coverage == "hard"
-    out, count = spark.createDataFrame([], "slot int, item_id long, annotator_id long"), 0
-    widest = (pairs.groupBy("item_id").count().agg(F.max("count")).first()[0] or 0) if hard and top_m is not None else 1
-    open_ = staged(pairs) if hard else pairs
-    while count < budget:
-        left = budget - count
-        if top_m is not None:
-            lists = open_.orderBy(*_best()).limit(top_m + left * widest).withColumn("random", F.lit(False))
-        else:
-            one = lambda order: open_.withColumn("r", _rank("item_id", order=order)).filter("r = 1").drop("r") if hard else open_
-            by_x = [F.col("x"), *[F.col(k) for k in _KEY]]
-            best = one(_best()).orderBy(*_best()).limit(left).withColumn("random", F.lit(False))
-            lists = best.unionByName(one(by_x).orderBy(*by_x).limit(left).withColumn("random", F.lit(True)))
-        draws = spark.range(count, budget).select("id", *[uniform(seed, F.lit(cycle), F.lit(name), F.col("id")).alias(name) for name in ("slot", "pick")])
-        rows = lists.select(*_KEY, "u", "x", "random", F.lit(None).cast("double").alias("slot"), F.lit(None).cast("double").alias("pick"))
-        slots = draws.select(F.col("id").alias("item_id"), F.lit(None).cast("long").alias("annotator_id"), F.lit(0.0).alias("u"), F.lit(0.0).alias("x"), F.lit(None).cast("boolean").alias("random"), "slot", "pick")
-        rows = rows.select(F.col("item_id").cast("long").alias("item_id"), F.col("annotator_id").cast("long").alias("annotator_id"), F.col("u").cast("double").alias("u"), "x", "random", "slot", "pick")
-
-        def deal(part: pd.DataFrame) -> pd.DataFrame:
-            flips, part = part[part["random"].isna()].sort_values("item_id"), part[part["random"].notna()]
-            key = lambda rows, order, up: list(zip(*(rows.sort_values([order, *_KEY], ascending=[up, True, True])[k] for k in _KEY), strict=True))
-            best, drawn = key(part[part["random"] == False], "u", False), key(part[part["random"] == True], "x", True)  # noqa: E712
-            gone, at, taken = set(), {False: 0, True: 0}, []
-            mark = (lambda p: p[0]) if hard else (lambda p: p)
-            for slot, flip, pick in zip(flips["item_id"], flips["slot"], flips["pick"], strict=True):
-                explores = flip < epsilon
-                if top_m is not None:
-                    here = best[int(pick * min(top_m, len(best))) if explores else 0] if best else None
-                    best = [p for p in best if mark(p) != mark(here)] if here else best
-                else:
-                    some = drawn if explores else best
-                    while at[explores] < len(some) and mark(some[at[explores]]) in gone:
-                        at[explores] += 1
-                    here = some[at[explores]] if at[explores] < len(some) else None
-                if here is None:
-                    break
-                gone.add(mark(here))
-                taken.append((int(slot), *here))
-            return pd.DataFrame(taken, columns=["slot", *_KEY])
-
-        won = staged(rows.unionByName(slots).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(deal, "slot int, item_id long, annotator_id long"))
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in _KEY)
+    out, count, level = utilities.sparkSession.createDataFrame([], f"slot int, {kinds}"), 0, 0
+    left = None if caps is None else staged(caps.select("annotator_id", F.col("cap").cast("long").alias("cap")))
+    open_ = staged(pairs) if coverage == "hard" else pairs
+    while count < budget and (coverage != "hard" or max_per_item is None or level < max_per_item):
+        fresh = (F.lit(level),) if level else ()
+        rows = open_.withColumn("x", uniform(seed, F.lit(cycle), *fresh, "item_id", "annotator_id"))
+        won = _dealt(rows, _flips(rows, count, budget, epsilon, cycle, seed), budget - count, 1 if coverage == "hard" else max_per_item, left, soft_lambda if coverage == "soft" else 0.0, top_m)
         n = won.count()
         if not n:
             break
-        out, count = out.unionByName(won), count + n
-        if not hard:
+        out, count, level = out.unionByName(won.select((F.col("slot") + (count - 1)).cast("int").alias("slot"), *_KEY)), count + n, level + 1
+        if coverage != "hard":
             break
-        # items without an open pair drop out by themselves; all others have their label of this level
-        open_ = staged(open_.join(won.select(*_KEY).hint("merge"), list(_KEY), "left_anti"))
+        if left is not None:
+            used = won.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n"))
+            left = staged(left.join(used.hint("merge"), "annotator_id", "left").select("annotator_id", (F.col("cap") - F.coalesce("n", F.lit(0))).alias("cap")))
+        # an item without a label of this level has no open pair left and drops out
+        open_ = staged(open_.join(won.select(*_KEY).hint("merge"), list(_KEY), "left_anti").join(won.select("item_id").hint("merge"), "item_id", "left_semi"))
     return out
 
 
-def softmax_sample(utilities: DataFrame, budget: int, temperature: float, cycle: int = 0, seed: int = 0, coverage: str = "none") -> DataFrame:
-    """Sampling without replacement with weights exp(u / temperature): the largest of u / T plus Gumbel noise."""
-    noise = -F.ln(-F.ln(uniform(seed, F.lit(cycle), "item_id", "annotator_id")))
-    rows = utilities.select(*_KEY, "u").filter("u IS NOT NULL AND NOT isnan(u)").withColumn("u", F.col("u") / temperature + noise)
-    return greedy(rows, budget, coverage)
+def _flips(rows: DataFrame, start: int, budget: int, epsilon: float, cycle: int, seed: int) -> DataFrame:
+    """(stream, j, slot, pick) of the slots from 1: stream 1 explores; j numbers the slots of a stream."""
+    draw = lambda name: uniform(seed, F.lit(cycle), F.lit(name), F.col("id"))
+    draws = rows.sparkSession.range(start, budget).select((F.col("id") - (start - 1)).alias("slot"), draw("pick").alias("pick"), (draw("slot") < epsilon).cast("int").alias("stream"))
+    return staged(draws.withColumn("j", F.row_number().over(Window.partitionBy("stream").orderBy("slot")).cast("long")))
+
+
+def _dealt(open_: DataFrame, flips: DataFrame, budget: int, per_item: int | None, caps: DataFrame | None, soft_lambda: float, top_m: int | None) -> DataFrame:
+    """(slot, item_id, annotator_id) of a sequence of slots that take from two orders of the open pairs (u, x).
+
+    Slots of stream 0 take the best pair that is still feasible, those of stream 1 the one with the least x, or one of the ``top_m`` best.
+    Only the heads of the orders are needed; they are lengthened if a stream gets to their end.
+    """
+    if caps is not None:
+        open_ = open_.join(caps.hint("merge"), "annotator_id").filter("cap > 0")
+    else:
+        open_ = open_.withColumn("cap", F.lit(None).cast("long"))
+    best = open_.select(*_KEY, "cap", "u", F.lit(0).alias("k"))
+    if soft_lambda > 0:
+        # a pair counts with each number of labels that its item can have by then
+        most = F.least(F.count(F.lit(1)).over(Window.partitionBy("item_id")), F.lit(budget), F.lit(per_item or budget))
+        best = open_.withColumn("most", most.cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).select(*_KEY, "cap", (F.col("u") - soft_lambda * F.col("k")).alias("u"), "k")
+    take, total = 16 * (budget + (top_m or 0)) + 1000, best.count()
+    while True:
+        heads = best.orderBy(*_best(), "k").limit(take).select(F.lit(0).alias("stream"), *_KEY, "cap", "k", (-F.col("u")).alias("o"))
+        if top_m is None:
+            heads = heads.unionByName(open_.orderBy("x", *_KEY).limit(take).select(F.lit(1).alias("stream"), *_KEY, "cap", F.lit(-1).alias("k"), F.col("x").alias("o")))
+        order = Window.partitionBy("stream").orderBy("o", *_KEY, "k")
+        entries = staged(heads.withColumn("b", F.row_number().over(order)).drop("o"))
+        won, spare = _settled(entries, flips, budget, per_item, soft_lambda > 0, top_m)
+        if take >= total or spare >= (top_m or 0) + 1:
+            return won
+        take *= 4
+
+
+def _settled(entries: DataFrame, flips: DataFrame, budget: int, per_item: int | None, soft: bool, top_m: int | None) -> tuple[DataFrame, int]:
+    """The pairs of all slots, and how many feasible entries the shorter of the orders has left.
+
+    Every step places the entries at the slots in which their streams reach them if the entries marked as infeasible are passed
+    over, and marks anew by the slots at which items, annotators and pairs are then used up.  If the marks are right up to a
+    slot, the next step's are right up to the next slot at least, so the marks that stay as they are give the sequential result.
+    """
+    explores = flips.filter("stream = 1")
+    state, drawn = entries.withColumn("skip", F.lit(False)), None
+    turns = small(flips.select("stream", "j", "slot"))
+    before = Window.partitionBy("stream").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        placed = state.withColumn("j", F.coalesce(F.sum((~F.col("skip")).cast("long")).over(before), F.lit(0)) + 1).join(turns, ["stream", "j"], "left")
+        picks = placed.filter("NOT skip AND slot IS NOT NULL").select("slot", *_KEY)
+        own = staged((picks if drawn is None else picks.unionByName(drawn)).groupBy(*_KEY).agg(F.min("slot").alias("own")))
+        of = lambda key, name: small(own.groupBy(key).agg(F.sort_array(F.collect_list("own")).alias(name)))  # noqa: B023, E731
+        seen = placed.join(small(own), list(_KEY), "left").join(of("item_id", "of_item"), "item_id", "left").join(of("annotator_id", "of_annotator"), "annotator_id", "left")
+        ends = [F.col("own"), F.get("of_annotator", (F.col("cap") - 1).cast("int"))]
+        begin = F.lit(0).cast("long")
+        if per_item is not None:
+            ends.append(F.get("of_item", F.lit(per_item - 1)))
+        if soft:
+            # in the random order a pair counts with any number of labels of its item
+            ends.append(F.when(F.col("k") >= 0, F.get("of_item", F.col("k"))))
+            begin = F.when(F.col("k") <= 0, F.lit(0)).otherwise(F.coalesce(F.get("of_item", F.col("k") - 1), F.lit(budget + 2)))
+        seen = seen.withColumn("until", F.coalesce(F.least(*ends), F.lit(budget + 2))).withColumn("begin", begin)
+        at = F.coalesce("slot", F.lit(budget + 1))
+        after = staged(seen.select(*entries.columns, (~((at <= F.col("until")) & (at > F.col("begin")))).alias("skip"), F.col("skip").alias("old"), "slot", "until", "begin"))
+        same = after.filter("skip <> old").isEmpty()
+        if top_m is not None:
+            again = _explored(after, explores, budget, top_m)
+            same = same and drawn is not None and again.join(drawn.hint("merge"), ["slot", *_KEY], "left_anti").isEmpty() and again.count() == drawn.count()
+            drawn = again
+        state = after.select(*entries.columns, "skip")
+        if same:
+            spare = after.filter("NOT skip AND slot IS NULL").groupBy("stream").count().agg(F.min("count"), F.count(F.lit(1))).first()
+            streams = 1 if top_m is not None else 2
+            return own.select(F.col("own").alias("slot"), *_KEY), spare[0] if spare[1] == streams else 0
+
+
+def _explored(after: DataFrame, explores: DataFrame, budget: int, top_m: int) -> DataFrame:
+    """(slot, item_id, annotator_id): of the ``top_m`` best entries that are feasible at each exploring slot, the one drawn."""
+    lively = after.select("b", *_KEY, "until", "begin")
+    # no more entries than these are infeasible at any slot
+    shut = lively.filter((F.col("until") <= budget) | (F.col("begin") > 0)).count()
+    met = lively.filter(F.col("b") <= top_m + shut).join(F.broadcast(explores.select("slot", "pick")), (F.col("slot") <= F.col("until")) & (F.col("slot") > F.col("begin")))
+    ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("slot").orderBy("b"))).filter(F.col("rn") <= top_m)
+    chosen = ranked.withColumn("of", F.max("rn").over(Window.partitionBy("slot"))).filter(F.col("rn") == F.floor(F.col("pick") * F.col("of")) + 1)
+    return staged(chosen.select("slot", *_KEY))
+
+
+def softmax_sample(utilities: DataFrame, budget: int, temperature: float, cycle: int = 0, seed: int = 0, coverage: str = "none", soft_lambda: float = 0.0, max_per_item: int | None = None, caps: DataFrame | None = None) -> DataFrame:
+    """Sampling without replacement with weights exp(u / temperature): the largest of u / T plus Gumbel noise.
+
+    Coverage and caps as in ``greedy``.  With hard coverage every level has noise of its own; with soft coverage the noise is
+    the time of an exponential race, in which a label of an item slows down its other pairs.
+    """
+    pairs = utilities.select(*_KEY, "u").filter("u IS NOT NULL AND NOT isnan(u)")
+
+    def score(level: int) -> Column:
+        fresh = (F.lit(level),) if level else ()
+        return F.col("u") / temperature - F.ln(-F.ln(uniform(seed, F.lit(cycle), *fresh, "item_id", "annotator_id")))
+
+    if budget <= 0 or coverage == "none":
+        return greedy(pairs.withColumn("u", score(0)), budget, "none", max_per_item=max_per_item, caps=caps)
+    if coverage == "hard":
+        return _by_levels(pairs, budget, max_per_item, caps, score)
+    if coverage == "soft":
+        return _soft_capped(pairs.withColumn("u", score(0)), budget, soft_lambda, max_per_item, caps, temperature)
+    raise ValueError(f"coverage: {coverage}")
 
 
 def quota(utilities: DataFrame, budget: int, coverage: str = "none", history: DataFrame | None = None, caps: DataFrame | None = None) -> DataFrame:
@@ -256,14 +361,26 @@ def quota(utilities: DataFrame, budget: int, coverage: str = "none", history: Da
 
 def assign(utilities: DataFrame, budget: int, selection: str = "greedy", coverage: str = "none", cycle: int = 0, seed: int = 0, caps: DataFrame | None = None, history: DataFrame | None = None, **p) -> DataFrame:
     """Any of the above by name; annealed settings go by ``cycle``, which is all their state."""
+    bounds = {k: p[k] for k in ("soft_lambda", "max_per_item") if k in p}
     if selection == "greedy":
-        return greedy(utilities, budget, coverage, caps=caps, **p)
+        return greedy(utilities, budget, coverage, caps=caps, **bounds)
     if selection == "quota":
+        if bounds:
+            raise ValueError(f"quotas take no {', '.join(bounds)}")
         return quota(utilities, budget, coverage, history, caps)
     if selection == "epsilon":
-        eps = cosine_value(p.get("epsilon_max", 0.2), p.get("epsilon_min"), cycle, p.get("period", 100))
-        return epsilon_greedy(utilities, budget, eps, cycle, seed, coverage, p.get("top_m"))
+        eps = _annealed(p, "epsilon", 0.2, cycle)
+        return epsilon_greedy(utilities, budget, eps, cycle, seed, coverage, p.get("top_m"), caps=caps, **bounds)
     if selection == "softmax":
-        t = cosine_value(p.get("temperature_max", 1.0), p.get("temperature_min"), cycle, p.get("period", 100))
-        return softmax_sample(utilities, budget, t, cycle, seed, coverage)
+        t = _annealed(p, "temperature", 1.0, cycle)
+        return softmax_sample(utilities, budget, t, cycle, seed, coverage, caps=caps, **bounds)
     raise ValueError(f"selection: {selection}")
+
+
+def _annealed(p: dict, name: str, default: float, cycle: int) -> float:
+    """The value of a setting at a cycle: constant, or from its largest to its smallest value by a cosine (by default)."""
+    kind = p.get(f"{name}_schedule", "cosine")
+    if kind not in ("constant", "cosine"):
+        raise ValueError(f"{name}_schedule: {kind}")
+    high = p.get(f"{name}_max", default)
+    return high if kind == "constant" else cosine_value(high, p.get(f"{name}_min"), cycle, p.get("period", 100))

@@ -77,7 +77,8 @@ def test_epsilon_greedy_slot_by_slot(spark, coverage, top_m):
     pairs |= {(i, 7): i / 50 for i in range(9)}
     budget, eps = 14, 0.5
     u = spark.createDataFrame([(*k, float(v)) for k, v in pairs.items()], "item_id long, annotator_id long, u double")
-    x = {(r[0], r[1]): r[2] for r in u.select("item_id", "annotator_id", uniform(4, F.lit(2), "item_id", "annotator_id")).collect()}
+    # every level of hard coverage has random numbers of its own
+    x = [{(r[0], r[1]): r[2] for r in u.select("item_id", "annotator_id", uniform(4, F.lit(2), *([F.lit(level)] if level else []), "item_id", "annotator_id")).collect()} for level in range(4)]
     draws = spark.range(budget).select(*[uniform(4, F.lit(2), F.lit(n), F.col("id")) for n in ("slot", "pick")]).collect()
     left, n, want = dict(pairs), {}, []
     for flip, pick in draws:
@@ -88,7 +89,7 @@ def test_epsilon_greedy_slot_by_slot(spark, coverage, top_m):
         if flip >= eps:
             got = ok[0]
         elif top_m is None:
-            got = min(ok, key=lambda k: (x[k], *k))
+            got = min(ok, key=lambda k: (x[least if coverage == "hard" else 0][k], *k))
         else:
             got = ok[int(pick * min(top_m, len(ok)))]
         want.append(got)
