@@ -36,8 +36,10 @@ from tallywise.llm.common import mix, slices, span_hashes, split_join, utf8, wor
 from tallywise.sources.staging import release, staged
 from tallywise.tables import small
 
-#: Confirmed windows in an automaton, and about as many in a shard.
-SHARD = 10_000
+#: Confirmed windows in an automaton, and about as many in a shard: a search goes through the children of a node one by one.
+SHARD = 500
+#: Distinct passages whose places a shard remembers.
+KNOWN = 10_000
 #: Passages of an anchor that go to one shard at least, however few there are in all.
 OFTEN = 500
 
@@ -136,19 +138,20 @@ def _window_hashes(passages: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
     return _phrases(h, width, _A)[inside], _phrases(h, width, _B)[inside], of[inside], inside - first[of[inside]]
 
 
-def _confirmed(passages: DataFrame, width: int) -> DataFrame:
-    """(row, at, token, places): of the passages that are the first to hold a recurring window, the places of these windows."""
+def _confirmed(passages: DataFrame, width: int, anchor: int) -> DataFrame:
+    """(id, places): of the passages that are the first to hold a recurring window, the places of these windows."""
+    most = width - anchor + 1  # windows in a passage
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 a, b, of, place = _window_hashes(part.column("text"), width)
-                token, row, at = (part.column(c).take(pa.array(of)) for c in ("token", "row", "at"))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), token, row, at, pa.array(place.astype(np.int32))], ["a", "b", "token", "row", "at", "place"])
+                at = part.column("id").to_numpy()[of] * most + place
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at)], ["a", "b", "at"])
 
-    each = passages.mapInArrow(run, "a long, b long, token long, row long, at long, place int")
-    found = each.groupBy("a", "b", "token").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at", "place")).alias("first")).filter("times > 1")
-    return found.groupBy(F.col("first.row").alias("row"), F.col("first.at").alias("at"), "token").agg(F.sort_array(F.collect_list("first.place")).alias("places"))
+    found = passages.mapInArrow(run, "a long, b long, at long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("at")).filter("times > 1")
+    place = F.pmod("at", F.lit(most))
+    return found.groupBy(F.expr(f"at div {most}").alias("id")).agg(F.sort_array(F.collect_list(place.cast("int"))).alias("places"))
 
 
 def _split_of(hashes: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -157,7 +160,7 @@ def _split_of(hashes: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 
 def _routed(passages: DataFrame, width: int) -> DataFrame:
-    """(shard key parts, kind, row, at, text, places): passages to search (kind 1), and those whose windows are compiled (kind 0).
+    """(token, salts, row, at, text, places, sub) of passages to search, and of those with ``places``, whose windows are compiled.
 
     ``parts`` (of the anchor's windows) and ``salts`` (of its passages) are 1 but for very frequent anchors.
     """
@@ -165,35 +168,22 @@ def _routed(passages: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                count = np.asarray(part.column("parts"), np.int64)
-                single = count == 1
-                n = part.num_rows
-                subs = [[0]] * n
-                windows: list[dict] = [{}] * n
-                if not single.all():
-                    a, _, of, place = _window_hashes(part.column("text"), width)
-                    sub = _split_of(a, count[of])
-                    for i in np.flatnonzero(~single).tolist():
-                        mine = of == i
-                        subs[i] = np.unique(sub[mine]).tolist()
-                        windows[i] = dict(zip(place[mine].tolist(), sub[mine].tolist(), strict=True))
+                count = part.column("parts").to_numpy()
+                a, _, of, place = _window_hashes(part.column("text"), width)
+                sub = _split_of(a, count[of])
+                take, key, kept = [], [], []
                 places = part.column("places").to_pylist()
-                take, key, kinds, kept = [], [], [], []
-                for i in range(n):
-                    for s in subs[i]:
+                ends = np.searchsorted(of, np.arange(part.num_rows + 1))
+                for i in range(part.num_rows):
+                    own = dict(zip(place[ends[i] : ends[i + 1]].tolist(), sub[ends[i] : ends[i + 1]].tolist(), strict=True))
+                    for s in sorted(set(own.values()) if places[i] is None else {own[p] for p in places[i]}):
                         take.append(i)
                         key.append(s)
-                        kinds.append(1)
-                        kept.append(None)
-                        if places[i] and (own := [p for p in places[i] if single[i] or windows[i][p] == s]):
-                            take.append(i)
-                            key.append(s)
-                            kinds.append(0)
-                            kept.append(own)
+                        kept.append(None if places[i] is None else [p for p in places[i] if own[p] == s])
                 rows = [part.column(c).take(pa.array(take, pa.int64())) for c in ("token", "salts", "row", "at", "text")]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(key, pa.int32()), pa.array(kinds, pa.int32()), pa.array(kept, pa.list_(pa.int32()))], ["token", "salts", "row", "at", "text", "sub", "kind", "places"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(kept, pa.list_(pa.int32())), pa.array(key, pa.int32())], ["token", "salts", "row", "at", "text", "places", "sub"])
 
-    return passages.mapInArrow(run, "token long, salts int, row long, at long, text binary, sub int, kind int, places array<int>")
+    return passages.mapInArrow(run, "token long, salts int, row long, at long, text binary, places array<int>, sub int")
 
 
 class _Shard:
@@ -201,10 +191,16 @@ class _Shard:
 
     def __init__(self, width: int) -> None:
         self.width, self.codes, self.automata, self.size, self.open = width, {}, [], 0, None
+        self.known: dict[bytes, list[tuple[int, int]]] = {}
 
     def add(self, text: bytes, places: list[int]) -> None:
         code = self.codes
-        letters = "".join([chr(code.setdefault(w, len(code) + 1)) for w in text.split()])
+        split = text.split()
+        for w in split:
+            if w not in code:
+                n = len(code) + 1
+                code[w] = chr(n if n < 0xD800 else n + 0x800)  # past the surrogates
+        letters = "".join([code[w] for w in split])
         for p in places:
             if self.open is None:
                 self.open = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -220,48 +216,47 @@ class _Shard:
         self.open, self.size, self.codes = None, 0, {}
 
     def spans(self, text: bytes) -> list[tuple[int, int]]:
-        """First and last word of every run of words under windows that the automata find."""
+        """First and last word of every run of words under windows that the automata find; those of copies are remembered."""
+        if (known := self.known.get(text)) is not None:
+            return known
         split, ends = text.split(), set()
         for automaton, codes in self.automata:
-            ends.update(e for e, _ in automaton.iter("".join([chr(codes.get(w, 0)) for w in split])))
+            ends.update([e for e, _ in automaton.iter("".join([codes.get(w, "\0") for w in split]))])
         out: list[tuple[int, int]] = []
         for e in sorted(ends):
             if out and e - self.width < out[-1][1]:
                 out[-1] = (out[-1][0], e)
             else:
                 out.append((e - self.width + 1, e))
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        self.known[text] = out
         return out
 
 
-def _located(routed: DataFrame, width: int) -> DataFrame:
+def _located(dealt: DataFrame, width: int) -> DataFrame:
     """(row, low, high): the words of each document that the automata of a shard find covered; rows come sorted by shard and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, now, ready = None, None, False
         for batch in batches:
             rows, low, high = [], [], []
-            columns = [batch.column(c) for c in ("shard", "kind", "row", "at")]
-            ids, kinds, docs, ats = (c.to_pylist() for c in columns)
-            texts, places = batch.column("text"), batch.column("places")
-            for i in range(batch.num_rows):
-                if ids[i] != shard:
-                    shard, now, ready = ids[i], _Shard(width), False
-                text = texts[i].as_py()
-                if kinds[i] == 0:
-                    now.add(text, places[i].as_py())
+            for s, kind, row, at, text, places in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "row", "at", "text", "places")), strict=True):
+                if s != shard:
+                    shard, now, ready = s, _Shard(width), False
+                if kind == 0:
+                    now.add(text, places)
                     continue
                 if not ready:
                     now.close()
                     ready = True
-                if not now.automata:
-                    continue
                 for a, b in now.spans(text):
-                    rows.append(docs[i])
-                    low.append(ats[i] + a)
-                    high.append(ats[i] + b)
+                    rows.append(row)
+                    low.append(at + a)
+                    high.append(at + b)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["row", "low", "high"])
 
-    return routed.mapInArrow(run, "row long, low long, high long")
+    return dealt.mapInArrow(run, "row long, low long, high long")
 
 
 def repeated_spans(rows: DataFrame, width: int = 35, anchor: int = 18) -> DataFrame:
@@ -275,24 +270,28 @@ def repeated_spans(rows: DataFrame, width: int = 35, anchor: int = 18) -> DataFr
     hits = split_join(anchors, often, ["token"], "times", anchors.count())
     marks = staged(hits.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("marks")))
     release(anchors)
-    passages = staged(_passages(rows.join(marks.hint("merge"), "row"), width, anchor), "zstd")
-    first = staged(_confirmed(passages, width))
-    total = first.agg(F.sum(F.size("places"))).first()[0] or 0
+    passages = _passages(rows.join(marks.hint("merge"), "row"), width, anchor)
+    passages = staged(passages.withColumn("id", F.monotonically_increasing_id()), "zstd")
+    first = staged(_confirmed(passages, width, anchor))
+    compiled = staged(passages.join(first.hint("merge"), "id").drop("id"), "zstd")
+    release(first, marks)
+    total = compiled.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     # anchors with more passages than a shard's share, or with more windows than an automaton has
     share = max(OFTEN, passages.count() // shards)
-    sizes = first.groupBy("token").agg(F.sum(F.size("places")).alias("windows"))
+    sizes = compiled.groupBy("token").agg(F.sum(F.size("places")).alias("windows"))
     parts = [F.ceil(F.col("windows") / SHARD).cast("int").alias("parts"), F.ceil(F.col("times") / share).cast("int").alias("salts")]
-    frequent = small(staged(sizes.join(often.hint("merge"), "token").select("token", *parts).filter("parts > 1 OR salts > 1")))
-    every = passages.join(first.drop("token").hint("merge"), ["row", "at"], "left").join(frequent, "token", "left")
-    every = every.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("salts", F.coalesce("salts", F.lit(1)))
-    routed = _routed(every.select("token", "row", "at", "text", "places", "parts", "salts"), width)
+    frequent = staged(sizes.join(often.hint("merge"), "token").select("token", *parts).filter("parts > 1 OR salts > 1"))
+    every = passages.drop("id").withColumn("places", F.lit(None).cast("array<int>")).unionByName(compiled).join(small(frequent), "token", "left")
+    plain = every.filter("parts IS NULL OR parts = 1").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("sub", F.lit(0))
+    routed = _routed(every.filter("parts > 1").select("token", "row", "at", "text", "places", "parts", "salts"), width)
+    routed = plain.select(*routed.columns).unionByName(routed).withColumn("kind", F.col("places").isNull().cast("int"))
     # compiled windows go to every salt of their anchor, searched passages to one
     salt = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", "at"), F.col("salts")).cast("int")))
     dealt = routed.withColumn("salt", F.explode(salt)).withColumn("shard", F.pmod(F.xxhash64("token", "sub", "salt"), F.lit(shards)))
     dealt = dealt.select("shard", "kind", "row", "at", "text", "places").repartition("shard").sortWithinPartitions("shard", "kind")
     spans = staged(_located(dealt, width).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")))
-    release(passages, first, marks, often)
+    release(passages, compiled, frequent, often)
     return spans
 
 
