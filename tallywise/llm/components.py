@@ -17,28 +17,26 @@ from tallywise.sources.staging import release, staged
 HEAVY = 20_000
 
 
-def _large(links: DataFrame, heavy: int | None) -> DataFrame:
-    """Points the larger neighbours of each node at the smallest of them and the node itself.
+def _told(rows: DataFrame, least: DataFrame, heavy: int | None) -> DataFrame:
+    """``rows`` (u, v) with the minimum m of u, from ``least`` (u, m, n); nodes with more than ``heavy`` rows, if given, are broadcast."""
+    if heavy is None:
+        return rows.join(least.hint("merge"), "u")
+    few = F.broadcast(least.filter(F.col("n") > heavy))
+    return rows.join(few, "u").unionByName(rows.join(few.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= heavy).hint("merge"), "u"))
 
-    Nodes with more than ``heavy`` neighbours, if given, are broadcast.
-    """
+
+def _large(links: DataFrame, heavy: int | None) -> DataFrame:
+    """Points the larger neighbours of each node at the smallest of them and the node itself."""
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    if heavy is None:
-        spread = both.filter("v > u").join(least.hint("merge"), "u")
-    else:
-        few = least.filter(F.col("n") > heavy).select("u", "m")
-        light = least.filter(F.col("n") <= heavy).select("u", "m")
-        up = both.filter("v > u")
-        spread = up.join(F.broadcast(few), "u").unionByName(up.join(F.broadcast(few.select("u")), "u", "left_anti").join(light.hint("merge"), "u"))
-    return spread.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return _told(both.filter("v > u"), least, heavy).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, heavy: int | None) -> DataFrame:
     """Points each node and its smaller neighbours at the smallest of these."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    spread = down.join(least.hint("merge"), "u")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    spread = _told(down, least, heavy)
     return spread.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u <> v").distinct()
 
 
@@ -58,5 +56,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = row[:2]
         # at most 8 a shuffle partition have more neighbours than this
         heavy = max(HEAVY, row[0] // (8 * parts))
-        before, now = now, staged(_small(_large(now, heavy if row[2] > heavy else None)))
+        # a node may become the smallest of many only in the first step, so its size is asked again for the second
+        before, now = now, staged(_large(now, heavy if row[2] > heavy else None))
+        release(before)
+        most = now.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+        before, now = now, staged(_small(now, heavy if most > heavy else None))
         release(before)

@@ -21,7 +21,7 @@ rows at the end.  Two sets link when ``100 * intersection >= percent * union``.
 
 Every step is exact on 64-bit hashes of the shingles; thresholds steer cost alone.  The costs are
 broadcast while they are few, and joined beyond ``COSTLY_MOST``; costly lists are dealt over
-several tasks.
+tasks by their length.
 
 Null text counts as empty; a document without words has the empty set and links with nothing.  Rows that
 repeat a doc_id are documents each, with the component of their own text; a null doc_id is never
@@ -50,12 +50,12 @@ COSTLY_MOST = 1 << 20
 WARM, DEAR = 17, 200
 #: Row ids of classes are broadcast up to this number (8 bytes each); beyond it they are joined.
 IDS_MOST = 2_000_000
-#: Pairs are tested in parts by either end, so many squared, to bound the shuffled sets that are on disk at once.
-SIDES = 2
+#: Cheap lists are joined in so many parts, to bound what is on disk at once.
+PARTS = 2
 #: Pivots of a costly list in a round by those of the round before.
 MORE = 16
-#: Tasks over which a costly list is dealt.
-SALTS = 16
+#: Members of a costly list that go to one task at least, however few there are in all.
+LOT = 500
 
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -256,46 +256,33 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
-    """(id, shingles) of the classes in ``ids``, as bytes."""
-    few = ids.limit(IDS_MOST + 1).count() <= IDS_MOST
-    docs = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi")
+def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the exact test, from the texts of the classes (id, text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [s.tobytes() for s in shingle_sets(part.column("text"), ngram)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles binary")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the exact test."""
+    The text of b is joined to the pair where it is read, and meets that of a by one shuffle; texts take less room in it than
+    their sets.  Pairs come sorted by a, so the set of a is made once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # a part at a time, since each pair carries a set through the shuffle
-    pairs, out = staged(pairs), None
-    # only the sets that these pairs ask for are shuffled
-    ends = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = sets.join(F.broadcast(ends) if ends.count() <= IDS_MOST else ends.hint("merge"), "id", "left_semi")
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SIDES))
-    for i in range(SIDES):
-        a = sets.filter(part("id") == i).select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("shuffle_merge")
-        for j in range(SIDES):
-            b = sets.filter(part("id") == j).select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("shuffle_merge")
-            some = pairs.filter((part("a") == i) & (part("b") == j))
-            found = staged(some.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
-            out = found if out is None else out.unionByName(found)
-    release(pairs, ends)
+            for part in slices(batch, "tb"):
+                a, keep = part.column("a").to_pylist(), []
+                for i, y in enumerate(shingle_sets(part.column("tb"), ngram)):
+                    if a[i] != last:
+                        last, x = a[i], shingle_sets(part.column("ta").slice(i, 1), ngram)[0]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = staged(pairs)
+    firsts = staged(pairs.select("a").distinct())
+    few = pairs.count() <= IDS_MOST
+    side = lambda df: F.broadcast(df) if few else df.hint("merge")
+    ta = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(side(firsts), "a", "left_semi")
+    tb = docs.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(side(pairs), "b")
+    out = staged(ta.hint("shuffle_merge").join(tb.hint("shuffle_merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    release(pairs, firsts)
     return out
 
 
@@ -307,14 +294,15 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _met_in_lists(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of a pivot and a member of its list, by token; lists are dealt over SALTS tasks, pivots go to all of them."""
-    dealt = members.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    copies = pivots.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+def _met_in_lists(pivots: DataFrame, members: DataFrame, lot: int) -> DataFrame:
+    """Pairs of a pivot and a member of its list (token, size), which is dealt over a task for every ``lot`` members; pivots go to all of them."""
+    lots = F.ceil(F.col("size") / lot).cast("int")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("b"), lots).cast("int")).drop("size")
+    copies = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), lots - 1))).drop("size")
     return copies.hint("shuffle_merge").join(dealt.hint("shuffle_merge"), ["token", "salt"])
 
 
-def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """More links and components, from pairs that share costly shingles alone.
 
     The first pivot of a list is compared with all members.  Every member that is not in its component when its turn comes
@@ -323,8 +311,9 @@ def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, full: Dat
     """
     room = F.least("ha", "hb")
     fits = (room * 100 >= (F.col("na") + F.col("nb") - room) * percent) & (F.col("ca") != F.col("cb"))
-    side = lambda rows, x: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"), F.col("component").alias(f"c{x}"))
+    side = lambda rows, x: rows.select("token", "size", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"), F.col("component").alias(f"c{x}"))
     total = dear.count()
+    lot = max(LOT, total // (4 * max(1, int(dear.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     # the member with the fewest shingles of its own begins
     lead = staged(dear.groupBy("token").agg(F.min_by("id", F.struct(F.col("n") - F.col("h"), "id")).alias("lead"), F.count(F.lit(1)).alias("size")))
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + 1) / float(1 << 40)
@@ -339,8 +328,8 @@ def _costly_links(dear: DataFrame, found: DataFrame, links: DataFrame, full: Dat
         if open_.isEmpty():
             break
         pivots = open_.filter(F.col("turn") <= until)
-        pairs = staged(_met_in_lists(side(pivots, "a"), side(placed, "b")).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        new = _linked(pairs, full, percent)
+        pairs = staged(_met_in_lists(side(pivots, "a"), side(placed, "b"), lot).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        new = _linked(pairs, docs, ngram, percent)
         if not new.isEmpty():
             links = links.unionByName(new)
             found = components(links)
@@ -378,28 +367,44 @@ def grouped(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "d
             release(often)
     release(table)
     index = staged(_adapted(reps, ngram, percent, costs, costly) if few else _adapted_by_join(reps, ngram, percent, costly))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    side = lambda rows, x: rows.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"))
-    cheap = index.select(F.explode("cheap").alias("token"), "id", "n", "need")
-    met = side(cheap, "a").hint("shuffle_merge").join(side(cheap, "b").hint("shuffle_merge"), "token").filter("a < b").filter(near)
-    met = met.groupBy("a", "b", "na", "nb", "need_a", "need_b").count().filter(F.col("count") >= F.least("need_a", "need_b"))
+    while few:
+        # shingles behind the plain prefixes may be common where prefixes were lengthened; then these count as costly too
+        again = staged(index.select(F.explode("cheap").alias("token")).groupBy("token").count().filter(F.col("count") > 4 * max(costly, least)))
+        more = again.count()
+        if not more:
+            break
+        release(index)
+        few = more + len(costs[0]) <= COSTLY_MOST
+        if few:
+            costs = _sorted_table(pa.table({"token": costs[0].view(np.int64), "count": costs[1]}), again.toArrow())
+        index = staged(_adapted(reps, ngram, percent, costs, costly) if few else _adapted_by_join(reps, ngram, percent, costly))
+        release(again)
+    near = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
     h = one.select(F.col("row").alias("id"), "hist")
+    met = None
+    for i in range(PARTS):
+        # both sides are one exchange, as they are the same rows
+        cheap = index.select(F.explode("cheap").alias("token"), "id", "n", "need").filter(F.pmod(F.xxhash64("token"), F.lit(PARTS)) == i)
+        cheap = cheap.repartition("token")
+        part = cheap.alias("a").hint("merge").join(cheap.alias("b").hint("merge"), "token").filter(F.col("a.id") < F.col("b.id")).filter(near)
+        part = part.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.least("a.need", "b.need").alias("need")).count()
+        part = staged(part)
+        met = part if met is None else met.unionByName(part)
+    met = met.groupBy("a", "b", "na", "nb", "need").agg(F.sum("count").alias("count")).filter(F.col("count") >= F.col("need"))
     shaped = met.join(h.select(F.col("id").alias("a"), F.col("hist").alias("ha")).hint("shuffle_merge"), "a").join(h.select(F.col("id").alias("b"), F.col("hist").alias("hb")).hint("shuffle_merge"), "b")
     pairs = staged(_bounded(shaped.select("a", "b", "na", "nb", "ha", "hb"), percent))
 
     dear = staged(index.filter("size(dear) > 0").select(F.explode("dear").alias("token"), "id", "n", "h"))
     release(index)
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dear.select("id")).distinct())
-    full = staged(_sets_of(reps, ids, ngram))
     tries = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _linked(tries, full, percent)
+    links = _linked(tries, reps, ngram, percent)
     found = components(links)
     left = _apart(pairs, found).join(tries.hint("merge"), ["a", "b"], "left_anti")
-    links = links.unionByName(_linked(left, full, percent))
+    links = links.unionByName(_linked(left, reps, ngram, percent))
     found = components(links)
     if not dear.isEmpty():
-        links, found = _costly_links(dear, found, links, full, percent)
-    release(full, dear, pairs, tries, ids)
+        links, found = _costly_links(dear, found, links, reps, ngram, percent)
+    release(dear, pairs, tries)
 
     node = classes.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     node = staged(node)
