@@ -19,10 +19,12 @@ def step_value(cycle: Column, default: float = 1.0, segments: list[tuple[int, in
 def cosine_value(cycle: Column, start: float, end: float, n_cycles: int, t_start: int = 0, t_0: int | None = None, t_mult: float = 1.0, gamma: float = 1.0, t_end: int | None = None) -> Column:
     """From ``start`` to ``end`` along a cosine, between ``t_start`` and ``t_end`` (the last cycle if not given).
 
-    With ``t_0`` it restarts after periods of t_0, t_0 * t_mult, ... cycles; the amplitude of restart k is multiplied by gamma ** k.
+    With ``t_0`` it restarts after periods of t_0, t_0 * t_mult, ... cycles, whatever ``t_end`` is; the amplitude of restart k is multiplied
+    by gamma ** k.  A cycle outside the ``n_cycles`` is an error.
     """
     last = (n_cycles - 1) if t_end is None else t_end
-    t = F.greatest(F.least(cycle, F.lit(last)) - t_start, F.lit(0)).cast("double")
+    inside = F.when((cycle >= 0) & (cycle < n_cycles), cycle).otherwise(F.raise_error(F.lit(f"cycle outside 0 to {n_cycles - 1}")).cast("long"))
+    t = F.greatest((inside if t_0 is not None else F.least(inside, F.lit(last))) - t_start, F.lit(0)).cast("double")
     if t_0 is None:
         k, p = F.lit(0.0), t / max(last - t_start, 1)
     elif t_mult == 1.0:

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywise.tables import uniform
+from tallywise.sources.staging import staged
+from tallywise.tables import small, uniform
 
 TINY = 1e-12
+#: Bins of the draws of ``bootstrap_mask``.
+BINS = 4096
 
 
 def bootstrap_mask(rows: DataFrame, share: float, seed: int = 0, drawn: Column | None = None) -> DataFrame:
     """(head, item_id, masked): in each head exactly round(share * items) of its items, at random, are masked."""
     u = uniform(seed, "head", "item_id") if drawn is None else drawn
+    each = staged(rows.select("head", "item_id").distinct().withColumn("u", u).withColumn("bin", F.least(F.floor(F.col("u") * BINS), F.lit(BINS - 1))))
+    # the bin of draws in which the share is reached; only its items are ranked
+    bins = each.groupBy("head", "bin").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("head")
-    ranked = rows.select("head", "item_id").distinct().withColumn("r", F.row_number().over(w.orderBy(u, "item_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.select("head", "item_id", (F.col("r") <= F.round(F.col("n") * share)).alias("masked"))
+    bins = bins.withColumn("upto", F.sum("c").over(w.orderBy("bin"))).withColumn("k", F.round(F.sum("c").over(w) * share).cast("long"))
+    cut = bins.filter("upto - c < k AND upto >= k").select("head", F.col("bin").alias("cut"), (F.col("k") - F.col("upto") + F.col("c")).alias("room"))
+    placed = each.join(small(staged(cut)), "head", "left")
+    inside = placed.filter("bin = cut").withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("u", "item_id")))
+    rest = placed.filter("cut IS NULL OR bin <> cut").select("head", "item_id", F.coalesce(F.col("bin") < F.col("cut"), F.lit(False)).alias("masked"))
+    return rest.unionByName(inside.select("head", "item_id", (F.col("r") <= F.col("room")).alias("masked")))
 
 
 def divergence(log_predictions: DataFrame, targets: DataFrame, reduction: str = "batchmean", log_target: bool = False, ignore: int = -100, mask: DataFrame | None = None) -> DataFrame:

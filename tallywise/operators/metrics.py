@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions.arrays import argmax
 from tallywise.operators.aggregate import majority_vote, votes
+from tallywise.operators.order import positions
 
 TINY = 1e-15
 
@@ -74,15 +75,18 @@ def allocation_metrics(annotations: DataFrame, annotators: DataFrame) -> DataFra
     """Entropy of the labels over annotators, the same over its largest value, and the Gini coefficient; idle annotators count."""
     used = annotations.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("c"))
     every = annotators.select("annotator_id").distinct().join(used, "annotator_id", "left").select("annotator_id", F.coalesce("c", F.lit(0)).alias("c"))
-    all_, rising = Window.partitionBy(), Window.orderBy("c", "annotator_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = every.withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("t", F.sum("c").over(all_)).withColumn("cum", F.sum("c").over(rising))
-    p = F.col("c") / F.nullif(F.col("t"), F.lit(0))
+    # annotators with equally many labels stand together: m of them with c each add up to m * before + c * m * (m + 1) / 2
+    sizes = every.groupBy("c").agg(F.count(F.lit(1)).alias("m")).withColumn("w", F.col("c") * F.col("m"))
+    rows = positions(sizes, ["c"], sums={"cum": "w"})
     one = rows.agg(
-        F.sum(F.when(F.col("c") > 0, -p * F.ln(p)).otherwise(0.0)).alias("h"),
-        F.max("n").alias("n"),
-        F.max("t").alias("t"),
-        F.sum(F.col("cum") / F.nullif(F.col("t"), F.lit(0))).alias("s"),
+        F.sum(F.when(F.col("c") > 0, -F.col("w") * F.ln(F.col("c").cast("double"))).otherwise(0.0)).alias("l"),
+        F.coalesce(F.sum("m"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("t"),
+        F.sum(F.col("m") * (F.col("cum") - F.col("w")) + F.col("c") * F.col("m") * (F.col("m") + 1) / 2).alias("s"),
     )
+    # -sum(p ln p) with p = c / t
+    total = F.nullif(F.col("t"), F.lit(0))
+    one = one.select("n", "t", (F.col("l") / total + F.ln(total.cast("double"))).alias("h"), (F.col("s") / total).alias("s"))
     some = F.coalesce(F.col("t") > 0, F.lit(False))
     return one.select(
         F.when(some, F.col("h")).otherwise(0.0).alias("alloc_entropy"),

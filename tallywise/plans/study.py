@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywise.functions.texts import close, format_number, is_logged, normalised_number, override_parts, slug
+from tallywise.operators.order import positions
 
 _STRINGS, _MAP, _WHEN = "array<string>", "map<string,string>", "map<string,array<string>>"
 
@@ -177,12 +178,15 @@ def win_rates(history: DataFrame, tolerance: float = 0.0) -> DataFrame:
     cells = history.groupBy("dataset", "seed", "step", "strategy").agg(F.avg("value").alias("value"))
     b = cells.select("dataset", "seed", "step", F.col("strategy").alias("b"), F.col("value").alias("vb"))
     pairs = cells.withColumnRenamed("strategy", "a").join(b, ["dataset", "seed", "step"]).filter("a <> b").withColumn("d", F.col("value") - F.col("vb"))
-    return pairs.groupBy("a", "b").agg(
+    # the middle one or two of each pair of strategies by rank, since a median as an aggregate holds all its values
+    placed = positions(pairs.select("a", "b", "d", "dataset", "seed", "step"), ["d", "dataset", "seed", "step"], ["a", "b"])
+    middle = (F.col("pos") == F.expr("(n - 1) div 2")) | (F.col("pos") == F.expr("n div 2"))
+    return placed.groupBy("a", "b").agg(
         F.avg((F.col("d") > tolerance).cast("double")).alias("win"),
         F.avg((F.abs("d") <= tolerance).cast("double")).alias("tie"),
         F.avg((F.col("d") < -tolerance).cast("double")).alias("loss"),
         F.avg("d").alias("mean_delta"),
-        F.percentile("d", F.lit(0.5)).alias("median_delta"),
+        F.avg(F.when(middle, F.col("d"))).alias("median_delta"),
         F.count(F.lit(1)).alias("n"),
     )
 

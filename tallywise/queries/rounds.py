@@ -89,6 +89,18 @@ def p10_annealed_to_greedy(spark, sf_dir):
     return assign.assign(_utilities(spark, sf_dir), BUDGET, "epsilon", cycle=50, seed=1, epsilon_max=0.5, epsilon_min=0.0, period=10)
 
 
+@query()
+def p6_epsilon_greedy_caps(spark, sf_dir):
+    """Exploration under annotator capacities, at most two labels an item, and soft coverage."""
+    return assign.assign(_utilities(spark, sf_dir), 96, "epsilon", "soft", cycle=3, seed=1, caps=_caps(spark, sf_dir), soft_lambda=0.25, max_per_item=2, epsilon_max=0.2, epsilon_min=0.01, period=10)
+
+
+@query()
+def p7_softmax_caps(spark, sf_dir):
+    """Softmax with hard coverage under annotator capacities."""
+    return assign.assign(_utilities(spark, sf_dir), BUDGET, cycle=3, seed=1, caps=_caps(spark, sf_dir), **assign.PRESETS["softmax_greedy_sample"])
+
+
 @query()
 def p7_softmax(spark, sf_dir):
     return assign.assign(_utilities(spark, sf_dir), BUDGET, cycle=3, seed=1, **assign.PRESETS["softmax_greedy_global"])
@@ -145,6 +157,12 @@ def g16_cosine_restarts(spark, sf_dir):
     return _r(_cycles(spark, sf_dir).select("cycle", schedules.cosine_value(F.col("cycle"), 2.0, 1.0, 30, t_0=4, t_mult=2.0, gamma=0.5).alias("ratio")), "ratio")
 
 
+@query(_CYCLES + """ SELECT cycle, round(1 + (1 + cos(pi() * (cycle % 4) / 4.0)) / 2, 6) AS ratio FROM c""")
+def g16_cosine_restarts_beyond_the_end(spark, sf_dir):
+    """Restarts go on after ``t_end``."""
+    return _r(_cycles(spark, sf_dir).select("cycle", schedules.cosine_value(F.col("cycle"), 2.0, 1.0, 30, t_0=4, t_end=5).alias("ratio")), "ratio")
+
+
 @query(_CYCLES + " SELECT cycle, round(0.01 + (0.2 - 0.01) * (1 + cos(pi() * least(cycle, 10) / 10.0)) / 2, 6) AS epsilon FROM c")
 def g17_annealed_epsilon(spark, sf_dir):
     return _r(_cycles(spark, sf_dir).select("cycle", schedules.cosine_value(F.col("cycle"), 0.2, 0.01, 30, t_end=10).alias("epsilon")), "epsilon")
@@ -209,3 +227,11 @@ def l1_labelling_rounds(spark, sf_dir):
     return labelling_rounds(view(spark, sf_dir, "x2").drop("cycle"), view(spark, sf_dir, "x8"), K, cycles=3, pairs_per_cycle=64)
 
 
+@query()
+def l1_labelling_rounds_with_capacities(spark, sf_dir):
+    """Two rounds in which nobody labels more than five items, two labels an item in the first and one in the second."""
+    from tallywise.plans.round import labelling_rounds
+
+    return labelling_rounds(view(spark, sf_dir, "x2").drop("cycle"), view(spark, sf_dir, "x8"), K, cycles=2, pairs_per_cycle=64, ratio=lambda cycle: 2.0 if cycle == 0 else 1.0, capacity=5)
+
+

@@ -195,9 +195,7 @@ def a15_missing_grid(spark, sf_dir):
 
 @query(_STORE + f", {_GRID} SELECT CAST(row_number() OVER (ORDER BY run_id) - 1 AS INT) AS row_idx, run_id FROM g")
 def a14_manifest_rows(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return _grid(spark, sf_dir).select((F.row_number().over(Window.orderBy("run_id")) - 1).alias("row_idx"), "run_id")
+    return store.numbered_rows(_grid(spark, sf_dir).select("run_id")).select("row_idx", "run_id")
 
 
 _AULC = """, l AS (SELECT *, lag(step) OVER w ps, lag(value) OVER w pv FROM x4 WINDOW w AS (PARTITION BY run_id ORDER BY step)),

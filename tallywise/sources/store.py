@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywise.functions.texts import sanitised_key, stringified
+from tallywise.operators.order import positions
 
 
 def read_splits(spark: SparkSession, root: str, splits: list[str], fmt: str = "parquet") -> DataFrame:
@@ -61,9 +62,12 @@ def materialise(df: DataFrame, spec: dict, root: str) -> DataFrame:
 
 
 def source_signature(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes, signature) of all files below a path, from their names, sizes and times."""
+    """(files, bytes, signature) of all files below a path, from their names, sizes and times; Spark does not list empty files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return f.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sha1(F.to_json(F.sort_array(F.collect_list(F.struct("path", "length", "modificationTime")))).cast("binary")).alias("signature"))
+    h = F.xxhash64("path", "length", "modificationTime")
+    # sums do not depend on the order of the files, so no list of them is gathered
+    mark = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")))
+    return f.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha1(mark.cast("binary")).alias("signature"))
 
 
 def content_hash(rows: DataFrame, *columns: str) -> DataFrame:
@@ -116,10 +120,18 @@ def logged_metrics(metrics: DataFrame, log_every: int = 1) -> DataFrame:
     return finite_metrics(metrics).filter(F.col("step") % log_every == 0)
 
 
-def log_run(params: DataFrame, metrics: DataFrame, root: str, log_every: int = 1) -> None:
-    """Appends to the long tables ``params`` and ``metrics`` below ``root``."""
-    params.select("run_id", "key", "value").write.mode("append").parquet(f"{root}/params")
-    logged_metrics(metrics, log_every).select("run_id", "step", "key", "value").write.mode("append").parquet(f"{root}/metrics")
+def log_run(params: DataFrame, metrics: DataFrame, root: str, log_every: int = 1, batch: str | None = None) -> None:
+    """Puts the runs into the long tables ``params`` and ``metrics`` below ``root``.
+
+    What is logged together is a partition ``batch``, named after its runs if not by the caller; logging it again replaces it, so a
+    retry adds nothing.
+    """
+    if batch is None:
+        h = F.xxhash64("run_id")
+        runs = params.select("run_id").union(metrics.select("run_id")).distinct()
+        batch = runs.agg(F.sha1(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).cast("binary"))).first()[0]
+    params.select("run_id", "key", "value").write.mode("overwrite").parquet(f"{root}/params/batch={batch}")
+    logged_metrics(metrics, log_every).select("run_id", "step", "key", "value").write.mode("overwrite").parquet(f"{root}/metrics/batch={batch}")
 
 
 def finished_runs(runs: DataFrame, params: DataFrame, experiments: DataFrame | None = None, name: str | None = None) -> DataFrame:
@@ -146,11 +158,14 @@ def metric_history(metrics: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     return metrics.filter(F.col("key") == key).join(runs.select("run_id").distinct(), "run_id", "left_semi").select("run_id", "step", "value")
 
 
+def numbered_rows(rows: DataFrame, order: str = "run_id") -> DataFrame:
+    """``rows`` with ``row_idx`` from 0 in the order of a column, without a task that sees all of them."""
+    return positions(rows, [order]).withColumnRenamed("pos", "row_idx").drop("n")
+
+
 def write_manifest(rows: DataFrame, path: str, order: str = "run_id") -> None:
     """JSON lines with ``row_idx``, so that row i is a filter."""
-    from pyspark.sql import Window
-
-    rows.withColumn("row_idx", F.row_number().over(Window.orderBy(order)) - 1).write.mode("errorifexists").json(path)
+    numbered_rows(rows, order).write.mode("errorifexists").json(path)
 
 
 def manifest_row(spark: SparkSession, path: str, i: int) -> DataFrame:
@@ -158,14 +173,19 @@ def manifest_row(spark: SparkSession, path: str, i: int) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str, channels_first: bool = True) -> DataFrame:
-    """(path, x) of image files: values in [0, 1], grey scale as three equal channels; all must have one shape."""
+    """(path, x) of image files: values in [0, 1], grey scale as three equal channels; all must have one shape.
+
+    A file that is no image is an error.
+    """
     import numpy as np
     import pandas as pd
 
-    raw = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
-    shape = raw.agg(F.min("height"), F.max("height"), F.min("width"), F.max("width")).first()
+    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    shape = raw.agg(F.min("height"), F.max("height"), F.min("width"), F.max("width"), F.min(F.when(F.col("height") < 0, F.col("origin")))).first()
+    if shape[4] is not None:
+        raise ValueError(f"not an image: {shape[4]}")
     if shape[0] != shape[1] or shape[2] != shape[3]:
-        raise ValueError(f"images of different shapes: {tuple(shape)}")
+        raise ValueError(f"images of different shapes: {tuple(shape)[:4]}")
 
     def run(parts):
         for part in parts:
