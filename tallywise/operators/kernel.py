@@ -1,7 +1,7 @@
 """Kernel and neighbour operators on feature vectors (item_id, x).
 
-All of them pair two point sets, so their cost is the product of the sizes: callers cap the candidates first, and sums over observed
-labels go by observed item before they go by label.
+Kernels pair two point sets, so their cost is the product of the sizes: callers cap the candidates first.  What leaves a task are
+sums by candidate and annotator, counts of distances, or the nearest; only ``kernel_weights`` gives a row for each pair.
 """
 
 from __future__ import annotations
@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywise.functions.arrays import TINY, distance2, dot, l2_normalised
+from tallywise.sources.staging import staged
+from tallywise.tables import small
 
 BANDWIDTH_FLOOR = 1e-3
 
@@ -36,11 +39,21 @@ def _blocks(points: DataFrame, id_name: str, x_name: str, by: str | None = None)
     return packed.select(*keys, F.col("rows.item_id").alias(id_name), F.col("rows.x").alias(x_name))
 
 
-def _block_pairs(points: DataFrame, others: DataFrame, by: str | None = None) -> DataFrame:
-    """(ia, xa, ib, xb): every block of points with every block of others, or of those in the same group."""
-    if by is None:
-        return _blocks(points, "ia", "xa").crossJoin(_blocks(others, "ib", "xb"))
-    return _blocks(points, "ia", "xa", by).join(_blocks(others, "ib", "xb", by).hint("merge"), by).drop(by)
+#: Blocks that are broadcast; beyond it every part of one side meets every part of the other.
+FEW_BLOCKS = 256
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """The blocks over several tasks for each core, however small they are."""
+    return blocks.repartition(4 * blocks.sparkSession.sparkContext.defaultParallelism)
+
+
+def _block_pairs(points: DataFrame, others: DataFrame) -> DataFrame:
+    """(ia, xa, ib, xb): every block of points with every block of others; a block of points meets all others of a part in a row."""
+    right = _blocks(others, "ib", "xb")
+    few = right.count() <= FEW_BLOCKS
+    left = _dealt(_blocks(points, "ia", "xa"))
+    return left.crossJoin(F.broadcast(right)) if few else left.join(_dealt(right).hint("shuffle_replicate_nl"))
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
@@ -76,25 +89,123 @@ def least_distance2(points: DataFrame, others: DataFrame) -> DataFrame:
     return _block_pairs(points, others).mapInArrow(run, f"item_id {id_type}, d2 double").groupBy("item_id").agg(F.min("d2").alias("d2"))
 
 
+#: Pivots of the nearest-neighbour search at most, and blocks of a cell that are searched for in one task.
+PIVOTS, CHUNK = 1024, 16
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.square(a[:, None, :] - b[None, :, :]).sum(2)
+
+
+def searched_cells(features: DataFrame, k: int, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks (grp, cell, part, chunk, ids, xs, bound) of the points by pivot, and (grp, cell, chunk, other, near): the cells that a chunk must see.
+
+    Every point goes to the cell of its nearest pivot, and a cell to blocks.  The k-th distance within its own block bounds that
+    of a point; by the triangle inequality a cell whose radius does not reach so near to the point holds no neighbour of it.
+    """
+    id_type = features.schema["item_id"].dataType.simpleString()
+    points = features.select("item_id", F.col("x").cast("array<double>").alias("x"), (F.col(by).cast("string") if by else F.lit("")).alias("grp"))
+    n = points.count()
+    start = points.orderBy(F.xxhash64("item_id"), "item_id").limit(min(PIVOTS, max(1, int(n**0.5)))).select("x").collect()
+    pivots = np.array([r["x"] for r in start]).reshape(len(start), -1) if start else np.zeros((0, 0))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                d2 = _squares(np.asarray(part.column("x").flatten()).reshape(part.num_rows, -1), pivots)
+                cell = d2.argmin(1)
+                own = np.sqrt(d2[np.arange(len(cell)), cell])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("item_id", "x", "grp")), pa.array(cell.astype(np.int32)), pa.array(own)], ["item_id", "x", "grp", "cell", "far"])
+
+    placed = staged(points.mapInArrow(assign, f"item_id {id_type}, x array<double>, grp string, cell int, far double"))
+    sizes = staged(placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius")))
+    # at most as many as pivots
+    radius = np.full(len(pivots), -np.inf)
+    for r in sizes.groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        radius[r["cell"]] = r["radius"]
+    many = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = placed.join(small(sizes.select("grp", "cell", many.alias("many"))), ["grp", "cell"])
+    packed = rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("many")).cast("int")).groupBy("grp", "cell", "part").agg(F.sort_array(F.collect_list(F.struct("item_id", "x"))).alias("rows"))
+    packed = packed.select("grp", "cell", "part", (F.col("part") / CHUNK).cast("int").alias("chunk"), F.col("rows.item_id").alias("ids"), F.col("rows.x").alias("xs"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, seen = [], []
+            for i in range(batch.num_rows):
+                a = _vectors(batch.column("xs")[i])
+                d2 = _squares(a, a)
+                np.fill_diagonal(d2, np.inf)
+                kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(a) > k else np.full(len(a), np.inf)
+                bounds.append(kth)
+                reach = np.sqrt(_squares(a, pivots)) - radius
+                slack = np.sqrt(kth)
+                seen.append(np.flatnonzero((reach <= slack[:, None] * (1 + 1e-9) + 1e-9).any(0) & np.isfinite(radius)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.list_(pa.float64())), pa.array(seen, pa.list_(pa.int32()))], [*batch.schema.names, "bound", "seen"])
+
+    schema = f"grp string, cell int, part int, chunk int, ids array<{id_type}>, xs array<array<double>>"
+    blocks = staged(_dealt(packed).mapInArrow(bound, schema + ", bound array<double>, seen array<int>"))
+    gaps = np.sqrt(_squares(pivots, pivots)) if len(pivots) else np.zeros((0, 0))
+
+    @F.pandas_udf("double")
+    def gap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(gaps[a.to_numpy(), b.to_numpy()])
+
+    wanted = blocks.select("grp", "cell", "chunk", F.explode("seen").alias("other")).distinct()
+    return blocks, staged(wanted.withColumn("near", gap("cell", "other")))
+
+
+def _vectors(cell: pa.ListScalar) -> np.ndarray:
+    """The vectors of a block."""
+    lists = cell.values
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
+
+
 def nearest(features: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """(item_id, other_id, d2, rank): the k nearest others (of the same group ``by``), fewer where there are fewer; ties by id.
 
-    Only the k nearest of each block leave the task that compares it.
+    A chunk of a cell's blocks meets the blocks of the cells that it must see, nearest pivots first, and its bounds tighten
+    on the way, so that blocks behind are skipped.  Only distances within the bounds leave the task.
     """
     id_type = features.schema["item_id"].dataType.simpleString()
+    blocks, wanted = searched_cells(features, k, by)
+    own = blocks.select("grp", "cell", "chunk", F.lit(-1.0).alias("near"), "ids", "xs", "bound")
+    # a cell's blocks go to the chunks that want it
+    theirs = blocks.select("grp", F.col("cell").alias("other"), "ids", "xs").join(wanted.hint("merge"), ["grp", "other"]).select("grp", "cell", "chunk", "near", "ids", "xs", F.lit(None).cast("array<double>").alias("bound"))
+    dealt = own.unionByName(theirs).withColumn("task", F.xxhash64("grp", "cell", "chunk"))
+    dealt = dealt.repartition(4 * features.sparkSession.sparkContext.defaultParallelism, "task").sortWithinPartitions("task", "near") if blocks.count() < 10_000 else dealt.repartition("task").sortWithinPartitions("task", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ia, ib, d2 in _distances(batches):
-            mine, theirs = ia.to_numpy(zero_copy_only=False), ib.to_numpy(zero_copy_only=False)
-            by_id = np.argsort(theirs, kind="stable")
-            d2 = np.where(mine[:, None] == theirs[None, by_id], np.inf, d2[:, by_id])
-            order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d2, order, 1)
-            at, to = np.nonzero(np.isfinite(near))
-            yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(by_id[order[at, to]])), pa.array(near[at, to])], ["item_id", "other_id", "d2"])
+        task, mine = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (now := batch.column("task")[i].as_py()) != task:
+                    task, mine = now, []
+                ids, x = batch.column("ids")[i].values, _vectors(batch.column("xs")[i])
+                if batch.column("near")[i].as_py() < 0:
+                    best = np.full((len(x), k), np.inf)
+                    mine.append([ids, x, np.asarray(batch.column("bound")[i].values), best, x.mean(0)])
+                    mine[-1].append(np.sqrt(np.square(x - mine[-1][4]).sum(1).max()))
+                    continue
+                middle = x.mean(0)
+                radius = np.sqrt(np.square(x - middle).sum(1).max())
+                names = ids.to_numpy(zero_copy_only=False)
+                for block in mine:
+                    own_ids, a, limit, best, centre, wide = block
+                    # no pair of the two blocks is nearer than this
+                    apart = np.sqrt(np.square(centre - middle).sum()) * (1 - 1e-9) - radius - wide - 1e-9
+                    if apart > 0 and apart * apart > limit.max():
+                        continue
+                    d2 = np.where(own_ids.to_numpy(zero_copy_only=False)[:, None] == names[None, :], np.inf, _squares(a, x))
+                    order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                    near = np.take_along_axis(d2, order, 1)
+                    best[:] = np.sort(np.concatenate([best, near], 1), axis=1)[:, :k]
+                    block[2] = limit = np.minimum(limit, best[:, k - 1])
+                    at, to = np.nonzero(np.isfinite(near) & (near <= limit[:, None]))
+                    yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(at)), ids.take(pa.array(order[at, to])), pa.array(near[at, to])], ["item_id", "other_id", "d2"])
 
     w = Window.partitionBy("item_id").orderBy("d2", "other_id")
-    near = _block_pairs(features, features, by).mapInArrow(run, f"item_id {id_type}, other_id {id_type}, d2 double")
+    near = dealt.mapInArrow(run, f"item_id {id_type}, other_id {id_type}, d2 double")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -147,86 +258,141 @@ def ambiguity_templates(distribution: DataFrame, cells: DataFrame, n_classes: in
     return raw.select("cluster", "y", "class", (F.col("v") / F.sum("v").over(Window.partitionBy("cluster", "y"))).alias("p"))
 
 
-#: Bins of distances per power of two.
-BINS = 256
+#: Bins of a pass over distances, and distances that are few enough to be listed.
+BINS, LISTED = 4096, 4096
+#: Blocks of a group that meet all others of it in one task.
+SHARE = 2
 
 
-def _statistic(points: DataFrame, stat: str, weight: str | None) -> float | None:
-    """Median, mean or minimum of the distances of all pairs of points, each as often as the product of its weights.
+def _pairs_within(points: DataFrame) -> DataFrame:
+    """(grp, ia, na, xa, ib, nb, xb): block pairs of the points (grp, item_id, x, n), each block with those of its group that are not before it.
 
-    The distances stay in their tasks.  A histogram tells the bins in which the middle ranks are; a second pass returns
-    the distances in these bins alone, so the median is exact.  Points of weight n have n * (n - 1) / 2 distances of 0.
+    The blocks of a group are dealt over tasks and meet copies of all of its blocks there, so no task has a whole group's pairs.
     """
-    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    points = points.select(F.struct("item_id", n.alias("n")).alias("item_id"), "x")
-    own = points.agg(F.sum(F.col("item_id.n") * (F.col("item_id.n") - 1) / 2)).first()[0] or 0.0
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for ia, ib, d2 in _distances(batches):
-            (mine, na), (theirs, nb) = ((c.field("item_id").to_numpy(zero_copy_only=False), c.field("n").to_numpy()) for c in (ia, ib))
-            at, to = np.nonzero(mine[:, None] < theirs[None, :])
-            yield np.sqrt(d2[at, to]), na[at] * nb[to]
-
-    bin_of = lambda d: np.where(d > 0, np.floor(np.log2(np.maximum(d, 1e-300)) * BINS), -(10**9)).astype(np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, w in pairs(batches):
-            bins, back = np.unique(bin_of(d), return_inverse=True)
-            least = np.full(len(bins), np.inf)
-            np.minimum.at(least, back, d)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.bincount(back, w, len(bins)).astype(np.int64)), pa.array(np.bincount(back, w * d, len(bins))), pa.array(least)], ["bin", "n", "s", "least"])
-
-    both = _block_pairs(points, points)
-    table = both.mapInArrow(count, "bin long, n long, s double, least double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least")).toPandas().sort_values("bin")
-    total = int(table["n"].sum() + own)
-    if not total:
-        return None
-    if stat == "mean":
-        return float(table["s"].sum()) / total
-    if stat == "minimum":
-        return 0.0 if own else float(table["least"].min())
-    ranks = [(total - 1) // 2, total // 2]
-    ends = own + table["n"].cumsum().to_numpy()
-    bins = table["bin"].to_numpy()
-    wanted = {int(bins[np.searchsorted(ends, r, side="right")]) for r in ranks if r >= own}
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, w in pairs(batches):
-            some = np.isin(bin_of(d), list(wanted))
-            yield pa.RecordBatch.from_arrays([pa.array(bin_of(d[some])), pa.array(d[some]), pa.array(w[some])], ["bin", "d", "w"])
-
-    found, rows = [], both.mapInArrow(pick, "bin long, d double, w long")
-    for r in ranks:
-        if r < own:
-            found.append(0.0)
-            continue
-        i = int(np.searchsorted(ends, r, side="right"))
-        before, inside = (ends[i - 1] if i else own), int(table["n"].to_numpy()[i])
-        share = 0.0 if inside == 1 else (r - before) / (inside - 1)
-        found.append(rows.filter(F.col("bin") == int(bins[i])).agg(F.percentile("d", F.lit(float(share)), F.col("w"))).first()[0])
-        if ranks[0] == ranks[1]:
+    sizes = staged(points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("many")))
+    rows = points.join(small(sizes), "grp").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("many")).cast("int"))
+    blocks = staged(rows.groupBy("grp", "block", "many").agg(F.collect_list(F.struct("item_id", "n", "x")).alias("rows")))
+    tasks = F.ceil(F.col("many") / SHARE).cast("int")
+    side = lambda x, salt: blocks.select("grp", salt.alias("salt"), F.col("block").alias(f"b{x}"), F.col("rows.item_id").alias(f"i{x}"), F.col("rows.n").alias(f"n{x}"), F.col("rows.x").alias(f"x{x}"))
+    left = side("a", F.pmod(F.col("block"), tasks))
+    right = side("b", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * points.sparkSession.sparkContext.defaultParallelism)
+    return left.repartition(parts, "grp", "salt").join(right.repartition(parts, "grp", "salt").hint("merge"), ["grp", "salt"]).filter("ba <= bb").drop("salt")
+
+
+def _group_statistics(points: DataFrame, stat: str) -> DataFrame:
+    """(grp, value): median, mean or minimum of the distances between the points (grp, item_id, x, n) of each group.
+
+    A point of weight n counts n times, so it has n * (n - 1) / 2 distances of 0 to itself.  The distances stay in their tasks.  For the
+    median, passes count them in bins of an interval that holds the middle ranks, and the interval shrinks to the bin until
+    its distances are few enough to be listed; intervals are over the bits of the numbers, whose order is that of the distances.
+    """
+    points = staged(points)
+    grp_type = points.schema["grp"].dataType.simpleString()
+    own = points.groupBy("grp").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("own"))
+    both = _pairs_within(points)
+
+    def pairs(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = _vectors(batch.column("xa")[i]), _vectors(batch.column("xb")[i])
+        na, nb = (np.asarray(batch.column(c)[i].values) for c in ("na", "nb"))
+        if batch.column("ba")[i].as_py() == batch.column("bb")[i].as_py():
+            at, to = np.triu_indices(len(a), 1)
+        else:
+            at, to = (v.ravel() for v in np.indices((len(a), len(b))))
+        return np.sqrt(_squares(a, b)[at, to]), na[at] * nb[to]
+
+    if stat != "median":
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [pairs(batch, i) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array([int(w.sum()) for _, w in found], pa.int64()), pa.array([float((d * w).sum()) for d, w in found], pa.float64()), pa.array([float(d.min()) if len(d) else None for d, _ in found], pa.float64())], ["grp", "c", "s", "least"])
+
+        total = both.mapInArrow(summed, f"grp {grp_type}, c long, s double, least double").groupBy("grp").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.min("least").alias("least"))
+        rows = own.join(total.hint("merge"), "grp", "left").withColumn("all", F.col("own") + F.coalesce("c", F.lit(0)))
+        value = F.coalesce("s", F.lit(0.0)) / F.col("all") if stat == "mean" else F.when(F.col("own") > 0, 0.0).otherwise(F.col("least"))
+        return rows.select("grp", F.when(F.col("all") > 0, value).alias("value"))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                d, w = pairs(batch, i)
+                keys, name = d.view(np.int64), batch.column("grp")[i].as_py()
+                for low, step in {(t["low"], t["step"]) for t in batch.column("wanted")[i].as_py()}:
+                    inside = (keys >= low) & ((keys - low) // step < BINS)
+                    bins, back = np.unique((keys[inside] - low) // step, return_inverse=True)
+                    counts = np.bincount(back, w[inside], len(bins)).astype(np.int64)
+                    out += [(name, low, step, int(x), int(c)) for x, c in zip(bins, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((batch.schema.field("grp").type, *[pa.int64()] * 4))], ["grp", "low", "step", "bin", "c"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                d, w = pairs(batch, i)
+                keys, name = d.view(np.int64), batch.column("grp")[i].as_py()
+                for low, step in {(t["low"], t["step"]) for t in batch.column("wanted")[i].as_py()}:
+                    inside = (keys >= low) & (keys - low < step)
+                    values, back = np.unique(d[inside], return_inverse=True)
+                    out += [(name, low, step, float(v), int(c)) for v, c in zip(values, np.bincount(back, w[inside], len(values)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((batch.schema.field("grp").type, pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["grp", "low", "step", "d", "c"])
+
+    meet = lambda wanted: both.join(small(staged(wanted.groupBy("grp").agg(F.collect_set(F.struct("low", "step")).alias("wanted")))), "grp")
+    interval = ["grp", "low", "step"]
+    # ranks are counted from the interval's start; the first holds all numbers from 0 on
+    table = staged(own.select("grp", "own", F.lit(0).cast("long").alias("low"), F.lit((1 << 63) // BINS).cast("long").alias("step")))
+    open_, done, first = None, None, True
+    while True:
+        wanted = table if first else open_
+        counts = meet(wanted).mapInArrow(binned, f"grp {grp_type}, low long, step long, bin long, c long").groupBy(*interval, "bin").agg(F.sum("c").alias("c"))
+        zero = own.filter("own > 0").select("grp", F.lit(0).cast("long").alias("low"), F.lit((1 << 63) // BINS).cast("long").alias("step"), F.lit(0).cast("long").alias("bin"), F.col("own").alias("c"))
+        if first:
+            counts = counts.unionByName(zero).groupBy(*interval, "bin").agg(F.sum("c").alias("c"))
+        else:
+            # zeros of repeated points are in the interval that starts at 0
+            counts = counts.unionByName(zero.drop("step", "low").join(open_.filter("low = 0").select("grp", "low", "step").distinct().hint("merge"), "grp").select(*interval, "bin", "c")).groupBy(*interval, "bin").agg(F.sum("c").alias("c"))
+        counts = staged(counts)
+        w = Window.partitionBy(*interval).orderBy("bin")
+        placed = counts.withColumn("before", F.sum("c").over(w) - F.col("c")).withColumn("whole", F.sum("c").over(Window.partitionBy(*interval)))
+        if first:
+            ranks = F.array(F.struct(F.lit(0).alias("which"), F.expr("(whole - 1) div 2").alias("rank")), F.struct(F.lit(1).alias("which"), F.expr("whole div 2").alias("rank")))
+            asked = placed.withColumn("r", F.explode(ranks)).select("*", "r.which", "r.rank")
+        else:
+            asked = placed.join(open_.select(*interval, "which", "rank").hint("merge"), interval)
+        hit = asked.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
+        hit = staged(hit.select("grp", (F.col("low") + F.col("bin") * F.col("step")).alias("low"), F.col("step").alias("width"), "which", (F.col("rank") - F.col("before")).alias("rank"), "c"))
+        ready = hit.filter((F.col("c") <= LISTED) | (F.col("width") == 1)).select("grp", "low", F.col("width").alias("step"), "which", "rank")
+        done = ready if done is None else done.unionByName(ready)
+        open_ = staged(hit.filter((F.col("c") > LISTED) & (F.col("width") > 1)).select("grp", "low", F.greatest(F.expr(f"width div {BINS}"), F.lit(1)).alias("step"), "which", "rank"))
+        first = False
+        if open_.isEmpty():
             break
-    return float(np.mean(found))
+    done = staged(done)
+    values = meet(done).mapInArrow(listed, f"grp {grp_type}, low long, step long, d double, c long")
+    zeros = own.filter("own > 0").join(done.filter("low = 0").select("grp", "low", "step").distinct().hint("merge"), "grp").select(*interval, F.lit(0.0).alias("d"), F.col("own").alias("c"))
+    each = staged(values.unionByName(zeros).groupBy(*interval, "d").agg(F.sum("c").alias("c")))
+    placed = each.withColumn("before", F.sum("c").over(Window.partitionBy(*interval).orderBy("d")) - F.col("c"))
+    hit = placed.join(done.hint("merge"), interval).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
+    middle = hit.groupBy("grp").agg(((F.min("d") + F.max("d")) / 2).alias("value"))
+    return own.select("grp").join(middle.hint("merge"), "grp", "left")
 
 
 def bandwidth(points: DataFrame, stat: str | float = "median", by: str | None = None, lone: float = 1.0, weight: str | None = None) -> DataFrame:
     """One row (gamma), or one per value of ``by``: max(statistic of the distances, 1e-3) ** -2; ``lone`` for fewer than two points.
 
-    ``weight`` names a column with the number of times that a point counts (without ``by``).
+    ``weight`` names a column with the number of times that a point counts.
     """
-    keys = [by] if by else []
     if not isinstance(stat, str):
-        return points.select(*keys).distinct().withColumn("gamma", F.lit(float(stat))) if by else points.sparkSession.range(1).select(F.lit(float(stat)).alias("gamma"))
-    if not by:
-        value = _statistic(points, stat, weight)
-        gamma = lone if value is None else max(value, BANDWIDTH_FLOOR) ** -2.0
-        return points.sparkSession.range(1).select(F.lit(float(gamma)).alias("gamma"))
-    b = points.select(by, F.col("item_id").alias("other_id"), F.col("x").alias("x2"))
-    pairs = points.select(by, "item_id", "x").join(b.hint("merge"), by).filter("item_id < other_id").withColumn("d2", distance2(F.col("x"), F.col("x2")))
-    d = pairs.select(*keys, F.sqrt("d2").alias("d"))
-    s = {"median": F.percentile("d", F.lit(0.5)), "mean": F.avg("d"), "minimum": F.min("d")}[stat]
-    out = d.groupBy(*keys).agg(F.when(s.isNull(), lone).otherwise(F.pow(F.greatest(s, F.lit(BANDWIDTH_FLOOR)), F.lit(-2.0))).alias("gamma"))
-    return points.select(*keys).distinct().join(out.hint("merge"), keys, "left").select(*keys, F.coalesce("gamma", F.lit(lone)).alias("gamma"))
+        return points.select(by).distinct().withColumn("gamma", F.lit(float(stat))) if by else points.sparkSession.range(1).select(F.lit(float(stat)).alias("gamma"))
+    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = points.select((F.col(by) if by else F.lit(0)).alias("grp"), "item_id", F.col("x").cast("array<double>").alias("x"), n.alias("n"))
+    gamma = F.when(F.col("value").isNull(), lone).otherwise(F.pow(F.greatest("value", F.lit(BANDWIDTH_FLOOR)), F.lit(-2.0))).alias("gamma")
+    found = _group_statistics(rows, stat)
+    if by:
+        return staged(found.select(F.col("grp").alias(by), gamma))
+    one = found.select(gamma).first()
+    return points.sparkSession.range(1).select(F.lit(float(one[0] if one else lone)).alias("gamma"))
 
 
 def kernel_weights(candidates: DataFrame, observed: DataFrame, gamma: DataFrame, mix: float = 0.0) -> DataFrame:
@@ -242,19 +408,113 @@ def kernel_weights(candidates: DataFrame, observed: DataFrame, gamma: DataFrame,
     return w.select("item_id", "other_id", (mix + (1 - mix) * F.exp(-F.col("gamma") * F.col("d2"))).alias("k"))
 
 
-def kernel_sums(weights: DataFrame, evidence: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    """(item_id, annotator_id, mass, s, m2): sums of k, k * score and k * k over the labels (item_id, annotator_id, score) of an annotator.
+#: Labels in a block of ``kernel_totals``, and annotators whose sums a task holds at most.
+LABELS, HELD = 512, 4096
 
-    ``weights`` may have a column annotator_id (a kernel per annotator).  ``similarity`` (annotator_id, other, w) lets the labels of others
-    count with weight w; without it only the annotator's own do, which is an equi join.
+
+def kernel_totals(candidates: DataFrame, observed: DataFrame, rows: DataFrame, gamma: DataFrame, by: list[str], linear: list[str], square: list[str] | None = None, mix: float = 0.0) -> DataFrame:
+    """(item_id, *by, sums): for each candidate, the columns ``linear`` of the rows (item_id, *by, ...) at observed items times the kernel, summed.
+
+    The columns ``square`` are summed times the kernel's square.  ``gamma`` is one row, or a row for each annotator_id, which then
+    is one of ``by``.  Blocks of candidates meet blocks of labels; a task keeps the sums of a block of candidates while it meets labels,
+    so what is shuffled follows the number of sums, not that of pairs.
     """
-    seen = evidence.select(F.col("item_id").alias("other_id"), "annotator_id", "score")
-    keys = ["other_id", "annotator_id"] if "annotator_id" in weights.columns else ["other_id"]
-    rows = weights.join(seen.hint("merge"), keys)
-    if similarity is not None:
-        rows = rows.withColumnRenamed("annotator_id", "other").join(similarity.hint("merge"), "other").withColumn("k", F.col("k") * F.col("w"))
-    k = F.col("k")
-    return rows.groupBy("item_id", "annotator_id").agg(F.sum(k).alias("mass"), F.sum(k * F.col("score")).alias("s"), F.sum(k * k).alias("m2"))
+    square = square or []
+    id_type = candidates.schema["item_id"].dataType.simpleString()
+    key_types = [rows.schema[c].dataType.simpleString() for c in by]
+    values = [F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate([*linear, *square])]
+    names = [f"__v{i}" for i in range(len(values))]
+    marked = rows.select("item_id", *by, *values)
+    if "annotator_id" in gamma.columns:
+        marked = marked.join(small(gamma.select("annotator_id", F.col("gamma").alias("__g"))), "annotator_id")
+    else:
+        marked = marked.withColumn("__g", F.lit(float(gamma.first()[0])))
+    # an item with very many labels is cut, so that blocks stay blocks
+    cut = (F.row_number().over(Window.partitionBy("item_id").orderBy(*by)) / LABELS).cast("int")
+    at = staged(marked.withColumn("__cut", cut).join(observed.select("item_id", F.col("x").cast("array<double>").alias("x")).hint("merge"), "item_id"))
+    n = max(1, -(-at.count() // LABELS))
+    fields = ["item_id", "x", *by, "__g", *names]
+    packed = at.groupBy(F.pmod(F.xxhash64("item_id", "__cut"), F.lit(n)).alias("lot")).agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    right = packed.select("lot", *[F.col(f"rows.{c}").alias(f"r_{c}") for c in fields])
+    left = _dealt(_blocks(candidates, "ia", "xa")).withColumn("block", F.monotonically_increasing_id())
+    both = left.crossJoin(F.broadcast(right)) if n <= FEW_BLOCKS // 4 else left.join(_dealt(right).hint("shuffle_replicate_nl"))
+    split = len(linear)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sums, lots = None, None, {}, {}
+
+        def flush() -> pa.RecordBatch:
+            keys, m = list(sums), len(ids)
+            item = ids.take(pa.array(np.tile(np.arange(m), len(keys))))
+            columns = [pa.array([key[j] for key in keys], type=key_kinds[j]).take(pa.array(np.repeat(np.arange(len(keys)), m))) for j in range(len(by))]
+            table = np.concatenate([sums[key] for key in keys], axis=0) if keys else np.zeros((0, len(names)))
+            return pa.RecordBatch.from_arrays([item, *columns, *[pa.array(np.ascontiguousarray(table[:, j])) for j in range(len(names))]], ["item_id", *by, *names])
+
+        for batch in batches:
+            key_kinds = [batch.column(f"r_{c}").type.value_type for c in by]
+            for i in range(batch.num_rows):
+                now = batch.column("block")[i].as_py()
+                if now != block or len(sums) > HELD:
+                    if sums:
+                        yield flush()
+                    block, ids, sums = now, batch.column("ia")[i].values, {}
+                    a = _vectors(batch.column("xa")[i])
+                lot = batch.column("lot")[i].as_py()
+                if lot not in lots:
+                    if len(lots) >= 64:
+                        lots.clear()
+                    keys = list(zip(*(batch.column(f"r_{c}")[i].values.to_pylist() for c in by), strict=True))
+                    codes: dict[tuple, int] = {}
+                    code = np.array([codes.setdefault(key, len(codes)) for key in keys])
+                    order = np.argsort(code, kind="stable")
+                    item = batch.column("r_item_id")[i].values.dictionary_encode()
+                    where = np.asarray(item.indices)
+                    _, first = np.unique(where, return_index=True)
+                    table = np.stack([np.asarray(batch.column(f"r_{c}")[i].values) for c in names], 1)
+                    starts = np.searchsorted(code[order], np.arange(len(codes)))
+                    lots[lot] = list(codes), starts, where[order], _vectors(batch.column("r_x")[i])[first], np.asarray(batch.column("r___g")[i].values)[order], table[order]
+                keys, starts, where, x, g, table = lots[lot]
+                k = mix + (1 - mix) * np.exp(-g[None, :] * _squares(a, x)[:, where])
+                found = np.empty((len(a), len(keys), table.shape[1]))
+                for j in range(table.shape[1]):
+                    found[:, :, j] = np.add.reduceat((k if j < split else k * k) * table[:, j], starts, axis=1)
+                for c, key in enumerate(keys):
+                    if key in sums:
+                        sums[key] += found[:, c]
+                    else:
+                        sums[key] = found[:, c].copy()
+        if sums:
+            yield flush()
+
+    schema = ", ".join([f"item_id {id_type}", *[f"`{c}` {t}" for c, t in zip(by, key_types, strict=True)], *[f"{c} double" for c in names]])
+    out = both.mapInArrow(run, schema).groupBy("item_id", *by).agg(*[F.sum(c).alias(c) for c in names])
+    return out.select("item_id", *by, *[F.col(c).alias(n) for c, n in zip(names, [*linear, *square], strict=True)])
+
+
+def pair_totals(candidates: DataFrame, observed: DataFrame, rows: DataFrame, gamma: DataFrame, by: list[str], linear: list[str], square: list[str] | None = None, mix: float = 0.0, similarity: DataFrame | None = None, of_candidate: bool = False) -> DataFrame:
+    """``kernel_totals`` by annotator; ``similarity`` (annotator_id, other, w) lets the rows of others count with weight w.
+
+    The kernel is then that of the annotator of the row, or that of the candidate's annotator (``of_candidate``).  Sums are
+    linear in the weights, so they are weighted after the sum over items, or before it where each annotator has a kernel.
+    """
+    square = square or []
+    if similarity is None:
+        return kernel_totals(candidates, observed, rows, gamma, by, linear, square, mix)
+
+    def pooled(table: DataFrame) -> DataFrame:
+        met = table.withColumnRenamed("annotator_id", "other").join(similarity.hint("merge"), "other")
+        w = F.col("w")
+        return met.groupBy("item_id", *by).agg(*[F.sum(w * F.col(c)).alias(c) for c in linear], *[F.sum(w * w * F.col(c)).alias(c) for c in square])
+
+    if of_candidate:
+        return kernel_totals(candidates, observed, pooled(rows), gamma, by, linear, square, mix)
+    return pooled(kernel_totals(candidates, observed, rows, gamma, by, linear, square, mix))
+
+
+def kernel_sums(candidates: DataFrame, observed: DataFrame, evidence: DataFrame, gamma: DataFrame, mix: float = 0.0, similarity: DataFrame | None = None, of_candidate: bool = False) -> DataFrame:
+    """(item_id, annotator_id, mass, s, m2): sums of k, k * score and k * k over the labels (item_id, annotator_id, score) of an annotator."""
+    rows = evidence.select("item_id", "annotator_id", F.lit(1.0).alias("mass"), F.col("score").alias("s"), F.lit(1.0).alias("m2"))
+    return pair_totals(candidates, observed, rows, gamma, ["annotator_id"], ["mass", "s"], ["m2"], mix, similarity, of_candidate)
 
 
 def concentration(use_ess: bool, tau: float = 1.0) -> Column:
@@ -271,14 +531,15 @@ def beta_posterior(sums: DataFrame, alpha0: float = 1.0, beta0: float = 1.0, use
     return sums.select("item_id", "annotator_id", (alpha0 + F.col("s")).alias("alpha"), (beta0 + F.col("mass") - F.col("s")).alias("beta"))
 
 
-def dirichlet_posterior(weights: DataFrame, labels: DataFrame, n_classes: int, gamma0: float, use_ess: bool = False, tau: float = 1.0) -> DataFrame:
-    """(item_id, annotator_id, gamma array) from the labels (item_id, annotator_id, label) under the kernel weights."""
-    seen = labels.select(F.col("item_id").alias("other_id"), "annotator_id", "label")
-    rows = weights.join(seen.hint("merge"), ["other_id", "annotator_id"] if "annotator_id" in weights.columns else ["other_id"])
-    k = F.col("k")
-    sums = rows.groupBy("item_id", "annotator_id").agg(F.sum(k).alias("mass"), F.sum(k * k).alias("m2"), *[F.sum(F.when(F.col("label") == c, k).otherwise(0.0)).alias(f"c{c}") for c in range(n_classes)])
+def dirichlet_posterior(candidates: DataFrame, observed: DataFrame, labels: DataFrame, gamma: DataFrame, n_classes: int, gamma0: float, use_ess: bool = False, tau: float = 1.0, mix: float = 0.0, similarity: DataFrame | None = None, of_candidate: bool = False) -> DataFrame:
+    """(item_id, annotator_id, gamma array) from the labels (item_id, annotator_id, label) under the kernel; ``similarity`` as in ``kernel_sums``."""
+    classes = [f"c{c}" for c in range(n_classes)]
+    rows = labels.select("item_id", "annotator_id", F.lit(1.0).alias("m2"), *[(F.col("label") == c).cast("double").alias(f"c{c}") for c in range(n_classes)])
+    sums = pair_totals(candidates, observed, rows, gamma, ["annotator_id"], classes, ["m2"], mix, similarity, of_candidate)
+    mass = sum((F.col(c) for c in classes), F.lit(0.0))
+    sums = sums.withColumn("mass", mass)
     scale = concentration(True, tau) / F.greatest("mass", F.lit(TINY)) if use_ess else F.lit(1.0)
-    return sums.select("item_id", "annotator_id", F.array(*[gamma0 + scale * F.col(f"c{c}") for c in range(n_classes)]).alias("gamma"))
+    return sums.select("item_id", "annotator_id", F.array(*[gamma0 + scale * F.col(c) for c in classes]).alias("gamma"))
 
 
 def annotator_similarity(vectors: DataFrame, kind: str = "cosine", gamma: float = 1.0, power: float = 1.0) -> DataFrame:
@@ -291,16 +552,23 @@ def annotator_similarity(vectors: DataFrame, kind: str = "cosine", gamma: float
     return pairs.select("annotator_id", "other", F.when(F.col("annotator_id") == F.col("other"), F.greatest("w", F.lit(1.0))).otherwise(F.col("w")).alias("w"))
 
 
-def peer_agreement(labels: DataFrame, weights: DataFrame, fallback: DataFrame) -> DataFrame:
+def peer_agreement(labels: DataFrame, observed: DataFrame, gamma: DataFrame, fallback: DataFrame) -> DataFrame:
     """(item_id, annotator_id, score): kernel-weighted share of other annotators' labels that agree with this one.
 
-    ``fallback`` (item_id, annotator_id, score) is taken where no other label has weight.
+    ``fallback`` (item_id, annotator_id, score) is taken where no other label has weight.  The weights of others are those of all
+    annotators less the own ones, in total and of the label.
     """
-    peers = labels.select(F.col("item_id").alias("other_id"), F.col("annotator_id").alias("peer"), F.col("label").alias("peer_label"))
-    rows = labels.select("item_id", "annotator_id", "label").join(weights, "item_id").join(peers, "other_id").filter("peer <> annotator_id")
-    agree = rows.groupBy("item_id", "annotator_id").agg(F.sum("k").alias("m"), F.sum(F.col("k") * (F.col("label") == F.col("peer_label")).cast("double")).alias("a"))
-    out = fallback.join(agree, ["item_id", "annotator_id"], "left")
-    return out.select("item_id", "annotator_id", F.when(F.coalesce("m", F.lit(0.0)) > TINY, F.col("a") / F.col("m")).otherwise(F.col("score")).alias("score"))
+    seen = observed.join(labels.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
+    sums = staged(kernel_totals(seen, seen, labels.select("item_id", "annotator_id", "label", F.lit(1.0).alias("k")), gamma, ["annotator_id", "label"], ["k"]))
+    total = sums.groupBy("item_id").agg(F.sum("k").alias("all"))
+    of_label = sums.groupBy("item_id", "label").agg(F.sum("k").alias("same"))
+    own = sums.groupBy("item_id", "annotator_id").agg(F.sum("k").alias("own"))
+    rows = labels.select("item_id", "annotator_id", "label").join(total.hint("merge"), "item_id").join(of_label.hint("merge"), ["item_id", "label"]).join(own.hint("merge"), ["item_id", "annotator_id"])
+    rows = rows.join(sums.withColumnRenamed("k", "mine").hint("merge"), ["item_id", "annotator_id", "label"])
+    agree = rows.groupBy("item_id", "annotator_id").agg(F.sum(F.col("all") - F.col("own")).alias("m"), F.sum(F.col("same") - F.col("mine")).alias("a"))
+    out = fallback.join(agree.hint("merge"), ["item_id", "annotator_id"], "left")
+    # differences of sums leave a remainder where nobody else labelled
+    return out.select("item_id", "annotator_id", F.when(F.coalesce("m", F.lit(0.0)) > 1e-9, F.col("a") / F.col("m")).otherwise(F.col("score")).alias("score"))
 
 
 def model_correctness(labels: DataFrame, posteriors: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Learning from labels of many annotators: classifiers on aggregated or raw labels, mixing of pairs, clusters, inference hooks.
 
-Full-batch gradients are sums over partitions: every task returns one row, tasks are summed by Spark, and the driver holds only
-the parameters.
+Full-batch gradients are sums over partitions.  The driver holds only the parameters that all annotators share; those of the
+annotators are tables, which meet the labels by a join and move by grouped sums.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallywise.operators.aggregate import confusions, dense, majority_vote, pair_accuracy_model, pair_label_model, soft_votes
 from tallywise.operators.dawid_skene import class_model, dawid_skene
 from tallywise.operators.scorers import beta_quantile
-from tallywise.sources.staging import staged
+from tallywise.sources.staging import release, staged
 from tallywise.tables import small, uniform
 
 #: Named settings of the estimators.
@@ -53,145 +53,235 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _summed(rows: DataFrame, grad: Callable[[pd.DataFrame, np.ndarray], np.ndarray], theta: np.ndarray) -> np.ndarray:
-    """Sum of ``grad`` (a vector) over all batches of ``rows``."""
-    shared = rows.sparkSession.sparkContext.broadcast(theta)
+#: Annotators whose gradients a task holds before it passes them on, and those whose parameters are also given as arrays.
+HELD, LISTED = 4096, 10_000
+
+
+class _Network:
+    """The shared class model: linear, or with a hidden layer of rectified units; its parameters are one vector on the driver."""
+
+    def __init__(self, d: int, k: int, hidden: int | None, rng: np.random.Generator) -> None:
+        self.shapes = [(d + 1, k)] if not hidden else [(d + 1, hidden), (hidden + 1, k)]
+        scales = [0.01] if not hidden else [np.sqrt(2 / (d + 1)), 0.01]
+        self.start = np.concatenate([rng.normal(0, s, shape).ravel() for s, shape in zip(scales, self.shapes, strict=True)])
+
+    def layers(self, theta: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([a * b for a, b in self.shapes])
+        return [theta[e - a * b : e].reshape(a, b) for e, (a, b) in zip(ends, self.shapes, strict=True)]
+
+    def forward(self, x: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Class probabilities, and the inputs of the layers, each with a column of ones."""
+        inputs, now = [], x
+        for i, w in enumerate(self.layers(theta)):
+            inputs.append(np.column_stack([now if not i else np.maximum(now, 0), np.ones(len(x))]))
+            now = inputs[-1] @ w
+        return _softmax(now), inputs
+
+    def backward(self, inputs: list[np.ndarray], theta: np.ndarray, by_score: np.ndarray) -> np.ndarray:
+        """The gradient of the parameters from that of the scores before the softmax."""
+        layers, out = self.layers(theta), []
+        for w, x in zip(reversed(layers), reversed(inputs), strict=True):
+            out.append((x.T @ by_score).ravel())
+            by_score = (by_score @ w.T)[:, :-1] * (x[:, :-1] > 0)
+        return np.concatenate(out[::-1])
+
+
+def _gradients(rows: DataFrame, params: DataFrame, grad: Callable[[pd.DataFrame, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, DataFrame]:
+    """Sum of the shared gradient, and (annotator_id, g) summed for each annotator.
+
+    ``params`` (annotator_id, t) meet the labels by a join; ``grad`` gets a batch, the matrix of its annotators' parameters and their places in it.
+    Tasks add up before they shuffle, and pass on the annotators they hold when these are many.
+    """
+    met = rows.join(small(params, 100_000), "annotator_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared, own = None, {}
+        give = lambda: pd.DataFrame({"annotator_id": list(own), "g": list(own.values())})
+        for part in batches:
+            if not len(part):
+                continue
+            names, first, at = np.unique(part["annotator_id"].to_numpy(), return_index=True, return_inverse=True)
+            g, each = grad(part, np.stack(part["t"].to_numpy()[first]), at)
+            shared = g if shared is None else shared + g
+            for name, v in zip(names.tolist(), each, strict=True):
+                own[name] = own[name] + v if name in own else v
+            if len(own) > HELD:
+                yield give()
+                own.clear()
+        if own:
+            yield give()
+        if shared is not None:
+            yield pd.DataFrame({"annotator_id": pd.array([None], dtype="Int64"), "g": [shared]})
+
+    cells = staged(met.mapInPandas(run, "annotator_id long, g array<double>").select("annotator_id", F.posexplode("g").alias("i", "g")).groupBy("annotator_id", "i").agg(F.sum("g").alias("g")))
+    total = np.zeros(size)
+    for r in cells.filter("annotator_id IS NULL").collect():  # as many as shared parameters
+        total[r["i"]] = r["g"]
+    own = cells.filter("annotator_id IS NOT NULL").groupBy("annotator_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda e: e["g"]).alias("g"))
+    return total, own
+
+
+def _stepped(params: DataFrame, own: DataFrame, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``params`` after ``step`` (matrix of parameters, matrix of gradients); annotators without a gradient have zeros."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
         for part in batches:
             if len(part):
-                g = grad(part, shared.value)
-                total = g if total is None else total + g
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "g": total})
+                t = np.stack(part["t"].to_numpy())
+                g = np.stack([np.zeros(t.shape[1]) if v is None else np.asarray(v) for v in part["g"]])
+                yield pd.DataFrame({"annotator_id": part["annotator_id"], "t": list(step(t, g))})
+
+    return staged(params.join(own.hint("merge"), "annotator_id", "left").mapInPandas(run, "annotator_id long, t array<double>"))
+
 
-    out = rows.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-    g = np.zeros(len(out))
-    g[out["i"].to_numpy()] = out["g"].to_numpy()
-    return g
+def _matrix_sum(params: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``f`` (a vector for a matrix of parameters) over all annotators."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for part in batches:
+            if len(part):
+                total += f(np.stack(part["t"].to_numpy()))
+        yield pd.DataFrame({"i": np.arange(size), "v": total})
 
-#: The parameters of all annotators are one vector on the driver, so their number is bounded.
-MOST_ANNOTATORS = 10_000
+    out = np.zeros(size)
+    for r in params.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
 
 
-def _annotators(annotations: DataFrame) -> list[int]:
-    names = sorted(r[0] for r in annotations.select("annotator_id").distinct().limit(MOST_ANNOTATORS + 1).collect())
-    if len(names) > MOST_ANNOTATORS:
-        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
-    return names
+def _labelled(annotations: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(annotator_id, label, x), the annotators (annotator_id), the length of x and the number of annotators."""
+    d = features.agg(F.max(F.size("x"))).first()[0] or 0
+    names = staged(annotations.select(F.col("annotator_id").cast("long").alias("annotator_id")).distinct())
+    rows = annotations.join(features.hint("merge"), "item_id").select(F.col("annotator_id").cast("long").alias("annotator_id"), "label", F.col("x").cast("array<double>").alias("x"))
+    return staged(rows), names, d, names.count()
 
 
-def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, regularization: str = "trace-reg", lmbda: float = 0.01, steps: int = 20, rate: float = 0.5, seed: int = 0) -> dict:
-    """A linear class model under a confusion layer per annotator, by the likelihood of the labels.
+def crowd_layer(annotations: DataFrame, features: DataFrame, n_classes: int, regularization: str = "trace-reg", lmbda: float = 0.01, steps: int = 20, rate: float = 0.5, seed: int = 0, hidden: int | None = None) -> dict:
+    """A class model, linear or with ``hidden`` units, under a confusion layer per annotator, by the likelihood of the labels.
 
     The regulariser is the mean trace of the confusions (``trace-reg``), or -logdet of F'F (class probabilities) or W'W
-    (confusions); a value that isn't finite or exceeds 100 is left out.  Gives ``weights``, ``confusions`` (array by annotator),
-    ``annotators`` and the ``loss`` of each step.
+    (confusions); a value that isn't finite or exceeds 100 is left out.  The annotators' parameters are a table.  Gives ``weights`` (one
+    matrix a layer, or the matrix), ``confusion_table`` (annotator_id, truth, label, p), the ``loss`` of each step and, for at most
+    LISTED annotators, ``confusions`` (array by annotator) and ``annotators``.
     """
     if regularization not in ("trace-reg", "geo-reg-f", "geo-reg-w"):
         raise ValueError(f"regularization: {regularization}")
-    names = _annotators(annotations)
-    d = features.agg(F.max(F.size("x"))).first()[0] or 0
-    a, k = len(names), n_classes
-    index = annotations.sparkSession.createDataFrame(list(enumerate(names)), "a int, annotator_id long")
-    rows = staged(annotations.join(small(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
-    rng = np.random.default_rng(seed)
-    theta = np.concatenate([rng.normal(0, 0.01, (d + 1) * k), np.tile(np.eye(k) * 3, (a, 1, 1)).ravel()])
-    cut, size = (d + 1) * k, len(theta)
-
-    def grad(part: pd.DataFrame, t: np.ndarray) -> np.ndarray:
-        w, c = t[:cut].reshape(d + 1, k), _softmax(t[cut:size].reshape(a, k, k))
-        x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
-        ai, y = part["a"].to_numpy(), part["label"].to_numpy()
-        f = _softmax(x @ w)
-        picked = c[ai, :, y]
-        p = np.maximum((f * picked).sum(1), 1e-12)
-        r = f * picked / p[:, None]  # P(class | label)
-        toward = f @ t[size:].reshape(k, k)  # of the regulariser by f
-        gw = x.T @ (f - r + f * (toward - (toward * f).sum(1, keepdims=True)))
-        gc = np.zeros((a, k, k))
-        np.add.at(gc, ai, r[:, :, None] * c[ai])
-        np.add.at(gc, (ai, slice(None), y), -r)
-        return np.concatenate([gw.ravel(), gc.ravel(), (f.T @ f).ravel(), [-np.log(p).sum(), len(part)]])
-
-    losses, none = [], np.zeros(k * k)
+    rows, names, d, a = _labelled(annotations, features)
+    k, net = n_classes, _Network(d, n_classes, hidden, np.random.default_rng(seed))
+    theta, cut = net.start, len(net.start)
+    params = staged(names.withColumn("t", F.array(*[F.lit(float(v)) for v in (np.eye(k) * 3).ravel()])))
+
+    def grad(theta: np.ndarray, toward: np.ndarray):
+        def run(part: pd.DataFrame, t: np.ndarray, ai: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            c = _softmax(t.reshape(-1, k, k))
+            f, inputs = net.forward(np.stack(part["x"].to_numpy()), theta)
+            y = part["label"].to_numpy()
+            picked = c[ai, :, y]
+            p = np.maximum((f * picked).sum(1), 1e-12)
+            r = f * picked / p[:, None]  # P(class | label)
+            by_f = f @ toward  # of the regulariser
+            gw = net.backward(inputs, theta, f - r + f * (by_f - (by_f * f).sum(1, keepdims=True)))
+            gc = np.zeros_like(c)
+            np.add.at(gc, ai, r[:, :, None] * c[ai])
+            np.add.at(gc, (ai, slice(None), y), -r)
+            return np.concatenate([gw, (f.T @ f).ravel(), [-np.log(p).sum(), len(part)]]), gc.reshape(len(c), -1)
+
+        return run
+
+    losses = []
     for _ in range(steps):
-        g = _summed(rows, grad, np.concatenate([theta, none]))
-        if not len(g):
-            break
+        g, own = _gradients(rows, params, grad(theta, np.zeros((k, k))), cut + k * k + 2)
         n = g[-1]
-        c = _softmax(theta[cut:].reshape(a, k, k))
-        reg, rg = 0.0, np.zeros_like(c)
+        if not n:
+            break
+        reg, by_c = 0.0, None
         if regularization == "trace-reg":
-            reg, rg = np.trace(c, axis1=1, axis2=2).mean(), np.eye(k)[None] / a * np.ones((a, 1, 1))
+            reg = _matrix_sum(params, lambda t: np.array([np.trace(_softmax(t.reshape(-1, k, k)), axis1=1, axis2=2).sum()]), 1)[0] / a
+            by_c = lambda c: np.eye(k)[None] / a * np.ones_like(c)
         elif regularization == "geo-reg-w":
-            flat = c.reshape(a * 1, k, k).transpose(1, 0, 2).reshape(k, a * k)
-            gram = flat @ flat.T
-            reg = -np.linalg.slogdet(gram)[1]
-            rg = (-2 * np.linalg.pinv(gram) @ flat).reshape(k, a, k).transpose(1, 0, 2)
+            gram = _matrix_sum(params, lambda t: np.einsum("aij,akj->ik", *[_softmax(t.reshape(-1, k, k))] * 2).ravel(), k * k).reshape(k, k)
+            reg, back = -np.linalg.slogdet(gram)[1], -2 * np.linalg.pinv(gram)
+            by_c = lambda c, back=back: back[None] @ c
         else:
-            gram = g[size : size + k * k].reshape(k, k) / n + 1e-9 * np.eye(k)
+            gram = g[cut : cut + k * k].reshape(k, k) / n + 1e-9 * np.eye(k)
             reg = -np.linalg.slogdet(gram)[1]
         usable = np.isfinite(reg) and abs(reg) <= 100
-        loss = g[-2] / n + (lmbda * reg if usable else 0.0)
+        losses.append(g[-2] / n + (lmbda * reg if usable else 0.0))
         if regularization == "geo-reg-f" and usable:
             # a second pass, with the direction that the first one's sums give; a ridge keeps it bounded while all items look alike
-            g = _summed(rows, grad, np.concatenate([theta, (-2 * lmbda * np.linalg.inv(gram + 0.01 * np.eye(k))).ravel()]))
-        step = g[:size] / n
-        if usable and regularization != "geo-reg-f":
-            step[cut:] += lmbda * (c * (rg - (rg * c).sum(2, keepdims=True))).ravel()
-        losses.append(loss)
-        theta = theta - rate * step * np.concatenate([np.ones(cut), np.full(size - cut, a)])
-    return {"weights": theta[:cut].reshape(d + 1, k), "confusions": _softmax(theta[cut:].reshape(a, k, k)), "annotators": names, "loss": losses}
-
-
-def low_rank_expertise(annotations: DataFrame, features: DataFrame, n_classes: int, dim: int = 4, annotator_bias: bool = False, steps: int = 20, rate: float = 0.5, seed: int = 0) -> dict:
+            g, own = _gradients(rows, params, grad(theta, -2 * lmbda * np.linalg.inv(gram + 0.01 * np.eye(k))), cut + k * k + 2)
+
+        def step(t: np.ndarray, own_g: np.ndarray, n=n, by_c=by_c if usable else None) -> np.ndarray:
+            down = own_g / n
+            if by_c is not None:
+                c = _softmax(t.reshape(-1, k, k))
+                rg = by_c(c)
+                down = down + lmbda * (c * (rg - (rg * c).sum(2, keepdims=True))).reshape(len(t), -1)
+            return t - rate * a * down
+
+        before, params = params, _stepped(params, own, step)
+        release(before)
+        theta = theta - rate * g[:cut] / n
+    table = params.select("annotator_id", F.posexplode("t").alias("i", "s"))
+    table = table.select("annotator_id", F.expr(f"i div {k}").cast("int").alias("truth"), F.pmod("i", F.lit(k)).cast("int").alias("label"), F.exp("s").alias("e"))
+    table = table.select("annotator_id", "truth", "label", (F.col("e") / F.sum("e").over(Window.partitionBy("annotator_id", "truth"))).alias("p"))
+    layers = net.layers(theta)
+    found = {"weights": layers if hidden else layers[0], "confusion_table": table, "loss": losses, "network": net, "theta": theta}
+    if a <= LISTED:
+        listed = params.orderBy("annotator_id").collect()
+        found |= {"annotators": [r["annotator_id"] for r in listed], "confusions": _softmax(np.array([r["t"] for r in listed]).reshape(-1, k, k))}
+    return found
+
+
+def low_rank_expertise(annotations: DataFrame, features: DataFrame, n_classes: int, dim: int = 4, annotator_bias: bool = False, steps: int = 20, rate: float = 0.5, seed: int = 0, hidden: int | None = None) -> dict:
     """Item projection times annotator vector as P(correct), trained by summing out the true class.
 
-    Gives ``class_weights``, ``projection``, ``annotator_vectors`` (annotator_id, v, bias) and the ``loss`` of each step.
+    The class model is linear or has ``hidden`` units; the annotators' vectors are a table.  Gives ``class_weights``, ``projection``,
+    ``annotator_vectors`` (annotator_id, v, bias) and the ``loss`` of each step.
     """
-    names = _annotators(annotations)
-    d = features.agg(F.max(F.size("x"))).first()[0] or 0
-    a, k = len(names), n_classes
-    index = annotations.sparkSession.createDataFrame(list(enumerate(names)), "a int, annotator_id long")
-    rows = staged(annotations.join(small(index), "annotator_id").join(features, "item_id").select("a", "label", F.col("x").cast("array<double>").alias("x")))
+    rows, names, d, a = _labelled(annotations, features)
     rng = np.random.default_rng(seed)
-    sizes = [(d + 1) * k, d * dim, a * dim, a]
-    ends = np.cumsum(sizes)
-    theta = np.concatenate([rng.normal(0, 0.01, sizes[0]), rng.normal(0, 1 / np.sqrt(max(d, 1)), sizes[1]), rng.normal(0, 0.1, sizes[2]), np.ones(sizes[3])])
-
-    def grad(part: pd.DataFrame, t: np.ndarray) -> np.ndarray:
-        w, m, v, b = (t[e - s : e] for s, e in zip(sizes, ends, strict=True))
-        w, m, v = w.reshape(d + 1, k), m.reshape(d, dim), v.reshape(a, dim)
-        x = np.stack(part["x"].to_numpy())
-        x1 = np.column_stack([x, np.ones(len(part))])
-        ai, y = part["a"].to_numpy(), part["label"].to_numpy()
-        f, proj = _softmax(x1 @ w), x @ m
-        th = 1 / (1 + np.exp(-((proj * v[ai]).sum(1) + b[ai])))
-        like = np.repeat(((1 - th) / max(k - 1, 1))[:, None], k, 1)
-        like[np.arange(len(y)), y] = th
-        p = np.maximum((f * like).sum(1), 1e-12)
-        r = f * like / p[:, None]
-        right = r[np.arange(len(y)), y]
-        dz = th - right  # of -log p by the logit
-        gv, gb = np.zeros((a, dim)), np.zeros(a)
-        np.add.at(gv, ai, dz[:, None] * proj)
-        np.add.at(gb, ai, dz)
-        return np.concatenate([(x1.T @ (f - r)).ravel(), (x.T @ (dz[:, None] * v[ai])).ravel(), gv.ravel(), gb, [-np.log(p).sum(), len(part)]])
+    k, net = n_classes, _Network(d, n_classes, hidden, rng)
+    cut = len(net.start)
+    theta = np.concatenate([net.start, rng.normal(0, 1 / np.sqrt(max(d, 1)), d * dim)])
+    # a vector's start depends on the annotator alone
+    normal = [F.sqrt(-2 * F.ln(uniform(seed, F.lit(f"r{i}"), "annotator_id"))) * F.cos(2 * np.pi * uniform(seed, F.lit(f"a{i}"), "annotator_id")) * 0.1 for i in range(dim)]
+    params = staged(names.withColumn("t", F.array(*normal, F.lit(1.0))))
+
+    def grad(theta: np.ndarray):
+        def run(part: pd.DataFrame, t: np.ndarray, ai: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            v, b, m = t[:, :dim], t[:, dim], theta[cut:].reshape(d, dim)
+            x, y = np.stack(part["x"].to_numpy()), part["label"].to_numpy()
+            f, inputs = net.forward(x, theta[:cut])
+            proj = x @ m
+            th = 1 / (1 + np.exp(-((proj * v[ai]).sum(1) + b[ai])))
+            like = np.repeat(((1 - th) / max(k - 1, 1))[:, None], k, 1)
+            like[np.arange(len(y)), y] = th
+            p = np.maximum((f * like).sum(1), 1e-12)
+            r = f * like / p[:, None]
+            dz = th - r[np.arange(len(y)), y]  # of -log p by the logit
+            own = np.zeros_like(t)
+            np.add.at(own, ai, np.column_stack([dz[:, None] * proj, dz]))
+            return np.concatenate([net.backward(inputs, theta[:cut], f - r), (x.T @ (dz[:, None] * v[ai])).ravel(), [-np.log(p).sum(), len(part)]]), own
+
+        return run
 
     losses = []
     for _ in range(steps):
-        g = _summed(rows, grad, theta)
-        if not len(g):
+        g, own = _gradients(rows, params, grad(theta), len(theta) + 2)
+        n = g[-1]
+        if not n:
             break
-        scale = np.concatenate([np.ones(ends[1]), np.full(sizes[2], a), np.full(sizes[3], a if annotator_bias else 0)])
-        losses.append(g[-2] / g[-1])
-        theta = theta - rate * scale * g[: len(theta)] / g[-1]
-    w, m, v, b = (theta[e - s : e] for s, e in zip(sizes, ends, strict=True))
-    vectors = annotations.sparkSession.createDataFrame([(n, v.reshape(a, dim)[i].tolist(), float(b[i])) for i, n in enumerate(names)], "annotator_id long, v array<double>, bias double")
-    return {"class_weights": w.reshape(d + 1, k), "projection": m.reshape(d, dim), "annotator_vectors": vectors, "loss": losses}
+        losses.append(g[-2] / n)
+        scale = np.append(np.full(dim, float(a)), float(a) if annotator_bias else 0.0)
+        before, params = params, _stepped(params, own, lambda t, own_g, n=n, scale=scale: t - rate * scale * own_g / n)
+        release(before)
+        theta = theta - rate * g[: len(theta)] / n
+    layers = net.layers(theta[:cut])
+    vectors = params.select("annotator_id", F.slice("t", 1, dim).alias("v"), F.col("t")[dim].alias("bias"))
+    return {"class_weights": layers if hidden else layers[0], "projection": theta[cut:].reshape(d, dim), "annotator_vectors": vectors, "loss": losses}
 
 
 def mixed_pairs(pairs: DataFrame, seed: int = 0, alpha: float = 1.0) -> DataFrame:

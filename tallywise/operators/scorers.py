@@ -113,14 +113,13 @@ def beta_model(candidates: DataFrame, features: DataFrame, evidence: DataFrame,
 
     Each annotator has a bandwidth of its own.  Without evidence the prior decides.  ``similarity`` pools similar annotators.
     """
-    points = evidence.select(*_PAIR).join(features, "item_id")
+    points = evidence.select(*_PAIR).join(features.hint("merge"), "item_id")
     widths = kernel.bandwidth(points, gamma, by="annotator_id", lone=1e6)
-    items = candidates.select("item_id").distinct().join(features, "item_id")
-    d2 = kernel.distances2(items, points.select("item_id", "x").dropDuplicates(["item_id"]))
-    own = evidence.select(F.col("item_id").alias("other_id"), "annotator_id").join(widths, "annotator_id")
-    weights = d2.join(own, "other_id").select("item_id", "other_id", "annotator_id", F.exp(-F.col("gamma") * F.col("d2")).alias("k"))
-    post = kernel.beta_posterior(kernel.kernel_sums(weights, evidence, similarity), mean * strength, (1 - mean) * strength, use_ess, tau)
-    rows = candidates.select(*_PAIR).join(post, list(_PAIR), "left").select(*_PAIR, F.coalesce("alpha", F.lit(mean * strength)).alias("alpha"), F.coalesce("beta", F.lit((1 - mean) * strength)).alias("beta"))
+    items = features.join(candidates.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
+    seen = features.join(evidence.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
+    sums = kernel.kernel_sums(items, seen, evidence, widths, similarity=similarity)
+    post = kernel.beta_posterior(sums, mean * strength, (1 - mean) * strength, use_ess, tau)
+    rows = candidates.select(*_PAIR).join(post.hint("merge"), list(_PAIR), "left").select(*_PAIR, F.coalesce("alpha", F.lit(mean * strength)).alias("alpha"), F.coalesce("beta", F.lit((1 - mean) * strength)).alias("beta"))
     u = beta_quantile(F.col("alpha"), F.col("beta"), uniform(seed, F.lit("theta"), *_PAIR)) if draw else F.col("alpha") / (F.col("alpha") + F.col("beta"))
     return rows.select(*_PAIR, u.alias("u"))
 
@@ -133,12 +132,13 @@ def kernel_evidence_gain(candidates: DataFrame, features: DataFrame, acquired: D
     the class probabilities and of the label distribution.
     """
     unit = kernel.unit_vectors(features)
-    seen = unit.join(acquired.select("item_id").distinct(), "item_id", "left_semi")
+    seen = unit.join(acquired.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
+    items = unit.join(candidates.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
     width = kernel.bandwidth(seen, gamma)
-    w = kernel.kernel_weights(unit.join(candidates.select("item_id").distinct(), "item_id", "left_semi"), seen, width)
-    by_item = w.groupBy("item_id").agg(F.sum("k").alias("mass"), F.sum(F.col("k") * F.col("k")).alias("m2")).select("item_id", kernel.concentration(use_ess, tau).alias("item_conc"))
-    sums = kernel.kernel_sums(w, acquired.select(*_PAIR, F.lit(1.0).alias("score"))).select(*_PAIR, kernel.concentration(use_ess, tau).alias("pair_conc"))
-    rows = candidates.select(*_PAIR).join(posteriors, "item_id").join(channel, "annotator_id").join(by_item, "item_id", "left").join(sums, list(_PAIR), "left")
+    ones = seen.select("item_id", F.lit(0).alias("everybody"), F.lit(1.0).alias("mass"), F.lit(1.0).alias("m2"))
+    by_item = kernel.kernel_totals(items, seen, ones, width, ["everybody"], ["mass"], ["m2"]).select("item_id", kernel.concentration(use_ess, tau).alias("item_conc"))
+    sums = kernel.kernel_sums(items, seen, acquired.select(*_PAIR, F.lit(1.0).alias("score")), width).select(*_PAIR, kernel.concentration(use_ess, tau).alias("pair_conc"))
+    rows = candidates.select(*_PAIR).join(posteriors.hint("merge"), "item_id").join(channel.hint("merge"), "annotator_id").join(by_item.hint("merge"), "item_id", "left").join(sums.hint("merge"), list(_PAIR), "left")
     rows = rows.withColumn("item_conc", F.coalesce("item_conc", F.lit(0.0))).withColumn("conc", F.coalesce("pair_conc", F.lit(0.0)))
     k = F.size("p")
     rows = _repeated(rows.withColumn("p", F.transform("p", lambda v: class_strength / k + F.col("item_conc") * v)), draws)
@@ -204,18 +204,19 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
     if variant == "full" and (ucb is not None or top_m is not None):
         raise ValueError("full confusions take neither ucb nor top_m")
     unit = kernel.unit_vectors(features)
-    items = unit.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
-    seen = unit.join(acquired.select("item_id").distinct(), "item_id", "left_semi")
-    seen = staged(seen.join(acquired.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_labels")).hint("merge"), "item_id"))
-    width = kernel.bandwidth(seen, gamma, weight="n_labels")
+    items = unit.join(candidates.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
+    labels_of = acquired.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    seen = staged(unit.join(labels_of.hint("merge"), "item_id"))
+    width = everyone = kernel.bandwidth(seen, gamma, weight="n_labels")
     seen = seen.select("item_id", "x")
-    if gamma_scope == "per_annotator":
+    own_kernel = gamma_scope == "per_annotator"
+    if own_kernel:
         points = acquired.select(*_PAIR).distinct().join(unit.hint("merge"), "item_id")
-        own = kernel.bandwidth(points, gamma, by="annotator_id")
-        if similarity is not None:
-            raise ValueError("a bandwidth per annotator takes no similarity of annotators")
-        width = points.select(F.col("item_id").alias("other_id"), "annotator_id").join(own.hint("merge"), "annotator_id")
-    w = kernel.kernel_weights(items, seen, width, mix)
+        own = kernel.bandwidth(points, gamma, by="annotator_id").withColumnRenamed("gamma", "own")
+        # an annotator without labels takes the bandwidth of all
+        who = acquired.select("annotator_id").union(candidates.select("annotator_id")).distinct()
+        width = staged(who.join(own.hint("merge"), "annotator_id", "left").select("annotator_id", F.coalesce("own", F.lit(float(everyone.first()[0]))).alias("gamma")))
+    pool = {"mix": mix, "similarity": similarity, "of_candidate": own_kernel}
     long = posteriors.select("item_id", F.posexplode("p").alias("class", "p"))
     evidence = kernel.model_correctness(acquired, long)
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -225,18 +226,19 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
         raise ValueError(f"accuracy_mean: {accuracy_mean}")
     else:
         prior = evidence.select(F.lit(float(accuracy_mean)).alias("acc")).limit(1)
-    rows = candidates.select(*_PAIR).crossJoin(F.broadcast(prior)).join(posteriors, "item_id")
+    rows = candidates.select(*_PAIR).crossJoin(F.broadcast(prior)).join(posteriors.hint("merge"), "item_id")
     if accuracy_mean == "per_annotator_observed":
         own = evidence.groupBy("annotator_id").agg(clip(F.avg("score")).alias("own_acc"))
         rows = rows.join(own.hint("merge"), "annotator_id", "left").withColumn("acc", F.coalesce("own_acc", "acc")).drop("own_acc")
     if class_prior == "uniform":
         rows = rows.withColumn("p", F.transform("p", lambda v: F.lit(1.0 / n_classes)))
     elif class_prior == "kernel":
-        flat = w.select("item_id", "other_id", "k") if gamma_scope == "global" else kernel.kernel_weights(items, seen, kernel.bandwidth(unit.join(acquired, "item_id", "left_semi"), gamma), mix)
-        near = flat.join(long.withColumnRenamed("item_id", "other_id").hint("merge"), "other_id").groupBy("item_id", "class").agg(F.sum(F.col("k") * F.col("p")).alias("v"))
-        near = near.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "v"))), lambda e: 1.0 / n_classes + e["v"]).alias("kp"))
-        rows = rows.join(near, "item_id", "left").withColumn("p", normalised(F.coalesce("kp", F.transform("p", lambda v: F.lit(1.0)))))
-    sums = kernel.kernel_sums(w, evidence, similarity)
+        flat = kernel.bandwidth(seen, gamma) if own_kernel else everyone
+        shares = posteriors.select("item_id", F.lit(0).alias("everybody"), *[F.get("p", F.lit(c)).alias(f"p{c}") for c in range(n_classes)])
+        near = kernel.kernel_totals(items, seen, shares, flat, ["everybody"], [f"p{c}" for c in range(n_classes)], mix=mix)
+        near = near.select("item_id", F.array(*[1.0 / n_classes + F.col(f"p{c}") for c in range(n_classes)]).alias("kp"))
+        rows = rows.join(near.hint("merge"), "item_id", "left").withColumn("p", normalised(F.coalesce("kp", F.transform("p", lambda v: F.lit(1.0)))))
+    sums = kernel.kernel_sums(items, seen, evidence, width, **pool)
     conc = kernel.concentration(use_ess, tau)
     mu = F.when(F.col("mass") > TINY, F.col("s") / F.greatest("mass", F.lit(TINY))).otherwise(0.5)
     rows = rows.join(sums.select(*_PAIR, conc.alias("conc"), mu.alias("mu")).hint("merge"), list(_PAIR), "left").withColumn("conc", F.coalesce("conc", F.lit(0.0))).withColumn("mu", F.coalesce("mu", F.lit(0.5)))
@@ -251,8 +253,8 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
     if variant == "uniform":
         c = uniform_channel(F.array_repeat("theta", F.size("p")))
     elif variant == "channel":
-        labels = kernel.dirichlet_posterior(w, acquired, n_classes, label_strength / n_classes, use_ess, tau)
-        rows = rows.join(labels, list(_PAIR), "left").withColumn("gamma", F.coalesce("gamma", F.array_repeat(F.lit(label_strength / n_classes), n_classes)))
+        labels = kernel.dirichlet_posterior(items, seen, acquired, width, n_classes, label_strength / n_classes, use_ess, tau, **pool)
+        rows = rows.join(labels.hint("merge"), list(_PAIR), "left").withColumn("gamma", F.coalesce("gamma", F.array_repeat(F.lit(label_strength / n_classes), n_classes)))
         if top_m is not None and top_m < n_classes:
             order = F.transform(F.sort_array(F.arrays_zip("p", "gamma"), asc=False), lambda e: e["gamma"])
             top = F.slice(order, 1, top_m)
@@ -263,14 +265,14 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
             rows = rows.withColumn("gamma", dirichlet_draw(F.col("gamma"), _uniforms(seed, "label", F.size("gamma") - 1)))
         c = channel_rows(F.array_repeat("theta", F.size("p")), F.col("gamma"))
     elif variant in ("diagonal", "full"):
-        by = long.select(F.col("item_id").alias("other_id"), "class", "p")
-        labels = acquired.select(F.col("item_id").alias("other_id"), "annotator_id", "label").join(by.hint("merge"), "other_id")
-        obs = w.join(labels.hint("merge"), ["other_id", "annotator_id"] if gamma_scope == "per_annotator" else ["other_id"])
-        cells = obs.groupBy(*_PAIR, "class", "label").agg(F.sum(F.col("k") * F.col("p")).alias("n"))
-        arrays = cells.groupBy(*_PAIR).agg(F.map_from_entries(F.collect_list(F.struct((F.col("class") * n_classes + F.col("label")).alias("i"), "n"))).alias("cells"))
+        shares = [f"p{c}" for c in range(n_classes)]
+        labels = acquired.select(*_PAIR, "label").join(posteriors.select("item_id", *[F.get("p", F.lit(c)).alias(f"p{c}") for c in range(n_classes)]).hint("merge"), "item_id")
+        cells = kernel.pair_totals(items, seen, labels, width, ["annotator_id", "label"], shares, **pool)
+        entry = F.array(*[F.struct((F.lit(c * n_classes) + F.col("label")).cast("long").alias("i"), F.col(f"p{c}").alias("n")) for c in range(n_classes)])
+        arrays = cells.groupBy(*_PAIR).agg(F.map_from_entries(F.flatten(F.collect_list(entry))).alias("cells"))
         rows = rows.join(arrays.hint("merge"), list(_PAIR), "left")
         prior_rows = kernel.confusion_prior(n_classes, F.col("acc"), accuracy_strength)
-        counts = F.transform(prior_rows, lambda row, i: F.transform(row, lambda v, j: v + F.coalesce(F.col("cells")[i * n_classes + j], F.lit(0.0))))
+        counts = F.transform(prior_rows, lambda row, i: F.transform(row, lambda v, j: v + F.coalesce(F.col("cells")[(i * n_classes + j).cast("long")], F.lit(0.0))))
         rows = rows.withColumn("counted", F.transform(counts, lambda row: normalised(row))) if not draws else _drawn_rows(rows, counts, seed, F.lit(n_classes * (n_classes - 1)), "counted")
         counted = F.col("counted")
         c = counted if variant == "full" else uniform_channel(F.transform(counted, lambda row, i: F.get(row, i)))

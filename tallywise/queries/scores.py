@@ -245,15 +245,14 @@ def c10_annotator_similarity(spark, sf_dir):
 def c11_peer_agreement(spark, sf_dir):
     unit, obs = kernel.unit_vectors(_features(spark, sf_dir)), _observed(spark, sf_dir)
     seen = unit.join(obs, "item_id", "left_semi")
-    w = kernel.kernel_weights(seen, seen, kernel.bandwidth(unit, 0.5))
-    return _r(kernel.peer_agreement(obs, w, kernel.model_correctness(obs, view(spark, sf_dir, "x6"))), "score")
+    return _r(kernel.peer_agreement(obs, seen, kernel.bandwidth(unit, 0.5), kernel.model_correctness(obs, view(spark, sf_dir, "x6"))), "score")
 
 
 @query(with_views("x2", "x8v") + f", {_UNIT}, {_KW}, {_OBS}, s AS (SELECT kw.item_id, annotator_id, label, sum(k) AS c FROM kw JOIN ob ON ob.item_id = kw.other_id GROUP BY 1, 2, 3) SELECT p.item_id, p.annotator_id, CAST(j AS INT) AS class, round(0.25 + coalesce(c, 0), 6) AS gamma FROM (SELECT DISTINCT item_id, annotator_id FROM s) p CROSS JOIN range(4) r(j) LEFT JOIN s ON s.item_id = p.item_id AND s.annotator_id = p.annotator_id AND s.label = j")
 def g11_dirichlet_posterior(spark, sf_dir):
     unit, obs = kernel.unit_vectors(_features(spark, sf_dir)), _observed(spark, sf_dir)
-    w = kernel.kernel_weights(unit, unit.join(obs, "item_id", "left_semi"), kernel.bandwidth(unit, 0.5))
-    return _r(kernel.dirichlet_posterior(w, obs, K, 0.25).select("item_id", "annotator_id", F.posexplode("gamma").alias("class", "gamma")), "gamma")
+    seen = unit.join(obs, "item_id", "left_semi")
+    return _r(kernel.dirichlet_posterior(unit, seen, obs, kernel.bandwidth(unit, 0.5), K, 0.25).select("item_id", "annotator_id", F.posexplode("gamma").alias("class", "gamma")), "gamma")
 
 
 _CONC = """ic AS (SELECT item_id, sum(k) AS n FROM kw GROUP BY 1), pn AS (SELECT kw.item_id, annotator_id, sum(k) AS n FROM kw JOIN ob ON ob.item_id = kw.other_id GROUP BY 1, 2)"""
@@ -441,9 +440,13 @@ def d34_d35_masked_likelihood(spark, sf_dir):
 
 @query()
 def k4_crowd_layer(spark, sf_dir):
-    found = learn.crowd_layer(_observed(spark, sf_dir), _features(spark, sf_dir), K, steps=5)
-    rows = [(a, t, lab, float(p)) for a, c in zip(found["annotators"], found["confusions"], strict=True) for t, r in enumerate(c) for lab, p in enumerate(r)]
-    return spark.createDataFrame(rows, "annotator_id long, truth int, label int, p double")
+    return learn.crowd_layer(_observed(spark, sf_dir), _features(spark, sf_dir), K, steps=5)["confusion_table"]
+
+
+@query()
+def k4_crowd_layer_hidden(spark, sf_dir):
+    """The same over a class model with a hidden layer."""
+    return learn.crowd_layer(_observed(spark, sf_dir), _features(spark, sf_dir), K, "geo-reg-f", 0.001, steps=3, hidden=8)["confusion_table"]
 
 
 @query()

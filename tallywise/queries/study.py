@@ -104,6 +104,25 @@ def b17_flat_params(spark, sf_dir):
     return _params(spark, sf_dir)
 
 
+#: Events with their properties inside a nested text, the same in both engines.
+_NESTED = """concat('{"a":{"b":[', user_id, ',', event_id, ',null],"t":"', event_type, '","n":null},"p":', props, '}')"""
+_PLAIN = """SELECT event_id, 'a/t' AS key, event_type AS value FROM events UNION ALL SELECT event_id, 'a/n', 'null' FROM events UNION ALL SELECT event_id, 'p/k', json_extract_string(props, '$.k') FROM events"""
+
+
+def _flat_events(spark, sf_dir, lists):
+    return store.flat_json_params(table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED).alias("j")), "event_id", "j", lists=lists)
+
+
+@query(_PLAIN + " UNION ALL SELECT event_id, 'a/b', concat('[', user_id, ',', event_id, ',null]') FROM events")
+def b17_flat_json_params(spark, sf_dir):
+    return _flat_events(spark, sf_dir, "json")
+
+
+@query(_PLAIN + " UNION ALL SELECT event_id, 'a/b/0', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, 'a/b/1', CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT event_id, 'a/b/2', 'null' FROM events")
+def b17_flat_json_params_by_index(spark, sf_dir):
+    return _flat_events(spark, sf_dir, "indices")
+
+
 @query("SELECT p_partkey, regexp_replace(p_name || '#' || p_brand, '[^A-Za-z0-9_./: -]', '_', 'g') AS key, coalesce(NULL, 'null') AS value FROM part")
 def b18_sanitised(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", texts.sanitised_key(F.concat_ws("#", "p_name", "p_brand")).alias("key"), texts.stringified(F.lit(None).cast("string")).alias("value"))

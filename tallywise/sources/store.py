@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tallywise.functions.texts import sanitised_key, stringified
 from tallywise.operators.order import positions
+from tallywise.sources.staging import staged
 
 
 def read_splits(spark: SparkSession, root: str, splits: list[str], fmt: str = "parquet") -> DataFrame:
@@ -103,6 +104,34 @@ def flat_params(df: DataFrame, id_col: str, column: str, depth: int = 12, most:
     return df.select(id_col, F.explode(entries).alias("e")).select(id_col, "e.key", "e.value")
 
 
+def flat_json_params(df: DataFrame, id_col: str, column: str, depth: int = 12, most: int = 50, lists: str = "json") -> DataFrame:
+    """(id, key, value) of nested JSON text, a map or a struct: keys ``a/b/c``, null as ``null``; malformed text gives none.
+
+    Lists are JSON of at most ``most`` entries, or by ``indices`` keys of their own (``a/b/0``).  What is nested deeper than ``depth`` stays
+    JSON.  Each round takes one level off all rows that still have one.
+    """
+    if lists not in ("json", "indices"):
+        raise ValueError(f"lists: {lists}")
+    text = F.col(column) if isinstance(df.schema[column].dataType, T.StringType) else F.to_json(F.col(column), {"ignoreNullFields": "false"})
+    now = df.select(id_col, F.lit(None).cast("string").alias("key"), F.try_parse_json(text).alias("v")).filter("v IS NOT NULL")
+    out, level = None, 0
+    while True:
+        kind = F.schema_of_variant("v")
+        inner = kind.startswith("OBJECT") | (kind.startswith("ARRAY") if lists == "indices" else F.lit(False))
+        marked = staged(now.withColumn("inner", inner & F.lit(level <= depth)).withColumn("list", kind.startswith("ARRAY")))
+        short = F.to_json(F.slice(F.expr("try_variant_get(v, '$', 'array<variant>')"), 1, most))
+        value = F.when(F.col("list"), short).otherwise(F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.when(F.is_variant_null("v"), None).otherwise(F.to_json("v"))))
+        leaves = marked.filter("NOT inner").select(id_col, sanitised_key(F.coalesce("key", F.lit(""))).alias("key"), stringified(value).alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        deeper = marked.filter("inner")
+        if deeper.isEmpty():
+            return out
+        found = df.sparkSession.sql(f"SELECT t.`{id_col}`, t.key AS above, e.key AS name, e.pos AS pos, e.value AS v FROM {{t}} t, LATERAL variant_explode(t.v) AS e", t=deeper)
+        part = F.coalesce("name", F.col("pos").cast("string"))
+        kept = found.filter(F.col("name").isNotNull() | (F.col("pos") < most))
+        now, level = kept.select(id_col, F.when(F.col("above").isNull(), part).otherwise(F.concat_ws("/", "above", part)).alias("key"), "v"), level + 1
+
+
 def config_roots(params: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Parameters whose first segment is included (all by default) and not excluded; ``choice/`` entries always stay."""
     root = F.split("key", "/")[0]

@@ -109,3 +109,14 @@ def test_signature_does_not_depend_on_order_and_sees_changes(spark, tmp_path):
     assert a["files"] == 5 and a["bytes"] == 15 and a == store.source_signature(spark, str(tmp_path)).first()
     (tmp_path / "f3").write_text("other")
     assert store.source_signature(spark, str(tmp_path)).first()["signature"] != a["signature"]
+
+
+@pytest.mark.parametrize("lists", ["json", "indices"])
+def test_nested_json_is_flattened(spark, lists):
+    rows = [(1, '{"a": {"b": {"c": 1.5, "d é": "x"}}, "l": [1, [2, 3], {"k": "v"}], "e": {}, "n": null}'), (2, "not json"), (3, None), (4, "7"), (5, '{"x":' * 4 + "1" + "}" * 4)]
+    df = spark.createDataFrame(rows, "id long, j string")
+    got = sorted(map(tuple, store.flat_json_params(df, "id", "j", depth=2, most=2, lists=lists).collect()))
+    lists_ = [(1, "l", "[1,[2,3]]")] if lists == "json" else [(1, "l/0", "1"), (1, "l/1/0", "2"), (1, "l/1/1", "3")]
+    assert got == sorted([(1, "a/b/c", "1.5"), (1, "a/b/d _", "x"), *lists_, (1, "n", "null"), (4, "", "7"), (5, "x/x/x", '{"x":1}')])
+    m = df.filter("id = 1").select("id", F.create_map(F.lit("k"), F.create_map(F.lit("z"), F.lit(3))).alias("j"))
+    assert [tuple(v) for v in store.flat_json_params(m, "id", "j").collect()] == [(1, "k/z", "3")]
