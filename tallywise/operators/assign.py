@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywise.sources.staging import staged
-from tallywise.tables import small, uniform
+from tallywise.tables import uniform
 
 #: Named settings: coverage none is ``global``, hard is ``sample``.
 PRESETS = {
@@ -235,7 +235,9 @@ def _dealt(open_: DataFrame, flips: DataFrame, budget: int, per_item: int | None
         # a pair counts with each number of labels that its item can have by then
         most = F.least(F.count(F.lit(1)).over(Window.partitionBy("item_id")), F.lit(budget), F.lit(per_item or budget))
         best = open_.withColumn("most", most.cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).select(*_KEY, "cap", (F.col("u") - soft_lambda * F.col("k")).alias("u"), "k")
-    take, total = 16 * (budget + (top_m or 0)) + 1000, best.count()
+    # without caps a stream passes over no more entries than the other takes
+    free = caps is None and per_item is None and soft_lambda == 0
+    take, total = (1 if free else 16) * (budget + (top_m or 0)) + 1000, best.count()
     while True:
         heads = best.orderBy(*_best(), "k").limit(take).select(F.lit(0).alias("stream"), *_KEY, "cap", "k", (-F.col("u")).alias("o"))
         if top_m is None:
@@ -257,14 +259,16 @@ def _settled(entries: DataFrame, flips: DataFrame, budget: int, per_item: int |
     """
     explores = flips.filter("stream = 1")
     state, drawn = entries.withColumn("skip", F.lit(False)), None
-    turns = small(flips.select("stream", "j", "slot"))
+    # no table of picks or slots has more rows than the budget
+    side = lambda df: F.broadcast(df) if budget <= 500_000 else df.hint("merge")
+    turns = side(flips.select("stream", "j", "slot"))
     before = Window.partitionBy("stream").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         placed = state.withColumn("j", F.coalesce(F.sum((~F.col("skip")).cast("long")).over(before), F.lit(0)) + 1).join(turns, ["stream", "j"], "left")
         picks = placed.filter("NOT skip AND slot IS NOT NULL").select("slot", *_KEY)
         own = staged((picks if drawn is None else picks.unionByName(drawn)).groupBy(*_KEY).agg(F.min("slot").alias("own")))
-        of = lambda key, name: small(own.groupBy(key).agg(F.sort_array(F.collect_list("own")).alias(name)))  # noqa: B023, E731
-        seen = placed.join(small(own), list(_KEY), "left").join(of("item_id", "of_item"), "item_id", "left").join(of("annotator_id", "of_annotator"), "annotator_id", "left")
+        of = lambda key, name: side(own.groupBy(key).agg(F.sort_array(F.collect_list("own")).alias(name)))  # noqa: B023, E731
+        seen = placed.join(side(own), list(_KEY), "left").join(of("item_id", "of_item"), "item_id", "left").join(of("annotator_id", "of_annotator"), "annotator_id", "left")
         ends = [F.col("own"), F.get("of_annotator", (F.col("cap") - 1).cast("int"))]
         begin = F.lit(0).cast("long")
         if per_item is not None:
@@ -279,7 +283,11 @@ def _settled(entries: DataFrame, flips: DataFrame, budget: int, per_item: int |
         same = after.filter("skip <> old").isEmpty()
         if top_m is not None:
             again = _explored(after, explores, budget, top_m)
-            same = same and drawn is not None and again.join(drawn.hint("merge"), ["slot", *_KEY], "left_anti").isEmpty() and again.count() == drawn.count()
+            if same and drawn is not None:
+                both = again.withColumn("one", F.lit(1)).unionByName(drawn.withColumn("one", F.lit(-1)))
+                same = both.groupBy("slot", *_KEY).agg(F.sum("one").alias("one")).filter("one <> 0").isEmpty()
+            else:
+                same = False
             drawn = again
         state = after.select(*entries.columns, "skip")
         if same:
