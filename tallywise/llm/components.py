@@ -56,7 +56,12 @@ def components(links: DataFrame) -> DataFrame:
         mark = row[:2]
         # at most 8 a shuffle partition have more neighbours than this
         heavy = max(HEAVY, row[0] // (8 * parts))
-        # a node may become the smallest of many only in the first step, so its size is asked again for the second
+        if row[0] // 2 <= heavy:
+            # no node can have more neighbours than there are links
+            before, now = now, staged(_small(_large(now, None), None))
+            release(before)
+            continue
+        # the first step changes who has many smaller neighbours, so that is asked again for the second
         before, now = now, staged(_large(now, heavy if row[2] > heavy else None))
         release(before)
         most = now.groupBy("u").count().agg(F.max("count")).first()[0] or 0
