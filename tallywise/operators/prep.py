@@ -109,9 +109,9 @@ def subsample(rows: DataFrame, n: int, seed: int = 0, drawn: Column | None = Non
 
 
 def argmax_label(scores: DataFrame, seed: int = 0, drawn: Column | None = None) -> DataFrame:
-    """(item_id, annotator_id, class) of the largest value of (item_id, annotator_id, class, value); ties at random."""
+    """(item_id, annotator_id, class) of the largest value of (item_id, annotator_id, class, value); ties at random, of equal draws the lowest class."""
     u = uniform(seed, "item_id", "annotator_id", "class") if drawn is None else drawn
-    return scores.groupBy("item_id", "annotator_id").agg(F.max_by("class", F.struct(F.col("value"), u)).alias("class"))
+    return scores.groupBy("item_id", "annotator_id").agg(F.max_by("class", F.struct(F.col("value"), u, -F.col("class"))).alias("class"))
 
 
 def likelihood_pairs(raw: DataFrame, items: DataFrame, annotators: DataFrame, classes: DataFrame) -> DataFrame:
