@@ -117,7 +117,7 @@ def beta_model(candidates: DataFrame, features: DataFrame, evidence: DataFrame,
     widths = kernel.bandwidth(points, gamma, by="annotator_id", lone=1e6)
     items = features.join(candidates.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
     seen = features.join(evidence.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
-    sums = kernel.kernel_sums(items, seen, evidence, widths, similarity=similarity)
+    sums = kernel.kernel_sums(items, seen, evidence, widths, similarity=similarity, pairs=candidates)
     post = kernel.beta_posterior(sums, mean * strength, (1 - mean) * strength, use_ess, tau)
     rows = candidates.select(*_PAIR).join(post.hint("merge"), list(_PAIR), "left").select(*_PAIR, F.coalesce("alpha", F.lit(mean * strength)).alias("alpha"), F.coalesce("beta", F.lit((1 - mean) * strength)).alias("beta"))
     u = beta_quantile(F.col("alpha"), F.col("beta"), uniform(seed, F.lit("theta"), *_PAIR)) if draw else F.col("alpha") / (F.col("alpha") + F.col("beta"))
@@ -136,8 +136,9 @@ def kernel_evidence_gain(candidates: DataFrame, features: DataFrame, acquired: D
     items = unit.join(candidates.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
     width = kernel.bandwidth(seen, gamma)
     ones = seen.select("item_id", F.lit(0).alias("everybody"), F.lit(1.0).alias("mass"), F.lit(1.0).alias("m2"))
-    by_item = kernel.kernel_totals(items, seen, ones, width, ["everybody"], ["mass"], ["m2"]).select("item_id", kernel.concentration(use_ess, tau).alias("item_conc"))
-    sums = kernel.kernel_sums(items, seen, acquired.select(*_PAIR, F.lit(1.0).alias("score")), width).select(*_PAIR, kernel.concentration(use_ess, tau).alias("pair_conc"))
+    of_all = items.select("item_id", F.lit(0).alias("everybody"))
+    by_item = kernel.kernel_totals(items, seen, ones, width, ["everybody"], ["mass"], ["m2"] if use_ess else [], pairs=of_all).select("item_id", kernel.concentration(use_ess, tau).alias("item_conc"))
+    sums = kernel.kernel_sums(items, seen, acquired.select(*_PAIR, F.lit(1.0).alias("score")), width, pairs=candidates).select(*_PAIR, kernel.concentration(use_ess, tau).alias("pair_conc"))
     rows = candidates.select(*_PAIR).join(posteriors.hint("merge"), "item_id").join(channel.hint("merge"), "annotator_id").join(by_item.hint("merge"), "item_id", "left").join(sums.hint("merge"), list(_PAIR), "left")
     rows = rows.withColumn("item_conc", F.coalesce("item_conc", F.lit(0.0))).withColumn("conc", F.coalesce("pair_conc", F.lit(0.0)))
     k = F.size("p")
@@ -216,7 +217,7 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
         # an annotator without labels takes the bandwidth of all
         who = acquired.select("annotator_id").union(candidates.select("annotator_id")).distinct()
         width = staged(who.join(own.hint("merge"), "annotator_id", "left").select("annotator_id", F.coalesce("own", F.lit(float(everyone.first()[0]))).alias("gamma")))
-    pool = {"mix": mix, "similarity": similarity, "of_candidate": own_kernel}
+    pool = {"mix": mix, "similarity": similarity, "of_candidate": own_kernel, "pairs": candidates}
     long = posteriors.select("item_id", F.posexplode("p").alias("class", "p"))
     evidence = kernel.model_correctness(acquired, long)
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -235,7 +236,7 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
     elif class_prior == "kernel":
         flat = kernel.bandwidth(seen, gamma) if own_kernel else everyone
         shares = posteriors.select("item_id", F.lit(0).alias("everybody"), *[F.get("p", F.lit(c)).alias(f"p{c}") for c in range(n_classes)])
-        near = kernel.kernel_totals(items, seen, shares, flat, ["everybody"], [f"p{c}" for c in range(n_classes)], mix=mix)
+        near = kernel.kernel_totals(items, seen, shares, flat, ["everybody"], [f"p{c}" for c in range(n_classes)], mix=mix, pairs=items.select("item_id", F.lit(0).alias("everybody")))
         near = near.select("item_id", F.array(*[1.0 / n_classes + F.col(f"p{c}") for c in range(n_classes)]).alias("kp"))
         rows = rows.join(near.hint("merge"), "item_id", "left").withColumn("p", normalised(F.coalesce("kp", F.transform("p", lambda v: F.lit(1.0)))))
     sums = kernel.kernel_sums(items, seen, evidence, width, **pool)
