@@ -32,7 +32,7 @@ def classes(n_classes: int, like: DataFrame, name: str = "class") -> DataFrame:
 def dense(posteriors: DataFrame, n_classes: int) -> DataFrame:
     """Long posteriors with a row for every class of every item."""
     grid = posteriors.select("item_id").distinct().crossJoin(F.broadcast(classes(n_classes, posteriors)))
-    return grid.join(posteriors, ["item_id", "class"], "left").select("item_id", "class", F.coalesce("p", F.lit(0.0)).alias("p"))
+    return grid.join(posteriors.hint("merge"), ["item_id", "class"], "left").select("item_id", "class", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def confusions(annotations: DataFrame, posteriors: DataFrame, n_classes: int, smoothing: float = 0.0, diagonal: float = 0.0) -> DataFrame:
@@ -40,7 +40,7 @@ def confusions(annotations: DataFrame, posteriors: DataFrame, n_classes: int, sm
 
     ``smoothing`` is added to every count and ``diagonal`` to the correct ones; rows without mass are even.
     """
-    counts = annotations.join(posteriors, "item_id").groupBy("annotator_id", F.col("class").alias("truth"), "label").agg(F.sum("p").alias("n"))
+    counts = annotations.join(posteriors.hint("merge"), "item_id").groupBy("annotator_id", F.col("class").alias("truth"), "label").agg(F.sum("p").alias("n"))
     truth, label = classes(n_classes, annotations, "truth"), classes(n_classes, annotations, "label")
     grid = annotations.select("annotator_id").distinct().crossJoin(F.broadcast(truth)).crossJoin(F.broadcast(label))
     prior = F.lit(smoothing) + F.when(F.col("truth") == F.col("label"), diagonal).otherwise(0.0)

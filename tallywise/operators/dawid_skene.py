@@ -1,7 +1,8 @@
 """Consensus by expectation maximisation: annotator confusions and class posteriors in turn.
 
 Each step is a join of the labels with the confusions and two grouped sums; the tables of a step go to the shared folder, so the
-plan does not grow with the iterations, and only the largest change of a posterior comes to the driver.
+plan does not grow with the iterations, and only the largest change of a posterior comes to the driver: tables by item are sorted and merged,
+those by annotator alone may be broadcast.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def expectation(annotations: DataFrame, confusion: DataFrame, prior: DataFrame,
     """Posteriors from priors (class, p) or (item_id, class, p) and the confusion of every label given."""
     given = annotations.join(confusion, ["annotator_id", "label"]).groupBy("item_id", F.col("truth").alias("class")).agg(F.sum(F.ln(F.greatest("p", F.lit(TINY)))).alias("l"))
     if "item_id" in prior.columns:
-        both = prior.join(given, ["item_id", "class"], "left")
+        both = prior.join(given.hint("merge"), ["item_id", "class"], "left")
     else:
         both = given.join(F.broadcast(prior), "class")
     return _normalised(both.select("item_id", "class", (F.ln(F.greatest("p", F.lit(TINY))) + F.coalesce("l", F.lit(0.0))).alias("s")))
@@ -61,7 +62,7 @@ def dawid_skene(annotations: DataFrame, n_classes: int, max_iter: int = 100, tol
             new = staged(expectation(labels, c, prior, n_classes))
             release(prior, c)
             old = post.select("item_id", "class", F.col("p").alias("o"))
-            change = new.join(old, ["item_id", "class"]).agg(F.max(F.abs(F.col("p") - F.col("o")))).first()[0]
+            change = new.join(old.hint("merge"), ["item_id", "class"]).agg(F.max(F.abs(F.col("p") - F.col("o")))).first()[0]
             release(post)
             post, info = new, {"iterations": info["iterations"] + 1, "change": change, "converged": change <= tol}
             if change <= tol:
@@ -69,7 +70,7 @@ def dawid_skene(annotations: DataFrame, n_classes: int, max_iter: int = 100, tol
         prior = staged(class_prior(post))
     c = staged(confusions(labels, post, n_classes, smoothing))
     if items is not None:
-        rest = items.select("item_id").join(post.select("item_id").distinct(), "item_id", "left_anti").crossJoin(F.broadcast(prior))
+        rest = items.select("item_id").join(post.select("item_id").distinct().hint("merge"), "item_id", "left_anti").crossJoin(F.broadcast(prior))
         post = post.unionByName(rest.select("item_id", "class", "p"))
     return post, c, prior, info
 
