@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallywise.functions.arrays import TINY, as_doubles, channel_rows, dot, expected_gain, l2_normalised, normalised, total, uniform_channel
 from tallywise.operators import kernel
 from tallywise.sources.staging import staged
-from tallywise.tables import uniform
+from tallywise.tables import small, uniform
 
 #: Named settings.
 PRESETS = {
@@ -86,23 +86,31 @@ def _mean_vectors(rows: DataFrame) -> DataFrame:
     return dims.groupBy("annotator_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda e: e["v"]).alias("m"))
 
 
+#: Pairs whose annotators' vectors a task sums by item.
+PAIRS_AT_ONCE = 50_000
+
+
 def representation_diversity(candidates: DataFrame, features: DataFrame, acquired: DataFrame, n_classes: int, label_weight: float = 1.0, cold_start: float = 2.0) -> DataFrame:
     """Mean cosine distance of an annotator to the others that are available for the item.
 
     An annotator's vector is the unit mean of unit vectors of features and weighted one-hot labels.  Without a vector the score is
     ``cold_start``, without a peer 0.  The peers' vectors of an item are summed once, so that each pair costs one product.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     from tallywise.functions.arrays import one_hot
 
     unit = kernel.unit_vectors(features)
     both = F.concat("x", F.transform(one_hot(F.col("label"), n_classes), lambda v: v * label_weight))
     joint = acquired.join(unit, "item_id").select("annotator_id", l2_normalised(both).alias("x"))
-    vectors = _mean_vectors(joint).select("annotator_id", l2_normalised(F.col("m")).alias("v"))
-    rows = candidates.select(*_PAIR).join(vectors, "annotator_id", "left")
-    dims = rows.filter("v IS NOT NULL").select("item_id", F.posexplode("v").alias("d", "w")).groupBy("item_id", "d").agg(F.sum("w").alias("w"))
-    sums = dims.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "w"))), lambda e: e["w"]).alias("s"))
-    n = rows.filter("v IS NOT NULL").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    full = rows.join(sums, "item_id", "left").join(n, "item_id", "left")
+    vectors = staged(_mean_vectors(joint).select("annotator_id", l2_normalised(F.col("m")).alias("v")))
+    # pairs are dealt by item before they get their vectors, so that a task has PAIRS_AT_ONCE of them or so
+    pairs = candidates.select(*_PAIR)
+    parts = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_AT_ONCE))
+    rows = pairs.repartition(parts, "item_id").join(small(vectors), "annotator_id", "left")
+    of_item = rows.filter("v IS NOT NULL").groupBy("item_id").agg(Summarizer.sum(array_to_vector("v")).alias("s"), F.count(F.lit(1)).alias("n"))
+    full = rows.join(of_item.select("item_id", vector_to_array("s").alias("s"), "n").hint("merge"), "item_id", "left")
     others = F.col("n") - 1
     mean = (others - (dot(F.col("v"), F.col("s")) - dot(F.col("v"), F.col("v")))) / others
     return full.select(*_PAIR, F.when(F.col("v").isNull(), cold_start).when(others < 1, 0.0).otherwise(mean).alias("u"))
