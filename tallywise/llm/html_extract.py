@@ -2,11 +2,15 @@
 
 Each task puts the token streams (words, and a mark for each block's tag) of a slice of pages one
 behind another.  A suffix array of these, sorted by the first ``RUN`` tokens through prefix
-doubling, brings equal substrings together.  A task gives each (host, run) with the number of its
-pages that have it; these are added up over all pages of the host, however many there are, and
-runs on enough distinct pages are boilerplate.  A join returns them to the pages, where every
-token that one of them covers is marked.  Blocks of a page whose markup does not say what they are
-keep only the runs that are not covered.  Hosts whose pages all say it need no counts.
+doubling, brings equal substrings together and gives each (host, run) with the number of its
+pages that have it.  These are added up over all pages of the host, however many there are, and
+runs on enough distinct pages are boilerplate; every token that one of them covers is marked.  Blocks of a page
+whose markup does not say what they are keep only the tokens that are not.  Every page of every host that has enough
+pages goes this way, declared or not; ``n_repeated`` tells how many words of its blocks were marked.
+
+Most runs are on one page, so counts are taken in two rounds.  The first adds up 3 bytes a run: its place in a piece of
+the cells that keys fall into.  Cells that reach the threshold go into a filter of fixed size, and the second round counts whole keys
+of the runs that pass it.  Marks are found from the boilerplate runs where these are few; otherwise they return to the pages by a join.
 
 Where the markup does say it, it is believed: blocks inside ``article`` or ``main`` are the main text even
 if other pages repeat them (copied articles are still articles), and blocks of menus, headers,
@@ -40,8 +44,11 @@ from tallywise.sources.staging import staged
 
 #: Tokens of a repeat, and pages of a host, of whatever size, that make it boilerplate.
 RUN, PAGES = 8, 8
-#: Hosts, and boilerplate runs, are broadcast up to this number, and joined beyond it, a part for every LOT pages of a run then.
+#: Hosts of enough pages are broadcast up to this number (beyond it, pages of all hosts are counted); boilerplate runs too, and joined beyond it, a part for
+#: every LOT pages of a run then.
 HOSTS_MOST, RUNS_MOST, LOT = 200_000, 200_000, 20_000
+#: Bits of a run's key that are its piece and its place there, and those that the filter tells apart; runs that a task holds before it gives their cells.
+PIECE, PLACE, TOLD, HELD = 12, 24, 27, 1 << 21
 
 CHROME, OPEN, MAIN, WRAPPED = 0, 1, 2, 3
 
@@ -246,23 +253,20 @@ class Stream:
         at = at[self.page[at] == self.page[at + RUN - 1]]
         return at, run_keys(self.tokens, at, host[self.page[at]])
 
-    def open_texts(self, n: int, hidden: np.ndarray) -> list[str]:
-        """The texts of n pages from their OPEN blocks, without the hidden tokens."""
+    def texts(self, n: int, hidden: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The texts of n pages, and how many words of their blocks are hidden: MAIN blocks as they are, or else OPEN ones without these words."""
+        declared = {i for i, kind, *_ in self.flat if kind == MAIN}
         out: list[list[str]] = [[] for _ in range(n)]
+        many = np.zeros(n, np.int64)
         for (i, kind, _, text), a, b in zip(self.flat, self.first[:-1], self.first[1:], strict=True):
-            if kind == OPEN:
+            if kind == (MAIN if i in declared else OPEN):
                 mask = hidden[a + 1 : b]
-                if not mask.any():
+                many[i] += (cut := int(np.count_nonzero(mask)))
+                if kind == MAIN or not cut:
                     out[i].append(text)
-                elif not mask.all():
+                elif cut < len(mask):
                     out[i].append(b" ".join(self.data[s:e].tobytes() for s, e, h in zip(self.starts[a + 1 : b], self.ends[a + 1 : b], mask, strict=True) if not h).decode())
-        return ["\n".join(x) for x in out]
-
-
-def declared_text(blocks: list[tuple[int, str, str]]) -> str | None:
-    """The text of a page that needs no counts: it has declared parts, or no open ones."""
-    main = [text for kind, _, text in blocks if kind == MAIN]
-    return "\n".join(main) if main or all(kind == CHROME for kind, *_ in blocks) else None
+        return ["\n".join(x) for x in out], many
 
 
 def host_hashes(hosts: pa.Array) -> np.ndarray:
@@ -270,78 +274,180 @@ def host_hashes(hosts: pa.Array) -> np.ndarray:
     return span_hashes(data, bounds[:-1], bounds[1:])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each page that needs no counts, the html of the others."""
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream, np.ndarray]]:
+    """Slices of pages, a host's together, with their tokens and the hash of each page's host."""
     for batch in batches:
         for part in slices(batch, "html"):
-            html = part.column("html").to_pylist()
-            texts = [declared_text(page_blocks(h)) for h in html]
-            columns = [part.column("page_id"), part.column("url"), part.column("host"), pa.array(texts, pa.string()), pa.array([h if t is None else None for h, t in zip(html, texts, strict=True)], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "text", "html"])
+            part = part.take(pa.array(np.argsort(host_hashes(part.column("host")), kind="stable")))
+            yield part, Stream([page_blocks(h) for h in part.column("html").to_pylist()]), host_hashes(part.column("host"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (host, run) of each slice of pages, and how many of these pages have it."""
-    for batch in batches:
-        for part in slices(batch, "html"):
-            part = part.take(pa.array(np.argsort(host_hashes(part.column("host")), kind="stable")))
-            host = host_hashes(part.column("host"))
-            stream = Stream([page_blocks(h) for h in part.column("html").to_pylist()])
+def _packed(cells: np.ndarray) -> pa.RecordBatch:
+    """A row for each piece that the cells are in, with their places there in 3 bytes each."""
+    cells = np.sort(cells)
+    piece = (cells >> np.uint64(PLACE)).astype(np.int32)
+    first = np.flatnonzero(np.diff(piece, prepend=-1))
+    data = np.ascontiguousarray(cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : PLACE // 8])
+    ends = (np.append(first, len(cells)) * (PLACE // 8)).astype(np.int32)
+    places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(piece[first]), places], ["piece", "places"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    """The cells of such rows."""
+    places = batch.column("places").cast(pa.large_binary())
+    _, offsets, data = places.buffers()
+    ends = np.frombuffer(offsets, np.int64)[places.offset : places.offset + len(places) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, PLACE // 8).astype(np.uint64)
+    return np.repeat(np.asarray(batch.column("piece")).astype(np.uint64) << np.uint64(PLACE), np.diff(ends) // (PLACE // 8)) + (raw << np.arange(0, PLACE, 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def _cells(least: int):
+    """The cells of the distinct (host, run) of each slice of pages, each as often as pages have it, at most ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for _, stream, host in _streams(batches):
             order, first, counts = shared_runs(stream.tokens, stream.page, host)
             at = order[first]
-            page = stream.page[at]
-            yield pa.RecordBatch.from_arrays([pa.array(run_keys(stream.tokens, at, host[page]).view(np.int64)), pa.array(counts)], ["run", "pages"])
+            if len(at):
+                held.append(np.repeat(run_keys(stream.tokens, at, host[stream.page[at]]) >> np.uint64(64 - PIECE - PLACE), np.minimum(counts, least)))
+            if sum(map(len, held)) >= HELD:
+                yield _packed(np.concatenate(held))
+                held.clear()
+        if held:
+            yield _packed(np.concatenate(held))
 
+    return run
 
-def _own_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct runs of each page."""
-    for batch in batches:
-        for part in slices(batch, "html"):
-            stream = Stream([page_blocks(h) for h in part.column("html").to_pylist()])
-            at, keys = stream.runs(host_hashes(part.column("host")))
-            pairs = np.unique(np.stack([stream.page[at], keys.view(np.int64)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["row", "run"])
 
+def _often_cells(least: int):
+    """From rows in the order of their pieces, a bit map for each piece: which of its cells ``least`` pages or more are in."""
+    inner = TOLD - PIECE
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of pages from html and the boilerplate runs of each."""
-    for batch in batches:
-        for part in slices(batch, "html"):
-            stream = Stream([page_blocks(h) for h in part.column("html").to_pylist()])
-            at, keys = stream.runs(host_hashes(part.column("host")))
-            # a run is boilerplate of its host or not, so the lists of a slice can be put together
-            often = np.array([r for runs in part.column("runs").to_pylist() for r in runs or ()], np.int64)
-            texts = stream.open_texts(part.num_rows, spread(at[np.isin(keys.view(np.int64), often)], len(stream.tokens)))
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    def marked(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        value, many = np.unique(cells, return_counts=True)
+        told = value[many >= least] >> np.uint64(PIECE + PLACE - TOLD)
+        piece = (told >> np.uint64(inner)).astype(np.int32)
+        for k in np.unique(piece):
+            bits = np.zeros(1 << inner, bool)
+            bits[(told[piece == k] & np.uint64((1 << inner) - 1)).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["piece", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                held = np.append(held, _unpacked(batch))
+                open_ = int(np.searchsorted(held >> np.uint64(PLACE), held[-1] >> np.uint64(PLACE)))
+                yield from marked(held[:open_])
+                held = held[open_:]
+        yield from marked(held)
+
+    return run
+
+
+def _told(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets pass: all that ``least`` pages have, and few others."""
+    at = (keys >> np.uint64(64 - TOLD)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _page_runs(stream: Stream, host: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and page of the distinct pairs of these whose runs the filter lets pass, in their order."""
+    at, keys = stream.runs(host)
+    passed = _told(keys, bits)
+    run, page = keys[passed].view(np.int64), stream.page[at[passed]]
+    order = np.lexsort((page, run))
+    run, page = run[order], page[order]
+    new = np.append(True, (run[1:] != run[:-1]) | (page[1:] != page[:-1]))[: len(run)]
+    return run[new], page[new]
+
+
+def _count(filter_):
+    """The distinct (host, run) of each slice of pages that the (broadcast) filter lets pass, and how many of these pages have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, stream, host in _streams(batches):
+            keys, pages = np.unique(_page_runs(stream, host, filter_.value)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pages)], ["run", "pages"])
+
+    return run
+
+
+def _own_runs(filter_):
+    """The distinct runs of each page that the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, stream, host in _streams(batches):
+            keys, page = _page_runs(stream, host, filter_.value)
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(page)), pa.array(keys)], ["row", "run"])
+
+    return run
+
+
+def _finish(often, filter_):
+    """The texts of pages from html and the boilerplate runs: ``often``, in their order, or those that come with each page; both are broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, stream, host in _streams(batches):
+            at, keys = stream.runs(host)
+            passed = _told(keys, filter_.value)
+            at, keys = at[passed], keys[passed].view(np.int64)
+            known = often.value
+            if "runs" in part.schema.names:
+                # a run is boilerplate of its host or not, so the lists of a slice can be put together
+                known = np.unique(np.array([r for runs in part.column("runs").to_pylist() for r in runs or ()], np.int64))
+            hit = at[known[np.searchsorted(known[:-1], keys)] == keys] if len(known) else at[:0]
+            texts, many = stream.texts(part.num_rows, spread(hit, len(stream.tokens)))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(many)], ["page_id", "url", "text", "n_repeated"])
+
+    return run
+
+
+def _filter(rows: DataFrame, least: int) -> np.ndarray:
+    """A bit for each run of 2^TOLD kinds, set for those that ``least`` pages of a host have."""
+    cells = rows.select("html", "host").mapInArrow(_cells(least), "piece int, places binary")
+    often = staged(cells.repartition("piece").sortWithinPartitions("piece").mapInArrow(_often_cells(least), "piece int, bits binary"))
+    bits = np.zeros((1 << PIECE, 1 << (TOLD - PIECE - 3)), np.uint8)
+    for r in often.toLocalIterator():
+        bits[r["piece"]] |= np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
 
 
 def extract(pages: DataFrame, least_pages: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html).
+    """page_id, url, text, n_chars, n_repeated for each row of pages (page_id, url, html).
 
-    Where markup is silent, runs of RUN tokens that ``least_pages`` pages of a host have are boilerplate, on hosts of any size.
+    Runs of RUN tokens that ``least_pages`` pages of a host have are boilerplate, on hosts of any size: they are cut where markup is silent.
+    ``n_repeated`` counts their words in the blocks that the text comes from.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host)
-    known = staged(rows.mapInArrow(_settle, "page_id long, url string, host string, text string, html string").withColumn("row", F.monotonically_increasing_id()))
-    out = lambda df: df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    asking = known.filter("html IS NOT NULL")
-    if asking.isEmpty():
-        return out(known)
-    hosts = staged(asking.select(F.col("host").alias("h")).distinct())
-    few = hosts.count() <= HOSTS_MOST
-    theirs = rows.join(F.broadcast(hosts) if few else hosts.hint("merge"), rows["host"] == hosts["h"])
-    counts = theirs.select("html", "host").mapInArrow(_count, "run long, pages long")
-    often = staged(counts.groupBy("run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages).select(F.col("run").alias("o"), F.ceil(F.col("pages") / LOT).alias("lots")))
-    own = asking.select("row", "host", "html").mapInArrow(_own_runs, "row long, run long")
-    if often.count() <= RUNS_MOST:
-        hits = own.join(F.broadcast(often), own["run"] == often["o"])
+    # a host of fewer pages has no run on enough of them
+    hosts = staged(rows.groupBy("host").count().filter(F.col("count") >= least_pages).select(F.col("host").alias("h")))
+    many = hosts.count()
+    counted = rows.join(F.broadcast(hosts), rows["host"] == hosts["h"], "left_semi") if many <= HOSTS_MOST else rows
+    bits = _filter(counted, least_pages) if many else np.zeros(1 << (TOLD - 3), np.uint8)
+    sent = pages.sparkSession.sparkContext.broadcast
+    passing, often = sent(bits), None
+    if bits.any():
+        counts = counted.select("html", "host").mapInArrow(_count(passing), "run long, pages long")
+        often = staged(counts.groupBy("run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages).select(F.col("run").alias("o"), F.ceil(F.col("pages") / LOT).alias("lots")))
+    known = np.zeros(0, np.int64)
+    if often is None or often.count() <= RUNS_MOST:
+        if often is not None:
+            known = np.sort(np.array([r["o"] for r in often.select("o").collect()], np.int64))
     else:
+        # pages that are equal in all of this may share a list
+        rows = rows.withColumn("row", F.xxhash64("page_id", "host", "html"))
+        own = rows.select("row", "host", "html").mapInArrow(_own_runs(passing), "row long, run long")
         # a run that most pages of a large host have would be one task's work: those of more than a lot are dealt by row
         wide = often.filter("lots > 1")
         wide = F.broadcast(wide) if wide.count() <= RUNS_MOST else wide.hint("merge")
         own = own.join(wide, own["run"] == F.col("o"), "left").select("row", "run", F.coalesce(F.pmod(F.xxhash64("row"), F.col("lots")), F.lit(0)).alias("salt"))
         dealt = often.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
         hits = own.join(dealt.hint("merge"), (own["run"] == dealt["o"]) & (own["salt"] == dealt["s"]))
-    marks = hits.groupBy(F.col("row").alias("r")).agg(F.collect_list("run").alias("runs"))
-    marked = asking.join(marks.hint("merge"), asking["row"] == marks["r"], "left").select("page_id", "url", "host", "html", "runs")
-    return out(known.filter("html IS NULL")).union(out(marked.mapInArrow(_finish, "page_id long, url string, text string")))
+        marks = staged(hits.groupBy(F.col("row").alias("r")).agg(F.collect_list("run").alias("runs")))
+        rows = rows.join(marks.hint("merge"), rows["row"] == marks["r"], "left").select("page_id", "url", "host", "html", "runs")
+    found = rows.mapInArrow(_finish(sent(known), passing), "page_id long, url string, text string, n_repeated long")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")

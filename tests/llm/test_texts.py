@@ -187,6 +187,59 @@ def test_covered_tokens_against_brute_force():
         assert (html_extract.covered(tokens, page, 3) == want).all()
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_declared_pages_are_counted_too(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "HOSTS_MOST", most)
+    monkeypatch.setattr(html_extract, "RUNS_MOST", most)
+    note = "ten words that every page of the host says here"
+    rows = [(i, f"http://{'h' if i < 30 else 'k'}{i // 37}.example/{i}", f"<nav>{note}</nav><article><p>{i} tells {i * 7}</p><p>{note}</p><p>{note} {i}</p></article>") for i in range(40)]
+    got = html_extract.extract(page_rows(spark, rows).repartition(5)).collect()
+    assert len(got) == 40
+    for r in got:
+        i = r["page_id"]
+        assert r["text"] == f"{i} tells {i * 7}\n{note}\n{note} {i}"  # markup is believed
+        assert r["n_repeated"] == (20 if i < 30 else 0)  # the last hosts have fewer pages than PAGES
+
+
+def test_filter_passes_every_boilerplate_run(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(html_extract, "HELD", 500)
+    r = np.random.default_rng(2)
+    notes = [" ".join(map(str, r.integers(0, 10**6, 12))) for _ in range(30)]
+    html = ["".join(f"<p>{notes[j]}</p>" for j in r.integers(0, 30, 4)) + f"<p>{' '.join(map(str, r.integers(0, 10**6, 30)))}</p>" for _ in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(html[a : a + 16]), pa.array([f"h{i % 3}" for i in range(a, min(200, a + 16))])], ["html", "host"]) for a in range(0, 200, 16)]
+    pages = {}
+    for n, (_, stream, host) in enumerate(html_extract._streams(iter(batches))):
+        at, keys = stream.runs(host)
+        for k, p in zip(keys, stream.page[at], strict=True):
+            pages.setdefault(int(k), set()).add((n, int(p)))
+    lots = list(html_extract._cells(8)(iter(batches)))
+    assert len(lots) > 1
+    cells = np.concatenate([html_extract._unpacked(x) for x in lots])
+    assert sorted(cells.tolist()) == sorted(k >> 28 for x in batches for _, s, h in html_extract._streams(iter([x])) for k, n in _pages_of(s, h).items() for _ in range(min(8, n)))
+    table = pa.Table.from_batches(lots).sort_by("piece")
+    bits = np.zeros((1 << html_extract.PIECE, 1 << (html_extract.TOLD - html_extract.PIECE - 3)), np.uint8)
+    for batch in html_extract._often_cells(8)(iter(table.to_batches(max_chunksize=7))):
+        for k, b in zip(*(batch.column(c).to_pylist() for c in ("piece", "bits")), strict=True):
+            assert not bits[k].any()  # a piece comes once
+            bits[k] = np.frombuffer(b, np.uint8)
+    every = np.array(list(pages), np.uint64)
+    want = np.array([len(pages[int(k)]) >= 8 for k in every])
+    passed = html_extract._told(every, bits.ravel())
+    assert want.sum() > 100 and passed[want].all() and (passed & ~want).sum() <= 2
+
+
+def _pages_of(stream, host):
+    """How many pages have each run."""
+    found = {}
+    at, keys = stream.runs(host)
+    for k, p in zip(keys, stream.page[at], strict=True):
+        found.setdefault(int(k), set()).add(int(p))
+    return {k: len(p) for k, p in found.items()}
+
+
 def test_packages_are_zips():
     members = [("archive/a", b"x" * 1000), ("indexes/b", b"")]
     for zip64 in (False, True):
