@@ -30,7 +30,7 @@ that repeat a page_id are pages each.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -76,6 +76,9 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
+#: Attributes that may set an element apart, as they are found in or outside names.
+_TELLING = re.compile(r"class|id|role|style|hidden", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -83,7 +86,7 @@ def _apart(name: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]
     """Whether an element holds no main text: by itself; only by its name; by one of the names OTHERS."""
     if name in NOT_MAIN or (name == "header" and not in_main):
         return True, False, False
-    if not attributes or attributes.isspace() or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "article", "main") or not _TELLING.search(attributes):
         return False, False, False
     a = {k.lower(): (x or y or z).lower() for k, x, y, z in _ATTRIBUTE.findall(attributes)}
     bare = _ATTRIBUTE.sub(" ", attributes).lower().split()
@@ -105,7 +108,7 @@ def page_blocks(html: str) -> list[tuple[int, str, str]]:
     """The blocks of a page in order: CHROME, OPEN or MAIN; the tag that opened it; the text."""
     out: list[tuple[int, str, str]] = []
     open_: list[tuple[str, bool, bool, bool, bool, bool, int]] = []
-    names: Counter[str] = Counter()  # of the open elements, so that deep nesting is searched only for what is there
+    names: defaultdict[str, int] = defaultdict(int)  # of the open elements, so that deep nesting is searched only for what is there
     hard = named = others = main = inert = 0
     ended = 0  # names around the article or main that it ends
     text: list[str] = []
@@ -126,30 +129,32 @@ def page_blocks(html: str) -> list[tuple[int, str, str]]:
 
     while True:
         m = _TAG.search(html, at)
-        if not inert:
-            text.append(html[at : m.start()] if m else html[at:])
+        start, end = m.span() if m else (len(html), 0)
+        if at < start and not inert:
+            text.append(html[at:start])
         if m is None:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = end
+        closing, name, attributes, closing_too, other, rest = m.groups()
+        name = (name or other or "").lower()
         if not name:
             continue
         if name == "br":
             text.append(" ")
             continue
-        if m[1] or m[4]:
+        if closing or closing_too:
             if name in BLOCKS:
                 flush()
             if names[name]:
-                close(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name))
+                close(len(open_) - 1 if open_[-1][0] == name else next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name))
             continue
-        attributes = m[3] or m[6] or ""
+        attributes = attributes or rest or ""
         if name in INERT and attributes.rstrip().endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             if not attributes.rstrip().endswith("/"):
-                at = end.end() if end else len(html)
+                last = _RAW_END[name].search(html, at)
+                at = last.end() if last else len(html)
             continue
         block = name in BLOCKS
         if block:
