@@ -17,8 +17,8 @@ def random_items(candidates: DataFrame, budget: int, seed: int = 0, drawn: Colum
 
 
 def margin_items(posteriors: DataFrame, budget: int) -> DataFrame:
-    """Items (item_id, p array) with the smallest lead of the top class."""
-    return posteriors.select("item_id", uncertainty(F.col("p"), "margin").alias("m")).orderBy(F.col("m").desc(), "item_id").limit(budget).select("item_id")
+    """Items (item_id, p array) with the smallest lead of the top class; leads that are equal to 9 places are ties, which go by id."""
+    return posteriors.select("item_id", F.round(uncertainty(F.col("p"), "margin"), 9).alias("m")).orderBy(F.col("m").desc(), "item_id").limit(budget).select("item_id")
 
 
 def typical_items(features: DataFrame, labelled: DataFrame, budget: int, neighbours: int = 20, seed: int = 0) -> DataFrame:
