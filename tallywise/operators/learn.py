@@ -302,11 +302,19 @@ def mixed_pairs(pairs: DataFrame, seed: int = 0, alpha: float = 1.0) -> DataFram
     return both.select("item_id", "annotator_id", "lam", blend("x", "x2").alias("x"), blend("a", "a2").alias("a"), blend("y", "y2").alias("y"))
 
 
+#: Clusters up to which Spark's KMeans finds them; it chooses its first centres on the driver, where their number squared is too much beyond.
+FEW_CLUSTERS = 2048
+
+
 def clusters(features: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(item_id, cluster) by k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from tallywise.operators import lloyd
+
+    if k > FEW_CLUSTERS:
+        return lloyd.clusters(features, k, seed)
     x = features.select("item_id", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
     return KMeans(k=k, seed=seed, initMode="k-means||").fit(x).transform(x).select("item_id", F.col("prediction").alias("cluster"))
 
