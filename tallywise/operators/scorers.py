@@ -215,16 +215,19 @@ def kernel_smoothed_gain(candidates: DataFrame, features: DataFrame, acquired: D
     unit = kernel.unit_vectors(features)
     items = unit.join(candidates.select("item_id").distinct().hint("merge"), "item_id", "left_semi")
     labels_of = acquired.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    seen = staged(unit.join(labels_of.hint("merge"), "item_id"))
-    width = everyone = kernel.bandwidth(seen, gamma, weight="n_labels")
-    seen = seen.select("item_id", "x")
+    counted = staged(unit.join(labels_of.hint("merge"), "item_id"))
+    seen = counted.select("item_id", "x")
     own_kernel = gamma_scope == "per_annotator"
-    if own_kernel:
+    if not own_kernel:
+        width = everyone = kernel.bandwidth(counted, gamma, weight="n_labels")
+    else:
         points = acquired.select(*_PAIR).distinct().join(unit.hint("merge"), "item_id")
         own = kernel.bandwidth(points, gamma, by="annotator_id").withColumnRenamed("gamma", "own")
-        # an annotator without labels takes the bandwidth of all
         who = acquired.select("annotator_id").union(candidates.select("annotator_id")).distinct()
-        width = staged(who.join(own.hint("merge"), "annotator_id", "left").select("annotator_id", F.coalesce("own", F.lit(float(everyone.first()[0]))).alias("gamma")))
+        width = staged(who.join(own.hint("merge"), "annotator_id", "left").select("annotator_id", F.col("own").alias("gamma")))
+        if not width.filter("gamma IS NULL").isEmpty():
+            # an annotator without labels takes the bandwidth of all, whose pairs are many more
+            width = width.fillna(float(kernel.bandwidth(counted, gamma, weight="n_labels").first()[0]), "gamma")
     pool = {"mix": mix, "similarity": similarity, "of_candidate": own_kernel, "pairs": candidates}
     long = posteriors.select("item_id", F.posexplode("p").alias("class", "p"))
     evidence = kernel.model_correctness(acquired, long)
